@@ -1,0 +1,104 @@
+"""How Parquet files are stored: footers read on the executors."""
+
+from __future__ import annotations
+
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# the footer reader travels with the job, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+_SCHEMA = (
+    "file string, row_group long, first_row long, rows long, column string, type string, codec string, "
+    "encodings string, compressed long, uncompressed long, nulls long, min string, max string, created_by string"
+)
+
+
+def _text(value) -> str | None:
+    if value is None:
+        return None
+    if isinstance(value, bytes):
+        try:
+            return value.decode()
+        except UnicodeDecodeError:
+            return "0x" + value.hex()
+    return str(value)
+
+
+def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    for batch in batches:
+        for uri in batch["path"]:
+            system, path = fs.FileSystem.from_uri(uri)
+            with system.open_input_file(path) as handle:
+                footer = pq.ParquetFile(handle).metadata
+            rows, first = [], 0
+            for g in range(footer.num_row_groups):
+                group = footer.row_group(g)
+                for c in range(group.num_columns):
+                    chunk = group.column(c)
+                    stats = chunk.statistics
+                    bounds = stats is not None and stats.has_min_max
+                    rows.append(
+                        (
+                            uri, g, first, group.num_rows, chunk.path_in_schema, chunk.physical_type,
+                            chunk.compression.lower(), ",".join(sorted(chunk.encodings)),
+                            chunk.total_compressed_size, chunk.total_uncompressed_size,
+                            stats.null_count if stats is not None and stats.has_null_count else None,
+                            _text(stats.min) if bounds else None, _text(stats.max) if bounds else None,
+                            footer.created_by,
+                        )
+                    )
+                first += group.num_rows
+            names = [part.split(" ")[0] for part in _SCHEMA.split(", ")]
+            yield pd.DataFrame(rows, columns=names)
+
+
+def column_chunks(spark: SparkSession, path) -> DataFrame:
+    """A row per file, row group and column: rows, codec, encodings, sizes, nulls, min, max.
+
+    Only footers are read, each by the task that gets its path; the driver holds the file list
+    the scan already made, nothing else.
+    """
+    files = spark.read.parquet(*([path] if isinstance(path, str) else path)).inputFiles()
+    width = max(1, min(len(files), spark.sparkContext.defaultParallelism * 4))
+    paths = spark.createDataFrame([(f,) for f in sorted(files)], "path string").repartition(width)
+    return paths.mapInPandas(_footers, _SCHEMA)
+
+
+def column_layout(spark: SparkSession, path) -> DataFrame:
+    """A row per column: type, codecs, compressed and raw bytes, ratio, nulls (null if unknown)."""
+    chunks = column_chunks(spark, path)
+    nulls = F.when(F.count("nulls") == F.count("*"), F.sum("nulls"))
+    return chunks.groupBy("column").agg(
+        F.max("type").alias("type"),
+        F.array_join(F.array_sort(F.collect_set("codec")), ",").alias("codecs"),
+        F.count("*").alias("chunks"),
+        F.sum("compressed").alias("compressed"),
+        F.sum("uncompressed").alias("uncompressed"),
+        (F.sum("uncompressed") / F.sum("compressed")).alias("ratio"),
+        nulls.alias("nulls"),
+    )
+
+
+def row_group_layout(spark: SparkSession, path, columns: list[str] | None = None) -> DataFrame:
+    """A row per file and row group: rows, first row, sizes, and min / max of chosen columns."""
+    chunks = column_chunks(spark, path)
+    bounds = []
+    for c in columns or []:
+        own = F.col("column") == c
+        bounds += [F.max(F.when(own, F.col(m))).alias(f"{c}_{m}") for m in ("min", "max")]
+    return chunks.groupBy("file", "row_group").agg(
+        F.max("rows").alias("rows"),
+        F.max("first_row").alias("first_row"),
+        F.sum("compressed").alias("compressed"),
+        F.sum("uncompressed").alias("uncompressed"),
+        *bounds,
+    )
