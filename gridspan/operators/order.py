@@ -23,7 +23,8 @@ def sort_key(df: DataFrame, key: str) -> Column:
     return cell.desc_nulls_last() if direction == "desc" else cell.asc_nulls_last()
 
 
-def _sort_columns(df: DataFrame, keys: list[str]) -> list[Column]:
+def sort_columns(df: DataFrame, keys: list[str]) -> list[Column]:
+    """The ordering of several keys; a float key puts nulls last and NaN before them."""
     columns = []
     for key in keys:
         name = key.rsplit(":", 1)[0] if key.endswith((":desc", ":asc")) else key
@@ -41,7 +42,7 @@ def sort(df: DataFrame, keys: list[str], ties: list[Column | str] = ()) -> DataF
     Spark range-partitions on all of the keys, so with a unique tie key one frequent value
     spreads over as many tasks as its rows need.
     """
-    return df.orderBy(*_sort_columns(df, keys), *ties)
+    return df.orderBy(*sort_columns(df, keys), *ties)
 
 
 def top(df: DataFrame, keys: list[str], k: int, ties: list[Column | str] = ()) -> DataFrame:

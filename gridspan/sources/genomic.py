@@ -165,25 +165,42 @@ def header_contigs(source: WithHeader) -> DataFrame:
     return kept.select(name.alias("name"), size.try_cast("long").alias("length")).where("name <> ''").distinct()
 
 
+def _matrix_head(lines: DataFrame) -> tuple[list[str], str, int, tuple[int, int, int]]:
+    """Words of the banner, its file, the place of the size line there, and the sizes.
+
+    A matrix split over several files has its banner and size line in one of them.
+    """
+    top = lines.where(F.col("line").startswith("%%MatrixMarket")).limit(1).collect()
+    if not top:
+        raise ValueError("no %%MatrixMarket line")
+    file = top[0]["file"]
+    first = (
+        lines.where((F.col("file") == file) & ~F.col("line").startswith("%") & (F.trim("line") != ""))
+        .orderBy("line_no")
+        .limit(1)
+        .collect()
+    )
+    if not first:
+        raise ValueError("no size line")
+    sizes = tuple(int(x) for x in first[0]["line"].split())
+    return top[0]["line"].lower().split(), file, first[0]["line_no"], sizes
+
+
 def read_matrix_market(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     """Coordinate entries as 0-based (row, col, value); pattern matrices have no value.
 
     ``check`` counts the entries and their range against the size line in one pass.
     """
     lines = text_lines(spark, path)
-    top = lines.where(F.col("line").startswith("%%MatrixMarket")).limit(1).collect()
-    if not top:
-        raise ValueError("no %%MatrixMarket line")
-    _, kind, layout, field, symmetry = top[0]["line"].lower().split()
+    banner, file, size_at, (n_rows, n_cols, n_entries) = _matrix_head(lines)
+    _, kind, layout, field, symmetry = banner
     if (kind, layout, symmetry) != ("matrix", "coordinate", "general"):
         raise ValueError(f"cannot read a {kind} {layout} {symmetry} matrix")
-    body = lines.where(~F.col("line").startswith("%") & (F.trim("line") != ""))
-    size_at = body.agg(F.min("line_no")).first()[0]
-    size_line = body.where(F.col("line_no") == size_at).first()["line"]
-    n_rows, n_cols, n_entries = (int(x) for x in size_line.split())
+    head = (F.col("file") == file) & (F.col("line_no") <= size_at)
+    body = lines.where(~F.col("line").startswith("%") & (F.trim("line") != "") & ~head)
     parts = F.split(F.trim("line"), r"\s+")
     value = [] if field == "pattern" else [F.get(parts, F.lit(2)).try_cast("double").alias("value")]
-    entries = body.where(F.col("line_no") > size_at).select(
+    entries = body.select(
         (F.get(parts, F.lit(0)).try_cast("long") - 1).alias("row"),
         (F.get(parts, F.lit(1)).try_cast("long") - 1).alias("col"),
         *value,
@@ -199,10 +216,8 @@ def read_matrix_market(spark: SparkSession, path: str, check: bool = True) -> Da
 
 
 def matrix_market_shape(spark: SparkSession, path: str) -> tuple[int, int, int]:
-    """Rows, columns and entries of the size line, the first that is no comment."""
-    body = text_lines(spark, path).where(~F.col("line").startswith("%") & (F.trim("line") != ""))
-    first = body.orderBy("file", "line_no").limit(1).collect()
-    return tuple(int(x) for x in first[0]["line"].split())
+    """Rows, columns and entries of the size line."""
+    return _matrix_head(text_lines(spark, path))[3]
 
 
 def _labels(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
