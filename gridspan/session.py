@@ -38,11 +38,12 @@ def work_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="gridspan-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="gridspan-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -53,8 +54,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint, so later jobs all see the same rows in the
     same partitions even when executors are lost."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(work_dir(spark))
+        context.setCheckpointDir(work_dir(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -6,6 +6,7 @@ All are Spark writes: parts appear only when the whole job has committed.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,8 @@ PROVENANCE = "_provenance"
 
 
 def _normal(path: str) -> str:
-    return path.split(":", 1)[-1].replace("//", "/").rstrip("/")
+    """The path without scheme and doubled slashes."""
+    return re.sub("/+", "/", re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:", "", path)).rstrip("/")
 
 
 def refuse_overlap(df: DataFrame, path: str) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.position import text_lines
@@ -119,7 +119,7 @@ def read_delimited(
     Types come from one aggregation over every row, so a late value widens its column (whole
     number, number, text) instead of failing; a column with leading zeros such as 007 stays
     text; ``types`` overrides by name or ``*``. A null token is null only where it is not quoted.
-    A row with another number of fields stops the read, is skipped, or is padded with nulls and
+    A row with another number of fields stops the read (the error names the first), is skipped, or is padded with nulls and
     cut (``on_bad_row`` = stop / skip / null) and is listed in ``bad_rows``.
     """
     if on_bad_row not in ("stop", "skip", "null") or header not in ("auto", "on", "off"):
@@ -141,30 +141,34 @@ def read_delimited(
     bad = split.where(wrong).select("file", (F.col("line_no") + 1).alias("line_no"), "line")
     if on_bad_row == "skip":
         split = split.where(~wrong)
-    elif on_bad_row == "stop":
-        message = F.concat(
-            F.lit("line "), (F.col("line_no") + 1).cast("string"), F.lit(f": expected {width} fields, got "),
-            F.size("_f").cast("string"), F.lit(": "), F.col("line"),
-        )
-        split = split.withColumn("_f", F.when(wrong, F.raise_error(message)).otherwise(F.col("_f")))
+    problem = F.lit(None)
+    if on_bad_row == "stop":
+        found = F.size("_f").alias("found")
+        problem = F.when(wrong, F.struct("file", (F.col("line_no") + 1).alias("line_no"), found, "line"))
 
     values = split.select(
         F.struct("file", "line_no").alias("_pos"),
+        problem.alias("_problem"),
         *[cell(F.get("_f", F.lit(i)), nulls).alias(f"c{i}") for i in range(width)],
     )
     given = _given_types(types, names)
-    kinds = _inferred(values, [i for i, n in enumerate(names) if n not in given])
+    first = [F.min("_problem").alias("problem")] if on_bad_row == "stop" else []
+    kinds, facts = _inferred(values, [i for i, n in enumerate(names) if n not in given], first)
+    if first and facts["problem"] is not None:
+        p = facts["problem"]
+        raise ValueError(f"{p['file']}: line {p['line_no']}: expected {width} fields, got {p['found']}: {p['line']}")
     out: list[Column] = []
     for i, name in enumerate(names):
         out.append(typed(F.col(f"c{i}"), given.get(name) or kinds[i]).alias(name))
     return Delimited(values.select(*out), bad)
 
 
-def _inferred(values: DataFrame, places: list[int]) -> dict[int, str]:
-    """long, double or string per column, from every value: one pass, one row of booleans."""
-    if not places:
-        return {}
-    tests = []
+def _inferred(values: DataFrame, places: list[int], more: list[Column] = ()) -> tuple[dict[int, str], Row | None]:
+    """long, double or string per column, from every value: one pass, one row of booleans.
+
+    ``more`` are further aggregates of the same pass, returned as the second result.
+    """
+    tests = list(more)
     for i in places:
         c = F.col(f"c{i}")
         zeros = c.rlike(r"^[+-]?0\d+$")
@@ -173,6 +177,8 @@ def _inferred(values: DataFrame, places: list[int]) -> dict[int, str]:
             F.bool_and(c.rlike(_FLOAT)).alias(f"float{i}"),
             F.bool_or(zeros).alias(f"zeros{i}"),
         ]
+    if not tests:
+        return {}, None
     row = values.agg(*tests).first()
     kinds = {}
     for i in places:
@@ -180,7 +186,7 @@ def _inferred(values: DataFrame, places: list[int]) -> dict[int, str]:
             kinds[i] = "string"
         else:
             kinds[i] = "long" if row[f"int{i}"] else "double" if row[f"float{i}"] else "string"
-    return kinds
+    return kinds, row
 
 
 def write_bad_rows(bad: DataFrame, path: str) -> None:
@@ -235,5 +241,5 @@ def read_headed_layout(spark: SparkSession, path: str, layout: str) -> DataFrame
     values = fields.select(*[cell(F.get("_f", F.lit(i))).alias(f"c{i}") for i in range(len(names))])
     text = ("chrom", "chr1", "chr2", "chromosome", "readid", "name", "id")
     free = [i for i, n in enumerate(names) if n.lower() not in text]
-    kinds = _inferred(values, free)
+    kinds, _ = _inferred(values, free)
     return values.select(*[typed(F.col(f"c{i}"), kinds.get(i, "string")).alias(n) for i, n in enumerate(names)])

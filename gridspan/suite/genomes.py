@@ -297,7 +297,7 @@ def validated(spark, sf):
 _BINNED = (
     f"WITH w AS (SELECT chrom, start AS ws, \"end\" AS we, window_id, least(6, \"end\" - start) AS n FROM ({WINDOWS_SQL}) v), "
     "s AS (SELECT chrom, ws, we, window_id, n, i AS bin, ws + (we - ws) * i // n AS bs, ws + (we - ws) * (i + 1) // n AS be FROM (SELECT *, unnest(range(n)) AS i FROM w) q) "
-    "SELECT s.window_id, s.chrom, bs AS start, be AS \"end\", bin, round(sum(value * (least(i.\"end\", be) - greatest(i.start, bs))) / sum(least(i.\"end\", be) - greatest(i.start, bs)), 7) AS mean, "
+    "SELECT s.window_id, s.chrom, bs AS start, be AS \"end\", bin, round(sum(value * (least(i.\"end\", be) - greatest(i.start, bs))) / sum(least(i.\"end\", be) - greatest(i.start, bs)), 10) AS mean, "
     "min(value) AS min, max(value) AS max, round(sum(CASE WHEN i.start IS NULL THEN 0 ELSE least(i.\"end\", be) - greatest(i.start, bs) END) / (be - bs), 7) AS coverage "
     f"FROM s LEFT JOIN {_IV} ON i.chrom = s.chrom AND i.start < be AND i.\"end\" > bs GROUP BY s.window_id, s.chrom, bs, be, bin"
 )
@@ -306,7 +306,7 @@ _BINNED = (
 @query("A10_binned_signal", _BINNED)
 def binned(spark, sf):
     out = signal.binned_signal(base.intervals(spark, sf), windows(spark, sf), 6)
-    return shares(out, "mean", "coverage")
+    return shares(shares(out, "mean", digits=10), "coverage")
 
 
 def _gt_sql() -> str:
