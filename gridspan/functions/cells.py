@@ -43,21 +43,22 @@ def column_type(df: DataFrame, name: str) -> T.DataType:
 
 
 def float_text(value: Column) -> Column:
-    """Shortest digits that read back as the same number; whole numbers without a point."""
-    shown = value.cast("string")
-    whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
-    plain = F.when(whole & ((value != 0) | ~shown.startswith("-")), value.cast("long").cast("string"))
-    plain = plain.when(whole, "-0")
+    """Shortest digits that read back as the same number; whole numbers without a point.
+
+    The common cases come first, each with a single conversion.
+    """
+    shown, size = value.cast("string"), F.abs(value)
     point = F.rtrim(value.cast("decimal(38,17)").cast("string"), F.lit("0"))
-    plain = plain.when((F.abs(value) >= 1e-3) & (F.abs(value) < 1e7), shown)
-    plain = plain.when((F.abs(value) >= 1e-3) & (F.abs(value) < 1e15), point)
     scientific = F.regexp_replace(F.regexp_replace(shown, r"\.0E", "E"), r"E(-?)(\d)$", "E$10$2")
     scientific = F.regexp_replace(F.regexp_replace(scientific, r"E(\d)", "e+$1"), "E-", "e-")
     return (
-        F.when(F.isnan(value), NAN_TEXT)
-        .when(shown == "Infinity", INF_TEXT)
-        .when(shown == "-Infinity", NEG_INF_TEXT)
-        .otherwise(F.coalesce(plain, scientific))
+        F.when((value == F.floor(value)) & (size < 1e15) & (value != 0), value.cast("long").cast("string"))
+        .when((size >= 1e-3) & (size < 1e7), shown)
+        .when(value == 0, F.when(shown.startswith("-"), "-0").otherwise("0"))
+        .when((size >= 1e-3) & (size < 1e15), point)
+        .when(F.isnan(value), NAN_TEXT)
+        .when(size == float("inf"), F.when(value > 0, INF_TEXT).otherwise(NEG_INF_TEXT))
+        .otherwise(scientific)
     )
 
 

@@ -23,8 +23,8 @@ def genotype(call: Column) -> Column:
     kind is hom_ref, het, hom_alt or missing; an counts called alleles, ac those that are not
     the reference. Any ploidy and either separator.
     """
-    alleles = F.filter(F.split(F.coalesce(call, F.lit("")), "[/|]"), lambda a: a.rlike(r"^\d+"))
-    numbers = F.transform(alleles, lambda a: F.regexp_extract(a, r"^(\d+)", 1).cast("int"))
+    alleles = F.split(F.translate(F.coalesce(call, F.lit("")), "|", "/"), "/")
+    numbers = F.array_compact(F.transform(alleles, lambda a: a.try_cast("int")))
     alternate = F.filter(numbers, lambda a: a > 0)
     an, ac = F.size(numbers), F.size(alternate)
     kind = (

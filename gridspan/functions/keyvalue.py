@@ -11,17 +11,37 @@ from pyspark.sql import functions as F
 _TOKEN = r'([^=;\s]+)(?:[=\s]+(?:"([^"]*)"?|([^;"][^;]*))?)?'
 
 
+def _bare(packed: Column) -> Column:
+    """No quote and no blank: then ; alone parts the fields and = alone the key."""
+    return ~packed.rlike(r'["\s]')
+
+
+def _fields(packed: Column) -> Column:
+    return F.filter(F.split(packed, ";"), lambda p: (p != "") & ~p.startswith("="))
+
+
+def keys_of(packed: Column) -> Column:
+    """The keys of a packed cell, repeats included."""
+    bare = F.transform(_fields(packed), lambda p: F.substring_index(p, "=", 1))
+    return F.when(_bare(packed), bare).otherwise(F.regexp_extract_all(packed, F.lit(_TOKEN), F.lit(1)))
+
+
+def _values_of(packed: Column) -> Column:
+    after = lambda p: F.when(F.instr(p, "=") > 0, F.ltrim(F.substr(p, F.instr(p, "=") + 1), F.lit("="))).otherwise("")
+    quoted = F.regexp_extract_all(packed, F.lit(_TOKEN), F.lit(2))
+    plain = F.regexp_extract_all(packed, F.lit(_TOKEN), F.lit(3))
+    mixed = F.zip_with(quoted, plain, lambda q, v: F.concat(q, F.rtrim(v)))
+    return F.when(_bare(packed), F.transform(_fields(packed), after)).otherwise(mixed)
+
+
 def key_values(packed: Column) -> Column:
     """A map from key to text, the first of a repeated key winning; flags map to ''."""
-    tokens = F.regexp_extract_all(packed, F.lit(_TOKEN), F.lit(0))
-    keys = F.transform(tokens, lambda t: F.regexp_extract(t, _TOKEN, 1))
-    values = F.transform(
-        tokens,
-        lambda t: F.concat(F.regexp_extract(t, _TOKEN, 2), F.rtrim(F.regexp_extract(t, _TOKEN, 3))),
-    )
+    keys, values = keys_of(packed), _values_of(packed)
     distinct = F.array_distinct(keys)
     firsts = F.transform(distinct, lambda k: F.get(values, F.array_position(keys, k).cast("int") - 1))
-    return F.map_from_arrays(distinct, firsts)
+    return F.when(F.size(distinct) == F.size(keys), F.map_from_arrays(keys, values)).otherwise(
+        F.map_from_arrays(distinct, firsts)
+    )
 
 
 def looks_packed(packed: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import text_of
 from ..functions.coords import assembly, naming_style, standard_name
+from ..plans.spread import spread
 from .select import require
 
 
@@ -115,7 +116,7 @@ def fingerprint(df: DataFrame, columns: list[str] | None = None, position: Colum
     if position is not None:
         cells = [F.concat(position.cast("string"), F.lit("@")), *cells]
     digest = F.sha2(F.concat_ws("|", *cells), 256)
-    pieces = df.select(
+    pieces = spread(df).select(
         *[
             F.conv(F.substring(digest, 1 + i * _DIGITS, _DIGITS), 16, 10).cast("decimal(38,0)").alias(f"p{i}")
             for i in range(_PIECES)

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.spread import spread
 from .filter import SAM_FLAGS
 from .select import require
 
@@ -107,7 +108,7 @@ def read_bases(
     reverse, inserted and deleted lengths after it.
 
     Symbols are letters for bases, ``*`` for a deleted position and ``>`` for a skipped one. The
-    CIGAR is walked by array expressions; each read is cut by itself, without a shuffle.
+    CIGAR is walked by array expressions; each read is cut by itself.
     """
     require(reads, "FLAG", "RNAME", "POS", "MAPQ", "CIGAR", "SEQ", "QUAL")
     flag = F.col("FLAG").cast("long")
@@ -122,59 +123,72 @@ def read_bases(
         paired, proper = SAM_FLAGS["PAIRED"], SAM_FLAGS["PROPER_PAIR"]
         kept = kept.where(flag.bitwiseAND(F.lit(paired | proper)) != paired)
     op = r"(\d+)([MIDNSHP=X])"
-    lengths = F.regexp_extract_all("CIGAR", F.lit(op), F.lit(1))
-    kinds = F.regexp_extract_all("CIGAR", F.lit(op), F.lit(2))
-    steps = F.zip_with(kinds, lengths, lambda k, n: F.struct(k.alias("k"), n.cast("int").alias("n")))
-    zero = F.lit(0)
-    grown = F.array().cast("array<struct<k:string,n:int,r:int,q:int>>")
-
-    def walk(done: Column, step: Column) -> Column:
-        """Append the step with its offsets in the reference and in the read."""
-        r = F.coalesce(F.try_element_at(done["steps"], F.lit(-1))["r"], zero)
-        last = F.try_element_at(done["steps"], F.lit(-1))
-        r = r + F.when(last["k"].isin("M", "D", "N", "=", "X"), last["n"]).otherwise(0)
-        q = F.coalesce(last["q"], zero) + F.when(last["k"].isin("M", "I", "S", "=", "X"), last["n"]).otherwise(0)
-        placed = F.struct(step["k"].alias("k"), step["n"].alias("n"), r.alias("r"), q.alias("q"))
-        return F.struct(F.concat(done["steps"], F.array(placed)).alias("steps"))
-
-    placed = F.aggregate(steps, F.struct(grown.alias("steps")), walk, lambda d: d["steps"])
-    laid = kept.select(
+    narrow = kept.select(
         F.col("RNAME").alias("chrom"),
-        F.col("POS").cast("long").alias("_pos0"),
-        "SEQ",
+        F.col("POS").cast("long").alias("_at"),
+        F.upper("SEQ").alias("_seq"),
         "QUAL",
         (flag.bitwiseAND(F.lit(SAM_FLAGS["REVERSE"])) != 0).alias("reverse"),
-        placed.alias("_steps"),
+        F.regexp_extract_all("CIGAR", F.lit(op), F.lit(1)).cast("array<int>").alias("_n"),
+        F.regexp_extract_all("CIGAR", F.lit(op), F.lit(2)).alias("_k"),
     )
-    each = laid.select("*", F.posexplode("_steps").alias("_i", "_step")).where(
-        F.col("_step.k").isin("M", "D", "N", "=", "X") & (F.col("_step.n") > 0)
+    placed = spread(narrow).select(
+        "chrom",
+        "_at",
+        "_seq",
+        "QUAL",
+        "reverse",
+        F.inline(F.arrays_zip("_k", "_n", *_offsets(F.col("_k"), F.col("_n")), *_following(F.col("_k"), F.col("_n")))),
     )
-    after = F.get("_steps", F.col("_i") + 1)
-    each = each.withColumns(
-        {
-            "_ins": F.when(after["k"] == "I", after["n"]).otherwise(0),
-            "_del": F.when(after["k"] == "D", after["n"]).otherwise(0),
-            "_off": F.explode(F.sequence(zero, F.col("_step.n") - 1)),
-        }
+    # one row per step of a read, with just its letters; then one row per position of the step
+    base = F.col("_k").isin("M", "=", "X")
+    piece = lambda c: F.substring(F.col(c), F.col("q") + 1, F.col("_n"))
+    fill = lambda mark: F.call_function("repeat", F.lit(mark), F.col("_n"))
+    steps = placed.where(F.col("_k").isin("M", "D", "N", "=", "X") & (F.col("_n") > 0)).select(
+        "chrom",
+        (F.col("_at") + F.col("r")).alias("_first"),
+        "reverse",
+        base.alias("_base"),
+        F.when(base, piece("_seq")).when(F.col("_k") == "D", fill("*")).otherwise(fill(">")).alias("_symbols"),
+        F.when(base & (F.col("QUAL") != "*"), piece("QUAL")).alias("_scores"),
+        (F.col("_n") - 1).alias("_last"),
+        F.when(base & (F.col("after") == "I"), F.col("length")).otherwise(0).alias("_ins"),
+        F.when(base & (F.col("after") == "D"), F.col("length")).otherwise(0).alias("_del"),
     )
-    kind, at = F.col("_step.k"), F.col("_step.q") + F.col("_off") + 1
-    letter = F.upper(F.substring("SEQ", at, F.lit(1)))
-    base = kind.isin("M", "=", "X")
-    symbol = F.when(base, letter).when(kind == "D", "*").otherwise(">")
-    has_scores = F.col("QUAL") != "*"
-    score = F.when(base & has_scores, F.ascii(F.substring("QUAL", at, F.lit(1))) - 33)
-    final = F.col("_off") == F.col("_step.n") - 1
+    each = steps.select("*", F.posexplode(F.split("_symbols", "")).alias("_i", "symbol"))
+    final = F.col("_i") == F.col("_last")
     return each.select(
         "chrom",
-        (F.col("_pos0") + F.col("_step.r") + F.col("_off")).alias("pos"),
-        symbol.alias("symbol"),
-        score.alias("score"),
+        (F.col("_first") + F.col("_i")).alias("pos"),
+        "symbol",
+        (F.ascii(F.substring(F.col("_scores"), F.col("_i") + 1, F.lit(1))) - 33).alias("score"),
         "reverse",
-        F.when(final & base, F.col("_ins")).otherwise(0).alias("inserted"),
-        F.when(final & base, F.col("_del")).otherwise(0).alias("deleted"),
+        F.when(final, F.col("_ins")).otherwise(0).alias("inserted"),
+        F.when(final, F.col("_del")).otherwise(0).alias("deleted"),
     ).where(F.col("score").isNull() | (F.col("score") >= min_baseq))
 
 
+def _offsets(kinds: Column, sizes: Column) -> tuple[Column, Column]:
+    """Where each step starts in the reference (r) and in the read (q): sums of the steps before."""
+
+    def before(consuming: str) -> Column:
+        # the set of letters is a string, as instr on it is cheaper than a list test
+        used = F.zip_with(kinds, sizes, lambda k, n: F.when(F.instr(F.lit(consuming), k) > 0, n).otherwise(0))
+        none = F.array(F.lit(0))
+        sums = F.aggregate(used, none, lambda a, n: F.concat(a, F.array(F.element_at(a, F.lit(-1)) + n)))
+        return F.slice(sums, 1, F.size(kinds))
+
+    return before("MDN=X").alias("r"), before("MIS=X").alias("q")
+
+
+def _following(kinds: Column, sizes: Column) -> tuple[Column, Column]:
+    """Kind and length of the step after each step, null after the last."""
+    return (
+        F.slice(kinds, 2, F.greatest(F.size(kinds), F.lit(1))).alias("after"),
+        F.slice(sizes, 2, F.greatest(F.size(sizes), F.lit(1))).alias("length"),
+    )
+
+
 def pileup(reads: DataFrame, **filters) -> DataFrame:
     """Depth, base, strand and indel counts and mean quality per covered position.
 

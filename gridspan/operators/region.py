@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.coords import coordinate_columns, standard_name
 from ..plans.joins import fits_broadcast, member_join
 from ..plans.scan import prefix_scan
+from ..session import settle
 
 UCSC = ("ucsc", "kent", "0-based", "bed")
 NCBI = ("ncbi", "genbank", "1-based", "tabix")
@@ -279,7 +280,8 @@ def overlap_join(
         return paired.select(*names, *extra)
     if mode != "any":
         raise ValueError("mode is per_window or any")
-    union = merged_windows(wins)
+    # three jobs read the merged windows, which are no more than the windows given
+    union = settle(merged_windows(wins))
     last = F.greatest(F.col("_e") - 1, F.col("_s"))
     union = union.withColumn("_t", last).withColumn("_w", _bits(last - F.col("_s") + 1))
     paired = _pairs(rows, union, share)

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.keyvalue import declared_fields, key_values, looks_packed
+from ..functions.keyvalue import declared_fields, key_values, keys_of, looks_packed
 from ..plans.joins import lookup_join
+from ..plans.spread import spread
 from .select import require
 
 
@@ -33,9 +34,9 @@ def packed_keys(df: DataFrame, column: str, position: Column | None = None, max_
     More than ``max_keys`` is an error, not a cut: raise the bound to take them all.
     """
     place = position if position is not None else F.lit(0).cast("long")
-    tokens = F.posexplode(F.map_keys(key_values(F.col(f"`{column}`")))).alias("slot", "key")
+    tokens = F.posexplode(F.array_distinct(keys_of(F.col("packed")))).alias("slot", "key")
     keys = (
-        df.select(place.alias("place"), F.col(f"`{column}`"))
+        spread(df.select(place.alias("place"), F.col(f"`{column}`").alias("packed")))
         .select("place", tokens)
         .groupBy("key")
         .agg(F.min(F.struct("place", "slot")).alias("first"))

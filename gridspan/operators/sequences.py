@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.joins import lookup_join
 from ..plans.scan import prefix_scan
+from ..plans.spread import spread
 from .select import require
 
 _GAPS = "-.~"
@@ -52,7 +53,7 @@ def seq_stats(df: DataFrame, seq: str = "seq", qual: str | None = None) -> DataF
         for name, low in (("all", 33), ("q20", 53), ("q30", 63)):
             kept = F.regexp_replace(q, f"[^\\x{low:02x}-\\x{{ff}}]", "")
             parts.append(F.sum(F.length(kept).cast("long")).alias(f"_{name}"))
-    whole = df.agg(*parts)
+    whole = spread(df.select(s, *([F.col(f"`{qual}`")] if qual else []))).agg(*parts)
     acgtu = F.col("_gc") + F.col("_at") + F.col("_u")
     residues = F.col("sum_len")
     protein = (residues - acgtu - F.col("_n")) * 10 > residues

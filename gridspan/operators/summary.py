@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.cells import FLOATS, TEMPORAL, column_type, is_number, text_of
 from ..plans import quantiles
+from ..plans.spread import spread
 from .select import require
 
 DISTINCT_CAP = 16
@@ -101,7 +102,8 @@ def describe(
                 points = F.percentile(_clean(df, c).cast("double"), F.array(*map(F.lit, percentiles)))
                 aggregates.append(points.alias(f"points{i}"))
     # one row of scalars, whatever the size of the table
-    wide = df.agg(*aggregates)
+    dealt = spread(df.select(*[F.col(f"`{c}`") for c in names]))
+    wide = dealt.agg(*aggregates)
     shown = wide.select(
         *[
             text_of(wide, f.name).alias(f.name) if f.name.startswith(("min", "max")) else F.col(f.name)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.spread import spread
 from ..session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,7 +95,7 @@ def genotypes(spark: SparkSession, sf: str, samples: int = 4) -> DataFrame:
         # every tenth sample is a lone dot
         return F.when((key + i) % 10 == 0, ".").otherwise(packed)
 
-    return table(spark, sf, "orders").select(
+    return spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")).select(
         F.col("o_orderstatus").alias("CHROM"),
         key.alias("POS"),
         F.lit("GT:AD:DP").alias("FORMAT"),
