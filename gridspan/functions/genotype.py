@@ -9,7 +9,9 @@ from pyspark.sql import types as T
 
 def subfield(sample: Column, place: Column) -> Column:
     """The sub-field of a packed sample at a 1-based place; null when absent."""
-    return F.when(place > 0, F.get(F.split(sample, ":"), (place - 1).cast("int")))
+    first = F.substring_index(sample, ":", 1)
+    other = F.get(F.split(sample, ":"), (place - 1).cast("int"))
+    return F.when(place == 1, first).when(place > 1, other)
 
 
 def field_place(format_: Column, key: str) -> Column:
@@ -17,23 +19,32 @@ def field_place(format_: Column, key: str) -> Column:
     return F.array_position(F.split(format_, ":"), key)
 
 
-def genotype(call: Column) -> Column:
-    """``(kind, an, ac)`` of a call such as 0/1, 1|1, ./., 0 or 1/2.
-
-    kind is hom_ref, het, hom_alt or missing; an counts called alleles, ac those that are not
-    the reference. Any ploidy and either separator.
-    """
+def called_alleles(call: Column) -> Column:
+    """Allele numbers of a call such as 0/1, 1|1, ./., 0 or 1/2, missing ones left out."""
     alleles = F.split(F.translate(F.coalesce(call, F.lit("")), "|", "/"), "/")
-    numbers = F.array_compact(F.transform(alleles, lambda a: a.try_cast("int")))
-    alternate = F.filter(numbers, lambda a: a > 0)
-    an, ac = F.size(numbers), F.size(alternate)
+    return F.array_compact(F.transform(alleles, lambda a: a.try_cast("int")))
+
+
+def is_hom_ref(alleles: Column) -> Column:
+    return F.array_max(alleles) == 0
+
+
+def is_hom_alt(alleles: Column) -> Column:
+    return (F.array_min(alleles) > 0) & (F.array_min(alleles) == F.array_max(alleles))
+
+
+def genotype(call: Column) -> Column:
+    """``(kind, an, ac)`` of a call: kind is hom_ref, het, hom_alt or missing; an counts called
+    alleles, ac those that are not the reference. Any ploidy and either separator."""
+    numbers = called_alleles(call)
     kind = (
-        F.when(an == 0, "missing")
-        .when(ac == 0, "hom_ref")
-        .when((ac == an) & (F.size(F.array_distinct(alternate)) == 1), "hom_alt")
+        F.when(F.size(numbers) == 0, "missing")
+        .when(is_hom_ref(numbers), "hom_ref")
+        .when(is_hom_alt(numbers), "hom_alt")
         .otherwise("het")
     )
-    return F.struct(kind.alias("kind"), an.alias("an"), ac.alias("ac"))
+    ac = F.size(F.filter(numbers, lambda a: a > 0))
+    return F.struct(kind.alias("kind"), F.size(numbers).alias("an"), ac.alias("ac"))
 
 
 def field_type(kind: str, number: str) -> T.DataType:

@@ -122,13 +122,14 @@ def pruned_overlap_filter(
     return df.where(test)
 
 
-# Many windows: both sides are cut into bins and joined on (chromosome, level, bin). An
+# Many windows: both sides are cut into bins and joined on (chromosome, cell), a cell being a bin of a level. An
 # interval belongs to the finest level whose bins are at least as wide as it is, so it touches
 # two bins at most; a pair meets on the coarser of its two levels, in the first bin they share.
 
 
 _LEVEL_BITS = 3
 _MAX_BITS = 62
+_LEVEL_STEP = 1 << 54
 
 
 def _bits(width: Column) -> Column:
@@ -149,23 +150,25 @@ def _widths(df: DataFrame) -> dict[int, int]:
     return {r["_w"]: r["count"] for r in df.groupBy("_w").count().collect()}
 
 
-def _typical(widths: dict[int, int]) -> int:
-    half, seen = sum(widths.values()) / 2, 0
+def _usual(widths: dict[int, int]) -> int:
+    """The width nine in ten intervals keep to: wider bins make fewer copies, and the few
+    intervals beyond go to coarser levels."""
+    bound, seen = sum(widths.values()) * 0.9, 0
     for bits in sorted(widths):
         seen += widths[bits]
-        if seen >= half:
+        if seen >= bound:
             return bits
     return 0
 
 
-def _cell_at(level: int):
-    return lambda b: F.struct(F.lit(level).alias("_at"), b.alias("_bin"))
-
-
 def _emit(df: DataFrame, mine: set[int], other: set[int], base: int) -> DataFrame:
-    """One row per (level, bin) at which an interval can meet the other side."""
+    """One row per cell at which an interval can meet the other side.
+
+    A cell is level * 2**54 + bin: one long, so that the copies are plain number sequences.
+    """
     level = F.greatest(F.ceil((F.col("_w") - base) / _LEVEL_BITS), F.lit(0)).cast("int")
-    copies = []
+    df = df.withColumn("_l", level)
+    cells = []
     for at in sorted(mine | other):
         if at in other:
             condition = F.col("_l") <= at
@@ -173,13 +176,13 @@ def _emit(df: DataFrame, mine: set[int], other: set[int], base: int) -> DataFram
             condition = F.col("_l") == at
         else:
             continue
-        bits = min(base + _LEVEL_BITS * at, _MAX_BITS)
-        bins = F.sequence(F.shiftright("_s", bits), F.shiftright("_t", bits))
-        copies.append(F.when(condition, F.transform(bins, _cell_at(at))))
-    spread = F.explode(F.flatten(F.array_compact(F.array(*copies)))).alias("_cell")
-    return (
-        df.withColumn("_l", level).select("*", spread).select("*", "_cell._at", "_cell._bin").drop("_cell", "_w")
-    )
+        bits, shift = min(base + _LEVEL_BITS * at, _MAX_BITS), F.lit(at * _LEVEL_STEP)
+        run = F.sequence(F.shiftright("_s", bits) + shift, F.shiftright("_t", bits) + shift)
+        if max(mine) <= at and (at in other or min(mine) == at):
+            cells.append(run)
+        else:
+            cells.append(F.when(condition, run).otherwise(F.array().cast("array<bigint>")))
+    return df.withColumn("_cell", F.explode(F.concat(*cells))).drop("_w")
 
 
 def _salted(rows: DataFrame, wins: DataFrame, key: list[str], share: int) -> tuple[DataFrame, DataFrame]:
@@ -211,25 +214,27 @@ def _salted(rows: DataFrame, wins: DataFrame, key: list[str], share: int) -> tup
 def _pairs(rows: DataFrame, wins: DataFrame, share: int) -> DataFrame:
     """All overlapping pairs of prepared rows and windows, each once."""
     row_bits, window_bits = _widths(rows), _widths(wins)
-    base = max(_typical(row_bits), _typical(window_bits), 4)
+    base = max(_usual(row_bits), _usual(window_bits), 4)
     level = lambda b: max(math.ceil((b - base) / _LEVEL_BITS), 0)
     row_levels, window_levels = {level(b) for b in row_bits}, {level(b) for b in window_bits}
+    if not row_levels or not window_levels:
+        row_levels = window_levels = {0}
     a = _emit(rows, row_levels, window_levels, base)
     b = _emit(wins, window_levels, row_levels, base)
-    b = b.select(*[F.col(f"`{c}`").alias(c if c in ("_c", "_at", "_bin") else f"w{c}") for c in b.columns])
-    key = ["_c", "_at", "_bin"]
+    b = b.select(*[F.col(f"`{c}`").alias(c if c in ("_c", "_cell") else f"w{c}") for c in b.columns])
+    key = ["_c", "_cell"]
     if fits_broadcast(b):
         b = F.broadcast(b)
     else:
         a, b = _salted(a, b, key, share)
         key = [*key, "_salt"]
-    bits = F.least(F.lit(base) + _LEVEL_BITS * F.col("_at"), F.lit(_MAX_BITS)).cast("int")
-    shared = F.call_function("shiftright", F.greatest("_s", "w_s"), bits)
+    at = F.greatest("_l", "w_l")
+    bits = F.least(F.lit(base) + _LEVEL_BITS * at, F.lit(_MAX_BITS)).cast("int")
+    first = F.call_function("shiftright", F.greatest("_s", "w_s"), bits)
     return a.join(b, key).where(
         (F.col("_s") < F.col("w_e"))
         & (F.col("_e") > F.col("w_s"))
-        & (F.col("_at") == F.greatest("_l", "w_l"))
-        & (F.col("_bin") == shared)
+        & (F.col("_cell") == at * F.lit(_LEVEL_STEP) + first)
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.joins import lookup_join
 from ..plans.scan import prefix_scan
 from ..plans.spread import spread
+from ..session import settle
 from .select import require
 
 _GAPS = "-.~"
@@ -23,12 +24,13 @@ def n50(lengths: DataFrame, column: str) -> DataFrame:
     Rows are grouped to one per distinct length first; the running sum over those is cut into
     blocks.
     """
-    grouped = (
-        lengths.where(F.col(column) > 0)
-        .groupBy(F.col(column).cast("long").alias("len"))
-        .agg(F.count("*").alias("n"))
-        .withColumn("all", F.lit(0))
-    )
+    grouped = lengths.groupBy(F.col(column).cast("long").alias("len")).agg(F.count("*").alias("n"))
+    return _n50_of(grouped)
+
+
+def _n50_of(grouped: DataFrame) -> DataFrame:
+    """The same from (len, n) rows, one per length."""
+    grouped = grouped.where("len > 0").select("len", "n", F.lit(0).alias("all"))
     total = grouped.agg(F.sum(F.col("len") * F.col("n"))).scalar()
     scanned = prefix_scan(grouped, ["all"], "len", {"_below": ("sum_before", F.col("len") * F.col("n"))})
     return scanned.where(2 * F.col("_below") <= total).agg(F.max("len").alias("n50"))
@@ -37,39 +39,49 @@ def n50(lengths: DataFrame, column: str) -> DataFrame:
 def seq_stats(df: DataFrame, seq: str = "seq", qual: str | None = None) -> DataFrame:
     """One row: format, type, num_seqs, sum/min/avg/max length, n50, gc, q20 and q30 percent.
 
-    Letters are counted per row and summed; with more than a tenth of them outside A C G T U N
-    the type is Protein, with U and no T RNA, else DNA. GC is over A C G T U, null for protein.
+    Letters are counted per row and summed per length in the only pass over the data; the rest
+    is taken from that histogram of lengths. With more than a tenth of the letters outside
+    A C G T U N the type is Protein, with U and no T RNA, else DNA. GC is over A C G T U, null
+    for protein.
     """
     require(df, seq, *([qual] if qual else []))
-    s = F.col(f"`{seq}`")
-    size = F.length(s).cast("long")
-    parts = [F.count(s).alias("num_seqs"), F.sum(size).alias("sum_len"), F.min(size).alias("min_len")]
-    parts += [F.avg(size).alias("avg_len"), F.max(size).alias("max_len")]
-    # letters above 19 and 29 are Phred 20 and 30 on the +33 scale
-    for name, letters in (("gc", "GCgc"), ("at", "ATat"), ("u", "Uu"), ("t", "Tt"), ("n", "Nn")):
-        parts.append(F.sum(_letters(s, letters)).alias(f"_{name}"))
+    narrow = df.select(F.upper(f"`{seq}`").alias("s"), *([F.col(f"`{qual}`").alias("q")] if qual else []))
+    parts = [F.count("*").alias("records")]
+    for letter in "ACGTUN":
+        without = F.length(F.replace(F.col("s"), F.lit(letter), F.lit("")))
+        parts.append(F.sum((F.col("len") - without).cast("long")).alias(letter))
     if qual:
-        q = F.col(f"`{qual}`")
+        # characters above 19 and 29 are Phred 20 and 30 on the +33 scale
         for name, low in (("all", 33), ("q20", 53), ("q30", 63)):
-            kept = F.regexp_replace(q, f"[^\\x{low:02x}-\\x{{ff}}]", "")
+            kept = F.regexp_replace("q", f"[^\\x{low:02x}-\\x{{ff}}]", "")
             parts.append(F.sum(F.length(kept).cast("long")).alias(f"_{name}"))
-    whole = spread(df.select(s, *([F.col(f"`{qual}`")] if qual else []))).agg(*parts)
-    acgtu = F.col("_gc") + F.col("_at") + F.col("_u")
-    residues = F.col("sum_len")
-    protein = (residues - acgtu - F.col("_n")) * 10 > residues
-    kind = F.when(protein, "Protein").when((F.col("_u") > 0) & (F.col("_t") == 0), "RNA").otherwise("DNA")
+    sized = spread(narrow.where("s IS NOT NULL")).withColumn("len", F.length("s").cast("long"))
+    # one row per length, read by both reports below
+    by_length = settle(sized.groupBy("len").agg(*parts))
+    sums = [F.sum(c).alias(c) for c in by_length.columns if c not in ("len", "records")]
+    whole = by_length.agg(
+        F.coalesce(F.sum("records"), F.lit(0)).alias("num_seqs"),
+        F.sum(F.col("len") * F.col("records")).alias("total"),
+        F.min("len").alias("min_len"),
+        F.max("len").alias("max_len"),
+        *sums,
+    )
+    acgtu = F.col("A") + F.col("C") + F.col("G") + F.col("T") + F.col("U")
+    residues = F.col("total")
+    protein = (residues - acgtu - F.col("N")) * 10 > residues
+    kind = F.when(protein, "Protein").when((F.col("U") > 0) & (F.col("T") == 0), "RNA").otherwise("DNA")
     share = lambda part, all_: F.when(F.col(all_) > 0, 100.0 * F.col(part) / F.col(all_))
     none = F.lit(None).cast("double")
     return whole.select(
         F.lit("FASTQ" if qual else "FASTA").alias("format"),
         kind.alias("type"),
         "num_seqs",
-        F.coalesce("sum_len", F.lit(0)).alias("sum_len"),
+        F.coalesce("total", F.lit(0)).alias("sum_len"),
         "min_len",
-        "avg_len",
+        (F.col("total") / F.col("num_seqs")).alias("avg_len"),
         "max_len",
-        n50(df.select(size.alias("len")), "len").scalar().alias("n50"),
-        F.when(~protein & (acgtu > 0), 100.0 * F.col("_gc") / acgtu).alias("gc_pct"),
+        _n50_of(by_length.select("len", F.col("records").alias("n"))).scalar().alias("n50"),
+        F.when(~protein & (acgtu > 0), 100.0 * (F.col("G") + F.col("C")) / acgtu).alias("gc_pct"),
         (share("_q20", "_all") if qual else none).alias("q20_pct"),
         (share("_q30", "_all") if qual else none).alias("q30_pct"),
     )

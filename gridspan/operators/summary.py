@@ -10,15 +10,14 @@ from pyspark.sql import types as T
 
 from ..functions.cells import FLOATS, TEMPORAL, column_type, is_number, text_of
 from ..plans import quantiles
-from ..plans.spread import spread
 from .select import require
 
 DISTINCT_CAP = 16
 # 512 registers: up to 16 distinct values fill at most 16 of them, and the estimate is then
 # 512 * ln(512 / 496) < 16.3, so an estimate above 17 proves more than 16.
 _SKETCH_ERROR = 0.05
-# Below this many values per column the built-in exact percentile holds them in one buffer.
-IN_BUFFER = 2_000_000
+# Up to this many values per column are counted by value; see plans.quantiles.
+IN_BUFFER = quantiles.SMALL
 
 
 def _clean(df: DataFrame, name: str) -> Column:
@@ -71,18 +70,15 @@ def describe(
     distinct.
 
     Minimum, maximum and percentiles leave NaN out; sum and mean keep it. Percentiles
-    interpolate linearly and are exact at any size: up to ``in_buffer`` rows in the same pass
-    as the rest, beyond that by counting passes. ``distinct`` is for columns that are not
+    interpolate linearly and are exact at any size: up to ``in_buffer`` values by one pass that
+    counts them by value, beyond that by counting inside narrowing brackets. ``distinct`` is for columns that are not
     numeric, null when it exceeds ``distinct_cap`` (None counts exactly without a cap).
     """
     names = columns or df.columns
     require(df, *names)
     numeric = [c for c in names if is_number(column_type(df, c))]
     textual = [c for c in names if not is_number(column_type(df, c)) and not isinstance(column_type(df, c), TEMPORAL)]
-    # the count of a bare scan comes from row-group metadata
-    total = df.count()
-    inline = total <= in_buffer
-    aggregates = []
+    aggregates = [F.count("*").alias("total")]
     for i, c in enumerate(names):
         cell = F.col(f"`{c}`")
         aggregates.append(F.count(cell).alias(f"count{i}"))
@@ -98,30 +94,27 @@ def describe(
                 F.stddev_samp(number).alias(f"std{i}"),
                 F.count(_clean(df, c)).alias(f"finite{i}"),
             ]
-            if percentiles and inline:
-                points = F.percentile(_clean(df, c).cast("double"), F.array(*map(F.lit, percentiles)))
-                aggregates.append(points.alias(f"points{i}"))
-    # one row of scalars, whatever the size of the table
-    dealt = spread(df.select(*[F.col(f"`{c}`") for c in names]))
-    wide = dealt.agg(*aggregates)
+    # one row of scalars, whatever the size of the table; simple aggregates stay in generated code
+    wide = df.agg(*aggregates)
     shown = wide.select(
         *[
             text_of(wide, f.name).alias(f.name) if f.name.startswith(("min", "max")) else F.col(f.name)
             for f in wide.schema
         ]
     ).first()
+    total = shown["total"]
     distinct = _small_distinct(df, textual, distinct_cap)
     points: dict = {}
-    if percentiles and numeric and not inline:
+    if percentiles and numeric:
         counts = {c: shown[f"finite{names.index(c)}"] for c in numeric}
-        points = quantiles.exact_percentiles(df, numeric, list(percentiles), counts)
+        points = quantiles.exact_percentiles(df, numeric, list(percentiles), counts, in_buffer)
 
     rows = []
     for i, c in enumerate(names):
         get = lambda key: shown[key] if key in shown else None
         row = [c, column_type(df, c).simpleString(), get(f"count{i}"), total - get(f"count{i}")]
         row += [get(f"min{i}"), get(f"max{i}"), get(f"mean{i}"), get(f"sum{i}"), get(f"std{i}")]
-        inside = get(f"points{i}") or [points.get((c, p)) for p in percentiles]
+        inside = [points.get((c, p)) for p in percentiles]
         rows.append((*row, *inside, distinct.get(c)))
     fields = "column string, type string, count long, nulls long, min string, max string, mean double, "
     fields += "sum double, std double, "

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.genotype import field_place, genotype, subfield, typed_field
+from ..functions.genotype import called_alleles, field_place, is_hom_alt, is_hom_ref, subfield, typed_field
 from ..functions.keyvalue import declared_fields
 from .select import require
 
@@ -26,45 +26,23 @@ def sample_columns(df: DataFrame) -> list[str]:
 def gt_stats(df: DataFrame, samples: list[str] | None = None) -> DataFrame:
     """Append genotype counts, AC, AN, AF and call rate over the samples of each record.
 
-    A fold over an array of the samples: no shuffle, and the plan does not grow with their
+    Counts over an array of the samples: no shuffle, and the plan does not grow with their
     number. A name in use gets ``_gt`` appended; a record without GT counts all as missing.
     """
     samples = samples or sample_columns(df)
     require(df, "FORMAT", *samples)
-    zero = F.lit(0).cast("long")
-    start = F.struct(*[zero.alias(k) for k in ("het", "ref", "alt", "missing", "ac", "an")])
-
-    def add(total: Column, call: Column) -> Column:
-        kind = call["kind"]
-        one = lambda name, key: (total[key] + (kind == name).cast("long")).alias(key)
-        return F.struct(
-            one("het", "het"),
-            one("hom_ref", "ref"),
-            one("hom_alt", "alt"),
-            one("missing", "missing"),
-            (total["ac"] + call["ac"]).alias("ac"),
-            (total["an"] + call["an"]).alias("an"),
-        )
-
     place = F.col("_place")
     packed = F.array(*[F.coalesce(F.col(f"`{s}`").cast("string"), F.lit("")) for s in samples])
-    calls = F.transform(packed, lambda s: genotype(subfield(s, place)))
-    counted = df.withColumn("_place", field_place(F.col("FORMAT"), "GT")).withColumn(
-        "_gt", F.aggregate(calls, start, add)
-    )
-    g = F.col("_gt")
-    called = g["het"] + g["ref"] + g["alt"]
-    values = (
-        called,
-        g["het"],
-        g["ref"],
-        g["alt"],
-        F.when(F.coalesce(place, F.lit(0)) > 0, g["missing"]).otherwise(F.lit(len(samples)).cast("long")),
-        g["ac"],
-        g["an"],
-        F.when(g["an"] > 0, g["ac"] / g["an"]),
-        called / F.lit(len(samples)),
-    )
+    alleles = F.transform(packed, lambda s: called_alleles(subfield(s, place)))
+    counted = df.withColumn("_place", field_place(F.col("FORMAT"), "GT")).withColumn("_calls", alleles)
+    calls, n = F.col("_calls"), F.lit(len(samples)).cast("long")
+    count = lambda test: F.size(F.filter(calls, test)).cast("long")
+    called = n - count(lambda c: F.size(c) == 0)
+    ref, alt = count(is_hom_ref), count(is_hom_alt)
+    every = F.flatten(calls)
+    an = F.size(every).cast("long")
+    ac = F.size(F.filter(every, lambda a: a > 0)).cast("long")
+    values = (called, called - ref - alt, ref, alt, n - called, ac, an, F.when(an > 0, ac / an), called / n)
     out = [
         v.alias(n if n not in df.columns else f"{n}_gt") for n, v in zip(GT_COLUMNS, values, strict=True)
     ]

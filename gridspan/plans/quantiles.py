@@ -14,20 +14,24 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL = 1_000_000
+# Values inside a bracket that one pass may count by value.
+SMALL = 200_000
 _ACCURACY = 10_000
 _SLACK = 3.0 / _ACCURACY
+_INF = float("inf")
 
 
-@dataclass
+@dataclass(frozen=True)
 class _Bracket:
+    """The value at ``rank`` of ``column`` lies in [low, high]; ``below`` values are smaller than
+    low, ``upto`` are not larger than high."""
+
     column: str
     rank: int
     low: float
     high: float
     below: int
     upto: int
-    distinct: int
 
 
 def _number(column: str) -> Column:
@@ -36,111 +40,128 @@ def _number(column: str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def _inside(b: _Bracket) -> Column:
-    value = _number(b.column)
-    return value.between(F.lit(b.low), F.lit(b.high))
+def _inside(b: _Bracket) -> Column | None:
+    """None for a bracket without bounds."""
+    if (b.low, b.high) == (-_INF, _INF):
+        return None
+    return _number(b.column).between(F.lit(b.low), F.lit(b.high))
 
 
-def _count(df: DataFrame, brackets: list[_Bracket]) -> None:
-    wanted = []
-    for i, b in enumerate(brackets):
-        value = _number(b.column)
-        wanted += [
-            F.count(F.when(value < b.low, 1)).alias(f"below{i}"),
-            F.count(F.when(value <= b.high, 1)).alias(f"upto{i}"),
-            F.approx_count_distinct(F.when(_inside(b), value)).alias(f"distinct{i}"),
-        ]
-    row = df.agg(*wanted).first()
-    for i, b in enumerate(brackets):
-        b.below, b.upto, b.distinct = row[f"below{i}"], row[f"upto{i}"], row[f"distinct{i}"]
+def _values(b: _Bracket) -> Column:
+    inside, value = _inside(b), _number(b.column)
+    return value if inside is None else F.when(inside, value)
 
 
-def _tighten(df: DataFrame, brackets: list[_Bracket]) -> list[_Bracket]:
-    asked = []
-    for i, b in enumerate(brackets):
-        width = max(b.upto - b.below - 1, 1)
-        share = (b.rank - b.below) / width
-        points = [max(share - _SLACK, 0.0), min(share + _SLACK, 1.0)]
-        sketch = F.percentile_approx(F.when(_inside(b), _number(b.column)), points, _ACCURACY)
-        asked.append(sketch.alias(f"q{i}"))
-    row = df.agg(*asked).first()
-    proposals = [
-        _Bracket(b.column, b.rank, row[f"q{i}"][0], row[f"q{i}"][1], 0, 0, 0)
-        for i, b in enumerate(brackets)
+def _proposals(df: DataFrame, brackets: list[_Bracket]) -> list[tuple[float, float]]:
+    """Tighter bounds from sketches; ranks that share a bracket share its sketch."""
+    points: dict[tuple, list[float]] = {}
+    source: dict[tuple, _Bracket] = {}
+    for b in brackets:
+        share = (b.rank - b.below) / max(b.upto - b.below - 1, 1)
+        place = (b.column, b.low, b.high)
+        source[place] = b
+        points.setdefault(place, []).extend([max(share - _SLACK, 0.0), min(share + _SLACK, 1.0)])
+    sketches = [
+        F.percentile_approx(_values(source[p]), shares, _ACCURACY).alias(f"q{i}")
+        for i, (p, shares) in enumerate(points.items())
     ]
-    _count(df, proposals)
+    row = df.agg(*sketches).first()
+    taken = {p: iter(row[f"q{i}"]) for i, p in enumerate(points)}
+    return [(next(taken[(b.column, b.low, b.high)]), next(taken[(b.column, b.low, b.high)])) for b in brackets]
+
+
+def _tighten(df: DataFrame, brackets: list[_Bracket]) -> list[_Bracket]:
+    """Take each proposed bound that exact counts prove to keep the rank inside."""
+    proposed = _proposals(df, brackets)
+    wanted: dict[tuple, Column] = {}
+    for b, (low, high) in zip(brackets, proposed, strict=True):
+        value = _number(b.column)
+        wanted[(b.column, low, "below")] = F.count(F.when(value < low, 1))
+        wanted[(b.column, high, "upto")] = F.count(F.when(value <= high, 1))
+    row = df.agg(*[c.alias(f"n{i}") for i, c in enumerate(wanted.values())]).first()
+    counted = {key: row[f"n{i}"] for i, key in enumerate(wanted)}
     result = []
-    for b, p in zip(brackets, proposals, strict=True):
-        low = p.low if p.below <= b.rank else b.low
-        high = p.high if p.upto > b.rank else b.high
-        if (low, high) == (p.low, p.high):
-            result.append(p)
-        else:
-            result.append(_Bracket(b.column, b.rank, low, high, b.below, b.upto, b.distinct))
-    partly = [b for b, p in zip(result, proposals, strict=True) if b is not p]
-    if partly:
-        _count(df, partly)
+    for b, (low, high) in zip(brackets, proposed, strict=True):
+        below, upto = counted[(b.column, low, "below")], counted[(b.column, high, "upto")]
+        if below > b.rank:
+            low, below = b.low, b.below
+        if upto <= b.rank:
+            high, upto = b.high, b.upto
+        result.append(_Bracket(b.column, b.rank, low, high, below, upto))
     return result
 
 
-def exact_ranks(df: DataFrame, ranks: dict[str, list[int]], small: int | None = None) -> dict:
-    """``{(column, rank): value}`` for 0-based ranks among non-null, non-NaN values."""
+def _few_values(df: DataFrame, brackets: list[_Bracket], limit: int) -> set[_Bracket]:
+    """Brackets that hold many rows but few distinct values, such as one frequent value."""
+    if not brackets:
+        return set()
+    row = df.agg(*[F.approx_count_distinct(_values(b)).alias(f"d{i}") for i, b in enumerate(brackets)]).first()
+    return {b for i, b in enumerate(brackets) if row[f"d{i}"] <= limit}
+
+
+def exact_ranks(df: DataFrame, ranks: dict[str, list[int]], counts: dict[str, int], small: int | None = None) -> dict:
+    """``{(column, rank): value}`` for 0-based ranks among the ``counts`` non-null, non-NaN
+    values of each column."""
     limit = SMALL if small is None else small
-    names = list(ranks)
-    ends = df.agg(
-        *[F.min(_number(c)).alias(f"lo{i}") for i, c in enumerate(names)],
-        *[F.max(_number(c)).alias(f"hi{i}") for i, c in enumerate(names)],
-    ).first()
-    brackets = [
-        _Bracket(c, r, ends[f"lo{i}"], ends[f"hi{i}"], 0, 0, 0)
-        for i, c in enumerate(names)
-        for r in sorted(set(ranks[c]))
-        if ends[f"lo{i}"] is not None
+    loose = [
+        _Bracket(c, r, -_INF, _INF, 0, counts[c]) for c, asked in ranks.items() for r in sorted(set(asked)) if counts[c]
     ]
-    if not brackets:
-        return {}
-    _count(df, brackets)
-    for _ in range(16):
-        loose = [b for b in brackets if b.low != b.high and b.distinct > limit]
+    done: list[_Bracket] = []
+    for turn in range(16):
+        settled = {b for b in loose if b.low == b.high or b.upto - b.below <= limit}
+        if turn:
+            settled |= _few_values(df, [b for b in loose if b not in settled], limit)
+        done += [b for b in loose if b in settled]
+        loose = [b for b in loose if b not in settled]
         if not loose:
             break
-        done = [b for b in brackets if b.low == b.high or b.distinct <= limit]
         tighter = _tighten(df, loose)
-        if all((t.low, t.high) == (b.low, b.high) for t, b in zip(tighter, loose, strict=True)):
+        if tighter == loose:
             break
-        brackets = done + tighter
-
-    found = {(b.column, b.rank): b.low for b in brackets if b.low == b.high}
-    open_ = [b for b in brackets if b.low != b.high]
-    if open_:
-        cells = F.array(
-            *[
-                F.struct(F.lit(i).alias("b"), F.when(_inside(b), _number(b.column)).alias("v"))
-                for i, b in enumerate(open_)
-            ]
-        )
-        counted = (
-            df.select(F.inline(cells)).where("v IS NOT NULL").groupBy("b", "v").agg(F.count("*").alias("n"))
-        )
-        before = F.create_map(*[x for i, b in enumerate(open_) for x in (F.lit(i), F.lit(b.below))])
-        rank = F.create_map(*[x for i, b in enumerate(open_) for x in (F.lit(i), F.lit(b.rank))])
-        running = F.sum("n").over(Window.partitionBy("b").orderBy("v")) + before[F.col("b")]
-        hits = (
-            counted.withColumn("through", running)
-            .where(F.col("through") > rank[F.col("b")])
-            .groupBy("b")
-            .agg(F.min("v").alias("v"))
-        )
-        for row in hits.collect():  # one row per wanted rank
-            b = open_[row["b"]]
-            found[(b.column, b.rank)] = row["v"]
-    return found
+        loose = tighter
+    done += loose
+    found = {(b.column, b.rank): b.low for b in done if b.low == b.high}
+    return found | _read_off(df, [(b.column, b.rank, b.below, _inside(b)) for b in done if b.low != b.high])
+
+
+def _read_off(df: DataFrame, wanted: list[tuple[str, int, int, Column | None]]) -> dict:
+    """Values at ranks, from the counts of the distinct values inside each bracket.
+
+    ``wanted`` holds column, rank, the count below the bracket and the bracket itself (None for
+    all values). Brackets that several ranks share are counted once.
+    """
+    if not wanted:
+        return {}
+    brackets: dict[str, tuple[int, Column]] = {}
+    asked: dict[int, list[tuple[str, int, int]]] = {}
+    for column, rank, below, inside in wanted:
+        key = f"{column} {inside}"
+        if key not in brackets:
+            value = _number(column)
+            brackets[key] = (len(brackets), value if inside is None else F.when(inside, value))
+        asked.setdefault(brackets[key][0], []).append((column, rank, below))
+    cells = F.array(*[F.struct(F.lit(i).alias("b"), v.alias("v")) for i, v in brackets.values()])
+    counted = df.select(F.inline(cells)).where("v IS NOT NULL").groupBy("b", "v").agg(F.count("*").alias("n"))
+    # one bracket holds few distinct values, so its running sum may be one task
+    through = F.sum("n").over(Window.partitionBy("b").orderBy("v"))
+    ranked = counted.withColumn("through", through)
+    places = []
+    for i, group in asked.items():
+        for column, rank, below in group:
+            reached = (F.col("b") == i) & (F.col("through") > rank - below)
+            places.append((column, rank, F.min(F.when(reached, F.col("v")))))
+    row = ranked.agg(*[v.alias(f"r{k}") for k, (_, _, v) in enumerate(places)]).first()
+    return {(column, rank): row[f"r{k}"] for k, (column, rank, _) in enumerate(places)}
 
 
 def exact_percentiles(
     df: DataFrame, columns: list[str], shares: list[float], counts: dict[str, int], small: int | None = None
 ) -> dict:
-    """``{(column, share): value}``, interpolated linearly between the two nearest ranks."""
+    """``{(column, share): value}``, interpolated linearly between the two nearest ranks.
+
+    ``counts`` are the values per column; with no more than ``small`` all are counted by value
+    in one pass.
+    """
     ends = {}
     for column in columns:
         for share in shares:
@@ -150,7 +171,7 @@ def exact_percentiles(
     ranks: dict[str, list[int]] = {}
     for (column, _), (low, high, _) in ends.items():
         ranks.setdefault(column, []).extend([low, high])
-    values = exact_ranks(df, ranks, small) if ranks else {}
+    values = exact_ranks(df, ranks, counts, small) if ranks else {}
     result = {}
     for (column, share), (low, high, place) in ends.items():
         a, b = values[(column, low)], values[(column, high)]
@@ -171,7 +192,7 @@ def first_rows(df: DataFrame, keys: list[Column], n: int, in_memory: int = 1_000
     total = keyed.where("_key IS NOT NULL").count()
     if total <= n:
         return df
-    cut = exact_ranks(keyed, {"_key": [n - 1]})[("_key", n - 1)]
+    cut = exact_ranks(keyed, {"_key": [n - 1]}, {"_key": total})[("_key", n - 1)]
     below = keyed.where(F.col("_key") < int(cut))
     ties = keyed.where(F.col("_key") == int(cut)).orderBy(*keys).limit(n - below.count())
     return below.unionByName(ties).drop("_key")

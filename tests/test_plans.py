@@ -163,7 +163,7 @@ def test_a_crowded_bin_is_spread(spark, monkeypatch):
     prepared = region._prepare(df, F.col("chrom"), F.col("start"), F.col("end"))
     a = region._emit(prepared, {0}, {0}, 6)
     b = region._emit(region._window_side(wins, False), {0, 3}, {0}, 6)
-    salted, repeated = region._salted(a, b, ["_c", "_at", "_bin"], share=200)
+    salted, repeated = region._salted(a, b, ["_c", "_cell"], share=200)
     hot = salted.where("start = 100").groupBy("_salt").count()
     assert hot.count() >= 15 and hot.agg(F.max("count")).first()[0] < 400
     got = region.overlap_join(df, wins, share=200).count()
