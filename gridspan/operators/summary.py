@@ -78,30 +78,34 @@ def describe(
     require(df, *names)
     numeric = [c for c in names if is_number(column_type(df, c))]
     textual = [c for c in names if not is_number(column_type(df, c)) and not isinstance(column_type(df, c), TEMPORAL)]
-    aggregates = [F.count("*").alias("total")]
+    # number columns apart from the rest: their aggregates stay in generated code, and the two
+    # passes read different columns
+    plain, mixed = [F.count("*").alias("total")], []
     for i, c in enumerate(names):
         cell = F.col(f"`{c}`")
-        aggregates.append(F.count(cell).alias(f"count{i}"))
         kind = column_type(df, c)
+        wanted = plain if c in numeric else mixed
+        wanted.append(F.count(cell).alias(f"count{i}"))
         if isinstance(kind, (T.MapType, T.ArrayType, T.StructType, T.VariantType)):
             continue
-        aggregates += [F.min(_clean(df, c)).alias(f"min{i}"), F.max(_clean(df, c)).alias(f"max{i}")]
+        wanted += [F.min(_clean(df, c)).alias(f"min{i}"), F.max(_clean(df, c)).alias(f"max{i}")]
         if c in numeric:
             number = cell.cast("double")
-            aggregates += [
+            wanted += [
                 F.sum(number).alias(f"sum{i}"),
                 F.avg(number).alias(f"mean{i}"),
                 F.stddev_samp(number).alias(f"std{i}"),
                 F.count(_clean(df, c)).alias(f"finite{i}"),
             ]
-    # one row of scalars, whatever the size of the table; simple aggregates stay in generated code
-    wide = df.agg(*aggregates)
-    shown = wide.select(
-        *[
+    # a row of scalars each, whatever the size of the table
+    shown: dict = {}
+    for part in filter(None, (plain, mixed)):
+        wide = df.agg(*part)
+        texts = [
             text_of(wide, f.name).alias(f.name) if f.name.startswith(("min", "max")) else F.col(f.name)
             for f in wide.schema
         ]
-    ).first()
+        shown |= wide.select(*texts).first().asDict()
     total = shown["total"]
     distinct = _small_distinct(df, textual, distinct_cap)
     points: dict = {}
@@ -111,7 +115,7 @@ def describe(
 
     rows = []
     for i, c in enumerate(names):
-        get = lambda key: shown[key] if key in shown else None
+        get = shown.get
         row = [c, column_type(df, c).simpleString(), get(f"count{i}"), total - get(f"count{i}")]
         row += [get(f"min{i}"), get(f"max{i}"), get(f"mean{i}"), get(f"sum{i}"), get(f"std{i}")]
         inside = [points.get((c, p)) for p in percentiles]

@@ -10,6 +10,7 @@ aggregation; nothing but scalars reaches the driver.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,6 +142,10 @@ def _read_off(df: DataFrame, wanted: list[tuple[str, int, int, Column | None]])
             brackets[key] = (len(brackets), value if inside is None else F.when(inside, value))
         asked.setdefault(brackets[key][0], []).append((column, rank, below))
     cells = F.array(*[F.struct(F.lit(i).alias("b"), v.alias("v")) for i, v in brackets.values()])
+    tests = [inside for _, _, _, inside in wanted]
+    if all(t is not None for t in tests):
+        # few rows are inside any bracket; drop the rest before they are taken apart
+        df = df.where(reduce(lambda a, b: a | b, tests))
     counted = df.select(F.inline(cells)).where("v IS NOT NULL").groupBy("b", "v").agg(F.count("*").alias("n"))
     # one bracket holds few distinct values, so its running sum may be one task
     through = F.sum("n").over(Window.partitionBy("b").orderBy("v"))
