@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.joins import lookup_join
 from ..plans.spread import spread
 from .filter import SAM_FLAGS
 from .select import require
@@ -104,13 +105,16 @@ def read_bases(
     require_flags: int = 0,
     count_orphans: bool = False,
 ) -> DataFrame:
-    """One row per read and reference position it covers: chrom, pos (1-based), symbol, score,
-    reverse, inserted and deleted lengths after it.
+    """One row per read and reference position it covers.
 
-    Symbols are letters for bases, ``*`` for a deleted position and ``>`` for a skipped one. The
-    CIGAR is walked by array expressions; each read is cut by itself.
+    Columns: chrom, pos (1-based), symbol (a letter, ``*`` where deleted, ``>`` where skipped),
+    score (null without qualities), shown (whether the score reaches ``min_baseq``), reverse,
+    inserted (the letters that follow here) and deleted (how many bases are missing after it),
+    mapq, head and tail (first and last position of the read), read. A deleted or skipped
+    position has the score of the next base of the read. The CIGAR is walked by array
+    expressions; each read is cut by itself.
     """
-    require(reads, "FLAG", "RNAME", "POS", "MAPQ", "CIGAR", "SEQ", "QUAL")
+    require(reads, "QNAME", "FLAG", "RNAME", "POS", "MAPQ", "CIGAR", "SEQ", "QUAL")
     flag = F.col("FLAG").cast("long")
     kept = reads.where(
         (flag.bitwiseAND(F.lit(exclude)) == 0)
@@ -127,53 +131,73 @@ def read_bases(
         F.col("RNAME").alias("chrom"),
         F.col("POS").cast("long").alias("_at"),
         F.upper("SEQ").alias("_seq"),
-        "QUAL",
+        F.when(F.col("QUAL") != "*", F.col("QUAL")).alias("_qual"),
+        F.col("MAPQ").cast("int").alias("mapq"),
         (flag.bitwiseAND(F.lit(SAM_FLAGS["REVERSE"])) != 0).alias("reverse"),
+        F.struct(F.col("POS").cast("long").alias("start"), F.col("QNAME").alias("name"), flag.alias("flag")).alias("read"),
         F.regexp_extract_all("CIGAR", F.lit(op), F.lit(1)).cast("array<int>").alias("_n"),
         F.regexp_extract_all("CIGAR", F.lit(op), F.lit(2)).alias("_k"),
     )
+    arrays = F.arrays_zip("_k", "_n", *_offsets(F.col("_k"), F.col("_n")), *_following(F.col("_k"), F.col("_n")))
+    span = F.aggregate(_consumed(F.col("_k"), F.col("_n"), "MDN=X"), F.lit(0), lambda a, n: a + n)
     placed = spread(narrow).select(
-        "chrom",
-        "_at",
-        "_seq",
-        "QUAL",
-        "reverse",
-        F.inline(F.arrays_zip("_k", "_n", *_offsets(F.col("_k"), F.col("_n")), *_following(F.col("_k"), F.col("_n")))),
+        "chrom", "_at", "_seq", "_qual", "mapq", "reverse", "read", span.alias("_span"), F.inline(arrays)
     )
     # one row per step of a read, with just its letters; then one row per position of the step
     base = F.col("_k").isin("M", "=", "X")
-    piece = lambda c: F.substring(F.col(c), F.col("q") + 1, F.col("_n"))
-    fill = lambda mark: F.call_function("repeat", F.lit(mark), F.col("_n"))
+    follows = F.col("q") + F.col("_n")
+    piece = lambda c, start, n: F.substring(F.col(c), start + 1, n)
+    fill = lambda mark, n: F.call_function("repeat", mark, n)
+    letters = lambda start, n: F.when(F.col("_seq") == "*", fill(F.lit("N"), n)).otherwise(
+        F.rpad(piece("_seq", start, n), n, F.lit("N"))
+    )
+    mark = F.when(F.col("_k") == "D", "*").otherwise(">")
     steps = placed.where(F.col("_k").isin("M", "D", "N", "=", "X") & (F.col("_n") > 0)).select(
         "chrom",
         (F.col("_at") + F.col("r")).alias("_first"),
         "reverse",
-        base.alias("_base"),
-        F.when(base, piece("_seq")).when(F.col("_k") == "D", fill("*")).otherwise(fill(">")).alias("_symbols"),
-        F.when(base & (F.col("QUAL") != "*"), piece("QUAL")).alias("_scores"),
+        "mapq",
+        "read",
+        (F.col("r") == 0).alias("_opens"),
+        (F.col("r") + F.col("_n") == F.col("_span")).alias("_closes"),
+        F.when(base, letters(F.col("q"), F.col("_n"))).otherwise(fill(mark, F.col("_n"))).alias("_symbols"),
+        F.when(base, piece("_qual", F.col("q"), F.col("_n")))
+        .otherwise(fill(piece("_qual", F.col("q"), F.lit(1)), F.col("_n")))
+        .alias("_scores"),
         (F.col("_n") - 1).alias("_last"),
-        F.when(base & (F.col("after") == "I"), F.col("length")).otherwise(0).alias("_ins"),
+        F.when(base & (F.col("after") == "I"), letters(follows, F.col("length"))).alias("_ins"),
         F.when(base & (F.col("after") == "D"), F.col("length")).otherwise(0).alias("_del"),
     )
     each = steps.select("*", F.posexplode(F.split("_symbols", "")).alias("_i", "symbol"))
     final = F.col("_i") == F.col("_last")
+    # a character past the end of the qualities counts as 0
+    score = F.greatest(F.ascii(F.substring(F.col("_scores"), F.col("_i") + 1, F.lit(1))) - 33, F.lit(0))
     return each.select(
         "chrom",
         (F.col("_first") + F.col("_i")).alias("pos"),
         "symbol",
-        (F.ascii(F.substring(F.col("_scores"), F.col("_i") + 1, F.lit(1))) - 33).alias("score"),
+        F.when(F.col("_scores").isNotNull(), score).alias("score"),
+        (F.col("_scores").isNull() | (score >= min_baseq)).alias("shown"),
         "reverse",
-        F.when(final, F.col("_ins")).otherwise(0).alias("inserted"),
+        F.when(final, F.col("_ins")).alias("inserted"),
         F.when(final, F.col("_del")).otherwise(0).alias("deleted"),
-    ).where(F.col("score").isNull() | (F.col("score") >= min_baseq))
+        "mapq",
+        (F.col("_opens") & (F.col("_i") == 0)).alias("head"),
+        (F.col("_closes") & final).alias("tail"),
+        "read",
+    )
+
+
+def _consumed(kinds: Column, sizes: Column, letters: str) -> Column:
+    """The length of each step that uses up bases of one side, 0 for the others."""
+    return F.zip_with(kinds, sizes, lambda k, n: F.when(F.instr(F.lit(letters), k) > 0, n).otherwise(0))
 
 
 def _offsets(kinds: Column, sizes: Column) -> tuple[Column, Column]:
     """Where each step starts in the reference (r) and in the read (q): sums of the steps before."""
 
     def before(consuming: str) -> Column:
-        # the set of letters is a string, as instr on it is cheaper than a list test
-        used = F.zip_with(kinds, sizes, lambda k, n: F.when(F.instr(F.lit(consuming), k) > 0, n).otherwise(0))
+        used = _consumed(kinds, sizes, consuming)
         none = F.array(F.lit(0))
         sums = F.aggregate(used, none, lambda a, n: F.concat(a, F.array(F.element_at(a, F.lit(-1)) + n)))
         return F.slice(sums, 1, F.size(kinds))
@@ -193,20 +217,64 @@ def pileup(reads: DataFrame, **filters) -> DataFrame:
     """Depth, base, strand and indel counts and mean quality per covered position.
 
     Counted in the map-side aggregation, so a deep position never collects its reads; overlapping
-    mates count twice. ``filters`` are those of :func:`read_bases`.
+    mates count twice. A position all of whose bases fall below the quality bound stays, with
+    depth 0. ``filters`` are those of :func:`read_bases`.
     """
     cells = read_bases(reads, **filters)
-    s = F.col("symbol")
+    s, shown = F.col("symbol"), F.col("shown")
     base = s.rlike("^[A-Z=]$")
-    count = lambda test: F.count(F.when(test, 1))
+    count = lambda test: F.count(F.when(test & shown, 1))
     return cells.groupBy("chrom", "pos").agg(
-        F.count("*").alias("depth"),
+        F.count(F.when(shown, 1)).alias("depth"),
         *[count(s == b).alias(b) for b in "ACGT"],
         count(base & ~s.isin(*"ACGT")).alias("N"),
         count(s == "*").alias("del_placeholder"),
-        count(F.col("inserted") > 0).alias("ins"),
+        count(F.col("inserted").isNotNull()).alias("ins"),
         count(F.col("deleted") > 0).alias("del"),
         count(base & ~F.col("reverse")).alias("fwd"),
         count(base & F.col("reverse")).alias("rev"),
-        F.avg("score").alias("mean_qual"),
+        F.avg(F.when(base & shown, F.coalesce("score", F.lit(0)))).alias("mean_qual"),
+    )
+
+
+def pileup_text(reads: DataFrame, share: int = 4000, **filters) -> DataFrame:
+    """chrom, pos, ref (N), part, depth, bases and quals, as pileup text without a reference.
+
+    Reads are in order of start, name and flag. A position deeper than ``share`` is written in
+    several parts, so that no task has to hold all of its reads; parts are numbered from 0 and
+    hold the reads whose names hash to them.
+    """
+    cells = read_bases(reads, **filters).where("shown")
+    deep = (
+        cells.groupBy("chrom", "pos")
+        .count()
+        .where(F.col("count") > share)
+        .select("chrom", "pos", F.ceil(F.col("count") / share).cast("int").alias("_parts"))
+    )
+    strand = lambda text: F.when(F.col("reverse"), F.lower(text)).otherwise(text)
+    symbol = F.when((F.col("symbol") == ">") & F.col("reverse"), "<").otherwise(strand(F.col("symbol")))
+    gap = F.call_function("repeat", F.lit("N"), F.col("deleted"))
+    text = F.concat(
+        F.when(F.col("head"), F.concat(F.lit("^"), F.char(F.least("mapq", F.lit(93)) + 33))).otherwise(""),
+        symbol,
+        F.when(
+            F.col("inserted").isNotNull(),
+            F.concat(F.lit("+"), F.length("inserted").cast("string"), strand(F.col("inserted"))),
+        )
+        .when(F.col("deleted") > 0, F.concat(F.lit("-"), F.col("deleted").cast("string"), strand(gap)))
+        .otherwise(""),
+        F.when(F.col("tail"), "$").otherwise(""),
+    )
+    entry = F.struct("read", text.alias("text"), F.char(F.coalesce("score", F.lit(0)) + 33).alias("qual"))
+    parts = lookup_join(cells.select("chrom", "pos", entry.alias("entry")), deep, ["chrom", "pos"])
+    part = F.pmod(F.xxhash64("entry.read"), F.coalesce("_parts", F.lit(1))).cast("int")
+    grouped = parts.groupBy("chrom", "pos", part.alias("part")).agg(F.array_sort(F.collect_list("entry")).alias("e"))
+    return grouped.select(
+        "chrom",
+        "pos",
+        F.lit("N").alias("ref"),
+        "part",
+        F.size("e").alias("depth"),
+        F.array_join(F.transform("e", lambda x: x["text"]), "").alias("bases"),
+        F.array_join(F.transform("e", lambda x: x["qual"]), "").alias("quals"),
     )

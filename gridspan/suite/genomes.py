@@ -386,7 +386,7 @@ def _alignments(spark, sf):
     long = F.call_function("repeat", F.lit("ACGT"), F.lit(4))
     seq = F.concat(F.lit("NN"), F.substring(long, F.lit(1), k), F.lit("TT"))
     return table(spark, sf, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("QNAME"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long")).alias("QNAME"),
         F.when(F.col("l_linestatus") == "F", 16).otherwise(0).alias("FLAG"),
         F.col("l_returnflag").alias("RNAME"),
         (F.col("l_orderkey") + 1).alias("POS"),
@@ -397,21 +397,35 @@ def _alignments(spark, sf):
     )
 
 
+_PILED = (
+    "WITH r AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(round(l_extendedprice * 100) AS BIGINT) AS name, l_returnflag AS chrom, l_orderkey + 1 AS p, l_linenumber AS k, l_linestatus = 'F' AS rev FROM lineitem "
+    "WHERE l_linenumber >= 2), b AS (SELECT name, chrom, p, k, p + i AS pos, substr('ACGTACGTACGT', CAST(i + 1 AS INTEGER), 1) AS s, 40 AS q, rev, i = k - 1 AS dels, i = 0 AS head FROM "
+    "(SELECT *, unnest(range(k)) AS i FROM r) t UNION ALL SELECT name, chrom, p, k, p + k + i, '*', 20, rev, false, false FROM (SELECT *, unnest(range(3)) AS i FROM r) t UNION ALL "
+    "SELECT name, chrom, p, k, p + k + 3, 'T', 20, rev, false, false FROM r UNION ALL SELECT name, chrom, p, k, p + k + 4, 'T', 10, rev, false, false FROM r) "
+)
+
+
 @query(
     "A11_pileup",
-    "WITH r AS (SELECT l_returnflag AS chrom, l_orderkey + 1 AS p, l_linenumber AS k, l_linestatus = 'F' AS rev FROM lineitem WHERE l_linenumber >= 2), b AS ("
-    "SELECT chrom, p + i AS pos, substr('ACGTACGTACGT', CAST(i + 1 AS INTEGER), 1) AS s, 40 AS q, rev, i = k - 1 AS dels FROM (SELECT *, unnest(range(k)) AS i FROM r) t UNION ALL "
-    "SELECT chrom, p + k + i, '*', NULL, rev, false FROM (SELECT *, unnest(range(3)) AS i FROM r) t UNION ALL "
-    "SELECT chrom, p + k + 3, 'T', 20, rev, false FROM r) "
-    "SELECT chrom, pos, count(*) AS depth, count(CASE WHEN s = 'A' THEN 1 END) AS \"A\", count(CASE WHEN s = 'C' THEN 1 END) AS \"C\", count(CASE WHEN s = 'G' THEN 1 END) AS \"G\", "
-    "count(CASE WHEN s = 'T' THEN 1 END) AS \"T\", 0 AS \"N\", count(CASE WHEN s = '*' THEN 1 END) AS del_placeholder, 0 AS ins, count(CASE WHEN dels THEN 1 END) AS del, "
-    "count(CASE WHEN s <> '*' AND NOT rev THEN 1 END) AS fwd, count(CASE WHEN s <> '*' AND rev THEN 1 END) AS rev, round(avg(q), 7) AS mean_qual FROM b GROUP BY 1, 2",
+    _PILED + "SELECT chrom, pos, count(CASE WHEN q > 12 THEN 1 END) AS depth, count(CASE WHEN s = 'A' THEN 1 END) AS \"A\", count(CASE WHEN s = 'C' THEN 1 END) AS \"C\", "
+    "count(CASE WHEN s = 'G' THEN 1 END) AS \"G\", count(CASE WHEN s = 'T' AND q > 12 THEN 1 END) AS \"T\", 0 AS \"N\", count(CASE WHEN s = '*' THEN 1 END) AS del_placeholder, 0 AS ins, "
+    "count(CASE WHEN dels THEN 1 END) AS del, count(CASE WHEN s <> '*' AND q > 12 AND NOT rev THEN 1 END) AS fwd, count(CASE WHEN s <> '*' AND q > 12 AND rev THEN 1 END) AS rev, "
+    "round(avg(CASE WHEN s <> '*' AND q > 12 THEN q END), 7) AS mean_qual FROM b GROUP BY 1, 2",
 )
 def piled(spark, sf):
     # the second base after the deletion has quality 10 and falls below the bound
     return shares(reads.pileup(_alignments(spark, sf), min_mapq=20), "mean_qual")
 
 
+@query(
+    "A11_pileup_text",
+    _PILED + "SELECT chrom, pos, 'N' AS ref, 0 AS part, count(*) AS depth, string_agg((CASE WHEN head THEN '^' || chr(CAST(k * 10 + 33 AS INTEGER)) ELSE '' END) || CASE WHEN rev THEN lower(s) ELSE s END || "
+    "(CASE WHEN dels AND rev THEN '-3nnn' WHEN dels THEN '-3NNN' ELSE '' END) , '' ORDER BY p, name) AS bases, string_agg(chr(q + 33), '' ORDER BY p, name) AS quals FROM b WHERE q > 12 GROUP BY 1, 2",
+)
+def piled_text(spark, sf):
+    return reads.pileup_text(_alignments(spark, sf), min_mapq=20)
+
+
 _DNA = "upper(regexp_replace(text, '[^acgtnACGTN]', '', 'g'))"
 
 

@@ -217,6 +217,20 @@ def test_pileup_filters(spark):
     assert (row["C"], row["ins"], row["del"], row["rev"]) == (2, 1, 1, 1)
 
 
+def test_pileup_text(spark):
+    sam = spark.createDataFrame(
+        [("a", 0, "c", 10, 60, "1S2M1I2N1M", "NACGT", "IIII5"), ("b", 16, "c", 10, 99, "2M1D1M", "ACG", "*")],
+        "QNAME string, FLAG int, RNAME string, POS int, MAPQ int, CIGAR string, SEQ string, QUAL string",
+    )
+    got = {r["pos"]: (r["depth"], r["bases"], r["quals"]) for r in reads.pileup_text(sam).collect()}
+    assert got == {
+        10: (2, "^]A^~a", "I!"), 11: (2, "C+1Gc-1n", "I!"), 12: (2, ">*", "5!"), 13: (2, ">g$", "5!"), 14: (1, "T$", "5"),
+    }
+    parts = reads.pileup_text(sam, share=1).where("pos = 10").collect()
+    assert sum(r["depth"] for r in parts) == 2
+    assert {r["pos"]: r["depth"] for r in reads.pileup(sam, min_baseq=30).collect()} == {10: 2, 11: 2, 12: 1, 13: 1, 14: 0}
+
+
 def test_sequence_types(spark):
     kind = lambda *s: sequences.seq_stats(spark.createDataFrame([(x,) for x in s], "seq string")).first()
     assert kind("ACGTN", "acg")["type"] == "DNA" and kind("ACGU")["type"] == "RNA"
