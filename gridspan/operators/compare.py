@@ -161,7 +161,7 @@ def check_reference(reference: DataFrame, tables: dict[str, DataFrame]) -> DataF
     key = standard_name(F.col("name"))
     ours = reference.where("name IS NOT NULL").select(key.alias("_key"), F.col("length").alias("_ours"))
     ours = ours.groupBy("_key").agg(F.max("_ours").alias("_ours"))
-    our_style = _styled(reference).select(F.col("naming").alias("_naming"), F.col("assembly").alias("_assembly"))
+    own = {c: _styled(reference).select(c).scalar() for c in ("naming", "assembly")}
     found = []
     for table, names in tables.items():
         keyed = names.where("name IS NOT NULL").withColumn("_key", key)
@@ -174,17 +174,13 @@ def check_reference(reference: DataFrame, tables: dict[str, DataFrame]) -> DataF
             .where("length > 0 AND _ours > 0 AND length <> _ours")
             .select(label, F.lit("length"), "name", F.concat(F.col("length").cast("string"), F.lit(" vs "), F.col("_ours").cast("string")))
         )
-        # two frames of exactly one row each
-        style = _styled(names).join(F.broadcast(our_style))
+        style = _styled(names)
         notes = []
-        for problem, theirs, own in (("naming", "naming", "_naming"), ("assembly", "assembly", "_assembly")):
+        for problem, ours_ in own.items():
+            both = style.select(F.col(problem).alias("theirs"), ours_.alias("ours"))
+            detail = F.concat("theirs", F.lit(" vs "), "ours")
             notes.append(
-                style.where(F.col(theirs) != F.col(own)).select(
-                    label,
-                    F.lit(problem),
-                    F.lit(None).cast("string"),
-                    F.concat(F.col(theirs), F.lit(" vs "), F.col(own)),
-                )
+                both.where("theirs <> ours").select(label, F.lit(problem), F.lit(None).cast("string"), detail)
             )
         found += [missing, lengths, *notes]
     return reduce(DataFrame.union, found)

@@ -160,24 +160,27 @@ def read_bases(
         "read",
         (F.col("r") == 0).alias("_opens"),
         (F.col("r") + F.col("_n") == F.col("_span")).alias("_closes"),
-        F.when(base, letters(F.col("q"), F.col("_n"))).otherwise(fill(mark, F.col("_n"))).alias("_symbols"),
-        F.when(base, piece("_qual", F.col("q"), F.col("_n")))
-        .otherwise(fill(piece("_qual", F.col("q"), F.lit(1)), F.col("_n")))
-        .alias("_scores"),
+        F.when(base, F.split(letters(F.col("q"), F.col("_n")), ""))
+        .otherwise(F.array_repeat(mark, F.col("_n")))
+        .alias("_s"),
+        F.when(base, F.split(F.coalesce(piece("_qual", F.col("q"), F.col("_n")), F.lit("")), ""))
+        .otherwise(F.array_repeat(piece("_qual", F.col("q"), F.lit(1)), F.col("_n")))
+        .alias("_c"),
+        F.col("_qual").isNotNull().alias("_scored"),
         (F.col("_n") - 1).alias("_last"),
         F.when(base & (F.col("after") == "I"), letters(follows, F.col("length"))).alias("_ins"),
         F.when(base & (F.col("after") == "D"), F.col("length")).otherwise(0).alias("_del"),
     )
-    each = steps.select("*", F.posexplode(F.split("_symbols", "")).alias("_i", "symbol"))
+    each = steps.select("*", F.posexplode(F.arrays_zip("_s", "_c")).alias("_i", "_letter")).drop("_s", "_c")
     final = F.col("_i") == F.col("_last")
-    # a character past the end of the qualities counts as 0
-    score = F.greatest(F.ascii(F.substring(F.col("_scores"), F.col("_i") + 1, F.lit(1))) - 33, F.lit(0))
+    # a base past the end of the qualities counts as 0
+    score = F.greatest(F.ascii(F.coalesce("_letter._c", F.lit(""))) - 33, F.lit(0))
     return each.select(
         "chrom",
         (F.col("_first") + F.col("_i")).alias("pos"),
-        "symbol",
-        F.when(F.col("_scores").isNotNull(), score).alias("score"),
-        (F.col("_scores").isNull() | (score >= min_baseq)).alias("shown"),
+        F.col("_letter._s").alias("symbol"),
+        F.when(F.col("_scored"), score).alias("score"),
+        (~F.col("_scored") | (score >= min_baseq)).alias("shown"),
         "reverse",
         F.when(final, F.col("_ins")).alias("inserted"),
         F.when(final, F.col("_del")).otherwise(0).alias("deleted"),

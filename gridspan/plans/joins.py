@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import settle
+
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
 HOT_KEYS = 1_000
@@ -39,6 +41,16 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADC
     return seen <= rows and used <= size
 
 
+def small_side(table: DataFrame) -> DataFrame:
+    """Settle a summary table, with the hint to broadcast it if it is proven small.
+
+    For tables with a row per file, split or partition: the pass that makes them runs once, and
+    the large side of the join that follows is shuffled only when they are too many.
+    """
+    table = settle(table)
+    return F.broadcast(table) if fits_broadcast(table) else table
+
+
 def lookup_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join ``rows`` to a ``table`` that holds each key once.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
+from .joins import small_side
 
 POS = "_pos"
 _IN_PARTITION = (1 << 33) - 1
@@ -41,7 +42,7 @@ def text_lines(spark: SparkSession, path, line_sep: str | None = None) -> DataFr
     splits = splits.select(
         "file", "_split", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")
     )
-    return raw.join(splits, ["file", "_split"]).select(
+    return raw.join(small_side(splits), ["file", "_split"]).select(
         "file", (F.col("_id") + F.col("_shift")).alias("line_no"), "line"
     )
 
@@ -58,7 +59,7 @@ def numbered_parquet(spark: SparkSession, path, columns: list[str] | None = None
     names = [c for c in rows.columns if c != POS]
     return (
         rows.withColumn("_file", F.col(f"{POS}.file"))
-        .join(files, "_file")
+        .join(small_side(files), "_file")
         .select(*names, (F.col("_offset") + F.col(f"{POS}.row")).alias("_row"))
     )
 

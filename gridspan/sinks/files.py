@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.cells import FLOATS, grouped_digits, is_number, text_of
 from ..operators.compare import fingerprint
+from ..plans.joins import small_side
 
 COMPRESSIONS = ("zstd", "snappy", "gzip", "lz4", "none")
 PROVENANCE = "_provenance"
@@ -80,7 +81,7 @@ def write_json_array(df: DataFrame, path: str, mode: str = "error") -> None:
     place = F.monotonically_increasing_id()
     rows = json_rows(df).select(F.spark_partition_id().alias("p"), place.alias("i"), "value")
     ends = rows.groupBy("p").agg(F.min("i").alias("low"), F.max("i").alias("high"))
-    marked = rows.join(F.broadcast(ends), "p").select(
+    marked = rows.join(small_side(ends), "p").select(
         F.concat(
             F.when(F.col("i") == F.col("low"), "[").otherwise(""),
             "value",

@@ -24,31 +24,34 @@ def read_dataset(spark: SparkSession, path: str, fmt: str = "parquet", **options
         df = spark.read.options(basePath=path, **options).format(fmt).load(path)
     finally:
         spark.conf.set(config, before)
-    data = [c for c in df.columns if c not in keys]
     if not keys:
         return df
-    # distinct folder values: answered from the paths' partition values, one row per folder
-    tests = [F.bool_and(F.col(f"`{k}`").rlike(_WHOLE)).alias(k) for k in keys]
-    whole = df.select(*keys).distinct().agg(*tests).first()
-    casts = [F.col(f"`{k}`").cast("long").alias(k) if whole[k] else F.col(f"`{k}`") for k in keys]
+    data = [c for c in df.columns if c not in keys]
+    casts = [F.col(f"`{k}`").cast("long").alias(k) if whole else F.col(f"`{k}`") for k, whole in keys.items()]
     return df.select(*[F.col(f"`{c}`") for c in data], *casts)
 
 
-def _partition_keys(spark: SparkSession, path: str, fmt: str) -> list[str]:
+def _partition_keys(spark: SparkSession, path: str, fmt: str) -> dict[str, bool]:
+    """The keys of the folders, and whether all values of a key are canonical whole numbers.
+
+    Read off the listing of the files; no file is opened.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
     root = re.escape(path.rstrip("/").split(":", 1)[-1].lstrip("/"))
     inner = F.regexp_replace("path", f"^.*?{root}/", "")
-    keys = F.regexp_extract_all(inner, F.lit("([^/=]+)=[^/]*/"), F.lit(1))
-    found = (
-        files.where(~inner.rlike(r"(^|/)[._]"))
-        .select(F.array_join(keys, "/").alias("keys"))
-        .distinct()
-        .limit(2)
-        .collect()
+    part = F.lit("([^/=]+)=([^/]*)/")
+    folders = files.where(~inner.rlike(r"(^|/)[._]")).select(
+        F.regexp_extract_all(inner, part, F.lit(1)).alias("keys"),
+        F.transform(F.regexp_extract_all(inner, part, F.lit(2)), lambda v: v.rlike(_WHOLE)).alias("whole"),
     )
+    found = folders.groupBy("keys").agg(F.count("*").alias("files")).orderBy("keys").limit(2).collect()
     if len(found) > 1:
-        raise ValueError(f"folders of {path} do not have the same keys: {found[0][0]!r} and {found[1][0]!r}")
-    return [k for k in found[0][0].split("/") if k] if found else []
+        raise ValueError(f"folders of {path} do not have the same keys: {found[0]['keys']} and {found[1]['keys']}")
+    if not found or not found[0]["keys"]:
+        return {}
+    names = found[0]["keys"]
+    tests = folders.agg(*[F.bool_and(F.col("whole")[i]).alias(f"w{i}") for i in range(len(names))]).first()
+    return dict(zip(names, tests, strict=True))
 
 
 def check_same_schema(spark: SparkSession, files: list[str], fmt: str = "parquet") -> None:

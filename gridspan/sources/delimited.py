@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.joins import small_side
 from ..plans.position import text_lines
 from .lines import NULL_TOKENS, cell, quoted_fields, separator, typed, without_return
 
@@ -135,7 +136,7 @@ def read_delimited(
     if shape.has_header:
         # the first line that counts, in each file
         first = lines.groupBy("file").agg(F.min("line_no").alias("_header"))
-        lines = lines.join(F.broadcast(first), "file").where(F.col("line_no") > F.col("_header")).drop("_header")
+        lines = lines.join(small_side(first), "file").where(F.col("line_no") > F.col("_header")).drop("_header")
     split = lines.withColumn("_f", quoted_fields(F.col("line"), sep))
     wrong = F.size("_f") != width
     bad = split.where(wrong).select("file", (F.col("line_no") + 1).alias("line_no"), "line")

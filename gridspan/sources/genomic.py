@@ -10,8 +10,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.joins import small_side
 from ..plans.position import text_lines
 from ..plans.scan import prefix_scan
+from ..session import settle
 from .lines import fields_frame, plain_fields, without_return
 
 # Columns of the formats.
@@ -119,7 +121,7 @@ def read_gff(spark: SparkSession, path: str) -> WithHeader:
     """GFF3 / GTF features; ``#`` lines anywhere are kept apart and ``##FASTA`` ends a file."""
     lines = text_lines(spark, path).withColumn("line", without_return(F.col("line")))
     cut = lines.where("line = '##FASTA'").groupBy("file").agg(F.min("line_no").alias("_cut"))
-    kept = lines.join(F.broadcast(cut), "file", "left").where("_cut IS NULL OR line_no < _cut").drop("_cut")
+    kept = lines.join(small_side(cut), "file", "left").where("_cut IS NULL OR line_no < _cut").drop("_cut")
     comment = F.col("line").startswith("#")
     body = kept.where(~comment & (F.col("line") != "")).select("line")
     return WithHeader(fields_frame(body, GFF_COLUMNS), kept.where(comment))
@@ -267,7 +269,7 @@ def read_wiggle(spark: SparkSession, path: str) -> DataFrame:
         },
     )
     starts = prefix_scan(
-        scanned, ["file"], "line_no", {"_before": ("last", F.when(declared, F.col("_seen")))}
+        settle(scanned), ["file"], "line_no", {"_before": ("last", F.when(declared, F.col("_seen")))}
     ).where(data)
     decl = F.col("_decl.line")
     get = lambda name, default: F.coalesce(
@@ -353,7 +355,7 @@ def read_fasta_blocks(spark: SparkSession, path: str, width: int = 1 << 16) -> D
     size = F.when(head, F.lit(0)).otherwise(F.length("line")).cast("long")
     scanned = prefix_scan(lines, ["file"], "line_no", {"name": ("last", name), "_through": ("sum", size)})
     starts = prefix_scan(
-        scanned, ["file"], "line_no", {"_origin": ("last", F.when(head, F.col("_through")))}
+        settle(scanned), ["file"], "line_no", {"_origin": ("last", F.when(head, F.col("_through")))}
     ).where(~head & (F.col("line") != ""))
     offset = F.col("_through") - F.length("line") - F.col("_origin")
     cut = starts.select("name", "line", offset.alias("at")).withColumn(
