@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,15 @@ def standard_name(chrom: Column) -> Column:
     )
 
 
+def spellings(name: str) -> list[str]:
+    """Every spelling of a standard chromosome, or the name itself."""
+    core = re.fullmatch(f"(?:chr)?{_STANDARD}", name)
+    if core:
+        return [core[1], f"chr{core[1]}"]
+    mitochondrion = ["M", "MT", "chrM", "chrMT"]
+    return mitochondrion if name in mitochondrion else [name]
+
+
 def naming_style(chrom: Column) -> Column:
     """``chr`` or ``plain`` for a standard chromosome, null for any other name."""
     standard = chrom.rlike(f"^(chr)?({_STANDARD}|M|MT)$")

@@ -1,8 +1,9 @@
 """Row filters with typed comparisons.
 
 A filter is a Spark ``Column``. :func:`where` builds one atom typed against its column;
-atoms combine with ``&`` and ``|`` or :func:`all_of` / :func:`any_of`. Atoms give false, never
-null, for a null cell, and a NaN cell is only ever ``!=``.
+atoms combine with ``&`` and ``|`` or :func:`all_of` / :func:`any_of`. A null cell passes none but
+``is null`` (its atom is null, which a filter drops), and a NaN cell is only ever ``!=``. The
+comparisons stay plain, so that the scan can skip row groups by them.
 """
 
 from __future__ import annotations
@@ -104,10 +105,6 @@ def _literal(kind: T.DataType, value) -> Column:
     raise ValueError(f"a {kind.simpleString()} column does not compare with a literal")
 
 
-def _is_true(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False))
-
-
 def flag_mask(value) -> int:
     """Bits of a flag list: a number (0x904), or names (UNMAP,DUP)."""
     if isinstance(value, int):
@@ -145,7 +142,7 @@ def where(df: DataFrame, column: str, op: str, value=None) -> Column:
             raise ValueError(f"{op} needs a whole-number column")
         mask = flag_mask(value)
         bits = cell.cast("long").bitwiseAND(F.lit(mask))
-        return _is_true(bits == F.lit(mask) if op == "has" else bits == F.lit(0))
+        return bits == F.lit(mask if op == "has" else 0)
     if op in ("~", "!~"):
         try:
             re.compile(value)
@@ -154,15 +151,15 @@ def where(df: DataFrame, column: str, op: str, value=None) -> Column:
             raise ValueError(f"bad regular expression {value!r}: {wrong}") from None
         if not textual:
             return F.lit(False)
-        return _is_true(cell.rlike(value) if op == "~" else ~cell.rlike(value))
+        return cell.rlike(value) if op == "~" else ~cell.rlike(value)
     if op in ("contains", "startswith", "endswith"):
-        return _is_true(getattr(cell, op)(str(value))) if textual else F.lit(False)
+        return getattr(cell, op)(str(value)) if textual else F.lit(False)
     if op in ("in", "not in"):
         members = [_literal(kind, v) for v in value]
         found = cell.isin(members)
-        if isinstance(kind, FLOATS):
-            found = found & ~F.isnan(cell)
-        return _is_true(found if op == "in" else ~found)
+        if op == "not in":
+            return ~found
+        return found & ~F.isnan(cell) if isinstance(kind, FLOATS) else found
     if op not in _COMPARE:
         raise ValueError(f"unknown operator {op!r}")
     if textual and op not in ("==", "!=") and not isinstance(value, str):
@@ -172,7 +169,7 @@ def where(df: DataFrame, column: str, op: str, value=None) -> Column:
     compared = _COMPARE[op](cell, _literal(kind, value))
     if isinstance(kind, FLOATS) and op != "!=":
         compared = compared & ~F.isnan(cell)
-    return _is_true(compared)
+    return compared
 
 
 def all_of(*conditions: Column) -> Column:

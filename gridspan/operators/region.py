@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.coords import coordinate_columns, standard_name
+from ..functions.coords import coordinate_columns, spellings, standard_name
 from ..plans.joins import fits_broadcast, member_join
 from ..plans.scan import prefix_scan
 from ..session import settle
@@ -84,7 +84,7 @@ def _chrom(value: Column, alias: bool) -> Column:
 def overlaps(chrom: Column, start: Column, end: Column, window: tuple, alias: bool = False) -> Column:
     """Whether a row lies over one window; open ends leave their side out."""
     name, low, high = window
-    test = _chrom(chrom, alias) == (_chrom(F.lit(name), alias) if alias else F.lit(name))
+    test = chrom.isin(spellings(name) if alias else [name])
     if high is not None:
         test = test & (start < high)
     if low is not None:
