@@ -61,7 +61,10 @@ def diff_cells(
     if check_unique:
         _require_unique(a, keys)
         _require_unique(b, keys)
-    both = _joined(a, b, keys, shared).where("_in_a AND _in_b")
+    differs = [~F.col(f"_a{i}").eqNullSafe(F.col(f"_b{i}")) for i in range(len(shared))]
+    # only rows with a difference are taken apart into cells
+    both = _joined(a, b, keys, shared).where(reduce(lambda x, y: x | y, differs, F.lit(False)))
+    both = both.where("_in_a AND _in_b")
     cells = F.array(
         *[
             F.struct(F.lit(c).alias("column"), F.col(f"_a{i}").alias("a"), F.col(f"_b{i}").alias("b"))

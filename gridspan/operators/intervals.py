@@ -9,6 +9,7 @@ from ..functions.cells import INTEGERS, column_type
 from ..functions.coords import coordinate_columns
 from ..plans.joins import lookup_join
 from ..plans.scan import prefix_scan
+from ..session import settle
 
 REACH = "MaxEndSoFar"
 
@@ -26,7 +27,9 @@ def running_max_end(
     starts = df.groupBy(F.col(chrom), F.col(start)).agg(F.max(end).alias("_top"))
     starts = starts.where(F.col(chrom).isNotNull() & F.col(start).isNotNull())
     scanned = prefix_scan(starts, [chrom], start, {"_reach": ("max_before", F.col("_top"))})
-    joined = lookup_join(df, scanned.select(chrom, start, "_reach"), [chrom, start])
+    # the size check and the join both read it
+    scanned = settle(scanned.select(chrom, start, "_reach"))
+    joined = lookup_join(df, scanned, [chrom, start])
     return joined.select(*df.columns, F.greatest(F.col(end), F.col("_reach")).alias(name))
 
 

@@ -18,6 +18,7 @@ DISTINCT_CAP = 16
 _SKETCH_ERROR = 0.05
 # Up to this many values per column are counted by value; see plans.quantiles.
 IN_BUFFER = quantiles.SMALL
+_BATCH = 24
 
 
 def _clean(df: DataFrame, name: str) -> Column:
@@ -59,6 +60,24 @@ def _small_distinct(df: DataFrame, names: list[str], cap: int | None) -> dict[st
     return counts
 
 
+def _aggregates(df: DataFrame, c: str, i: int, numeric: bool) -> list[Column]:
+    """The simple aggregates of a column, named by its place."""
+    cell, kind = F.col(f"`{c}`"), column_type(df, c)
+    wanted = [F.count(cell).alias(f"count{i}")]
+    if isinstance(kind, (T.MapType, T.ArrayType, T.StructType, T.VariantType)):
+        return wanted
+    wanted += [F.min(_clean(df, c)).alias(f"min{i}"), F.max(_clean(df, c)).alias(f"max{i}")]
+    if numeric:
+        number = cell.cast("double")
+        wanted += [
+            F.sum(number).alias(f"sum{i}"),
+            F.avg(number).alias(f"mean{i}"),
+            F.stddev_samp(number).alias(f"std{i}"),
+            F.count(_clean(df, c)).alias(f"finite{i}"),
+        ]
+    return wanted
+
+
 def describe(
     df: DataFrame,
     columns: list[str] | None = None,
@@ -78,29 +97,17 @@ def describe(
     require(df, *names)
     numeric = [c for c in names if is_number(column_type(df, c))]
     textual = [c for c in names if not is_number(column_type(df, c)) and not isinstance(column_type(df, c), TEMPORAL)]
-    # number columns apart from the rest: their aggregates stay in generated code, and the two
-    # passes read different columns
-    plain, mixed = [F.count("*").alias("total")], []
-    for i, c in enumerate(names):
-        cell = F.col(f"`{c}`")
-        kind = column_type(df, c)
-        wanted = plain if c in numeric else mixed
-        wanted.append(F.count(cell).alias(f"count{i}"))
-        if isinstance(kind, (T.MapType, T.ArrayType, T.StructType, T.VariantType)):
-            continue
-        wanted += [F.min(_clean(df, c)).alias(f"min{i}"), F.max(_clean(df, c)).alias(f"max{i}")]
-        if c in numeric:
-            number = cell.cast("double")
-            wanted += [
-                F.sum(number).alias(f"sum{i}"),
-                F.avg(number).alias(f"mean{i}"),
-                F.stddev_samp(number).alias(f"std{i}"),
-                F.count(_clean(df, c)).alias(f"finite{i}"),
-            ]
-    # a row of scalars each, whatever the size of the table
+    # number columns apart from the rest: their aggregates stay in generated code; and a few
+    # columns at a time, as each pass reads only its own columns
+    others = [c for c in names if c not in numeric]
+    batches = [group[i : i + _BATCH] for group in (numeric, others) for i in range(0, len(group), _BATCH)]
     shown: dict = {}
-    for part in filter(None, (plain, mixed)):
-        wide = df.agg(*part)
+    for batch in batches:
+        wanted = [F.count("*").alias("total")]
+        for c in batch:
+            wanted += _aggregates(df, c, names.index(c), c in numeric)
+        # a row of scalars, whatever the size of the table
+        wide = df.agg(*wanted)
         texts = [
             text_of(wide, f.name).alias(f.name) if f.name.startswith(("min", "max")) else F.col(f.name)
             for f in wide.schema
@@ -111,7 +118,9 @@ def describe(
     points: dict = {}
     if percentiles and numeric:
         counts = {c: shown[f"finite{names.index(c)}"] for c in numeric}
-        points = quantiles.exact_percentiles(df, numeric, list(percentiles), counts, in_buffer)
+        for i in range(0, len(numeric), _BATCH):
+            batch = numeric[i : i + _BATCH]
+            points |= quantiles.exact_percentiles(df, batch, list(percentiles), counts, in_buffer)
 
     rows = []
     for i, c in enumerate(names):

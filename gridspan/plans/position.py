@@ -21,6 +21,21 @@ def parquet_rows(spark: SparkSession, path, columns: list[str] | None = None) ->
     return df.select(*(columns or ["*"]), place.alias(POS))
 
 
+def ordered_lines(spark: SparkSession, path) -> DataFrame:
+    """Lines of text files as (file, at, line); ``at`` orders the lines of a file.
+
+    ``at`` is the split and the running id in it, so it costs no pass of its own; where the
+    number of the line is wanted, use :func:`text_lines`.
+    """
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(
+            F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id")
+        ).alias("at"),
+        F.col("value").alias("line"),
+    )
+
+
 def text_lines(spark: SparkSession, path, line_sep: str | None = None) -> DataFrame:
     """Lines of text files as (file, line_no, line), line_no dense from 0 within a file.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.joins import small_side
-from ..plans.position import text_lines
+from ..plans.position import ordered_lines, text_lines
 from ..plans.scan import prefix_scan
 from ..session import settle
 from .lines import fields_frame, plain_fields, without_return
@@ -83,7 +83,7 @@ def read_bed(spark: SparkSession, path: str, variant: str | None = None) -> Data
 
 @dataclass
 class WithHeader:
-    """A table and its header lines (file, line_no, line)."""
+    """A table and its header lines (file, at, line), ``at`` ordering those of a file."""
 
     table: DataFrame
     header: DataFrame
@@ -91,13 +91,13 @@ class WithHeader:
     def header_lines(self, start: str = "##") -> list[str]:
         """Distinct header lines with a given start, in file order; a header, not data."""
         kept = self.header.where(F.col("line").startswith(start)).groupBy("line").agg(
-            F.min(F.struct("file", "line_no")).alias("at")
+            F.min(F.struct("file", "at")).alias("first")
         )
-        return [r["line"] for r in kept.orderBy("at").collect()]
+        return [r["line"] for r in kept.orderBy("first").collect()]
 
 
 def _split_header(spark: SparkSession, path: str, mark: str) -> tuple[DataFrame, DataFrame]:
-    lines = text_lines(spark, path).withColumn("line", without_return(F.col("line")))
+    lines = ordered_lines(spark, path).withColumn("line", without_return(F.col("line")))
     return lines.where(F.col("line").startswith(mark)), _body(spark, path, F.col("line").startswith(mark))
 
 
@@ -119,9 +119,9 @@ def read_vcf(spark: SparkSession, path: str, samples: bool = True) -> WithHeader
 
 def read_gff(spark: SparkSession, path: str) -> WithHeader:
     """GFF3 / GTF features; ``#`` lines anywhere are kept apart and ``##FASTA`` ends a file."""
-    lines = text_lines(spark, path).withColumn("line", without_return(F.col("line")))
-    cut = lines.where("line = '##FASTA'").groupBy("file").agg(F.min("line_no").alias("_cut"))
-    kept = lines.join(small_side(cut), "file", "left").where("_cut IS NULL OR line_no < _cut").drop("_cut")
+    lines = ordered_lines(spark, path).withColumn("line", without_return(F.col("line")))
+    cut = lines.where("line = '##FASTA'").groupBy("file").agg(F.min("at").alias("_cut"))
+    kept = lines.join(small_side(cut), "file", "left").where("_cut IS NULL OR at < _cut").drop("_cut")
     comment = F.col("line").startswith("#")
     body = kept.where(~comment & (F.col("line") != "")).select("line")
     return WithHeader(fields_frame(body, GFF_COLUMNS), kept.where(comment))
