@@ -201,7 +201,7 @@ def _salted(rows: DataFrame, wins: DataFrame, key: list[str], share: int) -> tup
         .where("_salts > 1")
     )
     salts = F.coalesce("_salts", F.lit(1))
-    plain = [c for c, t in rows.dtypes if not t.startswith(("map", "variant"))]
+    plain = [c for c, t in rows.dtypes if "map<" not in t and "variant" not in t]
     salted = rows.join(F.broadcast(crowded), key, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), salts).cast("int")
     )

@@ -21,12 +21,24 @@ def parquet_rows(spark: SparkSession, path, columns: list[str] | None = None) ->
     return df.select(*(columns or ["*"]), place.alias(POS))
 
 
+def _pin_splits(spark: SparkSession) -> None:
+    """Make every scan of this session cut and pack its files the same way.
+
+    Unless this is set, the size of a split follows the number of cores at that moment, which
+    changes when executors come and go; line order taken from splits must not change with it.
+    """
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+
+
 def ordered_lines(spark: SparkSession, path) -> DataFrame:
     """Lines of text files as (file, at, line); ``at`` orders the lines of a file.
 
     ``at`` is the split and the running id in it, so it costs no pass of its own; where the
     number of the line is wanted, use :func:`text_lines`.
     """
+    _pin_splits(spark)
     return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.struct(
@@ -43,6 +55,7 @@ def text_lines(spark: SparkSession, path, line_sep: str | None = None) -> DataFr
     partition orders the lines of the split; a table with one row per split supplies the
     offset. No line passes through Python and no file needs to fit one task.
     """
+    _pin_splits(spark)
     reader = spark.read
     if line_sep is not None:
         reader = reader.option("lineSep", line_sep)

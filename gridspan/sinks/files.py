@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions.cells import FLOATS, grouped_digits, is_number, text_of
 from ..operators.compare import fingerprint
 from ..plans.joins import small_side
+from ..session import settle
 
 COMPRESSIONS = ("zstd", "snappy", "gzip", "lz4", "none")
 PROVENANCE = "_provenance"
@@ -79,7 +80,8 @@ def write_json_array(df: DataFrame, path: str, mode: str = "error") -> None:
     """
     refuse_overlap(df, path)
     place = F.monotonically_increasing_id()
-    rows = json_rows(df).select(F.spark_partition_id().alias("p"), place.alias("i"), "value")
+    # settled, so that the first and last row of a part are the same in both uses
+    rows = settle(json_rows(df)).select(F.spark_partition_id().alias("p"), place.alias("i"), "value")
     ends = rows.groupBy("p").agg(F.min("i").alias("low"), F.max("i").alias("high"))
     marked = rows.join(small_side(ends), "p").select(
         F.concat(

@@ -217,27 +217,29 @@ def read_headed_layout(spark: SparkSession, path: str, layout: str) -> DataFrame
     """Layouts with their own header rule: pvar / psam (``#`` names after ``##`` lines), pairs
     (``#columns:``), gct (two dimension lines before the names), maf (``#`` comments)."""
     lines = text_lines(spark, path).withColumn("line", without_return(F.col("line")))
-    # header lines are looked for at the start only; their number is fixed
-    top = [
-        r["line"] for r in lines.orderBy("file", "line_no").limit(5000).select("line").collect()
-    ]
+
+    def first(test: Column) -> str | None:
+        """The first line that passes, by file and number: a top-1, not a sort."""
+        found = lines.where(test).orderBy("file", "line_no").limit(1).select("line").collect()
+        return found[0]["line"] if found else None
+
+    text, comment = F.col("line"), F.col("line").startswith("#")
     if layout in ("pvar", "psam"):
-        head = next((t for t in top if t.startswith("#") and not t.startswith("##")), None)
-        if head is None:
-            raise ValueError(f"no header line in a {layout} file")
-        names, body = head.lstrip("#").split("\t"), ~F.col("line").startswith("#")
+        head = first(comment & ~text.startswith("##"))
+        names, body = (head or "").lstrip("#").split("\t"), ~comment
     elif layout == "pairs":
-        head = next((t for t in top if t.startswith("#columns:")), None)
-        names = head.split(":", 1)[1].split() if head else "readID chr1 pos1 chr2 pos2 strand1 strand2".split()
-        body = ~F.col("line").startswith("#")
+        head = first(text.startswith("#columns:")) or "#columns: readID chr1 pos1 chr2 pos2 strand1 strand2"
+        names, body = head.split(":", 1)[1].split(), ~comment
     elif layout == "gct":
-        names, body = top[2].split("\t"), F.col("line_no") > 2
+        head = first(F.col("line_no") == 2)
+        names, body = (head or "").split("\t"), F.col("line_no") > 2
     elif layout == "maf":
-        head = next(t for t in top if not t.startswith("#"))
-        names = head.split("\t")
-        body = ~F.col("line").startswith("#") & (F.col("line") != head)
+        head = first(~comment)
+        names, body = (head or "").split("\t"), ~comment & (text != head)
     else:
         raise ValueError(f"unknown layout {layout!r}")
+    if head is None:
+        raise ValueError(f"no header line in a {layout} file")
     fields = lines.where(body & (F.col("line") != "")).withColumn("_f", F.split("line", r"\t"))
     values = fields.select(*[cell(F.get("_f", F.lit(i))).alias(f"c{i}") for i in range(len(names))])
     text = ("chrom", "chr1", "chr2", "chromosome", "readid", "name", "id")
