@@ -86,11 +86,15 @@ def lookup_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "le
 
 
 def member_join(rows: DataFrame, members: DataFrame, on: list[str], keep: bool) -> DataFrame:
-    """Semi join (``keep``) or anti join on distinct members; a null key is in neither."""
+    """Rows whose key is (``keep``) or is not among the members; a null key is in neither.
+
+    Members proven small are broadcast; others go through :func:`lookup_join`, so that a key
+    with many rows is not one task.
+    """
     members = members.select(*on).distinct()
     present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in on])
     rows = rows.where(present)
-    kind = "left_semi" if keep else "left_anti"
     if fits_broadcast(members):
-        return rows.join(F.broadcast(members), on, kind)
-    return rows.join(members, on, kind)
+        return rows.join(F.broadcast(members), on, "left_semi" if keep else "left_anti")
+    marked = lookup_join(rows, members.withColumn("_member", F.lit(True)), on, "inner" if keep else "left")
+    return (marked if keep else marked.where("_member IS NULL")).drop("_member")

@@ -115,6 +115,19 @@ def test_lookup_join_without_broadcast(spark, monkeypatch):
         assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def test_member_join_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(joins, "fits_broadcast", lambda *a, **k: False)
+    monkeypatch.setattr(joins, "HOT_KEYS", 2)
+    hot = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 200)
+    left = spark.range(3000).select(hot.alias("k"), "id")
+    members = spark.range(150).select(F.col("id").alias("k"))
+    members = members.union(members)
+    for keep, test in ((True, "k < 150"), (False, "k >= 150")):
+        got = joins.member_join(left, members, ["k"], keep)
+        want = left.where(test)
+        assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+
+
 def _pairs(a, w):
     return sorted((i, j) for i, (c, s, e) in enumerate(a) for j, (d, x, y) in enumerate(w) if c == d and s < y and e > x)
 
