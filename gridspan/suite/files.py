@@ -560,3 +560,46 @@ def chromosome_signal(spark, sf):
 def statistics_filter(spark, sf):
     df = variants.gt_stats(genotypes(spark, sf))
     return rows.keep_rows(df, ("call_rate", "==", 1), ("n_missing", "==", 0)).agg(F.count("*").alias("n_rows"))
+
+
+@query(
+    "S8_row_names_header",
+    "SELECT CAST(s_name AS VARCHAR) AS \"index\", CAST(s_nationkey AS BIGINT) AS nation, s_acctbal AS balance FROM supplier",
+)
+def row_names(spark, sf):
+    path = scratch_path(spark, "rnames")
+    cells = line(F.col("s_name"), F.col("s_nationkey"), F.col("s_acctbal"), sep=",")
+    # each part gets the header line, which is one field short
+    table(spark, sf, "supplier").select(cells.alias("nation,balance")).write.csv(path, sep="\t", header=True)
+    return delimited.read_delimited(spark, path).table
+
+
+@query(
+    "S23_pairs",
+    "SELECT 'r' || l_orderkey AS \"readID\", l_returnflag AS chr1, l_partkey AS pos1, l_linestatus AS chr2, l_suppkey AS pos2 FROM lineitem",
+)
+def pairs(spark, sf):
+    cells = line(F.concat(F.lit("r"), F.col("l_orderkey").cast("string")), F.col("l_returnflag"), F.col("l_partkey"), F.col("l_linestatus"), F.col("l_suppkey"))
+    head = spark.createDataFrame([("## pairs format v1.0\n#columns: readID chr1 pos1 chr2 pos2",)], "value string")
+    path = written_text(head.unionByName(table(spark, sf, "lineitem").select(cells.alias("value"))), "pairs")
+    return delimited.read_headed_layout(spark, path, "pairs")
+
+
+@query(
+    "S24_bim",
+    "SELECT l_returnflag AS chrom, 'rs' || l_partkey AS id, l_discount AS cm, l_orderkey AS pos, l_linestatus AS a1, 'G' AS a2 FROM lineitem",
+)
+def bim(spark, sf):
+    name = F.concat(F.lit("rs"), F.col("l_partkey").cast("string"))
+    cells = line(F.col("l_returnflag"), name, F.col("l_discount"), F.col("l_orderkey"), F.col("l_linestatus"), F.lit("G"))
+    return delimited.read_named(spark, written_text(table(spark, sf, "lineitem").select(cells), "bim"), "bim")
+
+
+@query(
+    "U4_names_in_one_set_only",
+    "SELECT DISTINCT o_custkey AS key FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20)",
+)
+def one_set_only(spark, sf):
+    known = table(spark, sf, "customer").where("c_nationkey < 20").select("c_custkey")
+    keys = table(spark, sf, "orders").select(F.col("o_custkey").alias("key")).distinct()
+    return rows.members_of(keys, "key", known, keep=False)
