@@ -19,6 +19,11 @@ from pyspark.sql import functions as F
 SMALL = 200_000
 _ACCURACY = 10_000
 _SLACK = 3.0 / _ACCURACY
+# A first proposal for a table of moderate size comes from about this many rows; the slack is
+# five standard errors of a quantile of such a sample. Counts over all rows decide either way.
+_DRAWN = 100_000
+_DRAWN_SLACK = 0.008
+_COUNTS = 24
 _INF = float("inf")
 
 
@@ -35,9 +40,14 @@ class _Bracket:
     upto: int
 
 
+def _plain(column: str) -> Column:
+    """The column as a double, for comparisons with a bound: NaN is above every bound."""
+    return F.col(f"`{column}`").cast("double")
+
+
 def _number(column: str) -> Column:
     """The column as a double with NaN as null; ranks leave both out."""
-    value = F.col(f"`{column}`").cast("double")
+    value = _plain(column)
     return F.when(~F.isnan(value), value)
 
 
@@ -45,7 +55,7 @@ def _inside(b: _Bracket) -> Column | None:
     """None for a bracket without bounds."""
     if (b.low, b.high) == (-_INF, _INF):
         return None
-    return _number(b.column).between(F.lit(b.low), F.lit(b.high))
+    return _plain(b.column).between(F.lit(b.low), F.lit(b.high))
 
 
 def _values(b: _Bracket) -> Column:
@@ -53,41 +63,71 @@ def _values(b: _Bracket) -> Column:
     return value if inside is None else F.when(inside, value)
 
 
-def _proposals(df: DataFrame, brackets: list[_Bracket]) -> list[tuple[float, float]]:
-    """Tighter bounds from sketches; ranks that share a bracket share its sketch."""
-    points: dict[tuple, list[float]] = {}
+def _proposals(df: DataFrame, brackets: list[_Bracket], slack: float) -> list[tuple]:
+    """Tighter bounds from sketches; ranks that share a bracket share its sketch. None where the
+    sketch saw no value."""
+    asked: dict[tuple, dict[int, list[float]]] = {}
     source: dict[tuple, _Bracket] = {}
     for b in brackets:
         share = (b.rank - b.below) / max(b.upto - b.below - 1, 1)
         place = (b.column, b.low, b.high)
         source[place] = b
-        points.setdefault(place, []).extend([max(share - _SLACK, 0.0), min(share + _SLACK, 1.0)])
+        asked.setdefault(place, {})[b.rank] = [max(share - slack, 0.0), min(share + slack, 1.0)]
+    for ranks in asked.values():
+        for rank, (_, high) in list(ranks.items()):
+            # the two ranks around a percentile get the same bounds
+            if rank - 1 in ranks:
+                ranks[rank - 1][1], ranks[rank][0] = high, ranks[rank - 1][0]
     sketches = [
-        F.percentile_approx(_values(source[p]), shares, _ACCURACY).alias(f"q{i}")
-        for i, (p, shares) in enumerate(points.items())
+        F.percentile_approx(_values(source[p]), [x for pair in ranks.values() for x in pair], _ACCURACY).alias(f"q{i}")
+        for i, (p, ranks) in enumerate(asked.items())
     ]
     row = df.agg(*sketches).first()
-    taken = {p: iter(row[f"q{i}"]) for i, p in enumerate(points)}
-    return [(next(taken[(b.column, b.low, b.high)]), next(taken[(b.column, b.low, b.high)])) for b in brackets]
-
-
-def _tighten(df: DataFrame, brackets: list[_Bracket]) -> list[_Bracket]:
-    """Take each proposed bound that exact counts prove to keep the rank inside."""
-    proposed = _proposals(df, brackets)
-    wanted: dict[tuple, Column] = {}
-    for b, (low, high) in zip(brackets, proposed, strict=True):
-        value = _number(b.column)
-        wanted[(b.column, low, "below")] = F.count(F.when(value < low, 1))
-        wanted[(b.column, high, "upto")] = F.count(F.when(value <= high, 1))
-    row = df.agg(*[c.alias(f"n{i}") for i, c in enumerate(wanted.values())]).first()
-    counted = {key: row[f"n{i}"] for i, key in enumerate(wanted)}
+    found = {}
+    for i, (place, ranks) in enumerate(asked.items()):
+        values = row[f"q{i}"] or [None] * (2 * len(ranks))
+        for k, rank in enumerate(ranks):
+            found[(place, rank)] = (values[2 * k], values[2 * k + 1])
+    return [found[((b.column, b.low, b.high), b.rank)] for b in brackets]
+
+
+def _tighten(df: DataFrame, brackets: list[_Bracket], drawn: float | None = None) -> list[_Bracket]:
+    """Take each proposed bound that exact counts prove to keep the rank inside.
+
+    The counts also tell when the rank falls on a bound itself, as it does for columns of few
+    values; the bracket is then that value.
+    """
+    if drawn is None:
+        proposed = _proposals(df, brackets, _SLACK)
+    else:
+        proposed = _proposals(df.sample(drawn, 0), brackets, _DRAWN_SLACK)
+    bounds = {(b.column, x) for b, pair in zip(brackets, proposed, strict=True) for x in pair if x is not None}
+    wanted = {}
+    for column, x in bounds:
+        wanted[(column, x, "below")] = F.count(F.when(_plain(column) < x, 1))
+        wanted[(column, x, "upto")] = F.count(F.when(_plain(column) <= x, 1))
+    if not wanted:
+        return brackets
+    counted, keys = {}, sorted(wanted)
+    for i in range(0, len(keys), _COUNTS):
+        # a few counts at a time, of neighbouring columns: short generated code that gets compiled
+        part = keys[i : i + _COUNTS]
+        row = df.agg(*[wanted[key].alias(f"n{j}") for j, key in enumerate(part)]).first()
+        counted |= {key: row[f"n{j}"] for j, key in enumerate(part)}
     result = []
-    for b, (low, high) in zip(brackets, proposed, strict=True):
-        below, upto = counted[(b.column, low, "below")], counted[(b.column, high, "upto")]
-        if below > b.rank:
-            low, below = b.low, b.below
-        if upto <= b.rank:
-            high, upto = b.high, b.upto
+    for b, pair in zip(brackets, proposed, strict=True):
+        low, high, below, upto = b.low, b.high, b.below, b.upto
+        for x in pair:
+            if x is None:
+                continue
+            smaller, reached = counted[(b.column, x, "below")], counted[(b.column, x, "upto")]
+            if smaller <= b.rank < reached:
+                low, high, below, upto = x, x, smaller, reached
+            elif reached <= b.rank and x >= low:
+                # the rank lies above x; rows equal to x stay inside and are counted as such
+                low, below = x, smaller
+            elif smaller > b.rank and x <= high:
+                high, upto = x, reached
         result.append(_Bracket(b.column, b.rank, low, high, below, upto))
     return result
 
@@ -116,7 +156,9 @@ def exact_ranks(df: DataFrame, ranks: dict[str, list[int]], counts: dict[str, in
         loose = [b for b in loose if b not in settled]
         if not loose:
             break
-        tighter = _tighten(df, loose)
+        most = max(b.upto - b.below for b in loose)
+        small_table = turn == 0 and _DRAWN < most <= 50 * max(limit, 1)
+        tighter = _tighten(df, loose, _DRAWN / most if small_table else None)
         if tighter == loose:
             break
         loose = tighter

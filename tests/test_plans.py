@@ -85,6 +85,16 @@ def test_one_value_in_a_third_of_the_rows(spark):
     assert [got[("v", p)] for p in (0.2, 0.4, 0.7)] == pytest.approx(want)
 
 
+def test_percentiles_skip_nan_and_take_infinity(spark):
+    special = F.when(F.col("id") % 10 == 0, float("nan")).when(F.col("id") % 10 == 1, None).when(F.col("id") % 100 == 2, float("inf"))
+    df = spark.range(20000).select(special.otherwise(F.col("id") * 0.25 - 900).alias("v"))
+    n = df.where("v is not null and not isnan(v)").count()
+    got = quantiles.exact_percentiles(df, ["v"], [0.0, 0.1, 0.5, 1.0], {"v": n}, 10)
+    clean = df.where("v is not null and not isnan(v)")
+    want = clean.select(F.percentile("v", F.array(*map(F.lit, [0.0, 0.1, 0.5, 1.0])))).first()[0]
+    assert [got[("v", p)] for p in (0.0, 0.1, 0.5, 1.0)] == want
+
+
 def test_first_rows_by_counting(spark):
     df = spark.range(5000).select((F.col("id") % 1000).alias("k"), "id")
     got = quantiles.first_rows(df, [F.col("k"), F.col("id")], 3333, in_memory=10)
