@@ -86,6 +86,16 @@ def as_number(value) -> Number:
     raise TypeError(f"not a number: {value!r}; wrap columns with operand(df, name)")
 
 
+def epoch_micros(value: Column, kind: T.DataType) -> Column:
+    """Microseconds since 1970 of a date or time; one without a zone counts as UTC, whatever the
+    time zone of the session."""
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value).cast("long") * 86_400_000_000
+    if isinstance(kind, T.TimestampNTZType):
+        value = F.from_utc_timestamp(value.cast("timestamp"), F.current_timezone())
+    return F.unix_micros(value)
+
+
 def operand(df: DataFrame, name: str) -> Number:
     """A column as an arithmetic operand; text and nested columns are refused."""
     kind, value = column_type(df, name), F.col(f"`{name}`")
@@ -100,7 +110,7 @@ def operand(df: DataFrame, name: str) -> Number:
     if isinstance(kind, T.DateType):
         return Number(F.unix_date(value).cast("long"), True)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return Number(F.unix_micros(value.cast("timestamp")), True)
+        return Number(epoch_micros(value, kind), True)
     raise TypeError(f"column {name!r} is {kind.simpleString()}, not a number; length() gives its length")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arith import epoch_micros
 from ..functions.cells import FLOATS, TEMPORAL, column_type, is_number, text_of
 from ..plans import quantiles
 from .select import require
@@ -145,7 +146,7 @@ def describe_times(
     names = columns or [f.name for f in df.schema if isinstance(f.dataType, TEMPORAL)]
     require(df, *names)
     micros = df.select(
-        *[F.unix_micros(F.col(f"`{c}`").cast("timestamp")).alias(f"t{i}") for i, c in enumerate(names)]
+        *[epoch_micros(F.col(f"`{c}`"), column_type(df, c)).alias(f"t{i}") for i, c in enumerate(names)]
     )
     cells = [f"t{i}" for i in range(len(names))]
     # column names t0, t1 ... keep the report order

@@ -80,6 +80,15 @@ def test_round(spark, value, digits, want):
     assert compute(df, r=lambda n: arith.rounded(n("v"), digits)).first()["r"] == want
 
 
+def test_times_do_not_depend_on_the_session(spark):
+    df = spark.sql("select timestamp_ntz'2024-07-01 00:00:01' n, date'1970-01-03' d, timestamp'2024-07-01 00:00:01+00:00' t")
+    want = (1719792001000000, 2, 1719792001000000)
+    for zone in ("America/New_York", "UTC"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        out = compute(df, a=lambda n: n("n"), b=lambda n: n("d"), c=lambda n: n("t")).select("a", "b", "c")
+        assert tuple(out.first()) == want
+
+
 def test_text_is_no_number(spark):
     df = spark.createDataFrame([("a",)], "t string")
     with pytest.raises(TypeError, match="length"):
