@@ -1,6 +1,6 @@
 """All queries of this package; importing the modules registers them."""
 
-from . import byte_bpe, exact_dedup, licenses, line_quality, packing, separator_scan, substring_dedup, token_store  # noqa: F401
+from . import bag_minhash, byte_bpe, exact_dedup, licenses, line_quality, packing, separator_scan, substring_dedup, token_store  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
