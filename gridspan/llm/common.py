@@ -100,6 +100,16 @@ def starts_of(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``base`` for exponents under ``n``, as products of one of 65,536 low and one high power."""
+    with np.errstate(over="ignore"):
+        low = np.full(1 << 16, base, np.uint64)
+        low[0] = 1
+        high = np.full(max(1, -(-n >> 16) + 1), pow(base, 1 << 16, 1 << 64), np.uint64)
+        high[0] = 1
+        return np.multiply.accumulate(low), np.multiply.accumulate(high)
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of many texts: flat arrays over one joined buffer.
 
@@ -107,8 +117,6 @@ class Words:
     ``first`` / ``count`` the words of each text. ``code`` is a 64-bit polynomial hash of the bytes.
     """
 
-    _powers = np.ones(1, np.uint64)
-    _inverses = np.ones(1, np.uint64)
     _BASE = 0x9E3779B97F4A7C15 | 1
 
     def __init__(self, texts: list[bytes], codes: bool = True):
@@ -125,23 +133,16 @@ class Words:
         if codes:
             self.code = self._codes(raw)
 
-    @classmethod
-    def _grow(cls, n: int) -> None:
-        if len(cls._powers) < n:
-            n = 1 << (n - 1).bit_length()
-            back = pow(cls._BASE, -1, 1 << 64)
-            with np.errstate(over="ignore"):
-                for name, base in (("_powers", cls._BASE), ("_inverses", back)):
-                    steps = np.full(n, base, np.uint64)
-                    steps[0] = 1
-                    setattr(cls, name, np.multiply.accumulate(steps))
-
     def _codes(self, raw: np.ndarray) -> np.ndarray:
-        self._grow(len(raw))
+        low, high = _powers(self._BASE, len(raw))
+        back_low, back_high = _powers(pow(self._BASE, -1, 1 << 64), len(raw))
         with np.errstate(over="ignore"):
-            total = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum((raw.astype(np.uint64) + _U(1)) * self._powers[: len(raw)], out=total[1:])
-            value = (total[self.end] - total[self.start]) * self._inverses[self.start]
+            total = np.multiply.outer(high, low).ravel()[: len(raw)]
+            total *= raw.astype(np.uint64) + _U(1)
+            np.cumsum(total, out=total)
+            before = np.where(self.start > 0, total[self.start - 1], _U(0))
+            back = back_low[self.start & 0xFFFF] * back_high[self.start >> 16]
+            value = (total[self.end - 1] - before) * back
             return mix64(value ^ ((self.end - self.start).astype(np.uint64) << _U(56)))
 
     def runs(self, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -14,7 +14,7 @@ hang below one node of depth 13 or more in the corpus's suffix tree. The tree is
 4. Nodes answer the chunks whose documents come later, and windows that are removed merge into the
    maximal repeated spans.
 
-Words are compared by 64-bit hashes; a window by the hashes of its first two words and of all 13.
+Words are compared by 64-bit hashes; a window by 32 bits of its first word and 64 bits of all 13.
 """
 
 from __future__ import annotations
@@ -38,11 +38,13 @@ class _Chunk:
     def __init__(self, docs, window: int):
         ids = docs.column("id")
         self.ids = ids.fill_null(NO_ID).to_numpy().astype(np.int64)
-        self.texts = texts_of(docs.column("text"))
+        text = docs.column("row").combine_chunks().field("text")
+        self.null = text.is_null().to_pylist()
+        self.texts = texts_of(text.cast("string"))
         words = self.words = Words(self.texts)
         self.at, self.whole = words.runs(window)
         code = words.code
-        self.lead = (code[self.at] & np.uint64(0xFFFFFFFF00000000)) | (code[self.at + 1] >> np.uint64(32))
+        self.lead = (code[self.at] >> np.uint64(32)).astype(np.uint32)
         self.owner = self.ids[words.doc[self.at]]
         reach = window - ANCHOR + 1
         grams = np.full(len(code) + reach, ~np.uint64(0), np.uint64)
@@ -60,6 +62,10 @@ class _Chunk:
         """Windows sorted by key, the first of each run of equal keys, and the smallest id in each run."""
         order = np.argsort(self.whole, kind="stable")
         whole, lead = self.whole[order], self.lead[order]
+        same = whole[1:] == whole[:-1]
+        if (same & (lead[1:] != lead[:-1])).any():
+            order = np.lexsort((self.lead, self.whole))
+            whole, lead = self.whole[order], self.lead[order]
         new = np.ones(len(order), bool)
         new[1:] = (whole[1:] != whole[:-1]) | (lead[1:] != lead[:-1])
         starts = np.flatnonzero(new)
@@ -68,7 +74,7 @@ class _Chunk:
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
-    return values.view(np.int64)
+    return values.view(np.int64 if values.itemsize == 8 else np.int32)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -83,10 +89,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHU
     (repeated rows) do not remove each other's words; texts of under ``window`` words lose nothing; an
     empty table gives no rows.
     """
-    fields = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")]
+    fields = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id")]
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     chunks = max(4 * shuffle_width(docs), -(-int(total) // chunk_bytes))
-    dealt = shipped(docs).select(*fields).withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
+    dealt = shipped(docs).select(*fields).withColumn("chunk", F.pmod(F.xxhash64("id", "row.text"), F.lit(chunks)).cast("int"))
     by_chunk = dealt.groupBy("chunk")
 
     def anchors(docs):
@@ -95,46 +101,53 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHU
         part = _Chunk(docs, window)
         new = np.ones(len(part.at), bool)
         new[1:] = (part.anchor[1:] != part.anchor[:-1]) | (part.owner[1:] != part.owner[:-1])
-        anchor, owner = part.anchor[new], part.owner[new]
+        where = np.flatnonzero(new)
+        anchor, owner = part.anchor[where], part.owner[where]
         order = np.argsort(anchor, kind="stable")
-        anchor, owner = anchor[order], owner[order]
-        starts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, np.int64)
-        low = np.minimum.reduceat(owner, starts) if len(starts) else owner
-        high = np.maximum.reduceat(owner, starts) if len(starts) else owner
+        sorted_ = anchor[order]
+        starts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(order) else np.zeros(0, np.int64)
+        low = np.minimum.reduceat(owner[order], starts) if len(starts) else owner
+        high = np.maximum.reduceat(owner[order], starts) if len(starts) else owner
+        # rows leave in the order of the text, where neighbours differ in little but the hash
+        text_order = np.argsort(order[starts])
         chunk = np.full(len(starts), docs.column("chunk")[0].as_py(), np.int32)
-        return pa.table({"anchor": _signed(anchor[starts]), "chunk": chunk, "low": low, "high": high})
+        columns = {"anchor": _signed(sorted_[starts]), "chunk": chunk, "low": low, "spread": high - low}
+        return pa.table({k: v[text_order] for k, v in columns.items()})
 
     def suffixes(docs, shared):
         import pyarrow as pa
 
-        kinds = {"lead": pa.int64(), "whole": pa.int64(), "chunk": pa.int32(), "first": pa.int64()}
+        kinds = {"lead": pa.int32(), "whole": pa.int64(), "chunk": pa.int32(), "first": pa.int64()}
         if not docs.num_rows or not shared.num_rows:
             return pa.table({k: pa.array([], t) for k, t in kinds.items()})
         part = _Chunk(docs, window)
-        kept = np.isin(_signed(part.anchor), shared.column("anchor").to_numpy())
+        kept = np.flatnonzero(np.isin(_signed(part.anchor), shared.column("anchor").to_numpy()))
         part.whole, part.lead, part.owner = part.whole[kept], part.lead[kept], part.owner[kept]
         order, starts, smallest = part.least()
-        place = order[starts]
-        chunk = np.full(len(starts), docs.column("chunk")[0].as_py(), np.int32)
-        return pa.table({"lead": _signed(part.lead[place]), "whole": _signed(part.whole[place]), "chunk": chunk, "first": smallest})
+        text_order = np.argsort(order[starts])
+        place = order[starts][text_order]
+        chunk = np.full(len(place), docs.column("chunk")[0].as_py(), np.int32)
+        return pa.table({"lead": _signed(part.lead[place]), "whole": _signed(part.whole[place]), "chunk": chunk, "first": smallest[text_order]})
 
     def cut(docs, earlier):
         import pyarrow as pa
 
-        part = _Chunk(docs, window) if docs.num_rows else None
-        if part is None:
-            return pa.Table.from_batches([], schema=pa.schema([]))
+        part = _Chunk(docs, window)  # every answer is to a chunk that has documents
         words = part.words
         order, starts, smallest = part.least()
-        first = np.repeat(smallest, np.diff(np.append(starts, len(order))))
+        # runs that an earlier document of another chunk has: answers found by key among the sorted runs
+        known = np.zeros(len(starts), bool)
+        run_whole, run_lead = part.whole[order[starts]], part.lead[order[starts]]
+        whole = earlier.column("whole").to_numpy().view(np.uint64)
+        lead = earlier.column("lead").to_numpy().view(np.uint32)
+        at = np.searchsorted(run_whole, whole)
+        while len(at):
+            hit = run_lead[at] == lead
+            known[at[hit]] = True
+            at, lead = at[~hit] + 1, lead[~hit]  # another window with this hash
+        size = np.diff(np.append(starts, len(order)))
         gone = np.zeros(len(order), bool)
-        gone[order] = part.owner[order] > first
-        if earlier.num_rows:
-            hit = np.isin(_signed(part.whole), earlier.column("whole").to_numpy())
-            there = set(zip(earlier.column("whole").to_pylist(), earlier.column("lead").to_pylist()))
-            near = np.flatnonzero(hit & ~gone)
-            pairs = zip(_signed(part.whole[near]).tolist(), _signed(part.lead[near]).tolist())
-            gone[near[np.fromiter((p in there for p in pairs), bool, len(near))]] = True
+        gone[order] = np.repeat(known, size) | (part.owner[order] > np.repeat(smallest, size))
         change = np.zeros(len(words.start) + window + 1, np.int32)
         np.add.at(change, part.at[gone], 1)
         np.add.at(change, part.at[gone] + window, -1)
@@ -148,7 +161,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHU
         run_first, run_stop = run_first[spans], run_stop[spans]
         run_doc = words.doc[run_first]
         bounds = np.searchsorted(run_doc, np.arange(len(part.texts) + 1))
-        kept: list = [t.decode() if not null else None for t, null in zip(part.texts, docs.column("text").is_null().to_pylist())]
+        kept: list = [t.decode() if not null else None for t, null in zip(part.texts, part.null)]
         for doc in np.flatnonzero(n_removed).tolist():
             at, out = int(words.text_start[doc]), []
             stop = at + len(part.texts[doc])
@@ -169,10 +182,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHU
         return pa.table(columns)
 
     same = Window.partitionBy("anchor")
-    seen = by_chunk.applyInArrow(anchors, "anchor long, chunk int, low long, high long")
-    shared = seen.select("anchor", "chunk", F.min("low").over(same).alias("least"), F.max("high").over(same).alias("most"))
+    seen = by_chunk.applyInArrow(anchors, "anchor long, chunk int, low long, spread long")
+    shared = seen.select("anchor", "chunk", F.min("low").over(same).alias("least"), F.max(F.col("low") + F.col("spread")).over(same).alias("most"))
     shared = shared.where("least < most").select("chunk", "anchor")
-    leaves = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(suffixes, "lead long, whole long, chunk int, first long")
+    leaves = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(suffixes, "lead int, whole long, chunk int, first long")
     node = Window.partitionBy("lead", "whole")
     tree = leaves.repartitionByRange("lead", "whole").withColumn("least", F.min("first").over(node))
     earlier = tree.where("least < first").select("chunk", "lead", "whole")
