@@ -16,6 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.joins import fits_broadcast
 from ..session import settle
 from .common import Words, mix64, query, shipped, table
 from .components import components
@@ -181,23 +182,114 @@ def _bag_rows(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "digest binary, bag array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float, shingle: int) -> DataFrame:
+def _held_bags(live: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, bag) of the nodes that share a band with another; only their texts are shingled again."""
+    wanted = settle(nodes.join(live.select("node").distinct(), "node").select("node", "digest", "sample"))
+    picked = texts.join(wanted.select("sample"), texts["doc_id"].eqNullSafe(wanted["sample"]), "left_semi").select("text")
+    held = _bag_rows(picked, shingle).join(wanted.select("digest", "node"), "digest")
+    return settle(held.groupBy("node").agg(F.first("bag").alias("bag")))
+
+
+def _verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose multiset overlap is at least ``similarity``.
 
-    Only documents that stand for a node of some pair are shingled again; pairs meet the bags by two
-    shuffle joins, whose large keys Spark splits.
+    Pairs meet the bags by two joins. Bags of these pairs that are proven small are broadcast, so a node in
+    very many pairs is not copied through a shuffle; others are shuffled, and Spark splits their large keys.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = settle(nodes.join(wanted, "node").select("node", "digest", "sample"))
-    picked = texts.join(wanted.select("sample"), texts["doc_id"].eqNullSafe(wanted["sample"]), "left_semi").select("text")
-    held = _bag_rows(picked, shingle).join(wanted.select("digest", "node"), "digest").groupBy("node").agg(F.first("bag").alias("bag"))
-    held = settle(held)
+    held = held.join(wanted, "node", "left_semi")
+    if fits_broadcast(held):
+        held = F.broadcast(held)
     left = held.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"))
     right = held.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"))
     met = pairs.join(right, "b").join(left, "a")
     both = F.size(F.array_intersect("bag_a", "bag_b"))
-    enough = both >= F.lit(similarity) * (F.size("bag_a") + F.size("bag_b") - both)
-    return settle(met.where(enough).select("a", "b"))
+    return settle(met.where(_reaches(both, F.size("bag_a"), F.size("bag_b"), similarity)).select("a", "b"))
+
+
+def _reaches(common, x, y, similarity: float):
+    """Whether bags of ``x`` and ``y`` elements with ``common`` ones in both are similar enough."""
+    return common >= F.lit(similarity) * (x + y - common)
+
+
+def _clusters(live: DataFrame, rooted: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """(node, weight, can, cluster): nodes that may still have links to another class.
+
+    A link between classes needs shared elements, and only elements that several classes have can be
+    shared: with ``can`` such elements, a node's overlap with any other is at most ``can``. That bound is
+    exact; it takes out documents that were edited too much to be near to any other before pairs are made.
+    Nodes that buckets connect are one cluster, so a pair is made once and not in each bucket it shares.
+    """
+    mixed = settle(_mixed(_classed(live.select("key", "node", "weight"), rooted), "key"))
+    members = mixed.select("node", "root").distinct()
+    elements = held.join(members, "node").select("node", "root", F.explode("bag").alias("element"))
+    between = elements.groupBy("element").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("element")
+    can = elements.join(between, "element", "left_semi").groupBy("node").agg(F.count("*").alias("can"))
+    open_ = settle(mixed.join(can, "node").where(F.col("can") >= F.lit(similarity) * F.col("weight")))
+    hubs = open_.groupBy("key").agg(F.min("node").alias("hub"))
+    clusters = components(open_.join(hubs, "key").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    return settle(open_.select("node", "weight", "can").distinct().join(clusters.withColumnRenamed("root", "cluster"), "node"))
+
+
+def _classed(rows: DataFrame, rooted: DataFrame) -> DataFrame:
+    return rows.join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _star_pairs(open_: DataFrame, spent: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): in each cluster, one hub not yet ``spent`` against the other classes.
+
+    The hub is the node with the fewest elements that no other class has: the least edited one.
+    """
+    fresh = open_.join(spent, "node", "left_anti")
+    rank = F.struct(F.col("can") - F.col("weight"), -F.col("node"), F.col("node").alias("node"), "weight", "can", "root")
+    hubs = fresh.groupBy("cluster").agg(F.max(rank).alias("hub"))
+    near = open_.join(hubs, "cluster").where(F.col("root") != F.col("hub.root"))
+    near = near.where(_reaches(F.least("can", "hub.can"), F.col("weight"), F.col("hub.weight"), similarity))
+    return near.select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+
+
+def _cross_pairs(open_: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: nodes outside a cluster's largest class against all other classes of the cluster."""
+    sizes = open_.groupBy("cluster", "root").count()
+    largest = sizes.groupBy("cluster").agg(F.max(F.struct("count", "root")).alias("top")).select("cluster", F.col("top.root").alias("top"))
+    ranked = open_.join(largest, "cluster")
+    minor = ranked.where("root <> top").select(F.col("cluster").alias("c"), F.col("node").alias("x"), F.col("weight").alias("wx"), F.col("root").alias("rx"), F.col("can").alias("cx"))
+    two = ranked.select("cluster", "top", F.col("node").alias("y"), F.col("weight").alias("wy"), F.col("root").alias("ry"), F.col("can").alias("cy"))
+    possible = _reaches(F.least("cx", "cy"), F.col("wx"), F.col("wy"), similarity)
+    # a pair of two minor classes is made from its smaller node only
+    once = (F.col("ry") == F.col("top")) | (F.col("x") < F.col("y"))
+    pairs = minor.join(two, (F.col("c") == F.col("cluster")) & (F.col("rx") != F.col("ry")) & possible & once)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _linked_classes(live: DataFrame, held: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
+    """(node, root): components of all links among candidates, found without pairs inside a class."""
+    links = _verified(first, held, similarity)
+    rooted = settle(components(links))
+    clusters = _clusters(live, rooted, held, similarity)
+    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    spent = clusters.select("node").limit(0)
+    while True:
+        open_ = settle(_mixed(_classed(clusters, rooted), "cluster"))
+        star = settle(_star_pairs(open_, spent, similarity))
+        new = _verified(star, held, similarity)
+        if new.isEmpty():
+            break
+        spent = settle(spent.unionAll(star.select("a").distinct()))
+        tested = tested.unionAll(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        links = settle(links.unionAll(new))
+        rooted = settle(components(links))
+    rest = settle(_cross_pairs(open_, similarity).join(tested, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        links = links.unionAll(_verified(rest, held, similarity))
+        rooted = settle(components(links))
+    return rooted
+
+
+def _mixed(classed: DataFrame, by: str) -> DataFrame:
+    """The rows of groups that hold several classes."""
+    several = classed.groupBy(by).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return classed.join(several.select(by), by)
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
@@ -210,11 +302,11 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     * Nodes that share a band of the signature are candidates (40 bands of 7: a pair at 0.8 is met with
       probability 0.9999, one at 0.5 with 0.27). In each bucket all are first compared with its smallest
       node, so a bucket of n costs n - 1 comparisons.
-    * Only where a bucket then still holds several classes, its members outside the largest class are
-      compared with those of the other classes. Pairs within a class would add nothing. So no candidate
-      link between classes is lost, and no bucket is expanded into all pairs.
-    * Sizes that can't reach the similarity are never compared: the smaller bag must have at least
-      ``similarity`` times the elements of the larger.
+    * Where buckets then still hold several classes, the least edited node of each cluster of buckets is
+      compared with the other classes, round by round as long as that finds links. What is left outside
+      the largest class is compared with the other classes where sizes and shared elements allow a link
+      at all (see :func:`_clusters`). Pairs within a class would add nothing, so no candidate link between
+      classes is lost, and no bucket is expanded into all pairs.
 
     A text without words (null, empty, only signs) is a class by itself; null ids lose to all others for
     ``class_id``; repeated rows fall into one class, of which one row is ``kept``; a short text is one
@@ -228,33 +320,17 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     nodes = settle(nodes)
 
     keyed = some.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
-    banded = keyed.select(F.explode("keys").alias("key"), F.col("row").alias("node"), "weight")
-    hubs = banded.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "weight")).alias("hub")).where("n > 1")
-    live = settle(banded.join(hubs.select("key", "hub"), "key"))
-
-    def near_in_size(x, y):
-        return F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
-
-    first = live.where((F.col("node") != F.col("hub.node")) & near_in_size(F.col("weight"), F.col("hub.weight")))
-    first = settle(first.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct())
-    links = _verified(first, texts, nodes, similarity, shingle)
-    rooted = settle(components(links))
-
-    # buckets that still hold several classes
-    classed = live.join(rooted, "node", "left").select("key", "node", "weight", F.coalesce("root", "node").alias("root"))
-    spread = classed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    mixed = settle(classed.join(spread.select("key"), "key"))
-    sizes = mixed.groupBy("key", "root").count()
-    largest = sizes.groupBy("key").agg(F.max(F.struct("count", "root")).alias("top")).select("key", F.col("top.root").alias("top"))
-    minor = mixed.join(largest, "key").where("root <> top")
-    one = minor.select("key", F.col("node").alias("x"), F.col("weight").alias("wx"), F.col("root").alias("rx"))
-    two = mixed.select("key", F.col("node").alias("y"), F.col("weight").alias("wy"), F.col("root").alias("ry"))
-    second = one.join(two, "key").where((F.col("rx") != F.col("ry")) & near_in_size(F.col("wx"), F.col("wy")))
-    second = second.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    second = settle(second.join(first, ["a", "b"], "left_anti"))
-    if not second.isEmpty():
-        links = links.unionAll(_verified(second, texts, nodes, similarity, shingle))
-        rooted = settle(components(links))
+    banded = keyed.select(F.explode("keys").alias("key"), F.col("row").alias("node"))
+    hubs = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
+    live = banded.join(hubs.select("key", "hub"), "key")
+    live = settle(live.join(nodes.select("node", "weight"), "node"))
+    held = _held_bags(live, texts, nodes, shingle)
+
+    hub_weight = nodes.select(F.col("node").alias("hub"), F.col("weight").alias("hub_weight"))
+    first = live.where("node <> hub").select("hub", "node", "weight").distinct().join(hub_weight, "hub")
+    first = first.where(_reaches(F.least("weight", "hub_weight"), F.col("weight"), F.col("hub_weight"), similarity))
+    first = settle(first.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    rooted = _linked_classes(live, held, first, similarity)
 
     member = signed.join(nodes.select("digest", "node"), "digest", "left").join(rooted, "node", "left")
     member = settle(member.select("doc_id", "row", F.coalesce("root", "node", "row").alias("root")))
