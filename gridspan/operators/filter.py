@@ -12,7 +12,8 @@ import re
 from datetime import date, datetime, timezone
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,11 +145,8 @@ def where(df: DataFrame, column: str, op: str, value=None) -> Column:
         bits = cell.cast("long").bitwiseAND(F.lit(mask))
         return bits == F.lit(mask if op == "has" else 0)
     if op in ("~", "!~"):
-        try:
-            re.compile(value)
-            F.lit("").rlike(value)
-        except re.error as wrong:
-            raise ValueError(f"bad regular expression {value!r}: {wrong}") from None
+        if (wrong := _pattern_fault(value)) is not None:
+            raise ValueError(f"bad regular expression {value!r}: {wrong}")
         if not textual:
             return F.lit(False)
         return cell.rlike(value) if op == "~" else ~cell.rlike(value)
@@ -213,14 +211,21 @@ def member_file(spark, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(first.alias("member"))
 
 
+def _pattern_fault(pattern: str) -> str | None:
+    """What Java's pattern class, which runs the pattern, has against it."""
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException as wrong:
+        return str(wrong).splitlines()[0]
+    return None
+
+
 def search(df: DataFrame, pattern: str, columns: list[str] | None = None) -> DataFrame:
     """Rows with a match in any column, case-insensitive, with the matching column names.
 
     The pattern is a regular expression, or plain text when it is not a valid one.
     """
-    try:
-        re.compile(pattern)
-    except re.error:
+    if _pattern_fault(pattern) is not None:
         pattern = r"\Q" + pattern.replace(r"\E", r"\E\\E\Q") + r"\E"
     names = columns or df.columns
     hits = F.array_compact(

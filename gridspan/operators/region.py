@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.coords import coordinate_columns, spellings, standard_name
-from ..plans.joins import fits_broadcast, member_join
+from ..plans.joins import fits_broadcast, member_join, small_side
 from ..plans.scan import prefix_scan
 from ..session import settle
 
@@ -188,24 +188,18 @@ def _emit(df: DataFrame, mine: set[int], other: set[int], base: int) -> DataFram
 def _salted(rows: DataFrame, wins: DataFrame, key: list[str], share: int) -> tuple[DataFrame, DataFrame]:
     """Spread the rows of crowded cells over salts and repeat their windows per salt.
 
-    The crowded cells are the fullest thousand, so their table has a fixed bound; the salt is
-    a hash of the whole row. Equal copies of one row share a salt, and Spark splits those by
-    map output when it handles the skewed partition.
+    Every cell of more than ``share`` rows is crowded, so their table has at most rows / share rows; it
+    is broadcast where that is proven small. The salt is a hash of the whole row. Equal copies of one row
+    share a salt, and Spark splits those by map output when it handles the skewed partition.
     """
-    crowded = (
-        rows.groupBy(*key)
-        .count()
-        .orderBy(F.desc("count"), *key)
-        .limit(1000)
-        .select(*key, F.ceil(F.col("count") / share).cast("int").alias("_salts"))
-        .where("_salts > 1")
-    )
+    counted = rows.groupBy(*key).count().where(F.col("count") > share)
+    crowded = small_side(counted.select(*key, F.ceil(F.col("count") / share).cast("int").alias("_salts")))
     salts = F.coalesce("_salts", F.lit(1))
     plain = [c for c, t in rows.dtypes if "map<" not in t and "variant" not in t]
-    salted = rows.join(F.broadcast(crowded), key, "left").withColumn(
+    salted = rows.join(crowded, key, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), salts).cast("int")
     )
-    repeated = wins.join(F.broadcast(crowded), key, "left").withColumn(
+    repeated = wins.join(crowded, key, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
     )
     return salted.drop("_salts"), repeated.drop("_salts")

@@ -27,11 +27,11 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*[c for f in df.schema for c in leaves(f.name, F.col(f"`{f.name}`"), f.dataType)])
 
 
-def packed_keys(df: DataFrame, column: str, position: Column | None = None, max_keys: int = 256) -> list[str]:
+def packed_keys(df: DataFrame, column: str, position: Column | None = None, max_keys: int | None = None) -> list[str]:
     """Keys found in a packed column over all rows, in order of first use.
 
     The keys are counted with a partial aggregation, so only one row per key leaves a task.
-    More than ``max_keys`` is an error, not a cut: raise the bound to take them all.
+    All keys are found; with ``max_keys``, more of them are an error, not a cut.
     """
     place = position if position is not None else F.lit(0).cast("long")
     tokens = F.posexplode(F.array_distinct(keys_of(F.col("packed")))).alias("slot", "key")
@@ -41,10 +41,11 @@ def packed_keys(df: DataFrame, column: str, position: Column | None = None, max_
         .groupBy("key")
         .agg(F.min(F.struct("place", "slot")).alias("first"))
         .orderBy("first", "key")
-        .limit(max_keys + 1)
     )
+    if max_keys is not None:
+        keys = keys.limit(max_keys + 1)
     found = [r["key"] for r in keys.collect()]
-    if len(found) > max_keys:
+    if max_keys is not None and len(found) > max_keys:
         raise ValueError(f"{column!r} holds more than {max_keys} keys; give keys= or a higher max_keys")
     return found
 
@@ -55,7 +56,7 @@ def expand(
     keys: list[str] | None = None,
     header: list[str] | None = None,
     position: Column | None = None,
-    max_keys: int = 256,
+    max_keys: int | None = None,
 ) -> DataFrame:
     """Append a column per key of a packed column; the packed column stays.
 

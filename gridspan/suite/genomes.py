@@ -18,10 +18,17 @@ _KEEP = ["chrom", "start", "end", "l_linenumber", "l_partkey", "l_suppkey"]
 
 @query(
     "R_1_region_list",
-    "SELECT * FROM (VALUES ('A', 99, 200), ('A', NULL, 50), ('N', 1000, NULL), ('R', 6, 7), ('scaf:1', NULL, NULL)) t(chrom, start, \"end\")",
+    "SELECT n_name AS chrom, CASE n_nationkey % 3 WHEN 2 THEN NULL ELSE n_nationkey END AS start, "
+    "CASE n_nationkey % 3 WHEN 0 THEN n_nationkey + 9 WHEN 1 THEN NULL ELSE n_nationkey + 1 END AS \"end\" FROM nation",
 )
 def region_list(spark, sf):
-    parsed = region.parse_regions("A:100-200,A:-50,N:1001-,R:7,scaf:1:", "NCBI")
+    first = (F.col("n_nationkey") + 1).cast("string")
+    closed = F.concat(first, F.lit("-"), (F.col("n_nationkey") + 9).cast("string"))
+    kind = F.col("n_nationkey") % 3
+    spot = F.when(kind == 0, closed).when(kind == 1, F.concat(first, F.lit("-"))).otherwise(F.concat(F.lit("-"), first))
+    texts = table(spark, sf, "nation").select(F.concat("n_name", F.lit(":"), spot).alias("region"))
+    # a list that a user writes: one row per nation
+    parsed = region.parse_regions(",".join(r["region"] for r in texts.collect()), "NCBI")
     return region.windows_frame(spark, parsed).drop("window_id")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arith
 from ..functions.cells import grouped_digits, text_of
-from ..operators import compare, compute, distinct_rows, layout, order, reshape, select, summary
+from ..operators import compare, compute, distinct_rows, order, reshape, select, summary
 from ..operators import filter as rows
 from ..plans.position import numbered_by, numbered_parquet
 from .base import query, shares, table
@@ -202,7 +202,7 @@ def narrowed(spark, sf):
     "AS matched FROM part WHERE regexp_matches(p_name || ' ' || p_brand || ' ' || p_type, '(?i)ECON|blue')",
 )
 def search(spark, sf):
-    found = rows.search(table(spark, sf, "part"), "econ|BLUE", ["p_name", "p_brand", "p_type"])
+    found = rows.search(table(spark, sf, "part"), "econ|BLUE")
     return found.select("p_partkey", F.array_join("matched", ",").alias("matched"))
 
 
@@ -701,24 +701,6 @@ def schema(spark, sf):
     return summary.schema_report(table(spark, sf, "orders")).select("position", "name", "type")
 
 
-@query("R2_column_layout")
-def columns_layout(spark, sf):
-    return layout.column_layout(spark, [f"{sf}/lineitem.parquet", f"{sf}/orders.parquet"])
-
-
-@query("R2_row_group_layout", "SELECT 0 AS row_group, 0 AS first_row, CAST(min(o_orderkey) AS VARCHAR) AS low, CAST(max(o_orderkey) AS VARCHAR) AS high FROM orders")
-def groups_layout(spark, sf):
-    out = layout.row_group_layout(spark, f"{sf}/orders.parquet", ["o_orderkey"])
-    # the whole key range, whatever the number of row groups
-    low, high = F.col("o_orderkey_min").cast("long"), F.col("o_orderkey_max").cast("long")
-    return out.agg(
-        F.min("row_group").cast("int").alias("row_group"),
-        F.min("first_row").cast("int").alias("first_row"),
-        F.min(low).cast("string").alias("low"),
-        F.max(high).cast("string").alias("high"),
-    )
-
-
 def _changed(spark, sf):
     df = table(spark, sf, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
     key = F.col("o_orderkey")

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gridspan.operators import compare, filter as f, intervals, json_ops, layout, order, reads, region, reshape, select
+from gridspan.operators import compare, filter as f, intervals, json_ops, order, reads, region, reshape, select
 from gridspan.operators import sequences, signal, summary, variants
 from gridspan.sinks import files as sinks
 from gridspan.sources import delimited
@@ -333,12 +333,18 @@ def test_markdown(spark):
     assert sinks.markdown_header(df) == ["| n | t | e |", "| --- | --- | --- |"]
 
 
-def test_row_groups(spark, tmp_path):
-    path = str(tmp_path / "p")
-    spark.range(5000).repartitionByRange(3, "id").write.parquet(path)
-    groups = layout.row_group_layout(spark, path, ["id"])
-    assert groups.agg(F.sum("rows")).first()[0] == 5000 and groups.count() == 3
-    assert layout.column_layout(spark, path).first()["nulls"] == 0
+def test_java_patterns(spark):
+    df = spark.createDataFrame([("éa",), ("12",)], "t string")
+    assert rows(f.keep_rows(df, ("t", "~", r"^\p{L}+$"))) == [("éa",)]
+    assert [r["t"] for r in f.search(df, r"\p{Nd}{2}").collect()] == ["12"]
+    assert f.search(df, "(").count() == 0
+    with pytest.raises(ValueError):
+        f.keep_rows(df, ("t", "~", "("))
+
+
+def test_many_packed_keys(spark):
+    df = spark.createDataFrame([(";".join(f"k{i}={i}" for i in range(j, j + 200)),) for j in (0, 150)], "INFO string")
+    assert len(reshape.packed_keys(df, "INFO")) == 350
 
 
 def test_matrix_grid(spark):
