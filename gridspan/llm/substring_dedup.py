@@ -222,7 +222,19 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 _SPACES = "[\\x20\\x09-\\x0D]+"
 
 
-@query("op1_substring_dedup")
+_SQL = (
+    "WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents), "
+    "windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM t) u), "
+    "firsts AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS f FROM windows), "
+    "gone AS (SELECT DISTINCT doc_id, i + j AS pos FROM (SELECT doc_id, i, unnest(range(13)) AS j FROM firsts WHERE f < doc_id) v), "
+    "words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM t), "
+    "kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.pos) FILTER (WHERE gone.pos IS NULL) AS k, count(gone.pos) AS n "
+    "FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.pos = gone.pos GROUP BY 1) "
+    "SELECT t.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM t LEFT JOIN kept USING (doc_id)"
+)
+
+
+@query("op1_substring_dedup", _SQL)
 def op1(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = remove_repeats(docs)
