@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.joins import fits_broadcast
+from ..plans.joins import BROADCAST_ROWS, fits_broadcast
 from ..session import settle
 from .common import Words, mix64, query, shipped, table
 from .components import components
@@ -26,6 +26,8 @@ SIMILARITY = 0.8
 BANDS = 40
 ROWS = 7
 _GROUP_WORDS = 400_000
+# Bytes of bags that may be broadcast.
+_BAG_BYTES = 32 << 20
 _U = np.uint64
 # Signs and capitals don't count: words are compared in lower case without ASCII punctuation.
 _FOLD = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b for b in range(256))
@@ -182,27 +184,44 @@ def _bag_rows(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "digest binary, bag array<long>")
 
 
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if fits_broadcast(table) else table
+
+
+def _few(bags: DataFrame) -> bool:
+    """Whether the bags are proven to fit a broadcast: by their elements of 8 bytes, not by their text."""
+    size = (F.size("bag") * 8 + 64).cast("long").alias("b")
+    seen, used = bags.select(size).limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return seen <= BROADCAST_ROWS and used <= _BAG_BYTES
+
+
 def _held_bags(live: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, bag) of the nodes that share a band with another; only their texts are shingled again."""
+    """(node, bag) of the nodes that share a band with another; only their texts are shingled again.
+
+    Bags are the largest rows here. They stay in the task that makes them unless an id occurs several times,
+    so that one node's bag may be made more than once.
+    """
     wanted = settle(nodes.join(live.select("node").distinct(), "node").select("node", "digest", "sample"))
-    picked = texts.join(wanted.select("sample"), texts["doc_id"].eqNullSafe(wanted["sample"]), "left_semi").select("text")
-    held = _bag_rows(picked, shingle).join(wanted.select("digest", "node"), "digest")
-    return settle(held.groupBy("node").agg(F.first("bag").alias("bag")))
+    ids = _small(wanted.select("sample"))
+    picked = texts.join(ids, texts["doc_id"].eqNullSafe(ids["sample"]), "left_semi")
+    repeated = picked.groupBy("doc_id").count().where("count > 1")
+    held = _bag_rows(picked.select("text"), shingle).join(_small(wanted.select("digest", "node")), "digest").select("node", "bag")
+    return settle(held if repeated.isEmpty() else held.groupBy("node").agg(F.first("bag").alias("bag")))
 
 
 def _verified(pairs: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose multiset overlap is at least ``similarity``.
 
-    Pairs meet the bags by two joins. Bags of these pairs that are proven small are broadcast, so a node in
-    very many pairs is not copied through a shuffle; others are shuffled, and Spark splits their large keys.
+    Pairs proven small go to the bags, which then are read where they lie; so do the bags of all ``a``, of
+    which there is one for a whole cluster in most rounds. What is not small is shuffled, and Spark splits
+    its large keys.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = held.join(wanted, "node", "left_semi")
-    if fits_broadcast(held):
-        held = F.broadcast(held)
-    left = held.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"))
+    hubs = held.join(_small(pairs.select("a").distinct()), F.col("node") == F.col("a"), "left_semi")
+    if _few(hubs):
+        hubs = F.broadcast(hubs)
+    left = hubs.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"))
     right = held.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"))
-    met = pairs.join(right, "b").join(left, "a")
+    met = right.join(_small(pairs.select("a", "b")), "b").join(left, "a")
     both = F.size(F.array_intersect("bag_a", "bag_b"))
     return settle(met.where(_reaches(both, F.size("bag_a"), F.size("bag_b"), similarity)).select("a", "b"))
 
