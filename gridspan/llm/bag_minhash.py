@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..plans.joins import BROADCAST_ROWS, fits_broadcast
 from ..session import settle
 from .common import Words, mix64, query, shipped, table
-from .components import components
+from .components import components, tasks
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -239,15 +239,17 @@ def _clusters(live: DataFrame, rooted: DataFrame, held: DataFrame, similarity: f
     exact; it takes out documents that were edited too much to be near to any other before pairs are made.
     Nodes that buckets connect are one cluster, so a pair is made once and not in each bucket it shares.
     """
-    mixed = settle(_mixed(_classed(live.select("key", "node", "weight"), rooted), "key"))
+    width = tasks(live.count())
+    mixed = settle(_mixed(_classed(live.select("key", "node", "weight"), rooted).coalesce(width), "key").coalesce(width))
     members = mixed.select("node", "root").distinct()
     elements = held.join(members, "node").select("node", "root", F.explode("bag").alias("element"))
     between = elements.groupBy("element").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("element")
-    can = elements.join(between, "element", "left_semi").groupBy("node").agg(F.count("*").alias("can"))
-    open_ = settle(mixed.join(can, "node").where(F.col("can") >= F.lit(similarity) * F.col("weight")))
+    can = elements.join(between, "element", "left_semi").groupBy("node").agg(F.count("*").alias("can")).coalesce(width)
+    open_ = settle(mixed.join(can, "node").where(F.col("can") >= F.lit(similarity) * F.col("weight")).coalesce(width))
     hubs = open_.groupBy("key").agg(F.min("node").alias("hub"))
     clusters = components(open_.join(hubs, "key").select(F.col("hub").alias("a"), F.col("node").alias("b")))
-    return settle(open_.select("node", "weight", "can").distinct().join(clusters.withColumnRenamed("root", "cluster"), "node"))
+    placed = open_.select("node", "weight", "can").distinct().join(clusters.withColumnRenamed("root", "cluster"), "node")
+    return settle(placed.coalesce(width))
 
 
 def _classed(rows: DataFrame, rooted: DataFrame) -> DataFrame:
@@ -286,18 +288,19 @@ def _linked_classes(live: DataFrame, held: DataFrame, first: DataFrame, similari
     links = _verified(first, held, similarity)
     rooted = settle(components(links))
     clusters = _clusters(live, rooted, held, similarity)
+    width = tasks(clusters.count())
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     spent = clusters.select("node").limit(0)
     while True:
-        open_ = settle(_mixed(_classed(clusters, rooted), "cluster"))
-        star = settle(_star_pairs(open_, spent, similarity))
+        open_ = settle(_mixed(_classed(clusters, rooted).coalesce(width), "cluster").coalesce(width))
+        star = settle(_star_pairs(open_, spent, similarity).coalesce(width))
         new = _verified(star, held, similarity)
         if new.isEmpty():
             break
-        spent = settle(spent.unionAll(star.select("a").distinct()))
+        spent = settle(spent.unionAll(star.select("a").distinct()).coalesce(width))
         tested = tested.unionAll(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        links = settle(links.unionAll(new))
-        rooted = settle(components(links))
+        links = settle(links.unionAll(new).coalesce(width))
+        rooted = settle(components(links).coalesce(width))
     rest = settle(_cross_pairs(open_, similarity).join(tested, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = links.unionAll(_verified(rest, held, similarity))

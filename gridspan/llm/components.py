@@ -8,7 +8,20 @@ from pyspark.sql import functions as F
 from ..session import settle
 
 
-def _stars(pairs: DataFrame, low: bool) -> DataFrame:
+# Rows of a few numbers that one task takes.
+_TASK_ROWS = 500_000
+
+
+def tasks(rows: int) -> int:
+    """Tasks for a table of ``rows`` rows of a few numbers: not more than its rows ask for.
+
+    Every shuffle writes files for each of its tasks, so that the rounds over a small table would cost as much as
+    those over a large one.
+    """
+    return max(8, -(-rows // _TASK_ROWS))
+
+
+def _stars(pairs: DataFrame, low: bool, width: int) -> DataFrame:
     """One step: every node hands its larger (or, with ``low``, its smaller) neighbours to its smallest.
 
     ``pairs`` has rows (a, b) with a < b, each once. A node's neighbours are joined to the node's minimum
@@ -25,7 +38,8 @@ def _stars(pairs: DataFrame, low: bool) -> DataFrame:
     else:
         joined = turned.where("near > node").join(least, "node")
         moved = joined.select(F.col("near").alias("x"), F.least("node", "m").alias("y"))
-    return moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    moved = moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return moved.coalesce(width).distinct().coalesce(width)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -40,6 +54,7 @@ def components(links: DataFrame) -> DataFrame:
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark or not now[0]:
             break
-        mark = now
-        pairs = settle(_stars(_stars(pairs, low=False), low=True))
+        mark, width = now, tasks(now[0])
+        # the links never become more
+        pairs = settle(_stars(_stars(pairs.coalesce(width), low=False, width=width), low=True, width=width))
     return pairs.select(F.col("b").alias("node"), F.col("a").alias("root")).unionAll(pairs.select(F.col("a").alias("node"), "a").distinct())
