@@ -8,12 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_STRINGS = r'"(\\.|[^"\\])*"'
+# Possessive, so that long strings need no stack.
+_STRING = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+"'
+_SCALAR = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+|true|false|null"
+_VALUE = "[\u0001\u0002]"
+_CONTAINER = (
+    rf"\{{(?:\x01:{_VALUE}(?:,\x01:{_VALUE})*+)?+\}}|\[(?:{_VALUE}(?:,{_VALUE})*+)?+\]"
+)
 
 
 def _depth(text: Column) -> Column:
     """Greatest nesting of brackets outside strings."""
-    brackets = F.regexp_replace(F.regexp_replace(text, _STRINGS, ""), r"[^\[\]{}]", "")
+    brackets = F.regexp_replace(F.regexp_replace(text, _STRING, ""), r"[^\[\]{}]++", "")
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
 
     def step(state: Column, mark: Column) -> Column:
@@ -29,16 +35,19 @@ def json_paths(df: DataFrame, column: str, prefix: Column | None = None) -> Data
     Paths are written as jq does: ``.key``, ``["odd key"]``, ``[i]``; empty objects and arrays are
     leaves; ``prefix`` (for records, ``concat('.[', i, ']')``) comes before. One pass: each level
     of nesting explodes the containers and leaves the rest, to the depth the data has. Numbers
-    show in their normalised form. Texts that are not valid JSON give no rows.
+    show in their normalised form. A text that is not valid JSON gives one row with a null path; a
+    null text gives none. Of a key that repeats within an object the last value shows; for that, the
+    session lets variants repeat keys from here on.
     """
     others = [c for c in df.columns if c != column]
     text = F.col(f"`{column}`")
     depth = df.agg(F.max(_depth(text))).first()[0] or 0
     spark = df.sparkSession
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     start = prefix if prefix is not None else F.lit("")
-    work = df.select(
+    work = df.where(text.isNotNull()).select(
         *[F.col(f"`{c}`") for c in others], start.alias("_path"), F.try_parse_json(text).alias("_v")
-    ).where("_v IS NOT NULL")
+    )
     for _ in range(depth):
         parts = spark.tvf.variant_explode_outer(F.col("_v").outer()).toDF("_i", "_key", "_child")
         joined = work.lateralJoin(parts)
@@ -59,14 +68,30 @@ def json_paths(df: DataFrame, column: str, prefix: Column | None = None) -> Data
             F.when(opened, F.concat("_path", step)).otherwise(F.col("_path")).alias("_path"),
             F.when(opened, F.col("_child")).otherwise(F.col("_v")).alias("_v"),
         )
-    path = F.when(F.col("_path") == "", ".").otherwise(F.col("_path"))
+    path = F.when(F.col("_v").isNull(), None).when(F.col("_path") == "", ".").otherwise(F.col("_path"))
     return work.select(*[F.col(f"`{c}`") for c in others], path.alias("path"), F.to_json("_v").alias("value"))
 
 
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value as RFC 8259 has it; a key may repeat within an object.
+
+    Strings, numbers and words become one mark each; then containers of marks become marks, from the innermost
+    out, as often as brackets are nested.
+    """
+    # marks that cannot stand in a valid text outside a string: 1 a string, 2 any other value
+    marked = F.regexp_replace(text, _STRING, "\u0001")
+    marked = F.regexp_replace(marked, _SCALAR, "\u0002")
+    marked = F.regexp_replace(marked, r"[ \t\n\r]+", "")
+    depth = F.greatest(_depth(text), F.lit(0))
+    rounds = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
+    whole = F.aggregate(rounds, marked, lambda now, _: F.regexp_replace(now, _CONTAINER, "\u0002"))
+    return ~text.rlike("[\u0001\u0002]") & whole.isin("\u0001", "\u0002")
+
+
 def invalid_json(df: DataFrame, column: str) -> DataFrame:
-    """Rows whose text is there but is not valid JSON."""
+    """Rows whose text is there but is not valid JSON; an object that repeats a key is valid."""
     text = F.col(f"`{column}`")
-    return df.where(text.isNotNull() & F.try_parse_json(text).isNull())
+    return df.where(text.isNotNull() & ~is_json(text))
 
 
 def records_at(df: DataFrame, column: str, path: str, schema: str | T.DataType) -> DataFrame:

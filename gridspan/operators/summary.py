@@ -13,7 +13,6 @@ from ..functions.cells import FLOATS, TEMPORAL, column_type, is_number, text_of
 from ..plans import quantiles
 from .select import require
 
-DISTINCT_CAP = 16
 # 512 registers: up to 16 distinct values fill at most 16 of them, and the estimate is then
 # 512 * ln(512 / 496) < 16.3, so an estimate above 17 proves more than 16.
 _SKETCH_ERROR = 0.05
@@ -83,7 +82,7 @@ def describe(
     df: DataFrame,
     columns: list[str] | None = None,
     percentiles: tuple[float, ...] = (0.25, 0.5, 0.75),
-    distinct_cap: int | None = DISTINCT_CAP,
+    distinct_cap: int | None = None,
     in_buffer: int = IN_BUFFER,
 ) -> DataFrame:
     """A row per column: type, count, nulls, min, max (as text), mean, sum, std, percentiles,
@@ -92,7 +91,7 @@ def describe(
     Minimum, maximum and percentiles leave NaN out; sum and mean keep it. Percentiles
     interpolate linearly and are exact at any size: up to ``in_buffer`` values by one pass that
     counts them by value, beyond that by counting inside narrowing brackets. ``distinct`` is for columns that are not
-    numeric, null when it exceeds ``distinct_cap`` (None counts exactly without a cap).
+    numeric, and exact; with ``distinct_cap`` it is null where there are more.
     """
     names = columns or df.columns
     require(df, *names)

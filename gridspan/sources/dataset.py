@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 _WHOLE = r"^(0|-?[1-9]\d*)$"
+# Formats whose files carry a schema of their own.
+MERGED = ("parquet", "orc")
 
 
 def read_dataset(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
     """All files below ``path`` as one table, partition folders as columns after the data.
 
     A key whose values are all canonical whole numbers is a long; any other, such as month=01,
-    is text. Every file must have the schema of the first, and every path the same keys.
+    is text. Every path must have the same keys. A Parquet or ORC file with columns or types that
+    the first one does not have is an error; executors read the schemas. A file that lacks a column
+    of the first cannot be told this way: its cells there are null.
     """
     keys = _partition_keys(spark, path, fmt)
     config = "spark.sql.sources.partitionColumnTypeInference.enabled"
@@ -22,6 +28,8 @@ def read_dataset(spark: SparkSession, path: str, fmt: str = "parquet", **options
     spark.conf.set(config, "false")
     try:
         df = spark.read.options(basePath=path, **options).format(fmt).load(path)
+        if fmt in MERGED:
+            _check_same_schema(spark.read.options(basePath=path, mergeSchema="true").format(fmt), path, df)
     finally:
         spark.conf.set(config, before)
     if not keys:
@@ -54,14 +62,16 @@ def _partition_keys(spark: SparkSession, path: str, fmt: str) -> dict[str, bool]
     return dict(zip(names, tests, strict=True))
 
 
-def check_same_schema(spark: SparkSession, files: list[str], fmt: str = "parquet") -> None:
-    """Raise when a file's names and types are not those of the first."""
-    first = spark.read.format(fmt).load(files[0]).schema
-    want = [(f.name, f.dataType) for f in first]
-    for file in files[1:]:
-        got = [(f.name, f.dataType) for f in spark.read.format(fmt).load(file).schema]
-        if got != want:
-            raise ValueError(f"{file} has another schema than {files[0]}")
+def _check_same_schema(reader: DataFrameReader, path: str, df: DataFrame) -> None:
+    """Raise when the schemas of all files, merged, hold more than the first one's."""
+    try:
+        merged = reader.load(path).schema
+    except (PySparkException, Py4JJavaError) as clash:
+        raise ValueError(f"files of {path} have different schemas") from clash
+    want = {f.name: f.dataType for f in df.schema}
+    other = [f.name for f in merged if want.get(f.name) != f.dataType]
+    if other:
+        raise ValueError(f"files of {path} have different schemas: {', '.join(other)} not as in the first file")
 
 
 def read_orc(spark: SparkSession, path: str) -> DataFrame:

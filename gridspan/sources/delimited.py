@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.joins import small_side
 from ..plans.position import text_lines
@@ -199,18 +200,47 @@ def write_bad_rows(bad: DataFrame, path: str) -> None:
 
 # Columns of layouts without a header line of their own.
 NAMED_LAYOUTS = {
-    "bim": "chrom string, id string, cm double, pos long, a1 string, a2 string",
-    "fam": "fid string, iid string, father string, mother string, sex int, phenotype string",
+    "bim": "CHROM string, ID string, CM double, POS long, ALT string, REF string",
+    "fam": "FID string, IID string, PAT string, MAT string, SEX int, PHENO1 string",
     "outfmt6": "qseqid string, sseqid string, pident double, length long, mismatch long, gapopen long, "
     "qstart long, qend long, sstart long, send long, evalue double, bitscore double",
     "bedpe": "chrom1 string, start1 long, end1 long, chrom2 string, start2 long, end2 long, name string, "
     "score string, strand1 string, strand2 string",
 }
+# Columns that a layout's lines may leave out: all lines do or none does.
+_OPTIONAL = {"bim": ["CM"], "bedpe": ["name", "score", "strand1", "strand2"]}
 
 
-def read_named(spark: SparkSession, path: str, layout: str, sep: str = "\t") -> DataFrame:
-    """A table without a header whose columns are known: bim, fam, outfmt6, bedpe."""
-    return spark.read.csv(path, schema=NAMED_LAYOUTS[layout], sep=sep, comment="#", header=False)
+def read_named(spark: SparkSession, path: str, layout: str, on_bad_row: str = "stop") -> DataFrame:
+    """A table without a header whose columns are known: bim, fam, outfmt6, bedpe.
+
+    Cells are split at tabs, those of bim and fam at tabs or spaces; quotes mean nothing. A bim of five
+    columns has no CM, a bedpe may end after any column from the sixth. A line with fewer fields than
+    the shortest form stops the read, is skipped, or is padded with nulls (``on_bad_row`` = stop / skip
+    / null); further fields are left out.
+    """
+    if on_bad_row not in ("stop", "skip", "null"):
+        raise ValueError("on_bad_row is stop, skip or null")
+    schema = T._parse_datatype_string(NAMED_LAYOUTS[layout])
+    lines = spark.read.text(path).select(without_return(F.col("value")).alias("line"))
+    lines = lines.where(~F.col("line").startswith("#") & (F.trim("line") != ""))
+    split = lines.withColumn("_f", F.split("line", "[\t ]" if layout in ("bim", "fam") else "\t"))
+    optional = _OPTIONAL.get(layout, [])
+    columns, least = list(schema), len(schema) - len(optional)
+    if layout == "bim":
+        # the width of most lines says whether there is a CM
+        short, full = split.agg(F.count_if(F.size("_f") == least), F.count_if(F.size("_f") > least)).first()
+        if short > full:
+            columns = [f for f in columns if f.name not in optional]
+        else:
+            least = len(schema)
+    wrong = F.size("_f") < least
+    if on_bad_row == "skip":
+        split = split.where(~wrong)
+    elif on_bad_row == "stop":
+        message = F.concat(F.lit(f"expected {least} fields, got "), F.size("_f").cast("string"), F.lit(": "), F.col("line"))
+        split = split.where(F.when(~wrong, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+    return split.select(*[typed(F.get("_f", F.lit(i)), f.dataType.simpleString()).alias(f.name) for i, f in enumerate(columns)])
 
 
 def read_headed_layout(spark: SparkSession, path: str, layout: str) -> DataFrame:
@@ -226,7 +256,9 @@ def read_headed_layout(spark: SparkSession, path: str, layout: str) -> DataFrame
     text, comment = F.col("line"), F.col("line").startswith("#")
     if layout in ("pvar", "psam"):
         head = first(comment & ~text.startswith("##"))
-        names, body = (head or "").lstrip("#").split("\t"), ~comment
+        if head is None:
+            return read_named(spark, path, "bim" if layout == "pvar" else "fam")
+        names, body = head.lstrip("#").split("\t"), ~comment
     elif layout == "pairs":
         head = first(text.startswith("#columns:")) or "#columns: readID chr1 pos1 chr2 pos2 strand1 strand2"
         names, body = head.split(":", 1)[1].split(), ~comment

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Unquoted cells that read as null.
-NULL_TOKENS = ("", "NA", "N/A", "NaN", "nan", "null", "NULL")
+NULL_TOKENS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "N/A", "NA", "NULL", "NaN", "n/a", "nan", "null",
+)
 # Words for separators.
 SEPARATORS = {"tab": "\t", "comma": ",", "semicolon": ";", "pipe": "|", "space": " "}
 

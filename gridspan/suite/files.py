@@ -587,7 +587,7 @@ def pairs(spark, sf):
 
 @query(
     "S24_bim",
-    "SELECT l_returnflag AS chrom, 'rs' || l_partkey AS id, l_discount AS cm, l_orderkey AS pos, l_linestatus AS a1, 'G' AS a2 FROM lineitem",
+    "SELECT l_returnflag AS \"CHROM\", 'rs' || l_partkey AS \"ID\", l_discount AS \"CM\", l_orderkey AS \"POS\", l_linestatus AS \"ALT\", 'G' AS \"REF\" FROM lineitem",
 )
 def bim(spark, sf):
     name = F.concat(F.lit("rs"), F.col("l_partkey").cast("string"))
@@ -595,6 +595,28 @@ def bim(spark, sf):
     return delimited.read_named(spark, written_text(table(spark, sf, "lineitem").select(cells), "bim"), "bim")
 
 
+@query(
+    "S24_fam",
+    "SELECT 'F' || c_nationkey AS \"FID\", 'I' || c_custkey AS \"IID\", '0' AS \"PAT\", '0' AS \"MAT\", CAST(c_custkey % 2 + 1 AS INTEGER) AS \"SEX\", "
+    "CAST(c_nationkey AS VARCHAR) AS \"PHENO1\" FROM customer",
+)
+def fam(spark, sf):
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    family, person = F.concat(F.lit("F"), nation.cast("string")), F.concat(F.lit("I"), key.cast("string"))
+    cells = line(family, person, F.lit(0), F.lit(0), key % 2 + 1, nation, sep=" ")
+    return delimited.read_named(spark, written_text(table(spark, sf, "customer").select(cells), "fam"), "fam")
+
+
+@query(
+    "S24_pvar_without_header",
+    "SELECT l_returnflag AS \"CHROM\", 'rs' || l_partkey AS \"ID\", l_orderkey AS \"POS\", l_linestatus AS \"ALT\", 'G' AS \"REF\" FROM lineitem",
+)
+def pvar(spark, sf):
+    name = F.concat(F.lit("rs"), F.col("l_partkey").cast("string"))
+    cells = line(F.col("l_returnflag"), name, F.col("l_orderkey"), F.col("l_linestatus"), F.lit("G"))
+    return delimited.read_headed_layout(spark, written_text(table(spark, sf, "lineitem").select(cells), "pvar"), "pvar")
+
+
 @query(
     "U4_names_in_one_set_only",
     "SELECT DISTINCT o_custkey AS key FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20)",

@@ -547,6 +547,16 @@ def flat_paths(spark, sf):
     return json_ops.json_paths(table(spark, sf, "events").select("event_id", "props"), "props")
 
 
+@query(
+    "J1_json_paths_repeated_key",
+    "SELECT event_id, '.k' AS path, CAST(user_id AS VARCHAR) AS value FROM events",
+)
+def repeated_paths(spark, sf):
+    user = F.col("user_id").cast("string")
+    doc = F.concat(F.lit('{"k":"first","k":'), user, F.lit("}"))
+    return json_ops.json_paths(table(spark, sf, "events").select("event_id", doc.alias("doc")), "doc")
+
+
 def _nested(spark, sf):
     meta = F.struct(F.col("turn"), F.array(F.col("role"), F.lit("x")).alias("odd tags"), F.array().cast("array<int>").alias("none"))
     return table(spark, sf, "conversations").select(
@@ -572,9 +582,11 @@ def nested_paths(spark, sf):
     "SELECT event_id FROM events WHERE event_id % 13 = 0",
 )
 def invalid(spark, sf):
-    df = table(spark, sf, "events").select(
-        "event_id", F.when(F.col("event_id") % 13 == 0, F.regexp_replace("props", "[}]$", "")).otherwise(F.col("props")).alias("props")
-    )
+    # some texts lose their end, which is wrong; some repeat a key, which is not
+    twice = F.concat(F.lit('{"k":0,'), F.substring(F.col("props"), F.lit(2), F.length("props")))
+    key = F.col("event_id")
+    props = F.when(key % 13 == 0, F.regexp_replace("props", "[}]$", "")).when(key % 13 == 1, twice).otherwise(F.col("props"))
+    df = table(spark, sf, "events").select("event_id", props.alias("props"))
     return json_ops.invalid_json(df, "props").select("event_id")
 
 

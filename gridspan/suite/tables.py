@@ -423,7 +423,7 @@ def described(spark, sf):
 @query(
     "A2_describe_text",
     "SELECT 'l_returnflag' AS \"column\", 'string' AS type, count(*) AS count, min(l_returnflag) AS min, max(l_returnflag) AS max, "
-    "count(DISTINCT l_returnflag) AS \"distinct\" FROM lineitem UNION ALL SELECT 'flag' , 'string', count(*), min(f), max(f), NULL FROM "
+    "count(DISTINCT l_returnflag) AS \"distinct\" FROM lineitem UNION ALL SELECT 'flag' , 'string', count(*), min(f), max(f), count(DISTINCT f) FROM "
     "(SELECT CAST(l_quantity AS BIGINT) || l_linestatus AS f FROM lineitem) t",
 )
 def described_text(spark, sf):

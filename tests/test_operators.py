@@ -113,8 +113,8 @@ def test_describe_skips_nan(spark):
 
 def test_distinct_cap(spark):
     df = spark.range(100).select((F.col("id") % 17).cast("string").alias("s"), (F.col("id") % 16).cast("string").alias("t"))
-    assert [r["distinct"] for r in summary.describe(df).collect()] == [None, 16]
-    assert [r["distinct"] for r in summary.describe(df, distinct_cap=None).collect()] == [17, 16]
+    assert [r["distinct"] for r in summary.describe(df, distinct_cap=16).collect()] == [None, 16]
+    assert [r["distinct"] for r in summary.describe(df).collect()] == [17, 16]
 
 
 def test_value_counts_order(peaks, spark):
@@ -254,11 +254,21 @@ def test_json_paths(spark):
     df = spark.createDataFrame([(1, '{"a":[1,{"b":null}],"odd \\"key":"x","e":{},"n":[]}'), (2, "[[true]]"), (3, "5"), (4, "{bad")], "id int, j string")
     got = {(r["id"], r["path"]): r["value"] for r in json_ops.json_paths(df, "j").collect()}
     assert got == {
-        (1, ".a[0]"): "1", (1, ".a[1].b"): "null", (1, '.["odd \\"key"]'): '"x"', (1, ".e"): "{}", (1, ".n"): "[]", (2, ".[0][0]"): "true", (3, "."): "5",
+        (1, ".a[0]"): "1", (1, ".a[1].b"): "null", (1, '.["odd \\"key"]'): '"x"', (1, ".e"): "{}", (1, ".n"): "[]", (2, ".[0][0]"): "true", (3, "."): "5", (4, None): None,
     }
+    twice = spark.createDataFrame([('{"a":1,"a":2}',), (None,)], "j string")
+    assert [tuple(r) for r in json_ops.json_paths(twice, "j").collect()] == [(".a", "2")]
     assert [r["id"] for r in json_ops.invalid_json(df, "j").collect()] == [4]
 
 
+def test_json_validity(spark):
+    good = ['{"a":1,"a":2}', ' [1, -0.5e+3, "x\\u00e9\\n", true, null] ', '""', "0", "{}", "[[],[{}]]", '["' + "y" * 100_000 + '"]', '{"s v":{"t":[1 ,2 ]}}']
+    bad = ["", " ", "01", "1 2", "[1 2]", "[1,]", "{a:1}", "{'a':1}", '{"a"}', "tru", "[true false]", '"\\x"', '"a\nb"', "[1", "]1[", "{}{}", "1.", "- 1", "[1,2", "\u0002", "NaN"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)], "id int, j string")
+    got = sorted(r["id"] for r in json_ops.invalid_json(df, "j").collect())
+    assert got == list(range(len(good), len(good) + len(bad)))
+
+
 def test_expand_discovers_every_key(spark):
     df = spark.createDataFrame([(i, f"k{i}=1;same=2") for i in range(30)], "p int, INFO string")
     assert reshape.packed_keys(df, "INFO", F.col("p"))[:3] == ["k0", "same", "k1"]

@@ -69,12 +69,20 @@ def test_partition_keys(spark, tmp_path):
 
 
 def test_same_schema(spark, tmp_path):
-    a, b = str(tmp_path / "a"), str(tmp_path / "b")
-    spark.range(3).write.parquet(a)
-    spark.range(3).select(F.col("id").cast("int").alias("id")).write.parquet(b)
-    dataset.check_same_schema(spark, [a, a])
-    with pytest.raises(ValueError, match="another schema"):
-        dataset.check_same_schema(spark, [a, b])
+    path = str(tmp_path / "a")
+    spark.range(3).coalesce(1).write.parquet(path)
+    assert dataset.read_dataset(spark, path).count() == 3
+    spark.range(3).select(F.col("id").cast("string").alias("id")).coalesce(1).write.mode("append").parquet(path)
+    with pytest.raises(ValueError, match="different schemas"):
+        dataset.read_dataset(spark, path)
+
+
+def test_repeated_key_and_depth_of_files(spark, tmp_path):
+    path = str(tmp_path / "b")
+    spark.range(3).coalesce(1).write.parquet(f"{path}/part=1")
+    spark.range(3).select("id", F.lit("x").alias("extra")).coalesce(1).write.parquet(f"{path}/part=2")
+    with pytest.raises(ValueError, match="extra"):
+        dataset.read_dataset(spark, path)
 
 
 BED = "track name=x\n# c\nchr1\t100\t200\tpeak_0\t0.0\t+\nchr2\t5\t9\tpeak_1\t1.5\t.\n"
@@ -198,6 +206,10 @@ def test_fastq(spark, lines):
     assert got == [("r1", "x", "ACG", "III"), ("r2", None, "T", "!")]
     with pytest.raises(Exception, match="malformed record"):
         genomic.read_fastq(spark, lines("b.fq", "@r1\nACG\n+\nII\n")).collect()
+    with pytest.raises(Exception, match="malformed record"):
+        genomic.read_fastq(spark, lines("b.fq", "@r1\nACG\n+\nII\n")).select("name").collect()
+    with pytest.raises(Exception, match="malformed record"):
+        genomic.read_fastq(spark, lines("b.fq", "@r1\nACG\n+\nII\n")).count()
 
 
 def test_gzip(spark, tmp_path):
@@ -221,7 +233,25 @@ def test_headed_layouts(spark, lines, layout, text, columns):
 
 
 def test_plink(spark, lines):
-    assert rows(delimited.read_named(spark, lines("a.bim", "1\trs1\t0.5\t100\tA\tG\n"), "bim")) == [("1", "rs1", 0.5, 100, "A", "G")]
+    bim = delimited.read_named(spark, lines("a.bim", "1\trs1\t0.5\t100\tA\tG\n"), "bim")
+    assert bim.columns == ["CHROM", "ID", "CM", "POS", "ALT", "REF"] and rows(bim) == [("1", "rs1", 0.5, 100, "A", "G")]
+    fam = delimited.read_named(spark, lines("a.fam", "F1 I1 0 0 1 -9\nF2 I2 0 0 2 1\n"), "fam")
+    assert fam.columns == ["FID", "IID", "PAT", "MAT", "SEX", "PHENO1"]
+    assert sorted(rows(fam)) == [("F1", "I1", "0", "0", 1, "-9"), ("F2", "I2", "0", "0", 2, "1")]
+    bare = delimited.read_headed_layout(spark, lines("b.pvar", "1\trs1\t100\tG\tA\n1\trs2\t200\tT\tC\n"), "pvar")
+    assert bare.columns == ["CHROM", "ID", "POS", "ALT", "REF"] and bare.count() == 2
+    assert delimited.read_headed_layout(spark, lines("b.psam", "F1\tI1\t0\t0\t1\t-9\n"), "psam").count() == 1
+
+
+def test_named_layouts_take_quotes_as_they_are(spark, lines):
+    hit = "\t".join(['"q', "s", "99.5", "10", "0", "0", "1", "10", "1", "10", "0.001", "50"])
+    path = lines("a.m8", f"{hit}\n{hit[1:]}\nshort\tx\n")
+    got = delimited.read_named(spark, path, "outfmt6", on_bad_row="skip")
+    assert sorted(r["qseqid"] for r in got.collect()) == ['"q', "q"]
+    with pytest.raises(Exception, match="expected 12 fields, got 2"):
+        delimited.read_named(spark, path, "outfmt6").collect()
+    pairs = delimited.read_named(spark, lines("a.bedpe", "chr1\t1\t2\tchr2\t3\t4\n"), "bedpe")
+    assert rows(pairs.select("chrom1", "end2", "name")) == [("chr1", 4, None)]
 
 
 def test_json_array_file(spark, lines):
