@@ -24,15 +24,13 @@ class _Shape:
     has_header: bool
 
 
-def _probe(spark: SparkSession, path: str, sep: str) -> list[list[str | None]]:
-    """Fields of the first lines: a fixed number, whatever the size of the files."""
-    rows = (
-        spark.read.text(path)
-        .where(F.trim("value") != "")
-        .limit(_PROBE)
-        .select(quoted_fields(without_return(F.col("value")), sep).alias("f"))
-    )
-    return [r["f"] for r in rows.select(F.transform("f", lambda x: cell(x)).alias("f")).collect()]
+def _probe(spark: SparkSession, path: str, sep: str, nulls: tuple[str, ...], comment: str | None) -> list[list[str | None]]:
+    """Fields of the first lines that count: a fixed number, whatever the size of the files."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    if comment:
+        lines = lines.where(~F.col("value").startswith(comment))
+    rows = lines.limit(_PROBE).select(quoted_fields(without_return(F.col("value")), sep).alias("f"))
+    return [r["f"] for r in rows.select(F.transform("f", lambda x: cell(x, nulls)).alias("f")).collect()]
 
 
 def _is_number(text: str | None) -> bool:
@@ -98,6 +96,25 @@ def _given_types(types: dict[str, str] | None, names: list[str]) -> dict[str, st
     return given
 
 
+def _by_name(headers: DataFrame, head: list[str | None], fields: Column, width: int) -> Column:
+    """The fields of a line in the order of ``head``, whatever the order in the header of its file.
+
+    Files whose headers hold other names than ``head`` are an error. Lines of another width stay as they are.
+    """
+    wanted = F.array(*[F.lit(n).cast("string") for n in head])
+    other = headers.where(F.sort_array("_names") != F.sort_array(wanted)).limit(1).collect()
+    if other:
+        raise ValueError(f"{other[0]['file']} names columns {other[0]['_names']}, another file {head}")
+    if headers.where(F.col("_names") != wanted).isEmpty():
+        return fields
+    if len(set(head)) < len(head) or None in head:
+        raise ValueError(f"files order their columns differently and some names are not unique: {head}")
+    lead = width - len(head)
+    place = lambda n: (F.array_position("_names", n) + (lead - 1)).cast("int")
+    placed = F.transform(wanted, lambda n: F.get(fields, place(n)))
+    return F.when(F.size(fields) == width, F.concat(F.slice(fields, 1, lead), placed)).otherwise(fields)
+
+
 @dataclass
 class Delimited:
     """A separated table: ``table`` and ``bad_rows`` (file, line_no from 1, line)."""
@@ -121,14 +138,19 @@ def read_delimited(
     Types come from one aggregation over every row, so a late value widens its column (whole
     number, number, text) instead of failing; a column with leading zeros such as 007 stays
     text; ``types`` overrides by name or ``*``. A null token is null only where it is not quoted.
+    Lines that start with ``comment`` count nowhere. Files with headers are put together by name; files
+    that name other columns are an error. A cell holds no line break: a line that opens a quote and does
+    not close it is malformed.
     A row with another number of fields stops the read (the error names the first), is skipped, or is padded with nulls and
     cut (``on_bad_row`` = stop / skip / null) and is listed in ``bad_rows``.
     """
     if on_bad_row not in ("stop", "skip", "null") or header not in ("auto", "on", "off"):
         raise ValueError("on_bad_row is stop, skip or null; header is auto, on or off")
     sep = separator(sep)
-    shape = _shape(_probe(spark, path, sep), header)
+    probed = _probe(spark, path, sep, nulls, comment)
+    shape = _shape(probed, header)
     names, width = shape.names, len(shape.names)
+    fields = quoted_fields(F.col("line"), sep)
 
     lines = text_lines(spark, path).withColumn("line", without_return(F.col("line")))
     if comment:
@@ -136,10 +158,16 @@ def read_delimited(
     lines = lines.where(F.trim("line") != "")
     if shape.has_header:
         # the first line that counts, in each file
-        first = lines.groupBy("file").agg(F.min("line_no").alias("_header"))
-        lines = lines.join(small_side(first), "file").where(F.col("line_no") > F.col("_header")).drop("_header")
-    split = lines.withColumn("_f", quoted_fields(F.col("line"), sep))
-    wrong = F.size("_f") != width
+        first = lines.groupBy("file").agg(F.min("line_no").alias("_header"), F.min_by("line", "line_no").alias("line"))
+        own = F.transform(fields, lambda x: cell(x, nulls)).alias("_names")
+        first = small_side(first.select("file", "_header", own))
+        fields = _by_name(first, probed[0], fields, width)
+        lines = lines.join(first, "file").where(F.col("line_no") > F.col("_header")).drop("_header")
+    split = lines.withColumn("_f", fields)
+    # a quote that opens a cell and is not closed in its line: a line break inside a cell
+    last = F.element_at("_f", -1)
+    torn = last.startswith('"') & ((F.length(last) - F.length(F.replace(last, F.lit('"'), F.lit("")))) % 2 == 1)
+    wrong = (F.size("_f") != width) | torn
     bad = split.where(wrong).select("file", (F.col("line_no") + 1).alias("line_no"), "line")
     if on_bad_row == "skip":
         split = split.where(~wrong)

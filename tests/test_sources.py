@@ -59,6 +59,29 @@ def test_many_files_with_headers(spark, tmp_path):
     assert df.agg(F.count("*"), F.sum("id")).first() == (100, 4950)
 
 
+def test_headers_are_matched_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,x\n")
+    (tmp_path / "b.csv").write_text("b,a\ny,2\n")
+    df = delimited.read_delimited(spark, str(tmp_path)).table
+    assert sorted(rows(df.select("a", "b"))) == [(1, "x"), (2, "y")]
+    (tmp_path / "c.csv").write_text("a,c\n3,z\n")
+    with pytest.raises(ValueError, match="names columns"):
+        delimited.read_delimited(spark, str(tmp_path))
+
+
+def test_comment_lines_before_the_header(spark, lines):
+    df = delimited.read_delimited(spark, lines("c.csv", "# made by x\na,b\n1,2\n# end\n3,4\n"), comment="#").table
+    assert df.columns == ["a", "b"] and sorted(rows(df)) == [(1, 2), (3, 4)]
+
+
+def test_a_line_break_inside_a_cell_is_malformed(spark, lines):
+    path = lines("b.csv", 'a,b\n1,"x\ny"\n2,z\n')
+    with pytest.raises(ValueError, match="line 2"):
+        delimited.read_delimited(spark, path)
+    got = delimited.read_delimited(spark, path, on_bad_row="skip")
+    assert rows(got.table) == [(2, "z")] and got.bad_rows.count() == 2
+
+
 def test_partition_keys(spark, tmp_path):
     path = str(tmp_path / "lake")
     df = spark.range(20).select("id", F.lit(2024).alias("year"), F.lpad((F.col("id") % 3 + 1).cast("string"), 2, "0").alias("month"))
