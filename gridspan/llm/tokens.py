@@ -2,6 +2,7 @@
 
 Text between ASCII white space is encoded by itself: the file's normaliser and splitter never
 look across it. What was seen is kept as packed ids, in caches of a fixed number of entries.
+The string of an added token in a text is that token, as in the library's own call.
 """
 
 from __future__ import annotations
@@ -48,7 +49,9 @@ class WordEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.library.get_added_tokens_decoder().values()
+        # Texts that hold one of these go through the library whole; tokens looked for after normalising may be anywhere.
+        self._added = ("",) if any(t.normalized for t in added) else tuple(t.content for t in added)
         self.vocabulary = self.library.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self._kind = "H" if self.vocabulary <= 1 << 16 else "I"
@@ -74,6 +77,9 @@ class WordEncoder:
         parts = _SPLIT.findall(word)
         return self._piece(word) if len(parts) == 1 else b"".join(map(self._words.__getitem__, parts))
 
+    def _holds_added(self, text: str) -> bool:
+        return any(t in text for t in self._added)
+
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, self.dtype)
@@ -85,6 +91,9 @@ class WordEncoder:
             if _ODD_SPACE.search(text) or "Σ" in text or "İ" in text:
                 return np.frombuffer(self._whole(text), self.dtype)
             low = unicodedata.normalize("NFC", text).lower()
+        # of the text as it is the library makes the token itself; of a word in lower case it must not
+        if self._holds_added(text) or self._holds_added(low):
+            return np.frombuffer(self._whole(text), self.dtype)
         return np.frombuffer(b"".join(map(self._words.__getitem__, low.split())), self.dtype)
 
 

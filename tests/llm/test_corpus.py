@@ -208,6 +208,25 @@ def expected_ids(text, end):
     return encoder(default_path()).library.encode(text or "", add_special_tokens=False).ids + [end]
 
 
+ADDED = [
+    "a <|endoftext|> b", "<|startoftext|>Über x<|endoftext|>", "A <|ENDOFTEXT|> b", "<|ENDOFTEXT|>東 b", "<|endoftext|>東 <|ENDOFTEXT|>é",
+    "<|end of text|> <|endoftext |>", "a\x1c<|endoftext|>", "<|endoftext|><|endoftext|>", "Σ <|startoftext|>", " <|endoftext|>\n\tThe end",
+]
+
+
+def test_added_tokens_are_the_library_s(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(default_path())
+    want = [library.encode(t, add_special_tokens=False).ids for t in ADDED]
+    assert want[0] == [320, 49407, 321]
+    assert [encoder(default_path()).encode(t).tolist() for t in ADDED] == want
+    out = scratch_path(spark, "store")
+    token_store.write_store(frame(spark, list(enumerate(ADDED))), out)
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in token_store.read_documents(spark, out, ids=True).collect()}
+    assert got == {i: [*ids, 1] for i, ids in enumerate(want)}
+
+
 @pytest.mark.parametrize("capacity", [64, 4096])
 def test_packing_is_a_partition_of_all_ids(docs, capacity):
     rows = packing.pack(docs, capacity=capacity, classes=8).collect()
