@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.joins import lookup_join
 from .common import query, table
 
-# Short licence texts and notices as they are published, by SPDX identifier.
+# Short licence texts and notices as they are published, by SPDX identifier. The SQL holds these alone.
 KNOWN: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -40,6 +43,41 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ),
 )
 
+# Names of licences in notices, by SPDX identifier.
+_NAMED: tuple[tuple[str, str], ...] = (
+    ("MIT", "MIT License"),
+    ("ISC", "ISC License"),
+    ("Zlib", "zlib License"),
+    ("Unlicense", "Unlicense"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("MPL-2.0", "Mozilla Public License, Version 2.0"),
+    ("GPL-2.0-only", "GNU General Public License, version 2"),
+    ("GPL-3.0-only", "GNU General Public License, version 3"),
+    ("LGPL-2.1-only", "GNU Lesser General Public License, version 2.1"),
+    ("LGPL-3.0-only", "GNU Lesser General Public License, version 3"),
+    ("AGPL-3.0-only", "GNU Affero General Public License, version 3"),
+)
+_COMMONS: tuple[tuple[str, str], ...] = (
+    ("BY", "Attribution"),
+    ("BY-SA", "Attribution-ShareAlike"),
+    ("BY-ND", "Attribution-NoDerivatives"),
+    ("BY-NC", "Attribution-NonCommercial"),
+    ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+)
+_SAID = ("Licensed under {}.", "Released under {}.", "This work is licensed under {}.")
+# Headings under which the short licences are published, besides none.
+_HEADINGS = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License"),
+    "Zlib": ("zlib License", "The zlib License"),
+}
+
 # Spellings that count as the same word, after the text is in lower case without punctuation.
 EQUIVALENT: tuple[tuple[str, str], ...] = (
     ("licence", "license"),
@@ -81,19 +119,48 @@ def one_line(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "[ \\n]+", " "))
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """(digest, licence): a table of fixed size, one row per known text."""
-    known = spark.createDataFrame(list(KNOWN), "licence string, text string")
-    return known.select(F.sha2(one_line(canonical(F.col("text"))), 256).alias("digest"), "licence").distinct()
-
+def default_known() -> list[tuple[str, str]]:
+    """(licence, text): ``KNOWN``, the whole licences in the folder ``known_licenses``, and notices.
 
-def license_scan(docs: DataFrame) -> DataFrame:
+    A whole licence stands there as published; the short ones under each of their headings and without
+    one, the Apache licence also without its appendix, and each with either scheme in its links.
+    """
+    files = [f for f in resources.files(__package__).joinpath("known_licenses").iterdir() if f.name.endswith(".txt")]
+    whole = [(f.name[:-4], f.read_text(encoding="utf-8")) for f in sorted(files, key=lambda f: f.name)]
+    given = dict(whole)
+    whole += [(name, text.split("\n\n", 1)[1]) for name, text in KNOWN if "\n\n" in text]
+    start, end = given["BSD-3-Clause"].index("3. Neither"), given["BSD-3-Clause"].index("THIS SOFTWARE")
+    whole.append(("BSD-2-Clause", given["BSD-3-Clause"][:start] + given["BSD-3-Clause"][end:]))
+    terms, appendix = given["Apache-2.0"].split("APPENDIX:", 1)
+    whole += [("Apache-2.0", terms), ("Apache-2.0", appendix[appendix.index("Licensed under the Apache") :])]
+    whole += [(name, f"{heading}\n\n{text}") for name, text in whole for heading in _HEADINGS.get(name, ())]
+    whole += [(name, text.replace(*pair)) for name, text in whole for pair in (("http://", "https://"), ("https://", "http://"))]
+    notices = [(name, said.format(f"{the}{title}")) for name, title in _NAMED for said in _SAID for the in ("the ", "")]
+    for kind, title in _COMMONS:
+        for version, scope in (("3.0", "Unported"), ("4.0", "International")):
+            names = (f"CC {kind} {version}", f"CC-{kind}-{version}", f"a Creative Commons {title} {version} {scope} License")
+            notices += [(f"CC-{kind}-{version}", said.format(n)) for said in _SAID for n in names]
+    tags = {name for name, _ in (*KNOWN, *whole, *notices)}
+    notices += [(name, f"SPDX-License-Identifier: {name}") for name in sorted(tags)]
+    return list(dict.fromkeys([*KNOWN, *whole, *notices]))
+
+
+def known_digests(known: DataFrame) -> DataFrame:
+    """(digest, licence) of (licence, text): one row per known text. Empty texts and null licences are none."""
+    unit = known.where("licence IS NOT NULL").select("licence", one_line(canonical(F.col("text"))).alias("unit"))
+    return unit.where("unit <> ''").select(F.sha2("unit", 256).alias("digest"), "licence").distinct()
+
+
+def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(doc_id, line_no, digest, licence): known licences among whole texts and whole lines.
 
     Every document has a row with ``line_no`` 0: the digest of its whole canonical text and the known
     licence with that digest, else null. Each line that is a known licence by itself has a row with its
-    place from 1. The known side is a table of fixed size and the join is on the digest alone: nothing
-    is shuffled, no texts are compared in pairs, and groups of copies make no difference.
+    place from 1. ``known`` has (licence, text), a text of any number of lines; without it,
+    :func:`default_known` is taken, a list of fixed size. The join is on the digest alone: a known side
+    proven small is broadcast and nothing is shuffled, a larger one is shuffled, its hottest digests
+    aside. No texts are compared in pairs, and groups of copies make no difference. A text known under
+    several licences gives a row for each.
 
     A null or empty text has the digest of the empty text and no licence; a null id stays null; repeated
     rows stay repeated; an empty table gives no rows; extra columns are not read.
@@ -101,7 +168,11 @@ def license_scan(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", canonical(F.col("text")).alias("text"))
     units = texts.select("doc_id", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("line_no", "unit"))
     units = units.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.sha2(one_line(F.col("unit")), 256).alias("digest"))
-    found = units.join(F.broadcast(known_digests(docs.sparkSession)), "digest", "left")
+    if known is None:
+        listed = docs.sparkSession.createDataFrame(default_known(), "licence string, text string")
+        found = units.join(F.broadcast(known_digests(listed)), "digest", "left")
+    else:
+        found = lookup_join(units, known_digests(known), ["digest"])
     return found.where((F.col("line_no") == 0) | F.col("licence").isNotNull()).select("doc_id", "line_no", "digest", "licence")
 
 

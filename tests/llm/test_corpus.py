@@ -344,6 +344,49 @@ def test_license_scan_stays_native(docs):
     assert "Python" not in (plan := licenses.license_scan(docs)._jdf.queryExecution().toString()) and "Arrow" not in plan
 
 
+WHOLE = {
+    "Apache-2.0": "you may not use this file except in compliance", "BSD-2-Clause": "Redistributions in binary form", "BSD-3-Clause": "3. Neither the name",
+    "GPL-2.0-only": "Version 2, June 1991", "GPL-3.0-only": "Version 3, 29 June 2007", "LGPL-2.1-only": "Version 2.1, February 1999",
+    "LGPL-3.0-only": "GNU LESSER GENERAL PUBLIC LICENSE", "MPL-2.0": "Mozilla Public License", "Unlicense": "free and unencumbered", "ISC": "Permission to use",
+}
+
+
+def test_license_scan_finds_whole_licences_and_notices(spark):
+    texts = []
+    for name, part in WHOLE.items():
+        one = max((t for n, t in licenses.default_known() if n == name and part in t), key=len)
+        texts.append((name, "Copyright (c) 2020 Someone\r\n\r\n" + one.replace("\n", "\r\n")))
+    notices = [
+        ("GPL-2.0-only", "This work is licensed under the GNU General Public Licence, version 2."),
+        ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+        ("BSD-3-Clause", "# SPDX-License-Identifier: BSD-3-Clause"),
+        (None, "Licensed under nothing."),
+    ]
+    texts += [(n, f"some prose\n{t}\n") for n, t in notices]
+    got = licenses.license_scan(frame(spark, [(i, t) for i, (_, t) in enumerate(texts)])).collect()
+    assert {r["doc_id"]: r["licence"] for r in got if r["licence"]} == {i: n for i, (n, _) in enumerate(texts) if n}
+    whole = {r["doc_id"] for r in got if r["licence"] and r["line_no"] == 0}
+    assert whole == set(range(len(WHOLE)))
+    digests = {}
+    for name, text in licenses.default_known():
+        digests.setdefault(text, set()).add(name)
+    assert all(len(n) == 1 for n in digests.values())
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_license_scan_takes_a_table(spark, docs, monkeypatch, large):
+    from gridspan.plans import joins
+
+    if large:
+        monkeypatch.setattr(joins, "fits_broadcast", lambda df: False)
+    known = spark.createDataFrame([("X-1", PASSAGE.upper() + "."), ("X-2", "Two,\n words"), ("X-3", " . "), ("X-4", None), (None, "two words")], "licence string, text string")
+    got = licenses.license_scan(docs, known).collect()
+    assert {(r["doc_id"], r["line_no"], r["licence"]) for r in got if r["licence"]} == {
+        (4, 1, "X-1"), (None, 0, "X-1"), (None, 1, "X-1"), (8, 0, "X-2"), (8, 1, "X-2")
+    }
+    assert sum(r["line_no"] == 0 for r in got) == len(TEXTS)
+
+
 # --- neighbours
 
 
