@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -13,8 +14,8 @@ from ..plans.position import text_lines
 from .lines import NULL_TOKENS, cell, quoted_fields, separator, typed, without_return
 
 TYPES = {"string": "string", "int": "long", "float": "double"}
-_PROBE = 200
 _INT = r"^[+-]?\d+$"
+_NUMBER = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))\s*$"
 _FLOAT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(inf|nan|Inf|NaN|INF)$"
 
 
@@ -24,43 +25,46 @@ class _Shape:
     has_header: bool
 
 
-def _probe(spark: SparkSession, path: str, sep: str, nulls: tuple[str, ...], comment: str | None) -> list[list[str | None]]:
-    """Fields of the first lines that count: a fixed number, whatever the size of the files."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    if comment:
-        lines = lines.where(~F.col("value").startswith(comment))
-    rows = lines.limit(_PROBE).select(quoted_fields(without_return(F.col("value")), sep).alias("f"))
-    return [r["f"] for r in rows.select(F.transform("f", lambda x: cell(x, nulls)).alias("f")).collect()]
+def _first_lines(lines: DataFrame, sep: str, nulls: tuple[str, ...]) -> tuple[DataFrame, list[str | None]]:
+    """(file, _header, _names): number and cells of the first line that counts in each file, and the cells of the first file's."""
+    first = lines.groupBy("file").agg(F.min("line_no").alias("_header"), F.min_by("line", "line_no").alias("line"))
+    own = F.transform(quoted_fields(F.col("line"), sep), lambda x: cell(x, nulls)).alias("_names")
+    first = small_side(first.select("file", "_header", own))
+    head = first.orderBy("file").select("_names").first()
+    if head is None:
+        raise ValueError("the file has no lines")
+    return first, head["_names"]
+
+
+def _facts(lines: DataFrame, first: DataFrame, head: list[str | None], sep: str, nulls: tuple[str, ...]) -> tuple[bool, list[int]]:
+    """Whether the lines below the first ones are mostly one field wider, and the columns that are all numbers there.
+
+    One row of booleans and counts over every line.
+    """
+    width = len(head)
+    fields = quoted_fields(F.col("line"), sep)
+    wanted = F.array(*[F.lit(n).cast("string") for n in head])
+    alike = first.where(F.sort_array("_names") != F.sort_array(wanted)).isEmpty()
+    if alike and len(set(head)) == width and None not in head:
+        fields = _by_name(first, head, fields, width)
+    below = lines.join(first, "file").where(F.col("line_no") > F.col("_header")).select(fields.alias("_f"))
+    numbers = [F.bool_and(F.when(F.size("_f") == width, cell(F.get("_f", F.lit(i)), nulls).rlike(_NUMBER))) for i in range(width)]
+    same, wide, *numeric = below.agg(F.count_if(F.size("_f") == width), F.count_if(F.size("_f") == width + 1), *numbers).first()
+    return wide > same, [i for i, yes in enumerate(numeric) if yes]
 
 
 def _is_number(text: str | None) -> bool:
-    if text is None:
-        return False
-    try:
-        float(text)
-    except ValueError:
-        return False
-    return True
+    return text is not None and re.search(_NUMBER, text) is not None
 
 
-def _shape(rows: list[list], header: str) -> _Shape:
+def _shape(first: list[str | None], short: bool, numeric: list[int], header: str) -> _Shape:
     """Whether the first line is a header, and the column names.
 
     It is data when it fits the columns below it: some column below is all numbers and the first
-    line has a number there too. A header one field short of the rows names a leading ``index``
+    line has a number there too. A header one field short of most rows names a leading ``index``
     column.
     """
-    if not rows:
-        raise ValueError("the file has no lines")
-    first, below = rows[0], rows[1:]
-    short = len(below) > 0 and all(len(r) == len(first) + 1 for r in below)
     if header == "auto":
-        numeric = [
-            i
-            for i in range(len(first))
-            if any(i < len(r) and r[i] is not None for r in below)
-            and all(_is_number(r[i]) for r in below if i < len(r) and r[i] is not None)
-        ]
         if short:
             found = True
         elif numeric:
@@ -137,7 +141,8 @@ def read_delimited(
 
     Types come from one aggregation over every row, so a late value widens its column (whole
     number, number, text) instead of failing; a column with leading zeros such as 007 stays
-    text; ``types`` overrides by name or ``*``. A null token is null only where it is not quoted.
+    text; ``types`` overrides by name or ``*``. Whether there is a header, and whether it is one field
+    short, is decided on every row as well. A null token is null only where it is not quoted.
     Lines that start with ``comment`` count nowhere. Files with headers are put together by name; files
     that name other columns are an error. A cell holds no line break: a line that opens a quote and does
     not close it is malformed.
@@ -147,21 +152,17 @@ def read_delimited(
     if on_bad_row not in ("stop", "skip", "null") or header not in ("auto", "on", "off"):
         raise ValueError("on_bad_row is stop, skip or null; header is auto, on or off")
     sep = separator(sep)
-    probed = _probe(spark, path, sep, nulls, comment)
-    shape = _shape(probed, header)
-    names, width = shape.names, len(shape.names)
-    fields = quoted_fields(F.col("line"), sep)
-
     lines = text_lines(spark, path).withColumn("line", without_return(F.col("line")))
     if comment:
         lines = lines.where(~F.col("line").startswith(comment))
     lines = lines.where(F.trim("line") != "")
+    first, head = _first_lines(lines, sep, nulls)
+    short, numeric = (False, []) if header == "off" else _facts(lines, first, head, sep, nulls)
+    shape = _shape(head, short, numeric, header)
+    names, width = shape.names, len(shape.names)
+    fields = quoted_fields(F.col("line"), sep)
     if shape.has_header:
-        # the first line that counts, in each file
-        first = lines.groupBy("file").agg(F.min("line_no").alias("_header"), F.min_by("line", "line_no").alias("line"))
-        own = F.transform(fields, lambda x: cell(x, nulls)).alias("_names")
-        first = small_side(first.select("file", "_header", own))
-        fields = _by_name(first, probed[0], fields, width)
+        fields = _by_name(first, head, fields, width)
         lines = lines.join(first, "file").where(F.col("line_no") > F.col("_header")).drop("_header")
     split = lines.withColumn("_f", fields)
     # a quote that opens a cell and is not closed in its line: a line break inside a cell

@@ -30,6 +30,24 @@ def test_row_names_header(spark, lines):
     assert df.columns == ["index", "x", "y"] and sorted(rows(df))[0] == ("g1", 1, 2)
 
 
+@pytest.mark.parametrize("head", ["name,,x", "name,x,x"])
+def test_header_over_columns_that_are_empty_at_first(spark, lines, head):
+    text = head + "\n" + "a,b,\n" * 300 + "a,b,5\n"
+    df = delimited.read_delimited(spark, lines("late.csv", text)).table
+    assert df.columns[0] == "name" and df.count() == 301 and df.agg(F.sum(df.columns[2])).first()[0] == 5
+
+
+def test_wide_rows_at_the_start_are_malformed(spark, lines):
+    path = lines("wide.csv", "a,b\n" + "1,2,3\n" * 200 + "4,5\n" * 300)
+    got = delimited.read_delimited(spark, path, on_bad_row="skip")
+    assert got.table.columns == ["a", "b"] and got.table.count() == 300 and got.bad_rows.count() == 200
+    with pytest.raises(ValueError, match="line 2: expected 2 fields, got 3"):
+        delimited.read_delimited(spark, path)
+    path = lines("narrow.csv", "a,b\n" + "1,2,3\n" * 300 + "4,5\n")
+    got = delimited.read_delimited(spark, path, on_bad_row="skip")
+    assert got.table.columns == ["index", "a", "b"] and got.table.count() == 300 and got.bad_rows.count() == 1
+
+
 def test_types(spark, lines):
     path = lines("t.csv", "id,n,z\n1,1,007\n2,2.5,1\n3,x,2\n")
     assert [t for _, t in delimited.read_delimited(spark, path).table.dtypes] == ["bigint", "string", "string"]
