@@ -1,17 +1,16 @@
 """Substring deduplication: passages of words that an earlier document already has.
 
-A suffix of a document, read as words, shares its first 13 words with another suffix exactly if both
-hang below one node of depth 13 or more in the corpus's suffix tree. The tree is never built whole:
+Windows of 13 words are grouped by their hashes: two suffixes share their first 13 words exactly if both
+would hang below one node of depth 13 or more in the corpus's suffix tree. That tree is not built, and
+suffixes are not sorted by their words or compared past the 13th.
 
 1. Documents are dealt into chunks of bounded size, once; every later step reads that shuffle.
-2. A suffix whose 13 words hold a rarest 5-word run seen in one document only is alone in its subtree
-   and is left out. The rarest run of a window is the one with the smallest hash among its nine.
-3. The suffixes left are range-partitioned by their leading words: Spark's sampled bounds are prefixes
-   of whatever length splits them into even groups. In a group the sorted suffixes are the leaves of one
-   subtree in order, and leaves with equal 13 words form an internal node of that depth; the node's
-   smallest document keeps the passage. A chunk sends each passage once, with its smallest document,
-   so a passage in a third of all documents is one leaf per chunk.
-4. Nodes answer the chunks whose documents come later, and windows that are removed merge into the
+2. A window that holds a rarest 5-word run seen in one document only is alone in its group and is left
+   out. The rarest run of a window is the one with the smallest hash among its nine.
+3. The windows left are dealt out by ranges of their hashes. The smallest document of a group keeps the
+   passage. A chunk sends each passage once, with its smallest document, so a passage in a third of all
+   documents is one row per chunk.
+4. Groups answer the chunks whose documents come later, and windows that are removed merge into the
    maximal repeated spans.
 
 Words are compared by 64-bit hashes; a window by 32 bits of its first word and 64 bits of all 13.
