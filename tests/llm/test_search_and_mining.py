@@ -1,14 +1,15 @@
-"""Pivot index and phrase subtrees against brute force, on small tables."""
+"""Pivot index, phrase subtrees and treap search against brute force, on small tables."""
 
 from __future__ import annotations
 
 import collections
+import math
 import re
 
 import numpy as np
 import pytest
 
-from gridspan.llm import phrase_trees, pivot_index
+from gridspan.llm import ktreap_search, phrase_trees, pivot_index
 
 # --- embedding near-duplicates
 
@@ -180,3 +181,72 @@ def test_scores_past_64_bits(spark):
     a, left, right = 5 * 10**13 + 7, 9 * 10**13, 5 * 10**13 + 9
     row = spark.range(1).select(phrase_trees._score(F.lit(a), F.lit(left), F.lit(right)).alias("s")).first()
     assert row["s"] == 1000000 * a * a // (left * right)
+
+
+# --- ranked search
+
+FOUND = "doc_id long, text string, term string, search long, df long, item_id long, rank long"
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def terms(text):
+    return TERM.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def brute_search(documents, items, most):
+    held = [(i, collections.Counter(terms(t))) for i, t in documents]
+    held = [(i, t) for i, t in held if t]
+    n_docs, n_terms = len(held), sum(sum(t.values()) for _, t in held)
+    df = collections.Counter(t for _, d in held for t in d)
+    out = []
+    for item, text in items:
+        scored = []
+        for i, found in held:
+            m = 10 + 90 * sum(found.values()) * n_docs // n_terms
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * found[t] // (1000 * found[t] + 8 * m)) for t in set(terms(text)) if t in found)
+            if score > 0:
+                scored.append((-score, i is None, i or 0))
+        out += [(item, rank, None if none else i, -s) for rank, (s, none, i) in enumerate(sorted(scored)[:most], 1)]
+    return out
+
+
+def searched(spark, documents, items, parts=3, **options):
+    docs = spark.createDataFrame([(i, t, "x", 1, 2, 3, 4) for i, t in documents], FOUND).repartition(parts)
+    asked = spark.createDataFrame([(i, t, "x", 1) for i, t in items], "item_id long, text string, term string, search long")
+    return sorted(map(tuple, ktreap_search.search(docs, asked, **options).collect()), key=str)
+
+
+def library(seed, n):
+    rng = np.random.default_rng(seed)
+    words = [a + b for a in "bcdfghjklm" for b in ("an", "er", "it", "os")] + ["Über", "東京", "naïve", "x1", "42"]
+    weights = 1 / np.arange(1, len(words) + 1)
+    draw = lambda size: rng.choice(words, size, p=weights / weights.sum())
+    docs = [(i, " ".join(draw(int(rng.integers(1, 80))))) for i in range(n)]
+    docs += [(n + i, docs[3][1]) for i in range(30)] + [(n + 40, docs[3][1].upper() + "!"), (n + 50, None), (n + 51, ""), (n + 52, " .,-"), (None, docs[3][1]), (None, docs[3][1])]
+    docs += [(n + 60, " ".join(draw(20000))), (5, docs[5][1])]
+    items = [(i, " ".join(draw(int(rng.integers(1, 12))))) for i in range(20)] + [(30, docs[3][1]), (30, "an,ban"), (31, None), (32, "nowhere"), (33, "ÜBER über Über"), (34, "ban ban BAN"), (None, "cos der")]
+    return docs, items
+
+
+@pytest.mark.parametrize("options", [{}, {"cells": 40}, {"cells": 1}, {"most": 3, "cells": 200}, {"chunk": 1, "cells": 500}, {"most": 1000}])
+def test_search_equals_brute_force(spark, options):
+    documents, items = library(1, 150)
+    assert searched(spark, documents, items, **options) == sorted(brute_search(documents, items, options.get("most", 10)), key=str)
+
+
+def test_search_in_one_partition_and_steps_of_one(spark, monkeypatch):
+    documents, items = library(2, 100)
+    expected = sorted(brute_search(documents, items, 10), key=str)
+    assert searched(spark, documents, items, parts=1, cells=100) == expected
+    numbers, columns = np.array([0, 0, 1, 6, 6, 6]), np.array([0, 5, 5, 1, 2, 7])
+    top, children, drops = ktreap_search.planted(numbers, columns, np.array([5, 9, 1, 4, 4, 8]), 3)
+    treap = ktreap_search.Treap(3, top, children, drops)
+    monkeypatch.setattr(ktreap_search, "BEAM", 1)
+    best = treap.search(np.array([0, 6]), np.array([2, 3]), list("abcdefgh"), 3, [])
+    assert [(-s, d) for s, _, d in best] == [(24, "h"), (18, "f"), (12, "b")]
+
+
+def test_search_of_empty_tables(spark):
+    documents, items = library(3, 5)
+    assert searched(spark, [], items) == [] and searched(spark, documents, []) == []
+    assert searched(spark, [(1, None), (2, ".")], items) == []
