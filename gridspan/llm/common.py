@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import shutil
 import tempfile
@@ -100,24 +101,15 @@ def starts_of(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of ``base`` for exponents under ``n``, as products of one of 65,536 low and one high power."""
-    with np.errstate(over="ignore"):
-        low = np.full(1 << 16, base, np.uint64)
-        low[0] = 1
-        high = np.full(max(1, -(-n >> 16) + 1), pow(base, 1 << 16, 1 << 64), np.uint64)
-        high[0] = 1
-        return np.multiply.accumulate(low), np.multiply.accumulate(high)
-
-
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of many texts: flat arrays over one joined buffer.
 
     ``start`` and ``end`` are byte places in ``data``, ``doc`` the text a word belongs to, and
-    ``first`` / ``count`` the words of each text. ``code`` is a 64-bit polynomial hash of the bytes.
+    ``first`` / ``count`` the words of each text. ``code`` is a 64-bit hash of the bytes: eight of them at a
+    time, each step a bijection of the state that is not linear; BLAKE2 for words of over ``_LONG`` bytes.
     """
 
-    _BASE = 0x9E3779B97F4A7C15 | 1
+    _LONG = 512
 
     def __init__(self, texts: list[bytes], codes: bool = True):
         self.data = b"\n".join(texts) + b"\n"
@@ -131,19 +123,25 @@ class Words:
         self.count = np.bincount(self.doc, minlength=len(texts)).astype(np.int64)
         self.first = starts_of(self.count)
         if codes:
-            self.code = self._codes(raw)
-
-    def _codes(self, raw: np.ndarray) -> np.ndarray:
-        low, high = _powers(self._BASE, len(raw))
-        back_low, back_high = _powers(pow(self._BASE, -1, 1 << 64), len(raw))
-        with np.errstate(over="ignore"):
-            total = np.multiply.outer(high, low).ravel()[: len(raw)]
-            total *= raw.astype(np.uint64) + _U(1)
-            np.cumsum(total, out=total)
-            before = np.where(self.start > 0, total[self.start - 1], _U(0))
-            back = back_low[self.start & 0xFFFF] * back_high[self.start >> 16]
-            value = (total[self.end - 1] - before) * back
-            return mix64(value ^ ((self.end - self.start).astype(np.uint64) << _U(56)))
+            self.code = self._codes()
+
+    def _codes(self) -> np.ndarray:
+        size = self.end - self.start
+        # the eight bytes from every place on, without a copy for each
+        eights = np.ndarray((len(self.data),), "<u8", self.data + bytes(8), 0, (1,))
+        code = mix64(size.astype(np.uint64) + _U(0x9E3779B97F4A7C15))
+        live, done = np.flatnonzero(size <= self._LONG), 0
+        while len(live):
+            left = size[live] - done
+            piece = eights[self.start[live] + done]
+            short = left < 8
+            piece[short] &= (_U(1) << (left[short].astype(np.uint64) * _U(8))) - _U(1)
+            code[live] = mix64(code[live] ^ piece)
+            live, done = live[left > 8], done + 8
+        for i in np.flatnonzero(size > self._LONG):
+            word = self.data[self.start[i] : self.end[i]]
+            code[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return code
 
     def runs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of the first word of every run of ``n`` words within one text, and the runs' hashes."""
@@ -165,3 +163,21 @@ def texts_of(column) -> list[bytes]:
 
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [t or b"" for t in column.cast(kind).to_pylist()]
+
+
+def portions(batch, column: int, limit: int = 1 << 20):
+    """An Arrow batch in slices of about ``limit`` bytes of the text or binary ``column``; a longer cell is one alone.
+
+    What a task holds beside the batch then follows from ``limit``, not from the number of rows in a batch.
+    """
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    first, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > first and held + size > limit:
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += size + 1
+    if first < batch.num_rows:
+        yield batch.slice(first)
