@@ -13,19 +13,22 @@ Points come in ascending order and stop at the largest value the signature still
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.joins import BROADCAST_ROWS, fits_broadcast
 from ..session import settle
-from .common import Words, mix64, query, shipped, table
+from .common import Words, mix64, portions, query, shipped, table
 from .components import components, tasks
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 40
 ROWS = 7
-_GROUP_WORDS = 400_000
+# Bytes of texts that are shingled and signed together.
+_GROUP_BYTES = 1 << 20
+# Rounds of comparisons with hubs before all that is left is compared by shared elements.
+STARS = 2
 # Bytes of bags that may be broadcast.
 _BAG_BYTES = 32 << 20
 _U = np.uint64
@@ -102,19 +105,6 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_docs:
             limit[live] = out.reshape(n_docs, m)[live].max(1)
 
 
-def _groups(texts):
-    """Runs of texts of a bounded number of characters."""
-    first = size = 0
-    for i, text in enumerate(texts):
-        n = len(text or "") // 6 + 1
-        if size and size + n > _GROUP_WORDS:
-            yield first, i
-            first, size = i, 0
-        size += n
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def _digests(doc, shingle, count, n_docs) -> list[bytes | None]:
     """128 bits for each bag; none for a bag without shingles."""
     halves = []
@@ -129,17 +119,16 @@ def _digests(doc, shingle, count, n_docs) -> list[bytes | None]:
 
 
 def _signed_documents(texts: DataFrame, bands: int, rows: int, shingle: int) -> DataFrame:
-    """(doc_id, digest, weight, keys) of every row: the bag's digest, its size and one key per band."""
+    """(doc_id, digest, weight, keys, mark) of every row: the bag's digest, its size and one key per band."""
     m = bands * rows
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            all_texts = batch.column(1).to_pylist()
-            for a, b in _groups(all_texts):
-                n = b - a
-                doc, value, count = bags(all_texts[a:b], shingle)
+            for part in portions(batch, 1, _GROUP_BYTES):
+                n = part.num_rows
+                doc, value, count = bags(part.column(1).to_pylist(), shingle)
                 digest = _digests(doc, value, count, n)
                 # copies of one bag in a group of texts are signed once
                 first: dict = {}
@@ -156,9 +145,9 @@ def _signed_documents(texts: DataFrame, bands: int, rows: int, shingle: int) ->
                 bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array(bounds), pa.array(key[some].ravel().view(np.int64)))
                 weight = np.bincount(doc, count, n).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(digest, pa.binary()), pa.array(weight), keys], ["doc_id", "digest", "weight", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), pa.array(weight), keys, part.column(2)], ["doc_id", "digest", "weight", "keys", "mark"])
 
-    return texts.mapInArrow(run, "doc_id long, digest binary, weight long, keys array<long>")
+    return texts.mapInArrow(run, "doc_id long, digest binary, weight long, keys array<long>, mark long")
 
 
 def _bag_rows(texts: DataFrame, shingle: int) -> DataFrame:
@@ -169,10 +158,9 @@ def _bag_rows(texts: DataFrame, shingle: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            all_texts = batch.column(0).to_pylist()
-            for a, b in _groups(all_texts):
-                n = b - a
-                doc, value, count = bags(all_texts[a:b], shingle)
+            for part in portions(batch, 0, _GROUP_BYTES):
+                n = part.num_rows
+                doc, value, count = bags(part.column(0).to_pylist(), shingle)
                 digest = _digests(doc, value, count, n)
                 total = int(count.sum())
                 nth = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
@@ -269,18 +257,32 @@ def _star_pairs(open_: DataFrame, spent: DataFrame, similarity: float) -> DataFr
     return near.select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
 
 
-def _cross_pairs(open_: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: nodes outside a cluster's largest class against all other classes of the cluster."""
-    sizes = open_.groupBy("cluster", "root").count()
-    largest = sizes.groupBy("cluster").agg(F.max(F.struct("count", "root")).alias("top")).select("cluster", F.col("top.root").alias("top"))
-    ranked = open_.join(largest, "cluster")
-    minor = ranked.where("root <> top").select(F.col("cluster").alias("c"), F.col("node").alias("x"), F.col("weight").alias("wx"), F.col("root").alias("rx"), F.col("can").alias("cx"))
-    two = ranked.select("cluster", "top", F.col("node").alias("y"), F.col("weight").alias("wy"), F.col("root").alias("ry"), F.col("can").alias("cy"))
+def _rare_pairs(open_: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: pairs of different classes that may be near, by their rarest shared elements.
+
+    Two bags as similar as that have an element in common among the first ``weight - ceil(similarity * weight) + 1``
+    of both, in any fixed order of the elements. In the order from rare to frequent, those that no other class has
+    come first and meet nothing. A frequent element's rows outside its largest class are joined with its rows of all
+    other classes, so members of one class are never paired, and sizes must allow the similarity.
+    """
+    nodes = open_.select("node", "root", "weight").distinct()
+    elements = held.join(nodes, "node").select("node", "root", "weight", F.explode("bag").alias("element"))
+    shared = elements.groupBy("element").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    found = elements.join(shared.where("low <> high").select("element", "n"), "element")
+    own = Window.partitionBy("node")
+    prefix = F.col("weight") - F.ceil(F.lit(similarity) * F.col("weight") - F.lit(1e-9)) + 1
+    found = found.withColumn("place", F.row_number().over(own.orderBy("n", "element"))).withColumn("can", F.count("*").over(own))
+    found = settle(found.where(F.col("place") <= prefix - (F.col("weight") - F.col("can"))).select("element", "node", "root", "weight", "can"))
+    sizes = found.groupBy("element", "root").count()
+    largest = sizes.groupBy("element").agg(F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("classes"))
+    ranked = found.join(largest.where("classes > 1").select("element", F.col("top.root").alias("top")), "element")
+    minor = ranked.where("root <> top").select("element", F.col("node").alias("x"), F.col("weight").alias("wx"), F.col("root").alias("rx"), F.col("can").alias("cx"))
+    other = ranked.select("element", "top", F.col("node").alias("y"), F.col("weight").alias("wy"), F.col("root").alias("ry"), F.col("can").alias("cy"))
     possible = _reaches(F.least("cx", "cy"), F.col("wx"), F.col("wy"), similarity)
     # a pair of two minor classes is made from its smaller node only
     once = (F.col("ry") == F.col("top")) | (F.col("x") < F.col("y"))
-    pairs = minor.join(two, (F.col("c") == F.col("cluster")) & (F.col("rx") != F.col("ry")) & possible & once)
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = minor.join(other, "element").where((F.col("rx") != F.col("ry")) & possible & once)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _linked_classes(live: DataFrame, held: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
@@ -291,7 +293,7 @@ def _linked_classes(live: DataFrame, held: DataFrame, first: DataFrame, similari
     width = tasks(clusters.count())
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     spent = clusters.select("node").limit(0)
-    while True:
+    for _ in range(STARS):
         open_ = settle(_mixed(_classed(clusters, rooted).coalesce(width), "cluster").coalesce(width))
         star = settle(_star_pairs(open_, spent, similarity).coalesce(width))
         new = _verified(star, held, similarity)
@@ -301,7 +303,8 @@ def _linked_classes(live: DataFrame, held: DataFrame, first: DataFrame, similari
         tested = tested.unionAll(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         links = settle(links.unionAll(new).coalesce(width))
         rooted = settle(components(links).coalesce(width))
-    rest = settle(_cross_pairs(open_, similarity).join(tested, ["a", "b"], "left_anti"))
+    open_ = settle(_mixed(_classed(clusters, rooted).coalesce(width), "cluster").coalesce(width))
+    rest = settle(_rare_pairs(open_, held, similarity).join(tested, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         links = links.unionAll(_verified(rest, held, similarity))
         rooted = settle(components(links))
@@ -325,16 +328,27 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
       probability 0.9999, one at 0.5 with 0.27). In each bucket all are first compared with its smallest
       node, so a bucket of n costs n - 1 comparisons.
     * Where buckets then still hold several classes, the least edited node of each cluster of buckets is
-      compared with the other classes, round by round as long as that finds links. What is left outside
-      the largest class is compared with the other classes where sizes and shared elements allow a link
-      at all (see :func:`_clusters`). Pairs within a class would add nothing, so no candidate link between
-      classes is lost, and no bucket is expanded into all pairs.
+      compared with the other classes, in ``STARS`` rounds as long as they find links. Classes that are left
+      are compared where two of their bags have one of their rarest elements in common, which bags as similar
+      as that always do (see :func:`_rare_pairs`). Pairs within a class would add nothing, so no candidate
+      link between classes is lost, and no bucket or cluster is expanded into all pairs.
 
     A text without words (null, empty, only signs) is a class by itself; null ids lose to all others for
     ``class_id``; repeated rows fall into one class, of which one row is ``kept``; a short text is one
-    shingle; an empty table gives no rows; extra columns are not read.
+    shingle; a very long one is signed alone and is one row of a join; of equal ids in a class the row read
+    first is kept; an empty table gives no rows; extra columns are not read.
     """
-    texts = shipped(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _members(docs, similarity, bands, rows, shingle).drop("mark")
+
+
+def _mark():
+    """Tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def _members(docs: DataFrame, similarity: float, bands: int, rows: int, shingle: int) -> DataFrame:
+    """What :func:`near_classes` returns, with the text's ``mark``."""
+    texts = shipped(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _mark().alias("mark"))
     signed = settle(_signed_documents(texts, bands, rows, shingle).withColumn("row", F.monotonically_increasing_id()))
     some = signed.where("digest IS NOT NULL")
     chosen = F.min(F.struct("row", "doc_id", "weight")).alias("one")
@@ -355,23 +369,29 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     rooted = _linked_classes(live, held, first, similarity)
 
     member = signed.join(nodes.select("digest", "node"), "digest", "left").join(rooted, "node", "left")
-    member = settle(member.select("doc_id", "row", F.coalesce("root", "node", "row").alias("root")))
+    member = settle(member.select("doc_id", "row", "mark", F.coalesce("root", "node", "row").alias("root")))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
     classes = member.groupBy("root").agg(best, F.count("*").alias("class_size"))
     return member.join(classes, "root").select(
-        "doc_id", F.col("best.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("best.row")).alias("kept")
+        "doc_id", F.col("best.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("best.row")).alias("kept"), "mark"
     )
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: one of each class, with all their columns.
 
-    Rows are found again by id. Where an id occurs several times (rows of one id, null ids), all rows of
-    the id stay that the classes keep at least once: rows are told apart by their id alone.
+    Rows are found again by id and a hash of the text, so of rows that repeat an id, null ids among them, those
+    stay whose text is kept. Rows equal in both (copies of one row) are one row of one class; any one stays.
     """
-    kept = near_classes(docs).groupBy("doc_id").agg(F.max("kept").alias("stays")).where("stays").select(F.col("doc_id").alias("id"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    return rows.join(kept, rows["id"].eqNullSafe(kept["id"]), "left_semi").select("row.*")
+    members = _members(docs, SIMILARITY, BANDS, ROWS, SHINGLE)
+    alike = members.groupBy("doc_id", "mark").agg(F.max("kept").alias("stays"), F.count("*").alias("n")).where("stays")
+    kept = alike.select(F.col("doc_id").alias("id"), F.col("mark").alias("kept_mark"), (F.col("n") > 1).alias("several"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own"), _mark().alias("mark"))
+    found = rows.join(kept, rows["own"].eqNullSafe(kept["id"]) & (F.col("mark") == F.col("kept_mark")))
+    if alike.where("n > 1").isEmpty():
+        return found.select("row.*")
+    once = found.where("several").dropDuplicates(["own", "mark"])
+    return found.where("NOT several").select("row.*").unionAll(once.select("row.*"))
 
 
 @query("op2_bag_minhash_near_dedup")

@@ -501,3 +501,111 @@ def test_digest_queries_follow_the_contract(spark, sf):
     want = {(i, n, g, hashlib.sha256(w.encode()).hexdigest()) for i, n, g, w in brute_spans(list(texts.items()), 13)}
     got = QUERIES["op1_substring_dedup"](spark, sf).collect()
     assert {(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == want
+
+
+# --- what once went wrong
+
+
+def test_letters_that_compose_in_lower_case_are_the_library_s():
+    tool = encoder(default_path())
+    rng = np.random.default_rng(3)
+    marks = [chr(c) for c in (0x300, 0x301, 0x302, 0x304, 0x306, 0x307, 0x308, 0x30A, 0x30C, 0x323, 0x327, 0x328, 0x331)]
+    letters = list("aAbdDhHiIjJkKnNoOsStTuUwWyYzZ") + ["ß", "İ", "ı", "Σ", "ς", "Å", "ǰ", "가", "é"]
+    texts = ["J̌ordan", "H̱at", "T̈e W̊a"]
+    for _ in range(3000):
+        parts = []
+        for _ in range(int(rng.integers(1, 12))):
+            parts.append(str(rng.choice(letters)))
+            if rng.random() < 0.4:
+                parts.append(str(rng.choice(marks)))
+            if rng.random() < 0.2:
+                parts.append(" ")
+        texts.append("".join(parts))
+    for text in texts:
+        assert tool.encode(text).tolist() == tool.library.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_caches_forget_by_bytes():
+    small = type(encoder(default_path()))(default_path(), cache_bytes=20_000)
+    words = [f"word{i % 700} {prose(i, 3)}" for i in range(3000)]
+    for text in words:
+        assert small.encode(text).tolist() == encoder(default_path()).encode(text).tolist()
+    assert len(small._words) + len(small._words.older) < 400
+    small.forget()
+    assert not small._words and not small._words.older
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word[:n]
+
+
+def test_long_words_of_one_polynomial_hash_differ(spark):
+    one = thue_morse(1024)
+    two = one.translate(str.maketrans("ab", "ba"))
+    for size in (256, 511, 512, 513, 1024):
+        a, b = one[:size], two[:size]
+        rows = [(1, f"{PASSAGE} {a}"), (2, " ".join(PASSAGE.split()[-12:]) + f" {b}"), (3, " ".join(PASSAGE.split()[-12:]) + f" {a}")]
+        got = substring_dedup.remove_repeats(frame(spark, rows)).collect()
+        assert collections.Counter((r["row"]["doc_id"], r["n_words"], r["n_removed"], " ".join(WORD.findall(r["kept_text"] or ""))) for r in got) == brute_spans(rows, 13)
+
+
+def test_word_codes_follow_contents_only():
+    from gridspan.llm.common import Words
+
+    texts = [b"a bb ccccccc dddddddd eeeeeeeee " + b"f" * 16 + b" " + b"g" * 17, b"x a  bb\tccccccc\ndddddddd eeeeeeeee " + b"f" * 16 + b" " + b"g" * 17, b"", b"\n a"]
+    words = Words(texts)
+    found = {}
+    for start, end, code in zip(words.start, words.end, words.code):
+        assert found.setdefault(bytes(words.data[start:end]), code) == code
+    assert len(set(found.values())) == len(found) == 8
+
+
+def templates(n, edits, seed=9):
+    rng = np.random.default_rng(seed)
+    base = prose(seed, 60).split()
+    out = []
+    for i in range(n):
+        words = list(base)
+        for p in rng.choice(len(words), edits, replace=False):
+            words[p] = f"edit{i}x{p}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_templates_are_not_compared_with_each_other(spark, monkeypatch, edits):
+    compared = []
+    verified = bag_minhash._verified
+
+    def counted(pairs, held, similarity):
+        compared.append(pairs.count())
+        return verified(pairs, held, similarity)
+
+    monkeypatch.setattr(bag_minhash, "_verified", counted)
+    rows = list(enumerate(templates(300, edits)))
+    got = bag_minhash.near_classes(frame(spark, rows)).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == dict(enumerate(brute_classes(rows)))
+    assert sum(compared) < 10 * len(rows), compared
+
+
+def test_classes_of_shared_passages_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    passages = [prose(500 + i, 30) for i in range(6)]
+    rows = [(i, " ".join(passages[j] for j in rng.permutation(6)[: int(rng.integers(2, 6))]) + f" own{i} words{i}") for i in range(80)]
+    got = bag_minhash.near_classes(frame(spark, rows)).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == dict(enumerate(brute_classes(rows)))
+
+
+def test_one_of_each_tells_rows_of_one_id_apart(spark):
+    near = edited(BASE, [60])
+    rows = [(None, BASE), (None, near), (None, prose(70, 50)), (None, prose(70, 50)), (4, prose(71, 50)), (4, edited(prose(71, 50), [49])), (4, prose(72, 50)), (5, prose(72, 50)), (6, None), (6, "")]
+    kept = bag_minhash.one_of_each(frame(spark, rows)).collect()
+    found = collections.Counter((r["doc_id"], r["text"]) for r in kept)
+    assert sum(found[(None, t)] for t in (BASE, near)) == 1
+    assert found[(None, prose(70, 50))] == 1
+    assert found[(4, prose(71, 50))] + found[(4, edited(prose(71, 50), [49]))] == 1
+    assert found[(4, prose(72, 50))] == 1 and (5, prose(72, 50)) not in found
+    assert max(found.values()) == 1
