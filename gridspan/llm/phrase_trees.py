@@ -20,15 +20,16 @@ from pyspark.sql import functions as F
 
 from ..plans.joins import lookup_join
 from ..session import settle
-from .common import mix64, query, shipped, shuffle_width, table
+from .common import mix64, query, shipped, table
 
 LEAST, SHARE, KEPT = 10, 50, 2000
-# Occurrences below one prefix, and of one group's prefixes; heavier prefixes are lengthened.
-BUDGET = 4 << 20
+# Occurrences below one prefix, and of one group's prefixes; heavier prefixes are lengthened. Where that makes fewer
+# groups than these, the budget is a share of the corpus.
+BUDGET, GROUPS = 1 << 20, 256
 # Heavy prefixes are shipped to the tasks: of each length no more than these, or the budget is doubled.
 HEAVY = 1 << 17
-# Words (and distinct words) whose suffixes a task counts together before it passes them on.
-BATCH = 1 << 22
+# Words whose suffixes a task counts together before it passes them on, and distinct words that it counts together.
+BATCH, TABLE = 1 << 21, 1 << 18
 _WORD_BITS = 21
 _PAYLOAD = 4 << 20
 
@@ -109,16 +110,16 @@ def _count_words(batches):
         signed = np.array(hashed, np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(word, pa.binary()), pa.array(signed), pa.array(n, pa.int64())], ["lang", "word", "hash", "n"])
 
-    counts, seen = defaultdict(Counter), 0
+    counts = defaultdict(Counter)
     for batch in batches:
         for lang, text in _read(batch):
-            words = text.translate(_PIECES).replace(b"\n", b" ").split()
-            counts[lang].update(words)
-            seen += len(words)
-            if seen >= BATCH:
+            words = text.translate(_PIECES).split()
+            if words:
+                counts[lang].update(words)
+            if sum(map(len, counts.values())) >= TABLE:
                 yield flush(counts)
-                counts, seen = defaultdict(Counter), 0
-    if seen:
+                counts = defaultdict(Counter)
+    if counts:
         yield flush(counts)
 
 
@@ -315,8 +316,8 @@ def phrases(docs: DataFrame, least: int = LEAST, share: int = SHARE, kept: int =
     number of words of the language. Ties are broken by ``a`` descending, then the phrase in byte order.
 
     Three passes over the texts: words, pairs that begin with a heavy word (if there is one), suffixes. All are
-    counted per task before they are shuffled. A group's memory follows from the budget, whatever one word or
-    pair occurs; a budget is ``budget`` occurrences, fewer in small corpora so that all tasks have some.
+    counted per task before they are shuffled. A group's memory follows from ``budget``, in occurrences, however
+    often one word or pair occurs; small corpora have ``GROUPS`` groups.
 
     A null text is empty, a null language ``und``; rows that repeat count as often as they are there; very long
     texts are counted in batches like others; an empty table gives no rows; extra columns are not read.
@@ -325,7 +326,7 @@ def phrases(docs: DataFrame, least: int = LEAST, share: int = SHARE, kept: int =
     words = texts.mapInArrow(_count_words, "lang string, word binary, hash long, n long").groupBy("lang", "word", "hash").agg(F.sum("n").alias("n"))
     words = settle(words)
     total = words.agg(F.sum("n")).first()[0] or 0
-    budget = max(1, min(budget, total // (3 * shuffle_width(docs))))
+    budget = max(1, min(budget, total // GROUPS))
     limit, found = _heavy(words, budget)
     heavy: dict = {}
     for row in found:
