@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.cells import text_of
 from ..functions.keyvalue import declared_fields, key_values, keys_of, looks_packed
 from ..plans.joins import lookup_join
+from ..plans.position import numbered_by
+from ..plans.quantiles import first_rows
 from ..plans.spread import spread
 from .select import require
 
@@ -148,20 +151,30 @@ def edge_list(edges: DataFrame, names: DataFrame, i: str, j: str, weight: str) -
     return base.select("i", "j", "name_i", "name_j", "weight")
 
 
+def _fields(df: DataFrame) -> Column:
+    """All cells of a record as (place, field, text)."""
+    cells = [F.struct(F.lit(i).alias("place"), F.lit(c).alias("field"), text_of(df, c).alias("text")) for i, c in enumerate(df.columns)]
+    return F.array(*cells)
+
+
+def transposed_long(df: DataFrame, n: int, order: list[Column | str]) -> DataFrame:
+    """The first ``n`` records turned, in long form: (place, field, record, text), for any ``n``.
+
+    Records are numbered from 0 in the order of keys that are neither null nor NaN and single out a record.
+    They are taken by counting and numbered by a range sort (see :func:`first_rows`), so no task holds them all.
+    """
+    keys = [k if isinstance(k, Column) else F.col(k) for k in order]
+    head = first_rows(df.select(_fields(df).alias("_cells"), *[k.alias(f"_key{i}") for i, k in enumerate(keys)]), [F.col(f"_key{i}") for i in range(len(keys))], n)
+    placed = numbered_by(head, [f"_key{i}" for i in range(len(keys))], "record")
+    return placed.select("record", F.inline("_cells")).select("place", "field", "record", "text")
+
+
 def transposed_head(df: DataFrame, n: int, order: list[Column | str]) -> DataFrame:
-    """The first ``n`` records turned: a row per field, a column per record."""
-    from ..functions.cells import text_of
+    """The first ``n`` records turned: a row per field, a column per record.
 
-    if n > 1000:
-        raise ValueError("a transposed view is for up to 1000 records")
-    cells = F.array(
-        *[
-            F.struct(F.lit(i).alias("place"), F.lit(c).alias("field"), text_of(df, c).alias("text"))
-            for i, c in enumerate(df.columns)
-        ]
-    )
-    head = df.orderBy(*order).limit(n)
-    record = F.monotonically_increasing_id().alias("record")  # the n rows are one partition
-    long = head.coalesce(1).select(record, cells.alias("cells")).select("record", F.inline("cells"))
+    The result has ``n`` columns, which is what bounds a view to read; beyond some thousands
+    :func:`transposed_long` has the same cells as rows.
+    """
+    long = transposed_long(df, n, order)
     turned = long.groupBy("place", "field").pivot("record", list(range(n))).agg(F.first("text"))
     return turned.orderBy("place").drop("place")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal, localcontext
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from .select import require
 # 512 registers: up to 16 distinct values fill at most 16 of them, and the estimate is then
 # 512 * ln(512 / 496) < 16.3, so an estimate above 17 proves more than 16.
 _SKETCH_ERROR = 0.05
-# Up to this many values per column are counted by value; see plans.quantiles.
+# Up to this many values are counted one by one; see plans.quantiles.
 IN_BUFFER = quantiles.SMALL
 _BATCH = 24
 
@@ -31,6 +32,18 @@ def _share_name(share: float) -> str:
     return f"p{share * 100:g}".replace(".", "_")
 
 
+def _shown(value, as_text: bool):
+    """An exact percentile as the nearest double, or as text."""
+    if value is None or not as_text:
+        return None if value is None else float(value)
+    if isinstance(value, float):
+        return repr(value)
+    if value.denominator == 1:
+        return str(value.numerator)
+    with localcontext(prec=60):
+        return f"{(Decimal(value.numerator) / Decimal(value.denominator)).normalize():f}"
+
+
 def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"))
 
@@ -84,14 +97,16 @@ def describe(
     percentiles: tuple[float, ...] = (0.25, 0.5, 0.75),
     distinct_cap: int | None = None,
     in_buffer: int = IN_BUFFER,
+    as_text: bool = False,
 ) -> DataFrame:
     """A row per column: type, count, nulls, min, max (as text), mean, sum, std, percentiles,
     distinct.
 
-    Minimum, maximum and percentiles leave NaN out; sum and mean keep it. Percentiles
-    interpolate linearly and are exact at any size: up to ``in_buffer`` values by one pass that
-    counts them by value, beyond that by counting inside narrowing brackets. ``distinct`` is for columns that are not
-    numeric, and exact; with ``distinct_cap`` it is null where there are more.
+    Minimum, maximum and percentiles leave NaN out; sum and mean keep it. Percentiles interpolate
+    linearly and are exact at any size, found by counting inside narrowing brackets; they are shown as
+    the nearest double, or with ``as_text`` as text with all digits, which whole numbers past 2**53 and
+    decimals need. ``distinct`` is for columns that are not numeric, and exact; with ``distinct_cap`` it
+    is null where there are more.
     """
     names = columns or df.columns
     require(df, *names)
@@ -127,11 +142,11 @@ def describe(
         get = shown.get
         row = [c, column_type(df, c).simpleString(), get(f"count{i}"), total - get(f"count{i}")]
         row += [get(f"min{i}"), get(f"max{i}"), get(f"mean{i}"), get(f"sum{i}"), get(f"std{i}")]
-        inside = [points.get((c, p)) for p in percentiles]
+        inside = [_shown(points.get((c, p)), as_text) for p in percentiles]
         rows.append((*row, *inside, distinct.get(c)))
     fields = "column string, type string, count long, nulls long, min string, max string, mean double, "
     fields += "sum double, std double, "
-    fields += "".join(f"{_share_name(p)} double, " for p in percentiles) + "distinct long"
+    fields += "".join(f"{_share_name(p)} {'string' if as_text else 'double'}, " for p in percentiles) + "distinct long"
     return df.sparkSession.createDataFrame(rows, fields)
 
 

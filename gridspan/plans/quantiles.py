@@ -1,245 +1,265 @@
 """Exact order statistics of columns that do not fit one task.
 
-Each wanted rank is enclosed in a value bracket. A pass over the data proposes a tighter
-bracket from mergeable sketches, a second pass counts exactly what lies below and inside,
-and only proposals the counts prove right are taken. When few distinct values remain
-inside, they are grouped and the rank is read off. Every pass is one scan with a partial
-aggregation; nothing but scalars reaches the driver.
+A value is mapped to one or several longs that sort as the values do: whole numbers, dates and times are
+themselves, a double is its sign, exponent and fraction, a wide decimal is cut into groups of digits and a
+text into groups of seven bytes. A rank is then found from the highest bits down: one scan counts, for all
+columns and ranks together, the values in each bucket of equal leading bits, and only the bucket that holds
+the rank is cut further, below the bits that its least and greatest value have in common. A bucket of few
+values is counted value by value. Each scan is one partial aggregation, with at most ``SMALL`` rows per
+bracket after it, and takes twelve bits at least; nothing but the buckets found reaches the driver.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import struct
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
+from decimal import Decimal
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Values inside a bracket that one pass may count by value.
-SMALL = 200_000
-_ACCURACY = 10_000
-_SLACK = 3.0 / _ACCURACY
-# A first proposal for a table of moderate size comes from about this many rows; the slack is
-# five standard errors of a quantile of such a sample. Counts over all rows decide either way.
-_DRAWN = 100_000
-_DRAWN_SLACK = 0.008
-_COUNTS = 24
-_INF = float("inf")
+from ..functions.arith import epoch_micros
+
+# Values of a bracket that are counted one by one.
+SMALL = 65_536
+# Rows of a top-k, which every task holds; more are found by the value they are cut at.
+TOP = 1_000
+_BITS = 12
+_SIGN = -(1 << 63)
+_GROUP = 10**13
 
 
 @dataclass(frozen=True)
-class _Bracket:
-    """The value at ``rank`` of ``column`` lies in [low, high]; ``below`` values are smaller than
-    low, ``upto`` are not larger than high."""
+class Keys:
+    """The longs of a column: ``level(i)`` is the i-th, ``value`` turns a full list back (None: not yet full)."""
+
+    level: Callable[[int], Column]
+    value: Callable[[list[int]], object]
 
-    column: str
-    rank: int
-    low: float
-    high: float
-    below: int
-    upto: int
 
+def _double_bits(x: Column) -> Column:
+    """The IEEE bits of a double as a long that sorts like it, by exact arithmetic."""
+    size = F.abs(x)
+    guess = F.floor(F.log2(size))
+    # the logarithm may miss by one beside a power of two
+    exponent = guess + F.when(size < F.pow(F.lit(2.0), guess), -1).when(size >= F.pow(F.lit(2.0), guess + 1), 1).otherwise(0)
+    power = F.greatest(exponent, F.lit(-1022)).cast("long")
+    fraction = size / F.pow(F.lit(2.0), power) * F.lit(2.0**52)
+    # normal numbers hold the leading one of their fraction, which adds 1 to the exponent's field
+    bits = (power + 1022) * F.lit(1 << 52) + fraction.cast("long")
+    bits = F.when(size == float("inf"), F.lit(2047 << 52)).when(size == 0, F.lit(0)).otherwise(bits)
+    return F.when(x < 0, -bits).otherwise(bits)
 
-def _plain(column: str) -> Column:
-    """The column as a double, for comparisons with a bound: NaN is above every bound."""
-    return F.col(f"`{column}`").cast("double")
 
+def _double_of(keys: list[int]) -> float:
+    return struct.unpack("<d", struct.pack("<q", abs(keys[0])))[0] * (-1 if keys[0] < 0 else 1)
 
-def _number(column: str) -> Column:
-    """The column as a double with NaN as null; ranks leave both out."""
-    value = _plain(column)
-    return F.when(~F.isnan(value), value)
 
+def _text_group(bytes_: Column, i: int) -> Column:
+    """Seven bytes from place 7 i and how many there are: shorter texts come before their continuations."""
+    part = F.substring(bytes_, 7 * i + 1, 7)
+    number = F.conv(F.rpad(F.hex(part), 14, "0"), 16, 10).cast("long")
+    return F.when(F.octet_length(part) == 0, F.lit(0)).otherwise(number * 8 + F.octet_length(part))
 
-def _inside(b: _Bracket) -> Column | None:
-    """None for a bracket without bounds."""
-    if (b.low, b.high) == (-_INF, _INF):
+
+def _text_of(keys: list[int]) -> bytes | None:
+    if keys and keys[-1] % 8 == 7:
         return None
-    return _plain(b.column).between(F.lit(b.low), F.lit(b.high))
-
-
-def _values(b: _Bracket) -> Column:
-    inside, value = _inside(b), _number(b.column)
-    return value if inside is None else F.when(inside, value)
-
-
-def _proposals(df: DataFrame, brackets: list[_Bracket], slack: float) -> list[tuple]:
-    """Tighter bounds from sketches; ranks that share a bracket share its sketch. None where the
-    sketch saw no value."""
-    asked: dict[tuple, dict[int, list[float]]] = {}
-    source: dict[tuple, _Bracket] = {}
-    for b in brackets:
-        share = (b.rank - b.below) / max(b.upto - b.below - 1, 1)
-        place = (b.column, b.low, b.high)
-        source[place] = b
-        asked.setdefault(place, {})[b.rank] = [max(share - slack, 0.0), min(share + slack, 1.0)]
-    for ranks in asked.values():
-        for rank, (_, high) in list(ranks.items()):
-            # the two ranks around a percentile get the same bounds
-            if rank - 1 in ranks:
-                ranks[rank - 1][1], ranks[rank][0] = high, ranks[rank - 1][0]
-    sketches = [
-        F.percentile_approx(_values(source[p]), [x for pair in ranks.values() for x in pair], _ACCURACY).alias(f"q{i}")
-        for i, (p, ranks) in enumerate(asked.items())
-    ]
-    row = df.agg(*sketches).first()
-    found = {}
-    for i, (place, ranks) in enumerate(asked.items()):
-        values = row[f"q{i}"] or [None] * (2 * len(ranks))
-        for k, rank in enumerate(ranks):
-            found[(place, rank)] = (values[2 * k], values[2 * k + 1])
-    return [found[((b.column, b.low, b.high), b.rank)] for b in brackets]
-
-
-def _tighten(df: DataFrame, brackets: list[_Bracket], drawn: float | None = None) -> list[_Bracket]:
-    """Take each proposed bound that exact counts prove to keep the rank inside.
-
-    The counts also tell when the rank falls on a bound itself, as it does for columns of few
-    values; the bracket is then that value.
-    """
-    if drawn is None:
-        proposed = _proposals(df, brackets, _SLACK)
-    else:
-        proposed = _proposals(df.sample(drawn, 0), brackets, _DRAWN_SLACK)
-    bounds = {(b.column, x) for b, pair in zip(brackets, proposed, strict=True) for x in pair if x is not None}
-    wanted = {}
-    for column, x in bounds:
-        wanted[(column, x, "below")] = F.count(F.when(_plain(column) < x, 1))
-        wanted[(column, x, "upto")] = F.count(F.when(_plain(column) <= x, 1))
-    if not wanted:
-        return brackets
-    counted, keys = {}, sorted(wanted)
-    for i in range(0, len(keys), _COUNTS):
-        # a few counts at a time, of neighbouring columns: short generated code that gets compiled
-        part = keys[i : i + _COUNTS]
-        row = df.agg(*[wanted[key].alias(f"n{j}") for j, key in enumerate(part)]).first()
-        counted |= {key: row[f"n{j}"] for j, key in enumerate(part)}
-    result = []
-    for b, pair in zip(brackets, proposed, strict=True):
-        low, high, below, upto = b.low, b.high, b.below, b.upto
-        for x in pair:
-            if x is None:
-                continue
-            smaller, reached = counted[(b.column, x, "below")], counted[(b.column, x, "upto")]
-            if smaller <= b.rank < reached:
-                low, high, below, upto = x, x, smaller, reached
-            elif reached <= b.rank and x >= low:
-                # the rank lies above x; rows equal to x stay inside and are counted as such
-                low, below = x, smaller
-            elif smaller > b.rank and x <= high:
-                high, upto = x, reached
-        result.append(_Bracket(b.column, b.rank, low, high, below, upto))
-    return result
+    return b"".join((k >> 3).to_bytes(7, "big")[: k % 8] for k in keys)
+
+
+def keys_of(cell: Column, kind: T.DataType) -> Keys:
+    """The longs that sort like the values of ``cell``; NaN, like null, has none."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        x = cell.cast("double")
+        return Keys(lambda _: F.when(~F.isnan(x), _double_bits(x)), lambda k: _double_of(k) if k else None)
+    if isinstance(kind, T.DecimalType) and kind.precision > 18:
+        # all digits at fixed places: arithmetic on so many would round
+        pattern = "S" + "0" * max(1, kind.precision - kind.scale) + ("." + "0" * kind.scale if kind.scale else "")
+        text = F.to_char(cell, F.lit(pattern))
+        digits, sign = F.lpad(F.translate(text, "+-.", ""), 39, "0"), F.when(text.startswith("-"), -1).otherwise(1)
+        parts = [F.substring(digits, 13 * i + 1, 13).cast("long") * sign for i in range(3)]
+        back = lambda k: Decimal((k[0] * _GROUP + k[1]) * _GROUP + k[2]).scaleb(-kind.scale) if len(k) == 3 else None
+        return Keys(lambda i: parts[i], back)
+    if isinstance(kind, T.DecimalType):
+        whole = (cell * F.lit(10**kind.scale).cast(f"decimal({kind.scale + 1},0)")).cast("long")
+        return Keys(lambda _: whole, lambda k: Decimal(k[0]).scaleb(-kind.scale) if k else None)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        data = cell.cast("binary")
+        text = isinstance(kind, T.StringType)
+        return Keys(lambda i: _text_group(data, i), lambda k: None if (b := _text_of(k)) is None or not k else b.decode() if text else b)
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        cell = epoch_micros(cell, kind)
+    return Keys(lambda _: cell.cast("long"), lambda k: k[0] if k else None)
 
 
-def _few_values(df: DataFrame, brackets: list[_Bracket], limit: int) -> set[_Bracket]:
-    """Brackets that hold many rows but few distinct values, such as one frequent value."""
-    if not brackets:
-        return set()
-    row = df.agg(*[F.approx_count_distinct(_values(b)).alias(f"d{i}") for i, b in enumerate(brackets)]).first()
-    return {b for i, b in enumerate(brackets) if row[f"d{i}"] <= limit}
-
-
-def exact_ranks(df: DataFrame, ranks: dict[str, list[int]], counts: dict[str, int], small: int | None = None) -> dict:
-    """``{(column, rank): value}`` for 0-based ranks among the ``counts`` non-null, non-NaN
-    values of each column."""
-    limit = SMALL if small is None else small
-    loose = [
-        _Bracket(c, r, -_INF, _INF, 0, counts[c]) for c, asked in ranks.items() for r in sorted(set(asked)) if counts[c]
-    ]
-    done: list[_Bracket] = []
-    for turn in range(16):
-        settled = {b for b in loose if b.low == b.high or b.upto - b.below <= limit}
-        if turn:
-            settled |= _few_values(df, [b for b in loose if b not in settled], limit)
-        done += [b for b in loose if b in settled]
-        loose = [b for b in loose if b not in settled]
-        if not loose:
-            break
-        most = max(b.upto - b.below for b in loose)
-        small_table = turn == 0 and _DRAWN < most <= 50 * max(limit, 1)
-        tighter = _tighten(df, loose, _DRAWN / most if small_table else None)
-        if tighter == loose:
-            break
-        loose = tighter
-    done += loose
-    found = {(b.column, b.rank): b.low for b in done if b.low == b.high}
-    return found | _read_off(df, [(b.column, b.rank, b.below, _inside(b)) for b in done if b.low != b.high])
-
-
-def _read_off(df: DataFrame, wanted: list[tuple[str, int, int, Column | None]]) -> dict:
-    """Values at ranks, from the counts of the distinct values inside each bracket.
-
-    ``wanted`` holds column, rank, the count below the bracket and the bracket itself (None for
-    all values). Brackets that several ranks share are counted once.
-    """
-    if not wanted:
-        return {}
-    brackets: dict[str, tuple[int, Column]] = {}
-    asked: dict[int, list[tuple[str, int, int]]] = {}
-    for column, rank, below, inside in wanted:
-        key = f"{column} {inside}"
-        if key not in brackets:
-            value = _number(column)
-            brackets[key] = (len(brackets), value if inside is None else F.when(inside, value))
-        asked.setdefault(brackets[key][0], []).append((column, rank, below))
-    cells = F.array(*[F.struct(F.lit(i).alias("b"), v.alias("v")) for i, v in brackets.values()])
-    tests = [inside for _, _, _, inside in wanted]
-    if all(t is not None for t in tests):
-        # few rows are inside any bracket; drop the rest before they are taken apart
-        df = df.where(reduce(lambda a, b: a | b, tests))
-    counted = df.select(F.inline(cells)).where("v IS NOT NULL").groupBy("b", "v").agg(F.count("*").alias("n"))
-    # one bracket holds few distinct values, so its running sum may be one task
-    through = F.sum("n").over(Window.partitionBy("b").orderBy("v"))
-    ranked = counted.withColumn("through", through)
-    places = []
-    for i, group in asked.items():
-        for column, rank, below in group:
-            reached = (F.col("b") == i) & (F.col("through") > rank - below)
-            places.append((column, rank, F.min(F.when(reached, F.col("v")))))
-    row = ranked.agg(*[v.alias(f"r{k}") for k, (_, _, v) in enumerate(places)]).first()
-    return {(column, rank): row[f"r{k}"] for k, (column, rank, _) in enumerate(places)}
-
-
-def exact_percentiles(
-    df: DataFrame, columns: list[str], shares: list[float], counts: dict[str, int], small: int | None = None
-) -> dict:
+@dataclass(frozen=True)
+class _Place:
+    """The value at ``rank`` of ``column`` among those whose first longs are ``path`` and whose next one lies in
+    [low, high]; ``rank`` counts from the least of these, of which there are ``inside``."""
+
+    column: str
+    wanted: int
+    rank: int
+    path: tuple[int, ...] = ()
+    low: int = _SIGN
+    high: int = -_SIGN - 1
+    inside: int = -1
+    below: int = field(default=0, compare=False)
+
+    @property
+    def bracket(self) -> tuple:
+        return self.column, self.path, self.low, self.high, self.inside
+
+    def bits(self) -> int:
+        """How many low bits differ in the bracket."""
+        return ((self.low ^ self.high) & ((1 << 64) - 1)).bit_length()
+
+
+def _turn(df: DataFrame, keys: dict[str, Keys], places: list[_Place], small: int) -> list[_Place]:
+    """All places one step further: one scan for all columns and ranks."""
+    brackets = list(dict.fromkeys(p.bracket for p in places))
+    number = {b: i for i, b in enumerate(brackets)}
+    first = {p.bracket: p for p in reversed(places)}
+    depth: dict[str, int] = {}
+    for column, path, *_ in brackets:
+        depth[column] = max(depth.get(column, 0), len(path))
+    names = {(c, i): f"k{n}_{i}" for n, c in enumerate(depth) for i in range(depth[c] + 1)}
+    base = df.select(*[keys[c].level(i).alias(name) for (c, i), name in names.items()])
+
+    cells = []
+    for column in depth:
+        slot, bucket, value = F.lit(None).cast("int"), F.lit(None).cast("long"), F.lit(None).cast("long")
+        for b in (b for b in brackets if b[0] == column):
+            _, path, low, high, inside = b
+            key = F.col(names[(column, len(path))])
+            tests = [F.col(names[(column, i)]) == k for i, k in enumerate(path)]
+            tests.append(key.isNotNull() if inside < 0 else key.between(low, high))
+            here = reduce(lambda x, y: x & y, tests)
+            bits = first[b].bits()
+            if inside < 0:
+                part = F.lit(0).cast("long")
+            elif inside <= small or bits <= _BITS:
+                part = key
+            else:
+                part = F.shiftrightunsigned(key, bits - _BITS).bitwiseAND(F.lit((1 << _BITS) - 1))
+                if bits == 64:
+                    part = part.bitwiseXOR(F.lit(1 << (_BITS - 1)))
+            slot, bucket, value = F.when(here, number[b]).otherwise(slot), F.when(here, part).otherwise(bucket), F.when(here, key).otherwise(value)
+        cells.append(F.struct(slot.alias("slot"), bucket.alias("bucket"), value.alias("value")))
+    counted = base.select(F.inline(F.array(*cells))).where("slot IS NOT NULL")
+    counted = counted.groupBy("slot", "bucket").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    # at most 2**_BITS or ``small`` rows of a bracket
+    through = F.sum("n").over(Window.partitionBy("slot").orderBy("bucket"))
+    counted = counted.withColumn("through", through)
+    hits = [(F.col("slot") == number[p.bracket]) & (F.col("through") > p.rank) & (F.col("through") - F.col("n") <= p.rank) for p in places]
+    found = counted.where(reduce(lambda x, y: x | y, hits)).collect()
+    out = []
+    for p in places:
+        for row in found:
+            before = row["through"] - row["n"]
+            if row["slot"] == number[p.bracket] and before <= p.rank < row["through"]:
+                out.append(replace(p, rank=p.rank - before, below=p.below + before, low=row["low"], high=row["high"], inside=row["n"]))
+    return out
+
+
+def select_ranks(df: DataFrame, keys: dict[str, Keys], ranks: dict[str, list[int]], small: int = SMALL) -> dict:
+    """``{(column, rank): (value, longs, values below)}``; ranks past a column's values are left out."""
+    places = [_Place(c, r, r) for c, asked in ranks.items() for r in sorted(set(asked))]
+    found: dict = {}
+    while places:
+        going = []
+        for p in _turn(df, keys, places, small):
+            while p is not None and p.low == p.high:
+                path = (*p.path, p.low)
+                value = keys[p.column].value(list(path))
+                if value is not None:
+                    found[(p.column, p.wanted)] = (value, path, p.below)
+                    p = None
+                else:
+                    p = replace(p, path=path, low=_SIGN, high=-_SIGN - 1, inside=-1)
+            if p is not None:
+                going.append(p)
+        places = going
+    return found
+
+
+def exact_ranks(df: DataFrame, ranks: dict[str, list[int]], small: int = SMALL) -> dict:
+    """``{(column, rank): value}`` for 0-based ranks among the non-null, non-NaN values of each column."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    keys = {c: keys_of(F.col(f"`{c}`"), kinds[c]) for c in ranks}
+    return {place: value for place, (value, _, _) in select_ranks(df, keys, ranks, small).items()}
+
+
+def exact_percentiles(df: DataFrame, columns: list[str], shares: list[float], counts: dict[str, int], small: int = SMALL) -> dict:
     """``{(column, share): value}``, interpolated linearly between the two nearest ranks.
 
-    ``counts`` are the values per column; with no more than ``small`` all are counted by value
-    in one pass.
+    ``counts`` are the non-null, non-NaN values per column. Doubles are interpolated as doubles; whole numbers,
+    decimals and times (as microseconds since 1970) exactly, as fractions.
     """
     ends = {}
     for column in columns:
         for share in shares:
             if counts[column]:
-                place = (counts[column] - 1) * share
-                ends[(column, share)] = (int(place), min(int(place) + 1, counts[column] - 1), place)
+                place = Fraction(share).limit_denominator(10**9) * (counts[column] - 1)
+                low = place.numerator // place.denominator
+                ends[(column, share)] = (low, min(low + 1, counts[column] - 1), place - low)
     ranks: dict[str, list[int]] = {}
     for (column, _), (low, high, _) in ends.items():
         ranks.setdefault(column, []).extend([low, high])
-    values = exact_ranks(df, ranks, counts, small) if ranks else {}
+    values = exact_ranks(df, ranks, small) if ranks else {}
     result = {}
-    for (column, share), (low, high, place) in ends.items():
+    for (column, share), (low, high, part) in ends.items():
         a, b = values[(column, low)], values[(column, high)]
-        result[(column, share)] = a + (place - low) * (b - a) if b != a else a
+        if isinstance(a, float):
+            result[(column, share)] = a + float(part) * (b - a) if b != a else a
+        else:
+            result[(column, share)] = Fraction(a) + part * (Fraction(b) - Fraction(a))
     return result
 
 
-def first_rows(df: DataFrame, keys: list[Column], n: int, in_memory: int = 1_000_000) -> DataFrame:
-    """The ``n`` smallest rows under ``keys``; the first key is a long below 2**53.
+def first_rows(df: DataFrame, keys: list[Column], n: int) -> DataFrame:
+    """The ``n`` smallest rows under ``keys``, which are not null and not NaN.
 
-    Few rows are a top-k, which never sorts the table. For more, the exact cut value of
-    the first key is found by counting and the rows below it are taken by a filter, so no
-    task holds all ``n``; only ties on the cut are limited, under the remaining keys.
+    Up to ``TOP`` rows are a top-k, which never sorts the table. For more, the row they are cut at is found by
+    counting, and the rows before it are taken by a filter, so no task holds all ``n``; only rows that are
+    equal to it in all keys are limited.
     """
-    if n <= in_memory:
+    if n <= TOP:
         return df.orderBy(*keys).limit(n)
-    keyed = df.withColumn("_key", keys[0].cast("long"))
-    total = keyed.where("_key IS NOT NULL").count()
-    if total <= n:
+    kinds = df.select(*[k.alias(f"k{i}") if isinstance(k, Column) else F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).schema
+    cells = [k if isinstance(k, Column) else F.col(k) for k in keys]
+    parts = [keys_of(c, f.dataType) for c, f in zip(cells, kinds)]
+    levels: list[tuple[int, int]] = []
+
+    def level(i: int) -> Column:
+        key, at = levels[i]
+        return parts[key].level(at)
+
+    def full(path: list[int]) -> bool | None:
+        """Which key's longs come next follows from those found."""
+        levels[:] = []
+        key, first = 0, 0
+        for i in range(len(path) + 1):
+            levels.append((key, i - first))
+            if i < len(path) and parts[key].value(path[first : i + 1]) is not None:
+                key, first = key + 1, i + 1
+                if key == len(parts):
+                    return True
+        return None
+
+    full([])
+    found = select_ranks(df, {"row": Keys(level, full)}, {"row": [n - 1]})
+    if not found:
         return df
-    cut = exact_ranks(keyed, {"_key": [n - 1]}, {"_key": total})[("_key", n - 1)]
-    below = keyed.where(F.col("_key") < int(cut))
-    ties = keyed.where(F.col("_key") == int(cut)).orderBy(*keys).limit(n - below.count())
-    return below.unionByName(ties).drop("_key")
+    _, path, below = found[("row", n - 1)]
+    full(list(path))
+    before, equal = F.lit(False), F.lit(True)
+    for i, k in enumerate(path):
+        before = before | (equal & (level(i) < k))
+        equal = equal & (level(i) == k)
+    return df.where(before).unionByName(df.where(equal).limit(n - below))

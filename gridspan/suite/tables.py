@@ -420,6 +420,52 @@ def described(spark, sf):
     return shares(shares(out.drop("type", "distinct"), "mean", "std", "p25", "p50", "p75"), "sum", digits=2)
 
 
+_LINE_NUMBERS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_LINE_TEXTS = ("l_returnflag", "l_linestatus")
+
+
+@query(
+    "A2_describe_whole_table",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count({c}) AS count, count(*) - count({c}) AS nulls, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high, "
+        f"NULL AS first, NULL AS last, round(avg({c}), 7) AS mean, round(stddev_samp({c}), 7) AS std, round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 7) AS p25, "
+        f"round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 7) AS p50, round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 7) AS p75, CAST(NULL AS BIGINT) AS \"distinct\" FROM lineitem"
+        for c in _LINE_NUMBERS
+    )
+    + "".join(
+        f" UNION ALL SELECT '{c}', count({c}), count(*) - count({c}), NULL, NULL, min({c}), max({c}), NULL, NULL, NULL, NULL, NULL, count(DISTINCT {c}) FROM lineitem"
+        for c in _LINE_TEXTS
+    )
+    + " UNION ALL SELECT 'l_shipdate', count(l_shipdate), count(*) - count(l_shipdate), NULL, NULL, strftime(min(l_shipdate), '%Y-%m-%d %H:%M:%S.%f'), strftime(max(l_shipdate), '%Y-%m-%d %H:%M:%S.%f'), "
+    "NULL, NULL, NULL, NULL, NULL, NULL FROM lineitem",
+)
+def described_whole(spark, sf):
+    """Every column of a table of mixed types."""
+    out = summary.describe(table(spark, sf, "lineitem"))
+    number = F.col("column").isin(*_LINE_NUMBERS)
+    shown = out.select(
+        "column", "count", "nulls", F.when(number, F.col("min")).cast("double").alias("low"), F.when(number, F.col("max")).cast("double").alias("high"),
+        F.when(~number, F.col("min")).alias("first"), F.when(~number, F.col("max")).alias("last"), "mean", "std", "p25", "p50", "p75", "distinct",
+    )
+    return shares(shown, "mean", "std", "p25", "p50", "p75")
+
+
+@query(
+    "A3_percentiles_past_doubles",
+    "WITH v AS (SELECT 9007199254740993 + 2 * l_partkey AS x, row_number() OVER (ORDER BY l_partkey) - 1 AS i, count(*) OVER () AS n FROM lineitem), "
+    "s AS (SELECT k, (max(n) - 1) * k // 4 AS low, (max(n) - 1) * k % 4 AS part, max(n) AS n FROM v, range(1, 4) r(k) GROUP BY k), "
+    "e AS (SELECT k, part, max(x) FILTER (WHERE i = low)::HUGEINT AS a, max(x) FILTER (WHERE i = least(low + 1, s.n - 1))::HUGEINT AS b FROM s, v GROUP BY k, part), "
+    "q AS (SELECT k, 4 * a + part * (b - a) AS q FROM e) "
+    "SELECT CAST(25 * k AS INTEGER) AS percent, CAST(q // 4 AS VARCHAR) || CASE q % 4 WHEN 0 THEN '' WHEN 1 THEN '.25' WHEN 2 THEN '.5' ELSE '.75' END AS value FROM q",
+)
+def percentiles_past_doubles(spark, sf):
+    """Whole numbers that no double holds."""
+    df = table(spark, sf, "lineitem").select((F.col("l_partkey") * 2 + ((1 << 53) + 1)).alias("x"))
+    out = summary.describe(df, as_text=True)
+    cells = F.array(*[F.struct(F.lit(p).alias("percent"), F.col(f"p{p}").alias("value")) for p in (25, 50, 75)])
+    return out.select(F.inline(cells))
+
+
 @query(
     "A2_describe_text",
     "SELECT 'l_returnflag' AS \"column\", 'string' AS type, count(*) AS count, min(l_returnflag) AS min, max(l_returnflag) AS max, "
@@ -580,6 +626,16 @@ def tailed(spark, sf):
     return order.tail(rows.keep_rows(df, ("l_quantity", ">", 45)), 25, F.col("_row")).drop("_row")
 
 
+@query(
+    "O2_head_of_a_third",
+    "SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER () - 1 AS r, count(*) OVER () AS n FROM lineitem) t WHERE r < n // 3",
+)
+def headed_third(spark, sf):
+    """More rows than a task should hold: cut by counting."""
+    df = numbered_parquet(spark, f"{sf}/lineitem.parquet", ["l_orderkey", "l_linenumber"])
+    return order.head(df, df.count() // 3, F.col("_row")).drop("_row")
+
+
 @query(
     "O4_top",
     "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 100",
@@ -613,6 +669,19 @@ def turned(spark, sf):
     return reshape.transposed_head(df, 2, ["o_orderkey"])
 
 
+@query(
+    "O6_transposed_any_number",
+    "WITH h AS (SELECT *, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS r, count(*) OVER () AS n FROM orders) "
+    "SELECT CAST(i AS INTEGER) AS place, f AS field, r AS record, v AS text FROM (SELECT r, unnest(range(3)) AS i, unnest(['o_orderkey', 'o_custkey', 'o_orderstatus']) AS f, "
+    "unnest([CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus]) AS v FROM h WHERE r < 2 * n // 3) t",
+)
+def turned_many(spark, sf):
+    df = table(spark, sf, "orders")
+    keys = [F.col("o_totalprice"), F.col("o_orderkey")]
+    turned = reshape.transposed_long(df.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), 2 * df.count() // 3, keys)
+    return turned.where("field <> 'o_totalprice'")
+
+
 @query(
     "P4_flatten",
     "SELECT s_suppkey, s_name AS \"who.name\", CASE WHEN s_nationkey % 5 = 0 THEN NULL ELSE s_nationkey END AS \"who.at.nation\", "

@@ -1,13 +1,15 @@
 """The scalable building blocks against plain windows and brute force, large paths forced."""
 
 import bisect
+from decimal import Decimal
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gridspan.operators import intervals, order, region
+from gridspan.operators import intervals, order, region, summary
 from gridspan.plans import joins, quantiles
 from gridspan.plans.position import numbered_by, numbered_parquet, text_lines
 from gridspan.plans.scan import prefix_scan
@@ -95,12 +97,79 @@ def test_percentiles_skip_nan_and_take_infinity(spark):
     assert [got[("v", p)] for p in (0.0, 0.1, 0.5, 1.0)] == want
 
 
-def test_first_rows_by_counting(spark):
+def test_first_rows_by_counting(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "TOP", 10)
     df = spark.range(5000).select((F.col("id") % 1000).alias("k"), "id")
-    got = quantiles.first_rows(df, [F.col("k"), F.col("id")], 3333, in_memory=10)
+    got = quantiles.first_rows(df, [F.col("k"), F.col("id")], 3333)
     want = df.orderBy("k", "id").limit(3333)
     assert got.exceptAll(want).count() == 0 and got.count() == 3333
-    assert quantiles.first_rows(df, [F.col("k")], 9999, in_memory=10).count() == 5000
+    assert quantiles.first_rows(df, [F.col("k")], 9999).count() == 5000
+
+
+def test_first_rows_under_keys_of_any_type(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "TOP", 10)
+    df = spark.range(3000).select(
+        F.concat(F.lit("https://example.org/"), F.pmod(F.xxhash64("id"), F.lit(50)).cast("string")).alias("t"),
+        (F.pmod(F.xxhash64("id"), F.lit(7)) / 3 - 1).alias("d"), F.expr("timestamp_seconds(id % 13)").alias("s"), "id",
+    )
+    keys = [F.col("t"), F.col("d"), F.col("s"), F.col("id")]
+    for n in (11, 1500, 2999):
+        got, want = quantiles.first_rows(df, keys, n), df.orderBy(*keys).limit(n)
+        assert got.exceptAll(want).count() == 0 and got.count() == n
+    assert quantiles.first_rows(df, keys[:1], 500).count() == 500
+
+
+def test_a_large_head_is_not_a_top_k(spark):
+    df = spark.range(600_000).withColumn("p", F.col("id") * 3 + (1 << 60))
+    got = quantiles.first_rows(df, [F.col("p")], 500_000)
+    assert "TakeOrdered" not in got._jdf.queryExecution().toString()
+    assert got.agg(F.count("*"), F.max("id")).first() == (500_000, 499_999)
+
+
+def select(spark, values, kind, small=3):
+    df = spark.createDataFrame([(v,) for v in values], f"v {kind}").repartition(3)
+    ranks = list(range(len([v for v in values if v is not None and v == v])))
+    got = quantiles.exact_ranks(df, {"v": ranks}, small)
+    return [got[("v", r)] for r in ranks]
+
+
+def test_ranks_of_doubles_are_exact(spark):
+    rng = np.random.default_rng(1)
+    values = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, float("inf"), float("-inf"), float("nan"), None]
+    values += [float(x) for x in rng.normal(size=40) * 10.0 ** rng.integers(-300, 300, 40)]
+    for e in (-1074, -1023, -1022, -1, 0, 1, 52, 53, 1023):
+        values += [2.0**e, float(np.nextafter(2.0**e, 0)), float(np.nextafter(2.0**e, 4.0)), -(2.0**e)]
+    assert select(spark, values, "double") == sorted(v for v in values if v is not None and v == v)
+
+
+def test_ranks_of_whole_numbers_decimals_and_texts_are_exact(spark):
+    ends = [-(1 << 63), (1 << 63) - 1, 0, -1, 1, (1 << 53) + 1, (1 << 53) + 1, (1 << 53) + 3, None]
+    assert select(spark, ends, "long") == sorted(v for v in ends if v is not None)
+    wide = [Decimal(x).scaleb(-3) for x in (0, 1, -1, 10**37, -(10**37), 10**26, 10**26 - 1, -(10**26) - 1, 10**13, -(10**13), 5 * 10**12)]
+    assert select(spark, wide, "decimal(38,3)") == sorted(wide)
+    narrow = [Decimal(x).scaleb(-2) for x in (0, 5, -5, 10**15, -(10**15))]
+    assert select(spark, narrow, "decimal(18,2)") == sorted(narrow)
+    texts = ["", "a", "a\0", "a\0b", "abcdefg", "abcdefgh", "abcdefg\0", "abcdefghijklmnopqrstu", "abcdefghijklmnopqrstuv", "é", "z", "東京", "a", None]
+    assert select(spark, texts, "string") == sorted((t for t in texts if t is not None), key=lambda t: t.encode())
+
+
+def test_percentiles_past_doubles(spark):
+    df = spark.createDataFrame([((1 << 53) + 1,), ((1 << 53) + 1,), ((1 << 53) + 3,)], "v long")
+    assert quantiles.exact_percentiles(df, ["v"], [0.5], {"v": 3})[("v", 0.5)] == (1 << 53) + 1
+    shown = summary.describe(df, percentiles=(0.5, 0.75), as_text=True).first()
+    assert (shown["p50"], shown["p75"]) == (str((1 << 53) + 1), str((1 << 53) + 2))
+
+
+def test_jobs_do_not_grow_with_columns(spark, monkeypatch):
+    turns = []
+    turn = quantiles._turn
+    monkeypatch.setattr(quantiles, "_turn", lambda df, keys, places, small: turns.append(len(places)) or turn(df, keys, places, small))
+    rng = spark.range(20000)
+    for n in (1, 12):
+        turns.clear()
+        df = rng.select(*[(F.xxhash64("id", F.lit(i)) % 100000).alias(f"c{i}") for i in range(n)])
+        got = quantiles.exact_percentiles(df, df.columns, [0.25, 0.5], dict.fromkeys(df.columns, 20000), small=100)
+        assert len(got) == 2 * n and len(turns) <= 5
 
 
 def test_sample_is_exact_and_stable(spark):
