@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..plans.joins import small_side
 from ..plans.position import ordered_lines, text_lines
 from ..plans.scan import prefix_scan
-from ..session import settle
 from .lines import fields_frame, plain_fields, without_return
 
 # Columns of the formats.
@@ -252,8 +251,8 @@ _SETTING = r"(?:^|\s){}=(\S+)"
 def read_wiggle(spark: SparkSession, path: str) -> DataFrame:
     """Wiggle text as bedGraph rows: Chr, [Beg, End), value, 0-based half-open.
 
-    A declaration line applies to the lines after it: it is carried forward by a blockwise scan
-    over line numbers, so one large file is not one task.
+    A declaration line applies to the lines after it: it is carried forward, and the lines since it are
+    counted, by one blockwise scan over line numbers, so one large file is not one task.
     """
     lines = text_lines(spark, path).withColumn("line", F.trim(without_return(F.col("line"))))
     lines = lines.where((F.col("line") != "") & ~F.col("line").rlike(r"^(#|track(\s|$)|browser(\s|$))"))
@@ -264,25 +263,22 @@ def read_wiggle(spark: SparkSession, path: str) -> DataFrame:
         ["file"],
         "line_no",
         {
-            "_decl": ("last", F.when(declared, F.struct("line", "line_no"))),
-            "_seen": ("sum", data.cast("long")),
+            "_decl": ("last", F.when(declared, F.col("line"))),
+            "_nth": ("since", (declared, data.cast("long"))),
         },
-    )
-    starts = prefix_scan(
-        settle(scanned), ["file"], "line_no", {"_before": ("last", F.when(declared, F.col("_seen")))}
     ).where(data)
-    decl = F.col("_decl.line")
+    decl = F.col("_decl")
     get = lambda name, default: F.coalesce(
         F.regexp_extract(decl, _SETTING.format(name), 1).try_cast("long"), F.lit(default)
     )
     fixed = decl.startswith("fixedStep")
     parts = F.split("line", r"\s+")
-    nth = F.col("_seen") - F.col("_before") - 1
+    nth = F.col("_nth") - 1
     begin = F.when(fixed, get("start", 1) - 1 + get("step", 1) * nth).otherwise(
         F.get(parts, F.lit(0)).try_cast("long") - 1
     )
     value = F.when(fixed, F.get(parts, F.lit(0))).otherwise(F.get(parts, F.lit(1))).try_cast("double")
-    return starts.select(
+    return scanned.select(
         F.regexp_extract(decl, _SETTING.format("chrom"), 1).alias("Chr"),
         begin.alias("[Beg"),
         (begin + get("span", 1)).alias("End)"),
@@ -346,19 +342,17 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 def read_fasta_blocks(spark: SparkSession, path: str, width: int = 1 << 16) -> DataFrame:
     """(name, block, bases): sequences in pieces of ``width`` bases; no row holds a sequence.
 
-    The name is carried to the lines after it and the offset of a line is a running sum, both
-    blockwise over line numbers; a line that crosses a piece border is cut there.
+    The name is carried to the lines after it and the offset of a line is the sum of lengths since the
+    name, both in one blockwise scan over line numbers; a line that crosses a piece border is cut there.
     """
     lines = text_lines(spark, path).withColumn("line", F.trim(without_return(F.col("line"))))
     head = F.col("line").startswith(">")
     name = F.when(head, F.regexp_extract("line", r"^>(\S*)", 1))
     size = F.when(head, F.lit(0)).otherwise(F.length("line")).cast("long")
-    scanned = prefix_scan(lines, ["file"], "line_no", {"name": ("last", name), "_through": ("sum", size)})
-    starts = prefix_scan(
-        settle(scanned), ["file"], "line_no", {"_origin": ("last", F.when(head, F.col("_through")))}
-    ).where(~head & (F.col("line") != ""))
-    offset = F.col("_through") - F.length("line") - F.col("_origin")
-    cut = starts.select("name", "line", offset.alias("at")).withColumn(
+    scanned = prefix_scan(lines, ["file"], "line_no", {"name": ("last", name), "_through": ("since", (head, size))})
+    scanned = scanned.where(~head & (F.col("line") != ""))
+    offset = F.col("_through") - F.length("line")
+    cut = scanned.select("name", "line", offset.alias("at")).withColumn(
         "block",
         F.explode(F.sequence(F.floor(F.col("at") / width), F.floor((F.col("at") + F.length("line") - 1) / width))),
     )

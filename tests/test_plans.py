@@ -18,7 +18,8 @@ from tests.conftest import rows
 RELAXED = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
-def test_scan_equals_window(spark, sf):
+@pytest.mark.parametrize("block", [97, 8])
+def test_scan_equals_window(spark, sf, block):
     df = numbered_parquet(spark, f"{sf}/lineitem.parquet", ["l_returnflag", "l_quantity", "l_orderkey"])
     mark = F.when(F.col("l_quantity") > 48, F.col("_row"))
     wanted = {
@@ -29,7 +30,7 @@ def test_scan_equals_window(spark, sf):
         "l": ("last", mark),
         "g": ("lag", F.col("l_orderkey")),
     }
-    got = prefix_scan(df, ["l_returnflag"], "_row", wanted, block=97)
+    got = prefix_scan(df, ["l_returnflag"], "_row", wanted, block=block)
     df.createOrReplaceTempView("scanned")
     want = spark.sql(
         "select *, sum(l_quantity) over w s, coalesce(sum(l_quantity) over b, 0) sb, max(l_orderkey) over w m, max(l_orderkey) over b mb, "
@@ -40,6 +41,31 @@ def test_scan_equals_window(spark, sf):
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
 
 
+@pytest.mark.parametrize("block", [1 << 16, 10, 3])
+def test_sections_are_scanned_over_blocks_of_blocks(spark, block):
+    """With blocks of three rows there are more blocks than one block holds, and more blocks of blocks."""
+    rng = np.random.default_rng(block)
+    data = [("a", i, bool(rng.random() < 0.02), None if rng.random() < 0.1 else int(rng.integers(0, 9))) for i in range(600) if rng.random() < 0.9]
+    data += [("b", i, False, 1) for i in range(40)] + [("c", 5, True, 3)]
+    df = spark.createDataFrame(data, "g string, p long, opens boolean, w long").repartition(5)
+    wanted = {"since": ("since", (F.col("opens"), F.col("w"))), "name": ("last", F.when(F.col("opens"), F.col("p"))), "n": ("sum_before", F.lit(1))}
+    got = {(r["g"], r["p"]): (r["since"], r["name"], r["n"]) for r in prefix_scan(df, ["g"], "p", wanted, block=block).collect()}
+    state: dict = {}
+    for g, p, opens, w in sorted(data):
+        total, name, n = state.get(g, (0, None, 0))
+        total, name = (0, p) if opens else (total + (w or 0), name)
+        assert got[(g, p)] == (total, name, n)
+        state[g] = (total, name, n + 1)
+    assert len(got) == len(data)
+
+
+def test_many_blocks_of_one_group(spark):
+    df = spark.range(200_000).select(F.lit("one").alias("g"), F.col("id").alias("p"))
+    got = prefix_scan(df, ["g"], "p", {"n": ("sum", F.lit(1)), "l": ("lag", F.col("p"))}, block=60)
+    right = (F.col("n") == F.col("p") + 1) & F.coalesce(F.col("l") == F.col("p") - 1, F.col("p") == 0)
+    assert got.agg(F.sum(right.cast("int"))).first()[0] == 200_000
+
+
 def test_numbering(spark, sf):
     df = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     n = df.count()
