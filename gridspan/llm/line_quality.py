@@ -7,18 +7,19 @@ line length, give the document's score.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, query, shipped, starts_of, table, texts_of
+from .common import Words, portions, query, shipped, starts_of, table, texts_of
 
 TRAIN_DOCS = 4_000
 TRAIN_LINES = 400
 THRESHOLD = 0.3
-_GROUP_BYTES = 4 << 20
+_GROUP_BYTES = 1 << 20
 
 _UPPER, _LOWER, _DIGIT, _SPACE, _SHOUT, _NOISE, _FRAME, _POINT, _HIGH, _REST = range(10)
 
@@ -214,11 +215,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_lines:
     sample = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = shipped(docs).select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     texts = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality")
+    # of rows that repeat an id one is learnt from, so no more than ``most`` come to the driver
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality"))
 
     def describe(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(portions(whole, 1, _GROUP_BYTES) for whole in batches):
             features, length, count = line_features(texts_of(batch.column(1)))
             rows = [(int(q), f.astype("<f4").tobytes(), w.astype("<f4").tobytes()) for q, f, w in zip(batch.column(2).to_pylist(), np.split(features, np.cumsum(count)[:-1]), np.split(length, np.cumsum(count)[:-1])) if len(f) <= most_lines]
             columns = list(zip(*rows)) or [(), (), ()]
@@ -232,17 +235,6 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_lines:
     return train(features, length, sizes, np.array([r["quality"] for r in found], np.int64))
 
 
-def _groups(texts: list[bytes]):
-    first, size = 0, 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > _GROUP_BYTES:
-            yield first, i
-            first, size = i, 0
-        size += len(text) + 1
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def score(docs: DataFrame, model: Model, lines: bool = False) -> DataFrame:
     """(doc_id, score[, line_scores]) of every row: how likely the text is good, from 0 to 1.
 
@@ -256,11 +248,10 @@ def score(docs: DataFrame, model: Model, lines: bool = False) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            for a, b in _groups(texts):
-                features, length, count = line_features(texts[a:b])
+            for part in portions(batch, 1, _GROUP_BYTES):
+                features, length, count = line_features(texts_of(part.column(1)))
                 value, good = model.scores(features, length, count)
-                columns = [batch.column(0).slice(a, b - a), pa.array(value)]
+                columns = [part.column(0), pa.array(value)]
                 if lines:
                     bounds = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(good.astype(np.float32))))
@@ -278,10 +269,9 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
         import pyarrow as pa
 
         for batch in batches:
-            texts = texts_of(batch.column(place))
-            for a, b in _groups(texts):
-                value, _ = model.scores(*line_features(texts[a:b]))
-                yield batch.slice(a, b - a).filter(pa.array(value >= threshold))
+            for part in portions(batch, place, _GROUP_BYTES):
+                value, _ = model.scores(*line_features(texts_of(part.column(place))))
+                yield part.filter(pa.array(value >= threshold))
 
     return shipped(docs).mapInArrow(run, docs.schema)
 

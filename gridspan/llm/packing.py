@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import deque
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import query, shipped, table
+from .common import portions, query, shipped, table
 from .tokens import default_path, encoder
 
 CAPACITY = 4096
@@ -107,7 +108,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, cla
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode = encoder(path).encode
+        tool = encoder(path)
         packer = Harmonic(capacity, classes)
         number = TaskContext.get().partitionId() << 33
         rows: list = []
@@ -129,9 +130,9 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, cla
             number += 1
             size += full
 
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(portions(whole, 1) for whole in batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text)
+                ids = tool.encode(text)
                 for sequence in packer.add(doc, np.append(ids, ids.dtype.type(end))):
                     place(sequence)
                 if size >= 1 << 21:
@@ -142,6 +143,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, cla
             place(sequence)
         if rows:
             yield flush()
+        tool.forget()
 
     return shipped(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 

@@ -7,13 +7,15 @@ prefix scan over one summary row per block.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scan import prefix_scan
 from ..session import scratch_path
-from .common import query, shipped, table
+from .common import portions, query, shipped, table
 from .tokens import default_path, encoder
 
 BLOCK_BYTES = 1 << 18
@@ -46,7 +48,7 @@ def write_flat(docs: DataFrame, out: str, order_out: str, path: str | None = Non
         def row(payload, n, first, owners):
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((file, n, payload, first, owners), kinds)], names)
 
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(portions(whole, 1) for whole in batches):
             owners = batch.column(0).to_pylist()
             yield row(None, None, doc_no, owners)
             doc_no += len(owners)
@@ -63,6 +65,7 @@ def write_flat(docs: DataFrame, out: str, order_out: str, path: str | None = Non
                     parts, size = [flat[whole:]], size - whole
         if size:
             yield row(b"".join(parts), block, None, None)
+        tool.forget()
 
     texts = shipped(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "file long, block long, payload binary, doc_no long, doc_ids array<long>"

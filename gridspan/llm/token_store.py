@@ -17,6 +17,7 @@ payload    binary        id i is the ``bits`` bits from bit ``i * bits``, lowest
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -24,10 +25,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, settle
-from .common import id_order, query, shipped, shuffle_width, starts_of, table
+from .common import id_order, portions, query, shipped, shuffle_width, starts_of, table
 from .tokens import default_path, encoder
 
 BLOCK_IDS = 1 << 16
+# Bytes of text in one shard; the number of shards grows with the table.
+SHARD_BYTES = 256 << 20
 END = 1
 BLOCKS = "shard int, block int, first long, n_ids int, bits int, doc_ids array<long>, doc_starts array<int>, payload binary"
 
@@ -59,8 +62,9 @@ def width_of(vocabulary: int) -> int:
 def write_store(docs: DataFrame, out: str, path: str | None = None, end: int = END, block_ids: int = BLOCK_IDS) -> None:
     """Encode every whole ``text``, append ``end`` and write the ids in ascending ``doc_id`` order.
 
-    One range shuffle of the texts; each partition is a shard and streams its blocks. A block holds
-    whole documents, about ``block_ids`` ids or one longer document.
+    One range shuffle of the texts; each partition is a shard of about ``SHARD_BYTES`` of text at most (fewer where
+    there are cores for more) and streams its blocks. A block holds whole documents, about ``block_ids`` ids or one
+    longer document.
 
     A null or empty text is the end id alone. A null id comes last, in shards cut by a hash of the
     text, so that many of them are not one task; repeated ids stand side by side in no fixed order.
@@ -87,7 +91,7 @@ def write_store(docs: DataFrame, out: str, path: str | None = None, end: int = E
             names = ["shard", "block", "first", "n_ids", "bits", "doc_ids", "doc_starts", "payload"]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names)
 
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(portions(whole, 1) for whole in batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = tool.encode(text)
                 parts.append(np.append(ids, ids.dtype.type(end)))
@@ -99,10 +103,12 @@ def write_store(docs: DataFrame, out: str, path: str | None = None, end: int = E
                     parts, owners = [], []
         if parts:
             yield flush()
+        tool.forget()
 
     texts = shipped(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     last = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    ordered = texts.repartitionByRange(shuffle_width(docs), *id_order(), last).sortWithinPartitions(*id_order())
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    ordered = texts.repartitionByRange(max(shuffle_width(docs), -(-size // SHARD_BYTES)), *id_order(), last).sortWithinPartitions(*id_order())
     ordered.mapInArrow(run, BLOCKS).write.mode("overwrite").option("compression", "uncompressed").parquet(out)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.joins import lookup_join
 from ..plans.spread import spread
+from ..session import settle
 from .filter import SAM_FLAGS
 from .select import require
 
@@ -104,6 +105,7 @@ def read_bases(
     exclude: int = _UNUSABLE,
     require_flags: int = 0,
     count_orphans: bool = False,
+    mates_once: bool = True,
 ) -> DataFrame:
     """One row per read and reference position it covers.
 
@@ -113,6 +115,12 @@ def read_bases(
     mapq, head and tail (first and last position of the read), read. A deleted or skipped
     position has the score of the next base of the read. The CIGAR is walked by array
     expressions; each read is cut by itself.
+
+    With ``mates_once`` two mates that overlap give one base where both have one: of equal bases the mate
+    that begins first (the first of the pair, if both begin at once) gets the sum of both scores, at most
+    200, of different ones the better gets four fifths of its score, and the other's score is 0. A mate is
+    aligned with the other's steps, so no position meets its reads for this. Mates are the two reads of a
+    name on one chromosome that are flagged as a proper pair, each there once, with bases and scores.
     """
     require(reads, "QNAME", "FLAG", "RNAME", "POS", "MAPQ", "CIGAR", "SEQ", "QUAL")
     flag = F.col("FLAG").cast("long")
@@ -127,6 +135,7 @@ def read_bases(
         paired, proper = SAM_FLAGS["PAIRED"], SAM_FLAGS["PROPER_PAIR"]
         kept = kept.where(flag.bitwiseAND(F.lit(paired | proper)) != paired)
     op = r"(\d+)([MIDNSHP=X])"
+    base_kinds = ("M", "=", "X")
     narrow = kept.select(
         F.col("RNAME").alias("chrom"),
         F.col("POS").cast("long").alias("_at"),
@@ -135,16 +144,20 @@ def read_bases(
         F.col("MAPQ").cast("int").alias("mapq"),
         (flag.bitwiseAND(F.lit(SAM_FLAGS["REVERSE"])) != 0).alias("reverse"),
         F.struct(F.col("POS").cast("long").alias("start"), F.col("QNAME").alias("name"), flag.alias("flag")).alias("read"),
+        _which_mate(kept).alias("_which"),
         F.regexp_extract_all("CIGAR", F.lit(op), F.lit(1)).cast("array<int>").alias("_n"),
         F.regexp_extract_all("CIGAR", F.lit(op), F.lit(2)).alias("_k"),
     )
     arrays = F.arrays_zip("_k", "_n", *_offsets(F.col("_k"), F.col("_n")), *_following(F.col("_k"), F.col("_n")))
     span = F.aggregate(_consumed(F.col("_k"), F.col("_n"), "MDN=X"), F.lit(0), lambda a, n: a + n)
-    placed = spread(narrow).select(
-        "chrom", "_at", "_seq", "_qual", "mapq", "reverse", "read", span.alias("_span"), F.inline(arrays)
+    walked = narrow.select("chrom", "_at", "_seq", "_qual", "mapq", "reverse", "read", "_which", span.alias("_span"), arrays.alias("_steps"))
+    walked = _with_mates(walked) if mates_once else walked.withColumn("_mate", F.lit(None).cast("struct<at: long>"))
+    paired_up = "seq" in walked.schema["_mate"].dataType.names
+    placed = spread(walked).select(
+        "chrom", "_at", "_seq", "_qual", "mapq", "reverse", "read", "_mate", "_which", "_span", F.inline("_steps")
     )
     # one row per step of a read, with just its letters; then one row per position of the step
-    base = F.col("_k").isin("M", "=", "X")
+    base = F.col("_k").isin(*base_kinds)
     follows = F.col("q") + F.col("_n")
     piece = lambda c, start, n: F.substring(F.col(c), start + 1, n)
     fill = lambda mark, n: F.call_function("repeat", mark, n)
@@ -152,6 +165,8 @@ def read_bases(
         F.rpad(piece("_seq", start, n), n, F.lit("N"))
     )
     mark = F.when(F.col("_k") == "D", "*").otherwise(">")
+    none = F.lit(None).cast("binary")
+    # bytes have their places, so that a letter is taken without a look at those before it
     steps = placed.where(F.col("_k").isin("M", "D", "N", "=", "X") & (F.col("_n") > 0)).select(
         "chrom",
         (F.col("_at") + F.col("r")).alias("_first"),
@@ -160,25 +175,37 @@ def read_bases(
         "read",
         (F.col("r") == 0).alias("_opens"),
         (F.col("r") + F.col("_n") == F.col("_span")).alias("_closes"),
-        F.when(base, F.split(letters(F.col("q"), F.col("_n")), ""))
-        .otherwise(F.array_repeat(mark, F.col("_n")))
-        .alias("_s"),
-        F.when(base, F.split(F.coalesce(piece("_qual", F.col("q"), F.col("_n")), F.lit("")), ""))
-        .otherwise(F.array_repeat(piece("_qual", F.col("q"), F.lit(1)), F.col("_n")))
+        F.when(base, letters(F.col("q"), F.col("_n"))).otherwise(fill(mark, F.col("_n"))).cast("binary").alias("_s"),
+        F.when(base, F.coalesce(piece("_qual", F.col("q"), F.col("_n")), F.lit("")))
+        .otherwise(fill(F.coalesce(piece("_qual", F.col("q"), F.lit(1)), F.lit("")), F.col("_n")))
+        .cast("binary")
         .alias("_c"),
         F.col("_qual").isNotNull().alias("_scored"),
         (F.col("_n") - 1).alias("_last"),
         F.when(base & (F.col("after") == "I"), letters(follows, F.col("length"))).alias("_ins"),
         F.when(base & (F.col("after") == "D"), F.col("length")).otherwise(0).alias("_del"),
+        *[
+            (F.when(base & F.col("_mate").isNotNull(), _beside(text)).cast("binary") if paired_up else none).alias(name)
+            for name, text in (("_ms", "seq"), ("_mc", "qual"))
+        ],
+        (_leads() if paired_up else F.lit(False)).alias("_leads"),
     )
-    each = steps.select("*", F.posexplode(F.arrays_zip("_s", "_c")).alias("_i", "_letter")).drop("_s", "_c")
+    each = steps.select("*", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("_i"))
     final = F.col("_i") == F.col("_last")
+    at = lambda c: F.substring(F.col(c), F.col("_i") + 1, F.lit(1)).cast("string")
     # a base past the end of the qualities counts as 0
-    score = F.greatest(F.ascii(F.coalesce("_letter._c", F.lit(""))) - 33, F.lit(0))
+    score = F.greatest(F.ascii(F.coalesce(at("_c"), F.lit(""))) - 33, F.lit(0))
+    if paired_up:
+        other = F.greatest(F.ascii(at("_mc")) - 33, F.lit(0))
+        equal = F.when(F.col("_leads"), F.least(score + other, F.lit(200))).otherwise(0)
+        better = (score > other) | ((score == other) & F.col("_leads"))
+        unlike = F.when(better, F.floor(score * F.lit(4) / F.lit(5)).cast("int")).otherwise(0)
+        met = F.col("_ms").isNotNull() & (at("_ms") != " ")
+        score = F.when(met, F.when(at("_ms") == at("_s"), equal).otherwise(unlike)).otherwise(score)
     return each.select(
         "chrom",
         (F.col("_first") + F.col("_i")).alias("pos"),
-        F.col("_letter._s").alias("symbol"),
+        at("_s").alias("symbol"),
         F.when(F.col("_scored"), score).alias("score"),
         (~F.col("_scored") | (score >= min_baseq)).alias("shown"),
         "reverse",
@@ -191,6 +218,63 @@ def read_bases(
     )
 
 
+def _which_mate(reads: DataFrame) -> Column:
+    """1 or 2 for a read of a proper pair whose mate is on its chromosome; null for others."""
+    flag = F.col("FLAG").cast("long")
+    bits = lambda *names: sum(SAM_FLAGS[n] for n in names)
+    pair = flag.bitwiseAND(F.lit(bits("PAIRED", "PROPER_PAIR", "MUNMAP", "SECONDARY", "SUPPLEMENTARY"))) == bits("PAIRED", "PROPER_PAIR")
+    if "RNEXT" in reads.columns:
+        pair = pair & F.col("RNEXT").isin("=") | pair & (F.col("RNEXT") == F.col("RNAME"))
+    which = flag.bitwiseAND(F.lit(bits("READ1", "READ2")))
+    known = (F.col("SEQ") != "*") & (F.col("QUAL") != "*")
+    return F.when(pair & known, F.when(which == bits("READ1"), 1).when(which == bits("READ2"), 2))
+
+
+def _with_mates(walked: DataFrame) -> DataFrame:
+    """Adds ``_mate``: the other read of a pair whose spans meet.
+
+    A table with a row per such pair is counted first, with partial sums; only its reads are joined with each
+    other. Names that occur more than twice are in no pair, so a frequent name meets nothing.
+    """
+    key = ["chrom", "_name"]
+    named = walked.withColumn("_name", F.col("read.name"))
+    able = named.where("_which IS NOT NULL")
+    pairs = able.groupBy(*key).agg(
+        F.count(F.when(F.col("_which") == 1, 1)).alias("a"), F.count(F.when(F.col("_which") == 2, 1)).alias("b"),
+        F.max("_at").alias("late"), F.min(F.col("_at") + F.col("_span")).alias("stop"),
+    )
+    pairs = settle(pairs.where("a = 1 AND b = 1 AND late < stop").select(*key))
+    if pairs.isEmpty():
+        return walked.withColumn("_mate", F.lit(None).cast("struct<at: long>"))
+    steps = F.transform("_steps", lambda x: F.struct(x["_k"].alias("k"), x["_n"].alias("n"), x["r"].alias("r"), x["q"].alias("q")))
+    mate = F.struct(F.col("_at").alias("at"), F.col("_seq").alias("seq"), F.col("_qual").alias("qual"), steps.alias("steps"))
+    mates = lookup_join(able, pairs, key, "inner").select(*key, (F.lit(3) - F.col("_which")).alias("_which"), mate.alias("_mate"))
+    met = able.join(mates, [*key, "_which"], "left").select(*walked.columns, "_mate")
+    rest = named.where("_which IS NULL").select(*walked.columns, F.lit(None).cast(mates.schema["_mate"].dataType).alias("_mate"))
+    return met.unionByName(rest)
+
+
+def _leads() -> Column:
+    """Whether the read, not its mate, shows the bases that both have."""
+    return F.coalesce((F.col("_at") < F.col("_mate.at")) | ((F.col("_at") == F.col("_mate.at")) & (F.col("_which") == 1)), F.lit(False))
+
+
+def _beside(text: str) -> Column:
+    """What the mate has at the positions of a step, a letter or a score each, with blanks where it has none."""
+    first, size, mate = F.col("_at") + F.col("r"), F.col("_n"), F.col("_mate")
+    blanks = lambda n: F.call_function("repeat", F.lit(" "), n.cast("int"))
+
+    def part(s: Column) -> Column:
+        begin = mate["at"] + s["r"]
+        low, high = F.greatest(begin, first), F.least(begin + s["n"], first + size)
+        n = F.greatest(high - low, F.lit(0))
+        letters = F.rpad(F.substring(mate[text], (s["q"] + low - begin + 1).cast("int"), n.cast("int")), n.cast("int"), F.lit(" "))
+        return F.when(s["k"].isin("M", "=", "X") & (n > 0), letters).when(s["k"].isin("D", "N"), blanks(n)).otherwise("")
+
+    before = blanks(F.greatest(F.least(mate["at"], first + size) - first, F.lit(0)))
+    return F.rpad(F.concat(before, F.array_join(F.transform(mate["steps"], part), "")), size, F.lit(" "))
+
+
 def _consumed(kinds: Column, sizes: Column, letters: str) -> Column:
     """The length of each step that uses up bases of one side, 0 for the others."""
     return F.zip_with(kinds, sizes, lambda k, n: F.when(F.instr(F.lit(letters), k) > 0, n).otherwise(0))
@@ -219,8 +303,8 @@ def _following(kinds: Column, sizes: Column) -> tuple[Column, Column]:
 def pileup(reads: DataFrame, **filters) -> DataFrame:
     """Depth, base, strand and indel counts and mean quality per covered position.
 
-    Counted in the map-side aggregation, so a deep position never collects its reads; overlapping
-    mates count twice. A position all of whose bases fall below the quality bound stays, with
+    Counted in the map-side aggregation, so a deep position never collects its reads. Mates that overlap
+    count once, unless ``mates_once`` is false. A position all of whose bases fall below the quality bound stays, with
     depth 0. ``filters`` are those of :func:`read_bases`.
     """
     cells = read_bases(reads, **filters)
@@ -254,6 +338,8 @@ def pileup_text(reads: DataFrame, share: int = 4000, **filters) -> DataFrame:
         .where(F.col("count") > share)
         .select("chrom", "pos", F.ceil(F.col("count") / share).cast("int").alias("_parts"))
     )
+    # the size check and the join both read it
+    deep = settle(deep)
     strand = lambda text: F.when(F.col("reverse"), F.lower(text)).otherwise(text)
     symbol = F.when((F.col("symbol") == ">") & F.col("reverse"), "<").otherwise(strand(F.col("symbol")))
     gap = F.call_function("repeat", F.lit("N"), F.col("deleted"))
@@ -268,7 +354,7 @@ def pileup_text(reads: DataFrame, share: int = 4000, **filters) -> DataFrame:
         .otherwise(""),
         F.when(F.col("tail"), "$").otherwise(""),
     )
-    entry = F.struct("read", text.alias("text"), F.char(F.coalesce("score", F.lit(0)) + 33).alias("qual"))
+    entry = F.struct("read", text.alias("text"), F.char(F.least(F.coalesce("score", F.lit(0)), F.lit(93)) + 33).alias("qual"))
     parts = lookup_join(cells.select("chrom", "pos", entry.alias("entry")), deep, ["chrom", "pos"])
     part = F.pmod(F.xxhash64("entry.read"), F.coalesce("_parts", F.lit(1))).cast("int")
     grouped = parts.groupBy("chrom", "pos", part.alias("part")).agg(F.array_sort(F.collect_list("entry")).alias("e"))

@@ -433,6 +433,46 @@ def piled_text(spark, sf):
     return reads.pileup_text(_alignments(spark, sf), min_mapq=20)
 
 
+def _mates(spark, sf):
+    """Two reads of ten bases a line, the second up to five bases on and in a third of the pairs begun by another letter."""
+    shift = F.col("l_linenumber") % 6
+    long = F.call_function("repeat", F.lit("ACGT"), F.lit(6))
+    letters = lambda at: F.substring(long, (at % 4 + 1).cast("int"), F.lit(10))
+    second = letters(F.col("l_orderkey") + shift)
+    second = F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("N"), F.substring(second, 2, 9))).otherwise(second)
+    name = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long"))
+    read = lambda flag, at, seq, qual: F.struct(
+        F.lit(flag).alias("FLAG"), (at + 1).alias("POS"), seq.alias("SEQ"), F.call_function("repeat", F.lit(qual), F.lit(10)).alias("QUAL")
+    )
+    both = F.array(read(99, F.col("l_orderkey"), letters(F.col("l_orderkey")), "I"), read(147, F.col("l_orderkey") + shift, second, "5"))
+    return table(spark, sf, "lineitem").select(
+        name.alias("QNAME"), F.col("l_returnflag").alias("RNAME"), F.lit("=").alias("RNEXT"), F.lit(60).alias("MAPQ"), F.lit("10M").alias("CIGAR"), F.inline(both)
+    )
+
+
+@query(
+    "A11_pileup_of_overlapping_mates",
+    "WITH l AS (SELECT l_returnflag AS chrom, l_orderkey + 1 AS p, l_linenumber % 6 AS d, l_partkey % 3 = 0 AS odd FROM lineitem), "
+    "t AS (SELECT chrom, p, d, odd, unnest(range(10)) AS i FROM l), "
+    "b AS (SELECT chrom, p + i AS pos, CASE WHEN i < d THEN 40 WHEN i = d AND odd THEN 32 ELSE 60 END AS q, false AS rev, substr('ACGT', CAST((p + i - 1) % 4 + 1 AS INTEGER), 1) AS s FROM t "
+    "UNION ALL SELECT chrom, p + d + i, CASE WHEN i < 10 - d THEN 0 ELSE 20 END, true, CASE WHEN i = 0 AND odd THEN 'N' ELSE substr('ACGT', CAST((p + d + i - 1) % 4 + 1 AS INTEGER), 1) END FROM t) "
+    "SELECT chrom, pos, count(*) FILTER (WHERE q > 12) AS depth, count(*) FILTER (WHERE q > 12 AND s = 'A') AS \"A\", count(*) FILTER (WHERE q > 12 AND s = 'C') AS \"C\", "
+    "count(*) FILTER (WHERE q > 12 AND s = 'G') AS \"G\", count(*) FILTER (WHERE q > 12 AND s = 'T') AS \"T\", count(*) FILTER (WHERE q > 12 AND s = 'N') AS \"N\", "
+    "count(*) FILTER (WHERE q > 12 AND NOT rev) AS fwd, count(*) FILTER (WHERE q > 12 AND rev) AS rev, round(avg(q) FILTER (WHERE q > 12), 7) AS mean_qual FROM b GROUP BY 1, 2",
+)
+def piled_mates(spark, sf):
+    return shares(reads.pileup(_mates(spark, sf)).drop("del_placeholder", "ins", "del"), "mean_qual")
+
+
+@query(
+    "A11_pileup_mates_counted_twice",
+    "WITH l AS (SELECT l_returnflag AS chrom, l_orderkey + 1 AS p, l_linenumber % 6 AS d FROM lineitem), t AS (SELECT chrom, p, d, unnest(range(10)) AS i FROM l) "
+    "SELECT chrom, pos, count(*) AS depth FROM (SELECT chrom, p + i AS pos FROM t UNION ALL SELECT chrom, p + d + i FROM t) b GROUP BY 1, 2",
+)
+def piled_mates_twice(spark, sf):
+    return reads.pileup(_mates(spark, sf), mates_once=False).select("chrom", "pos", "depth")
+
+
 _DNA = "upper(regexp_replace(text, '[^acgtnACGTN]', '', 'g'))"
 
 

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,6 +234,73 @@ def test_pileup_text(spark):
     assert {r["pos"]: r["depth"] for r in reads.pileup(sam, min_baseq=30).collect()} == {10: 2, 11: 2, 12: 1, 13: 1, 14: 0}
 
 
+MATES = "QNAME string, FLAG int, RNAME string, POS int, MAPQ int, CIGAR string, RNEXT string, SEQ string, QUAL string"
+
+
+def _walk(cigar, pos, seq, qual):
+    """{position: (letter, score)} of the bases of a read."""
+    out, q = {}, 0
+    for n, k in re.findall(r"(\d+)([MIDNSHP=X])", cigar):
+        for _ in range(int(n)):
+            if k in "M=X":
+                out[pos] = (seq[q], ord(qual[q]) - 33)
+            pos += k in "MDN=X"
+            q += k in "MIS=X"
+    return out
+
+
+def brute_mates(sam):
+    """Depth per position at a score of 13, mates counted once."""
+    walks = [_walk(r[5], r[3], r[7], r[8]) for r in sam]
+    scores = [{p: q for p, (_, q) in w.items()} for w in walks]
+    for i, a in enumerate(sam):
+        for j, b in enumerate(sam):
+            names = [r for r in sam if r[0] == a[0]]
+            if i == j or a[0] != b[0] or len(names) != 2 or not (a[1] & 3 == b[1] & 3 == 3 and a[1] & 64 and b[1] & 128) or a[6] != "=":
+                continue
+            first = (a[3], 1) < (b[3], 2)
+            for p in walks[i].keys() & walks[j].keys():
+                (x, m), (y, n) = walks[i][p], walks[j][p]
+                if x == y:
+                    scores[i][p], scores[j][p] = (min(m + n, 200), 0) if first else (0, min(m + n, 200))
+                elif m > n or (m == n and first):
+                    scores[i][p], scores[j][p] = m * 4 // 5, 0
+                else:
+                    scores[i][p], scores[j][p] = 0, n * 4 // 5
+    depth: dict = {}
+    for s in scores:
+        for p, q in s.items():
+            depth[p] = depth.get(p, 0) + (q >= 13)
+    return depth
+
+
+def test_overlapping_mates_count_once(spark):
+    rng = random.Random(4)
+    sam = []
+    for i in range(40):
+        for which in (64, 128):
+            cigar = rng.choice(["12M", "3S9M", "5M2I5M", "4M3D8M", "4M20N8M", "6=1X5=", "2H12M"])
+            sam.append((f"r{i}", 3 | which, "c", 10 + rng.randrange(12), 60, cigar, "=", "".join(rng.choice("AC") for _ in range(12)), "".join(chr(33 + rng.randrange(5, 60)) for _ in range(12))))
+    # a name of three reads, a pair on two chromosomes, one that is not proper, one that only touches
+    sam += [("three", 3 | w, "c", 12, 60, "12M", "=", "A" * 12, "I" * 12) for w in (64, 128, 128)]
+    sam += [("apart", 3 | w, "c", 12, 60, "12M", "d", "A" * 12, "I" * 12) for w in (64, 128)]
+    sam += [("touch", 3 | 64, "c", 10, 60, "5M", "=", "AAAAA", "IIIII"), ("touch", 3 | 128, "c", 15, 60, "5M", "=", "AAAAA", "IIIII")]
+    df = spark.createDataFrame(sam, MATES).repartition(3)
+    bases = lambda **options: {r["pos"]: r["fwd"] + r["rev"] for r in reads.pileup(df, **options).collect()}
+    got = bases()
+    want = brute_mates(sam)
+    assert {p: got.get(p, 0) for p in want} == want
+    twice = bases(mates_once=False, min_baseq=0)
+    assert all(twice[p] >= n for p, n in want.items()) and sum(twice.values()) > sum(want.values())
+
+
+def test_mates_show_one_base_with_both_scores(spark):
+    sam = [("a", 99, "c", 10, 60, "3M", "=", "ACG", "II5"), ("a", 147, "c", 11, 60, "3M", "=", "CTT", "55I")]
+    df = spark.createDataFrame(sam, MATES)
+    got = {r["pos"]: (r["depth"], r["bases"], r["quals"]) for r in reads.pileup_text(df).collect()}
+    assert got == {10: (1, "^]A", "I"), 11: (1, "C", chr(33 + 60)), 12: (1, "G$", chr(33 + 16)), 13: (1, "t$", "I")}
+
+
 def test_sequence_types(spark):
     kind = lambda *s: sequences.seq_stats(spark.createDataFrame([(x,) for x in s], "seq string")).first()
     assert kind("ACGTN", "acg")["type"] == "DNA" and kind("ACGU")["type"] == "RNA"
