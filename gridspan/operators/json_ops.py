@@ -11,6 +11,11 @@ from pyspark.sql import types as T
 # Possessive, so that long strings need no stack.
 _STRING = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+"'
 _SCALAR = r"-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+|true|false|null"
+# What a string, a number or a word may begin with: a text that is cut anywhere still has these tokens.
+_STRING_BEGUN = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+(?:"|\\(?:u[0-9a-fA-F]{0,3})?+)?+'
+_NUMBER_BEGUN = r"(?:0|[1-9][0-9]*+)(?:\.(?:[0-9]++(?:[eE][+-]?+[0-9]*+)?+)?+|[eE][+-]?+[0-9]*+)?+"
+_SCALAR_BEGUN = rf"-(?:{_NUMBER_BEGUN})?+|{_NUMBER_BEGUN}|t(?:r(?:ue?+)?+)?+|f(?:a(?:l(?:se?+)?+)?+)?+|n(?:u(?:ll?+)?+)?+"
+_TOKEN = rf"[ \t\n\r]++|[\[\]{{}},:]|{_STRING_BEGUN}|{_SCALAR_BEGUN}|(?s:.)"
 _VALUE = "[\u0001\u0002]"
 _CONTAINER = (
     rf"\{{(?:\x01:{_VALUE}(?:,\x01:{_VALUE})*+)?+\}}|\[(?:{_VALUE}(?:,{_VALUE})*+)?+\]"
@@ -94,6 +99,90 @@ def invalid_json(df: DataFrame, column: str) -> DataFrame:
     return df.where(text.isNotNull() & ~is_json(text))
 
 
+# States between two tokens, and what is wrong when none of what they take comes.
+_VALUE_NEXT, _ITEM_NEXT, _KEY_NEXT, _FIELD_NEXT, _COLON_NEXT, _IN_OBJECT, _IN_ARRAY, _DONE = "vikfcoad"
+_WRONG = {
+    _VALUE_NEXT: "a value is expected",
+    _ITEM_NEXT: "a value or ] is expected",
+    _KEY_NEXT: "a key is expected",
+    _FIELD_NEXT: "a key or } is expected",
+    _COLON_NEXT: "a colon is expected",
+    _IN_OBJECT: "a comma or } is expected",
+    _IN_ARRAY: "a comma or ] is expected",
+    _DONE: "there is text after the value",
+}
+
+
+def _after(stack: Column) -> Column:
+    """The state after a value, by the bracket it is in."""
+    last = F.right(stack, F.lit(1))
+    return F.when(last == "{", _IN_OBJECT).when(last == "[", _IN_ARRAY).otherwise(_DONE)
+
+
+def _error(text: Column) -> Column:
+    """Byte and cause of the first error of a text, by a fold over its tokens; the byte is null in a valid text.
+
+    The fold's state is what may come next, the open brackets, and how many bytes were read.
+    """
+    start = F.struct(
+        F.lit(_VALUE_NEXT).alias("next"), F.lit("").alias("open"), F.lit(0).cast("long").alias("at"),
+        F.lit(None).cast("long").alias("bad"), F.lit(None).cast("string").alias("why"),
+    )
+
+    def step(state: Column, token: Column) -> Column:
+        now, stack, size = state["next"], state["open"], F.octet_length(token)
+        value = now.isin(_VALUE_NEXT, _ITEM_NEXT)
+        key = now.isin(_KEY_NEXT, _FIELD_NEXT)
+        string, scalar = token.startswith('"'), token.rlike(r"^[-0-9tfn]")
+        whole = F.when(string, (size > 1) & token.endswith('"') & token.rlike(rf"^{_STRING}$")).otherwise(token.rlike(rf"^(?:{_SCALAR})$"))
+        closes = ((token == "}") & now.isin(_FIELD_NEXT, _IN_OBJECT)) | ((token == "]") & now.isin(_ITEM_NEXT, _IN_ARRAY))
+        outer = F.substring(stack, F.lit(1), F.length(stack) - 1)
+        opened = F.when(value & token.isin("{", "["), F.concat(stack, token)).when(closes, outer).otherwise(stack)
+        following = (
+            F.when(token.rlike(r"^[ \t\n\r]"), now)
+            .when(value & (token == "{"), _FIELD_NEXT)
+            .when(value & (token == "["), _ITEM_NEXT)
+            .when(closes, _after(outer))
+            .when(value & (string | scalar) & whole, _after(stack))
+            .when(key & string & whole, _COLON_NEXT)
+            .when((now == _COLON_NEXT) & (token == ":"), _VALUE_NEXT)
+            .when((now == _IN_OBJECT) & (token == ","), _KEY_NEXT)
+            .when((now == _IN_ARRAY) & (token == ","), _VALUE_NEXT)
+        )
+        # a token that might have gone on is wrong behind its end, any other where it begins
+        begun = (value & (string | scalar)) | (key & string)
+        cause = F.when(begun & string, "a string is broken off, or holds what must be escaped").when(begun, "a number or word is broken off")
+        cause = F.coalesce(cause, F.create_map(*[F.lit(x) for pair in _WRONG.items() for x in pair])[now])
+        fails = following.isNull()
+        then = F.struct(
+            following.alias("next"), opened.alias("open"), (state["at"] + size).alias("at"),
+            F.when(fails, state["at"] + F.when(begun, size).otherwise(0)).alias("bad"), F.when(fails, cause).alias("why"),
+        )
+        return F.when(state["bad"].isNotNull(), state).otherwise(then)
+
+    end = F.aggregate(F.regexp_extract_all(text, F.lit(f"({_TOKEN})"), F.lit(1)), start, step)
+    early = F.struct(F.octet_length(text).cast("long").alias("byte"), F.lit("the text ends too early").alias("cause"))
+    found = F.struct(end["bad"].alias("byte"), end["why"].alias("cause"))
+    cut = end["bad"].isNull() & (end["next"] != _DONE) | (end["bad"] == F.octet_length(text))
+    return F.when(cut, early).otherwise(found)
+
+
+def json_errors(df: DataFrame, column: str) -> DataFrame:
+    """The rows whose text is no valid JSON: the other columns, byte, line, column and cause of the first error.
+
+    The error is at the first byte with which the text can no longer become one JSON value, counted from 0;
+    lines, and bytes within a line, count from 1. In a text that only ends too early it is the byte after the end.
+    Only texts that :func:`is_json` refuses are folded, each by itself. Null texts give no row.
+    """
+    others = [F.col(f"`{c}`") for c in df.columns if c != column]
+    bad = invalid_json(df, column).select(*others, F.col(f"`{column}`").alias("_text"))
+    bad = bad.withColumn("_error", _error(F.col("_text")))
+    before = F.substring(F.col("_text").cast("binary"), F.lit(1), F.col("_error.byte").cast("int")).cast("string")
+    line = F.octet_length(before) - F.octet_length(F.translate(before, "\n", "")) + 1
+    at = F.octet_length(F.substring_index(before, "\n", -1)) + 1
+    return bad.select(*others, F.col("_error.byte").alias("byte"), line.alias("line"), at.alias("column"), F.col("_error.cause").alias("cause"))
+
+
 def records_at(df: DataFrame, column: str, path: str, schema: str | T.DataType) -> DataFrame:
     """The objects of the array at ``path`` (``.features``, ``.a.b``) as a table, with the other
     columns kept in front."""

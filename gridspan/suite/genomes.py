@@ -630,6 +630,32 @@ def invalid(spark, sf):
     return json_ops.invalid_json(df, "props").select("event_id")
 
 
+@query(
+    "J2_places_of_errors",
+    "WITH e AS (SELECT event_id, event_id % 8 AS kind, octet_length(encode(props)) AS n FROM events) "
+    "SELECT event_id, CASE kind WHEN 0 THEN n - 1 WHEN 1 THEN 5 WHEN 2 THEN n WHEN 3 THEN n WHEN 4 THEN n + 4 WHEN 5 THEN 3 ELSE 7 END AS byte, "
+    "CASE kind WHEN 4 THEN 3 ELSE 1 END AS line, CASE kind WHEN 0 THEN n WHEN 1 THEN 6 WHEN 2 THEN n + 1 WHEN 3 THEN n + 1 WHEN 4 THEN 1 WHEN 5 THEN 4 ELSE 8 END AS \"column\", "
+    "CASE kind WHEN 0 THEN 'the text ends too early' WHEN 1 THEN 'a colon is expected' WHEN 2 THEN 'there is text after the value' WHEN 3 THEN 'a key is expected' "
+    "WHEN 4 THEN 'a comma or ] is expected' WHEN 5 THEN 'a string is broken off, or holds what must be escaped' ELSE 'a comma or } is expected' END AS cause FROM e WHERE kind < 7",
+)
+def error_places(spark, sf):
+    """One kind of error for seven of eight texts."""
+    kind, text = F.col("event_id") % 8, F.col("props")
+    broken = [
+        F.regexp_replace(text, "[}]$", ""),
+        F.regexp_replace(text, ":", ""),
+        F.concat(text, F.lit(",")),
+        F.regexp_replace(text, "[}]$", ",}"),
+        F.concat(F.lit("[\n"), text, F.lit(" \n"), text, F.lit("]")),
+        F.regexp_replace(text, "k", "k\t"),
+        F.regexp_replace(text, ": ", ": 0"),
+    ]
+    props = text
+    for i, other in enumerate(broken):
+        props = F.when(kind == i, other).otherwise(props)
+    return json_ops.json_errors(table(spark, sf, "events").select("event_id", props.alias("props")), "props")
+
+
 @query(
     "J4_records_at_a_path",
     "SELECT o_orderkey, o_custkey AS id, o_orderstatus AS name FROM orders UNION ALL SELECT o_orderkey, o_custkey + 1, NULL FROM orders",

@@ -431,3 +431,72 @@ def test_matrix_grid(spark):
     df = spark.createDataFrame([(i, float(i), float("inf") if i else 1.0) for i in range(4)], "p long, a double, b double")
     got = {(r["band"], r["column"]): r["value"] for r in summary.matrix_grid(df, F.col("p"), 4, ["a", "b"], 2).collect()}
     assert got == {(0, "a"): pytest.approx(0.5 / 3), (1, "a"): pytest.approx(2.5 / 3), (0, "b"): pytest.approx(1 / 3)}
+
+
+def viable(text: str) -> int | None:
+    """The least byte with which a text can no longer become JSON, by a walk over characters; None for a valid text."""
+    import json
+
+    data = text.encode()
+
+    def valid(t):
+        try:
+            json.loads(t, parse_constant=lambda _: 1 / 0)
+            return not re.search("^\\s*$|[\\x0b\\x0c]", t) and t.strip(" \t\n\r") == t.strip()
+        except (ValueError, ZeroDivisionError, RecursionError):
+            return False
+
+    if valid(text):
+        return None
+    # a prefix is viable if one of a few continuations makes it valid
+    ends = ["", '"', "0", "1", "true", "rue", "ue", "e", "alse", "lse", "se", "ull", "ll", "l", '":1', '"k":1', ":1", ',"k":1', "n\"", '0000"', '000"', '00"', '0"', 'n":1', '0000":1', '000":1', '00":1', '0":1', "-1", "1}", "0}"]
+    longest = 0
+    for i in range(len(text) + 1):
+        head, stack, inside, escaped = text[:i], [], False, False
+        for c in head:
+            if inside:
+                escaped, inside = (not escaped and c == "\\"), not (c == '"' and not escaped)
+            elif c == '"':
+                inside, escaped = True, False
+            elif c in "[{":
+                stack.append("]" if c == "[" else "}")
+            elif c in "]}" and stack:
+                stack.pop()
+        close = "".join(reversed(stack))
+        if any(valid(head + e + close) for e in ends):
+            longest = len(head.encode())
+    return min(longest, len(data))
+
+
+ERRORS = [
+    ("", 0), ("{", 1), ("[1,", 3), ("[1 2]", 3), ('{"a" 1}', 5), ('{"a":1,}', 7), ("{a:1}", 1), ('{"a":tru }', 8), ("[01]", 2), ("[1.]", 3), ("[1e+]", 4), ("[-]", 2),
+    ('["a\tb"]', 3), ('["\\x"]', 3), ('["\\u12g4"]', 6), ('["abc', 5), ("nul", 3), ("nulx", 3), ("true false", 5), ('{"é":}', 6), ("[1]]", 3), ("[\n1,\n\n?]", 6), (",", 0), ("]", 0),
+    ('{"a":[{"b":[1,2}]}', 15), ("[1,]", 3), ('{"a"', 4), ('{"a":', 5), ("\u00a01", 0), ("[\"\\", 3), ("-", 1), ("1.5e", 4), ("\x0b1", 0), ('{"a":1 "b":2}', 7), ("{}{}", 2),
+]
+
+
+def test_places_of_json_errors(spark):
+    valid = ["1", " [1, {\"a\": [true, null, -0.5e+3, \"\\u00e9\\n\"]}] ", '"x"', "{}", "[]", '{"a":1,"a":2}']
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(ERRORS)] + [(100 + i, t) for i, t in enumerate(valid)] + [(200, None)], "i long, t string")
+    got = {r["i"]: r for r in json_ops.json_errors(df, "t").collect()}
+    assert sorted(got) == list(range(len(ERRORS)))
+    for i, (text, byte) in enumerate(ERRORS):
+        before = text.encode()[:byte]
+        assert (got[i]["byte"], got[i]["line"], got[i]["column"]) == (byte, before.count(b"\n") + 1, len(before) - before.rfind(b"\n")), (text, got[i])
+    assert got[ERRORS.index(("[1,", 3))]["cause"] == "the text ends too early"
+    assert got[ERRORS.index(("[1 2]", 3))]["cause"] == "a comma or ] is expected"
+
+
+def test_places_of_json_errors_against_a_walk(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(150):
+        text = list(rng.choice(['{"a":[1,{"b":"c\\n"}],"d":-1.5e3}', "[true,false,null,0]", '["x","\\u00e9",[[]],{}]', '{"k":{"k":{"k":[]}}}']))
+        for _ in range(rng.randrange(1, 3)):
+            at = rng.randrange(len(text))
+            text[at : at + rng.randrange(2)] = rng.choice(["", "x", ",", '"', "}", "]", "1", " ", "\n", "\\", "[", ":"])
+        texts.append("".join(text))
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = {r["i"]: r["byte"] for r in json_ops.json_errors(df, "t").collect()}
+    for i, text in enumerate(texts):
+        assert got.get(i) == viable(text), (text, got.get(i), viable(text))
