@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,24 +73,59 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "error") -> None:
     json_rows(df).write.mode(mode).text(path)
 
 
-def write_json_array(df: DataFrame, path: str, mode: str = "error") -> None:
-    """Each part file is one JSON array of its rows; a part without rows is not written.
+def _write_marked(rows: DataFrame, wanted: tuple[int, int], path: str, mode: str) -> bool:
+    """Write rows (i, low, high, value) with a bracket before each ``low`` and behind each ``high``.
 
-    One array over all rows would be one writer; readers of arrays take the parts one by one.
+    The ends come from a pass of its own. Whether the rows lay in the same places in both is observed while
+    they are written: ``wanted`` are the arrays and rows of that pass. False if not.
     """
+    seen = Observation()
+    first, last = F.col("i") == F.col("low"), F.col("i") == F.col("high")
+    marked = rows.observe(seen, F.count(F.when(first, 1)).alias("first"), F.count(F.when(last, 1)).alias("last"), F.count("*").alias("rows"))
+    text = F.concat(F.when(first, "[").otherwise(""), "value", F.when(last, "]").otherwise(","))
+    marked.select(text.alias("value")).write.mode(mode).text(path)
+    return (seen.get["first"], seen.get["last"], seen.get["rows"]) == (wanted[0], wanted[0], wanted[1])
+
+
+def _write_arrays(df: DataFrame, path: str, mode: str, per_part: bool) -> None:
     refuse_overlap(df, path)
-    place = F.monotonically_increasing_id()
-    # settled, so that the first and last row of a part are the same in both uses
-    rows = settle(json_rows(df)).select(F.spark_partition_id().alias("p"), place.alias("i"), "value")
-    ends = rows.groupBy("p").agg(F.min("i").alias("low"), F.max("i").alias("high"))
-    marked = rows.join(small_side(ends), "p").select(
-        F.concat(
-            F.when(F.col("i") == F.col("low"), "[").otherwise(""),
-            "value",
-            F.when(F.col("i") == F.col("high"), "]").otherwise(","),
-        ).alias("value")
-    )
-    marked.write.mode(mode).text(path)
+
+    def attempt(values: DataFrame, how: str) -> bool:
+        rows = values.select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"), "value")
+        ends = [F.min("i").alias("low"), F.max("i").alias("high"), F.count("*").alias("n")]
+        if per_part:
+            # a row per partition
+            table = small_side(rows.groupBy("p").agg(*ends))
+            wanted = table.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+            return _write_marked(rows.join(table, "p"), tuple(wanted), path, how)
+        low, high, n = rows.agg(*ends).first()
+        if not n:
+            values.sparkSession.range(0, 1, 1, 1).select(F.lit("[]").alias("value")).write.mode(how).text(path)
+            return True
+        return _write_marked(rows.withColumns({"low": F.lit(low), "high": F.lit(high)}), (1, n), path, how)
+
+    values = json_rows(df)
+    if not attempt(values, mode):
+        # rows that come in other partitions from pass to pass are settled
+        attempt(settle(values), "overwrite")
+
+
+def write_json_array(df: DataFrame, path: str, mode: str = "error") -> None:
+    """Each part file is one JSON array of its rows; a part without rows is no array.
+
+    Which rows begin and end a part is counted in a pass before, so the rows are not kept in between;
+    readers of arrays take the parts one by one.
+    """
+    _write_arrays(df, path, mode, True)
+
+
+def write_one_json_array(df: DataFrame, path: str, mode: str = "error") -> None:
+    """All part files, joined in the order of their names, are one JSON array of all rows.
+
+    No part is an array by itself, and no task writes more than its part: only the first row of all has the
+    opening bracket and only the last one the closing one, wherever empty parts lie. Without rows it is ``[]``.
+    """
+    _write_arrays(df, path, mode, False)
 
 
 def markdown_rows(df: DataFrame) -> DataFrame:

@@ -6,9 +6,13 @@ import re
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.position import text_lines
+from ..plans.scan import prefix_scan
+from ..session import scratch_path, settle
+
 _WHOLE = r"^(0|-?[1-9]\d*)$"
 # Formats whose files carry a schema of their own.
 MERGED = ("parquet", "orc")
@@ -79,9 +83,75 @@ def read_orc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, whole_files: bool = False, schema=None) -> DataFrame:
-    """JSON records: one per line, or (``whole_files``) files that hold one array of them."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.json(path, multiLine=whole_files)
+    """JSON records: one per line, or (``whole_files``) files that hold one array of them.
+
+    A file with an array is read by as many tasks as it has splits; see :func:`element_texts`. Its elements
+    are parsed as lines would be: with a ``schema`` straight away, without one from a copy with one in each record,
+    which the inference and the read share.
+    """
+    if not whole_files:
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        return reader.json(path)
+    texts = element_texts(spark, path).select("text")
+    if schema is None:
+        copy = scratch_path(spark, "records")
+        # elements may hold line breaks; this sign stands in no JSON text
+        texts.write.option("lineSep", "\x1e").text(copy)
+        return spark.read.option("lineSep", "\x1e").json(copy)
+    return texts.select(F.from_json("text", schema).alias("_record")).select("_record.*")
+
+
+def _nesting(pieces: Column) -> Column:
+    """Opening less closing brackets in pieces of text."""
+    text = F.array_join(pieces, "")
+    marks = lambda kinds: F.length(text) - F.length(F.translate(text, kinds, ""))
+    return (marks("[{") - marks("]}")).cast("long")
+
+
+def element_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, record, text): the elements of the one JSON array in each file, whole; or the file's objects.
+
+    The text is cut behind every closing brace, as lines are cut, so that splits of a file are read apart. What a
+    cut does to the state of a reader is a function that can be joined with the next one's: whether it changes
+    between inside and outside a string, and by how much the nesting grows, for a start outside and for one
+    inside. Scanned over the cuts, these tell which braces end an element; the rest is a grouping by element.
+
+    An element that is no object is part of the text of the next one. A file that ends within an element or a
+    string, or goes on behind its array, is an error. Files without elements give no rows.
+    """
+    lines = text_lines(spark, path, "}")
+    # no state survives a cut but these two: a brace behind a backslash is what it escapes
+    pieces = F.split(F.regexp_replace("line", r"(?s)\\.", ""), '"')
+    even, odd = F.filter(pieces, lambda x, i: i % 2 == 0), F.filter(pieces, lambda x, i: i % 2 == 1)
+    quotes = F.size(pieces) - 1
+    array = F.when(F.col("line_no") == 0, F.ltrim(F.translate("line", "\ufeff\t\r\n", "    ")).startswith("["))
+    cuts = lines.select(
+        "file", "line_no", (quotes % 2).cast("long").alias("turn"), array.alias("array"), F.col("line").rlike(r"^\s*$").alias("blank"),
+        (_nesting(even) - (quotes % 2 == 0).cast("long")).alias("outside"), (_nesting(odd) - (quotes % 2 == 1).cast("long")).alias("inside"),
+    )
+    cuts = prefix_scan(cuts, ["file"], "line_no", {"_turns": ("sum_before", F.col("turn")), "_array": ("last", F.col("array"))})
+    free = (F.col("_turns") + F.col("turn")) % 2 == 0
+    step = F.when(F.col("_turns") % 2 == 0, F.col("outside")).otherwise(F.col("inside"))
+    cuts = cuts.select("file", "line_no", "_array", "blank", free.alias("free"), step.alias("step"))
+    cuts = prefix_scan(cuts, ["file"], "line_no", {"_depth": ("sum", F.col("step"))})
+    ends = F.col("free") & (F.col("_depth") == F.col("_array").cast("int"))
+    cuts = prefix_scan(cuts.withColumn("ends", ends), ["file"], "line_no", {"record": ("sum_before", F.col("ends").cast("long"))})
+    cuts = settle(cuts.select("file", "line_no", "_array", "blank", "free", "_depth", "ends", "record"))
+
+    last = cuts.groupBy("file").agg(F.max(F.struct("line_no", "free", "_depth", "_array", "blank")).alias("end"), F.min("_depth").alias("least"))
+    # behind an array, or blanks after an object, there is one brace more than in the file
+    whole = F.col("end.free") & (F.col("end._depth") == -(F.col("end._array") | F.col("end.blank")).cast("int")) & (F.col("least") == F.col("end._depth"))
+    broken = last.where(~whole).orderBy("file").first()
+    if broken is not None:
+        raise ValueError(f"the JSON array of {broken['file']} ends too early, or not at the end of the file")
+    parts = lines.join(cuts.select("file", "line_no", "record", "_array"), ["file", "line_no"])
+    part = F.struct("line_no", F.concat("line", F.lit("}")).alias("text")).alias("part")
+    # a group holds one element
+    joined = parts.select("file", "record", "_array", part).groupBy("file", "record", "_array").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda p: p["text"]), "")
+    rest = r"^[\s\x{feff}]*,?\s*(\[\s*)?\]\s*\}$"
+    found = joined.select("file", "record", F.when(F.col("_array"), F.regexp_replace(text, r"^[\s\x{feff}]*[\[,]", "")).otherwise(text).alias("text"), (F.col("_array") & text.rlike(rest)).alias("rest"))
+    return found.where(~F.col("rest") & ~F.col("text").rlike(r"^\s*\}$")).select("file", "record", "text")
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:

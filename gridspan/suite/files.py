@@ -163,6 +163,37 @@ def json_arrays(spark, sf):
     return dataset.read_records(spark, path, whole_files=True, schema="n_nationkey int, n_name string")
 
 
+@query(
+    "S13_array_of_records",
+    "SELECT o_orderkey, o_custkey, o_orderstatus || ' }],[{\" ' || chr(10) AS t, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS price FROM orders",
+)
+def array_of_records(spark, sf):
+    """An array in each file, with brackets, quotes and breaks in its strings."""
+    odd = F.concat("o_orderstatus", F.lit(' }],[{" '), F.char(F.lit(10)))
+    price = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice"))
+    path = scratch_path(spark, "array")
+    sinks.write_json_array(table(spark, sf, "orders").select("o_orderkey", "o_custkey", odd.alias("t"), price.alias("price")), path)
+    return dataset.read_records(spark, path, whole_files=True, schema="o_orderkey long, o_custkey long, t string, price double")
+
+
+@query(
+    "K3_one_array_over_parts",
+    "SELECT 1 AS opened, 1 AS closed, count(*) AS records, count(*) - 1 AS commas, true AS ordered FROM supplier",
+)
+def one_array(spark, sf):
+    """The lines of all parts in order: one opening bracket at the first, one closing bracket at the last."""
+    path = scratch_path(spark, "one_array")
+    df = table(spark, sf, "supplier").select("s_suppkey", "s_name").repartitionByRange(7, "s_suppkey")
+    sinks.write_one_json_array(df, path)
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("part"), "value")
+    first, last = F.col("value").startswith("["), F.col("value").endswith("]")
+    return lines.agg(
+        F.count(F.when(first, 1)).cast("int").alias("opened"), F.count(F.when(last, 1)).cast("int").alias("closed"), F.count("*").alias("records"),
+        F.count(F.when(F.col("value").endswith(","), 1)).alias("commas"),
+        ((F.min("part") == F.min(F.when(first, F.col("part")))) & (F.max("part") == F.max(F.when(last, F.col("part"))))).alias("ordered"),
+    )
+
+
 @query(
     "K2_json_lines",
     "SELECT '{\"key\":' || o_orderkey || ',\"gap\":' || CASE WHEN o_orderkey % 2 = 0 THEN 'null' ELSE CAST(o_custkey AS VARCHAR) END || ',\"list\":[' || o_custkey || ',null],\"nan\":null}' AS line FROM orders",

@@ -1,9 +1,11 @@
 import gzip
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from gridspan.operators import compare, region, reshape, variants
+from gridspan.sinks import files
 from gridspan.sources import dataset, delimited, genomic
 from tests.conftest import rows
 
@@ -298,3 +300,73 @@ def test_named_layouts_take_quotes_as_they_are(spark, lines):
 def test_json_array_file(spark, lines):
     df = dataset.read_records(spark, lines("a.json", '[{"a": 1, "b": {"c": [1]}},\n {"a": 2, "d": "x"}]'), whole_files=True)
     assert df.columns == ["a", "b", "d"] and df.count() == 2
+
+
+ELEMENTS = [
+    {"a": 1, "t": 'brackets } ] { [ and "quotes" \\ and \n breaks'}, {"a": 2, "t": "\\\\"}, {"a": 3, "t": '\\"}', "o": {"l": [1, {"x": {}}], "e": {}}}, {"a": 4}, {}, {"a": 5, "t": "é } 東京"},
+]
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+@pytest.mark.parametrize("split", ["64", "1000000"])
+def test_an_array_of_many_splits(spark, tmp_path, indent, split):
+    """Read by several tasks, with brackets, quotes and breaks in strings; as the reader of whole files does it."""
+    path = tmp_path / "array"
+    path.mkdir()
+    many = [{**ELEMENTS[i % len(ELEMENTS)], "n": i} for i in range(150)]
+    (path / "a.json").write_text(json.dumps(many, indent=indent) + "\n")
+    (path / "b.json").write_text("\ufeff [\n]\n")
+    (path / "c.json").write_text(json.dumps({"n": 1000, "t": "one object"}, indent=indent))
+    (path / "d.json").write_text(" [" + json.dumps({"n": 2000}) + "]")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = dataset.read_records(spark, str(path), whole_files=True)
+        files = dataset.element_texts(spark, str(path))
+        assert files.groupBy("file").count().count() == 3
+        if split == "64":
+            assert spark.read.option("lineSep", "}").text(str(path / "a.json")).rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = spark.read.json(str(path), multiLine=True)
+    if "_corrupt_record" in want.columns:
+        want = want.drop("_corrupt_record")
+    want = want.where("n IS NOT NULL OR a IS NOT NULL OR t IS NOT NULL")
+    assert got.schema == want.schema
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 152
+
+
+@pytest.mark.parametrize("text", ['[{"a": 1}, {"a": 2', '[{"a": 1}', '[{"a": "x}]', '[{"a": 1}] {"a": 2}', '{"a": {"b": 1}', '[{"a": 1}}]'])
+def test_a_broken_array_is_an_error(spark, lines, text):
+    with pytest.raises(ValueError, match="ends too early"):
+        dataset.read_records(spark, lines("broken.json", text), whole_files=True).collect()
+
+
+def test_elements_with_a_schema(spark, lines):
+    df = dataset.read_records(spark, lines("a.json", '[{"a": 1},\n\n{"a": 2, "b": "x"} , {"b": "y"}]'), whole_files=True, schema="a int, b string")
+    assert sorted(rows(df), key=str) == [(1, None), (2, "x"), (None, "y")]
+    assert dataset.read_records(spark, lines("b.json", " [ ] "), whole_files=True, schema="a int").count() == 0
+
+
+def test_one_array_over_all_parts(spark, tmp_path):
+    def joined(df, name):
+        path = tmp_path / name
+        files.write_one_json_array(df, str(path))
+        return "".join(p.read_text() for p in sorted(path.glob("part-*")))
+
+    df = spark.range(0, 100, 1, 7).withColumn("t", F.concat(F.lit("x"), F.col("id").cast("string")))
+    assert json.loads(joined(df, "all")) == [{"id": i, "t": f"x{i}"} for i in range(100)]
+    # parts without rows at both ends and in between
+    assert json.loads(joined(df.where("id BETWEEN 20 AND 28 OR id BETWEEN 60 AND 61"), "gaps")) == [{"id": i, "t": f"x{i}"} for i in [*range(20, 29), 60, 61]]
+    assert json.loads(joined(df.where("id = 55"), "one")) == [{"id": 55, "t": "x55"}]
+    assert json.loads(joined(df.where("id < 0"), "none")) == []
+    shuffled = df.groupBy((F.col("id") % 10).alias("k")).count()
+    assert sorted(r["k"] for r in json.loads(joined(shuffled, "grouped"))) == list(range(10))
+
+
+def test_rows_that_move_between_passes_are_settled(spark, tmp_path, monkeypatch):
+    calls = []
+    marked = files._write_marked
+    monkeypatch.setattr(files, "_write_marked", lambda rows, wanted, path, mode: marked(rows, wanted, path, mode) and bool(calls.append(mode) or len(calls) > 1))
+    files.write_one_json_array(spark.range(20), str(tmp_path / "moved"))
+    assert calls == ["error", "overwrite"]
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "moved").glob("part-*")))) == [{"id": i} for i in range(20)]
