@@ -263,7 +263,8 @@ def _rare_pairs(open_: DataFrame, held: DataFrame, similarity: float) -> DataFra
     Two bags as similar as that have an element in common among the first ``weight - ceil(similarity * weight) + 1``
     of both, in any fixed order of the elements. In the order from rare to frequent, those that no other class has
     come first and meet nothing. A frequent element's rows outside its largest class are joined with its rows of all
-    other classes, so members of one class are never paired, and sizes must allow the similarity.
+    other classes, so members of one class are never paired, and what is left of both behind the element must allow
+    the similarity.
     """
     nodes = open_.select("node", "root", "weight").distinct()
     elements = held.join(nodes, "node").select("node", "root", "weight", F.explode("bag").alias("element"))
@@ -272,13 +273,14 @@ def _rare_pairs(open_: DataFrame, held: DataFrame, similarity: float) -> DataFra
     own = Window.partitionBy("node")
     prefix = F.col("weight") - F.ceil(F.lit(similarity) * F.col("weight") - F.lit(1e-9)) + 1
     found = found.withColumn("place", F.row_number().over(own.orderBy("n", "element"))).withColumn("can", F.count("*").over(own))
-    found = settle(found.where(F.col("place") <= prefix - (F.col("weight") - F.col("can"))).select("element", "node", "root", "weight", "can"))
+    found = settle(found.where(F.col("place") <= prefix - (F.col("weight") - F.col("can"))).select("element", "node", "root", "weight", (F.col("can") - F.col("place") + 1).alias("left")))
     sizes = found.groupBy("element", "root").count()
     largest = sizes.groupBy("element").agg(F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("classes"))
     ranked = found.join(largest.where("classes > 1").select("element", F.col("top.root").alias("top")), "element")
-    minor = ranked.where("root <> top").select("element", F.col("node").alias("x"), F.col("weight").alias("wx"), F.col("root").alias("rx"), F.col("can").alias("cx"))
-    other = ranked.select("element", "top", F.col("node").alias("y"), F.col("weight").alias("wy"), F.col("root").alias("ry"), F.col("can").alias("cy"))
-    possible = _reaches(F.least("cx", "cy"), F.col("wx"), F.col("wy"), similarity)
+    minor = ranked.where("root <> top").select("element", F.col("node").alias("x"), F.col("weight").alias("wx"), F.col("root").alias("rx"), F.col("left").alias("lx"))
+    other = ranked.select("element", "top", F.col("node").alias("y"), F.col("weight").alias("wy"), F.col("root").alias("ry"), F.col("left").alias("ly"))
+    # from the first common element on, no more than what is left of either can be common
+    possible = _reaches(F.least("lx", "ly"), F.col("wx"), F.col("wy"), similarity)
     # a pair of two minor classes is made from its smaller node only
     once = (F.col("ry") == F.col("top")) | (F.col("x") < F.col("y"))
     pairs = minor.join(other, "element").where((F.col("rx") != F.col("ry")) & possible & once)

@@ -500,3 +500,36 @@ def test_places_of_json_errors_against_a_walk(spark):
     got = {r["i"]: r["byte"] for r in json_ops.json_errors(df, "t").collect()}
     for i, text in enumerate(texts):
         assert got.get(i) == viable(text), (text, got.get(i), viable(text))
+
+
+def test_tree_nodes_are_few_and_hold_the_bins(spark):
+    ranges = [(0, 0), (0, 1), (1, 2), (3, 11), (1, 15), (0, 16), (5, 5), (7, 6), (1, 999_999), (2, 1_000_000)]
+    df = spark.createDataFrame(ranges, "a long, b long")
+    for r in df.select("a", "b", signal.tree_nodes(F.col("a"), F.col("b"), 20).alias("nodes")).collect():
+        held = [(n["at"] << n["level"], (n["at"] + 1) << n["level"]) for n in r["nodes"]]
+        at = r["a"]
+        for low, high in sorted(held):
+            assert low == at
+            at = high
+        assert at == max(r["a"], r["b"]) and len(held) < 48
+
+
+def test_binned_signal_of_wide_intervals_against_brute_force(spark):
+    rng = random.Random(6)
+    sig = [("c", a, a + rng.randrange(1, 900), round(rng.random(), 3)) for a in (rng.randrange(0, 900) for _ in range(40))]
+    df = spark.createDataFrame(sig, "chrom string, start long, end long, value double")
+    wins = spark.createDataFrame([("c", 3, 1000, 1), ("c", 500, 507, 2), ("d", 0, 10, 3)], "chrom string, start long, end long, window_id long")
+    got = {(r["window_id"], r["bin"]): r for r in signal.binned_signal(df, wins, 37).collect()}
+    for w, start, end, n in ((1, 3, 1000, 37), (2, 500, 507, 7), (3, 0, 10, 10)):
+        for i in range(n):
+            low, high = start + (end - start) * i // n, start + (end - start) * (i + 1) // n
+            met = [(v, min(b, high) - max(a, low)) for c, a, b, v in sig if w != 3 and a < high and b > low]
+            r = got.pop((w, i))
+            assert (r["start"], r["end"]) == (low, high)
+            if met:
+                assert r["mean"] == pytest.approx(sum(v * k for v, k in met) / sum(k for _, k in met))
+                assert (r["min"], r["max"]) == (min(v for v, _ in met), max(v for v, _ in met))
+                assert r["coverage"] == pytest.approx(sum(k for _, k in met) / (high - low))
+            else:
+                assert (r["mean"], r["coverage"]) == (None, 0)
+    assert not got
