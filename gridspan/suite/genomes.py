@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.coords import assembly, cigar_span, standard_name, with_span
-from ..operators import compare, intervals, json_ops, labels, reads, region, reshape, sequences, signal, variants
+from ..operators import compare, interval_layout, intervals, json_ops, labels, reads, region, reshape, sequences, signal, variants
 from ..plans.position import numbered_by
+from ..session import scratch_path
 from . import base
 from .base import FORMAT_FIELDS, INTERVALS_SQL, WINDOWS_SQL, genotypes, genotypes_sql, query, shares, table, windows
 
@@ -94,6 +95,16 @@ def any_window(spark, sf):
     return region.overlap_join(base.intervals(spark, sf), windows(spark, sf), "any").select(*_KEEP)
 
 
+@query("R_12_layout_overlap_join", f"SELECT {_ROW}, w.window_id {_PAIRS} AND w.window_id % 7 < 3 AND w.start > (SELECT max(o_orderkey) FROM orders) * 3 // 4")
+def layout_join(spark, sf):
+    """A table in folders by chromosome and bin; the windows lie in a quarter of it."""
+    path = scratch_path(spark, "layout")
+    interval_layout.write_layout(base.intervals(spark, sf), path, bits=10)
+    last = table(spark, sf, "orders").agg(F.floor(F.max("o_orderkey") * 3 / 4)).scalar()
+    wanted = windows(spark, sf).where((F.col("window_id") % 7 < 3) & (F.col("start") > last))
+    return interval_layout.layout_overlap_join(spark, path, wanted).select(*_KEEP, "window_id")
+
+
 _WIDE = (
     "SELECT chrom, start - window_id % 4 * 300 AS start, CASE WHEN window_id % 97 = 0 THEN NULL ELSE \"end\" + window_id % 3 * 700 END AS \"end\", "
     f"window_id FROM ({WINDOWS_SQL}) v"

@@ -1,12 +1,13 @@
 """Plans are the ones wanted: pushdown, pruning, top-k, no shuffle of the large side."""
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from gridspan.operators import filter as f
-from gridspan.operators import intervals, order, region, summary, variants
+from gridspan.operators import interval_layout, intervals, order, region, summary, variants
 from gridspan.plans import joins
 from gridspan.plans.position import text_lines
 from gridspan.suite.base import genotypes, intervals as spans, table, windows
@@ -104,3 +105,42 @@ def test_skewed_rows_are_split(spark):
     finally:
         for key in ("adaptive.skewJoin.skewedPartitionThresholdInBytes", "adaptive.advisoryPartitionSizeInBytes", "autoBroadcastJoinThreshold", "adaptive.skewJoin.skewedPartitionFactor"):
             spark.conf.unset(f"spark.sql.{key}")
+
+
+def _scans(node) -> list:
+    """The file scans below a finished plan."""
+    name = node.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return _scans(node.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _scans(node.plan())
+    if name == "FileSourceScanExec":
+        return [node]
+    children = node.children()
+    return [s for i in range(children.size()) for s in _scans(children.apply(i))]
+
+
+def test_a_join_with_windows_prunes_folders_while_it_runs(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(f"{1 + i % 3}", a, a + rng.randrange(0, 300), i) for i, a in enumerate(rng.randrange(0, 200_000) for _ in range(4000))]
+    rows += [("1", 500, 150_000, -1), ("2", 70_000, 70_000, -2), (None, 5, 9, -3), ("X", 100, 200, -4)]
+    df = spark.createDataFrame(rows, "chrom string, start long, end long, id long")
+    path = str(tmp_path / "layout")
+    interval_layout.write_layout(df, path, bits=12, file_rows=50)
+    wins = [("1", a, a + 40, i) for i, a in enumerate(range(100_000, 140_000, 40))] + [("2", 69_990, 70_010, 1000), ("X", None, 101, 1001), ("Y", 0, 9, 1002)]
+    windows = spark.createDataFrame(wins, "chrom string, start long, end long, window_id long")
+    assert len(wins) > 1000
+    got = interval_layout.layout_overlap_join(spark, path, windows)
+    want = region.overlap_join(df, windows)
+    assert sorted(map(tuple, got.select("id", "window_id").collect())) == sorted(map(tuple, want.select("id", "window_id").collect()))
+    plan = got._jdf.queryExecution().executedPlan()
+    got._jdf.queryExecution().toRdd().count()
+    scan = [s for s in _scans(plan) if "LayoutBin" in s.toString()]
+    assert scan and "dynamicpruning" in scan[0].toString()
+    files = sum(1 for _ in (tmp_path / "layout").rglob("LayoutChrom=*/LayoutBin=*/*.parquet"))
+    read = scan[0].metrics().apply("numFiles").value()
+    assert 0 < read < files / 3
+    any_mode = interval_layout.layout_overlap_join(spark, path, windows, "any")
+    assert sorted(r["id"] for r in any_mode.collect()) == sorted(r["id"] for r in region.overlap_join(df, windows, "any").collect())
+    assert interval_layout.read_layout(spark, path).count() == len(rows)
+    assert dict(interval_layout.read_layout(spark, path).dtypes)["LayoutChrom"] == "string"
