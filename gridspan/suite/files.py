@@ -8,7 +8,7 @@ from ..operators import compare, compute, filter as rows, region, reshape, selec
 from ..sinks import files as sinks
 from ..sources import dataset, delimited, genomic
 from ..streaming import live
-from .base import genotypes, line, query, scratch_path, table, written_text
+from .base import genotypes, line, query, scratch_path, shares, table, written_text
 
 _ORDERS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority"
 _ORDER_COLUMNS = [c.strip() for c in _ORDERS.split(",")]
@@ -532,8 +532,25 @@ def live_counts(spark, sf):
     schema = table(spark, sf, "events").schema
     stream = live.read_growing(spark, f"{sf}/events*.parquet", schema).withColumn("parity", F.col("user_id") % 2)
     out = scratch_path(spark, "totals")
-    live.write_totals(live.live_value_counts(stream, ["event_type", "parity"]), out, scratch_path(spark, "progress")).awaitTermination()
-    return spark.read.parquet(out)
+    keys = ["column", "value"]
+    live.write_totals(live.live_value_counts(stream, ["event_type", "parity"]), out, scratch_path(spark, "progress"), keys).awaitTermination()
+    return live.read_totals(spark, out, keys)
+
+
+@query(
+    "T2_live_shares_over_batches",
+    "SELECT 'event_type' AS \"column\", event_type AS value, count(*) AS count, round(count(*) / (SELECT count(*) FROM events), 12) AS fraction FROM events GROUP BY 2 "
+    "UNION ALL SELECT 'user_id', CAST(user_id AS VARCHAR), count(*), round(count(*) / (SELECT count(*) FROM events), 12) FROM events GROUP BY 2",
+)
+def live_shares(spark, sf):
+    """Arrivals of several files, one batch each; changes are put together every third batch."""
+    source, out, keys = scratch_path(spark, "arrivals"), scratch_path(spark, "totals"), ["column", "value"]
+    events = table(spark, sf, "events").select("event_type", "user_id", (F.col("event_id") % 5).alias("part"))
+    events.repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(source)
+    stream = live.read_growing(spark, source, "event_type string, user_id long", maxFilesPerTrigger=1, recursiveFileLookup=True)
+    counts = live.live_value_counts(stream, ["event_type", "user_id"], total=True)
+    live.write_totals(counts, out, scratch_path(spark, "progress"), keys, compact=3).awaitTermination()
+    return shares(live.shares_of(live.read_totals(spark, out, keys)), "fraction", digits=12)
 
 
 @query(
@@ -544,8 +561,8 @@ def live_describe(spark, sf):
     schema = table(spark, sf, "events").schema
     stream = live.read_growing(spark, f"{sf}/events*.parquet", schema)
     out = scratch_path(spark, "stats")
-    live.write_totals(live.live_describe(stream, ["value"]), out, scratch_path(spark, "progress")).awaitTermination()
-    return spark.read.parquet(out).withColumns({"mean": F.round("mean", 7), "std": F.round("std", 7)})
+    live.write_totals(live.live_describe(stream, ["value"]), out, scratch_path(spark, "progress"), ["column"]).awaitTermination()
+    return live.read_totals(spark, out, ["column"]).withColumns({"mean": F.round("mean", 7), "std": F.round("std", 7)})
 
 
 @query("T3_live_distinct", "SELECT DISTINCT user_id, event_type FROM events")

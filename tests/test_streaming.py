@@ -1,9 +1,10 @@
 """Stateless operators give the same rows on a stream as on a batch."""
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from gridspan.operators import compute, filter as f, region, reshape, select, variants
+from gridspan.operators import compute, filter as f, region, reshape, select, summary, variants
 from gridspan.operators.reads import decode_pileup
 from gridspan.sources.lines import fields_frame
 from gridspan.streaming import live
@@ -86,3 +87,59 @@ def test_streamed_text_lines(spark, tmp_path):
     lines = live.read_growing(spark, str(tmp_path / "in"), "value string", "text").withColumnRenamed("value", "line")
     out = run(fields_frame(lines, [("Chr", "string"), ("Beg", "long"), ("End", "long")]), tmp_path, "out")
     assert sorted(rows(out)) == [("c", 1, 5), ("d", 2, 9)]
+
+
+KEYS = ["column", "value"]
+
+
+def counted(spark, path, out, tmp_path, compact):
+    stream = live.read_growing(spark, path, spark.read.parquet(path).schema, maxFilesPerTrigger=1)
+    counts = live.live_value_counts(stream, ["CHROM", "POS"], total=True)
+    live.write_totals(counts, out, str(tmp_path / "progress"), KEYS, compact).awaitTermination()
+
+
+@pytest.mark.parametrize("compact", [1, 2, 16])
+def test_totals_survive_a_stop_between_two_writes(spark, arrivals, tmp_path, monkeypatch, compact):
+    """A reader sees the result after one batch or after the next; a batch writes only what it changed."""
+    out = str(tmp_path / "out")
+    shown = lambda: sorted(rows(live.shares_of(live.read_totals(spark, out, KEYS))), key=str)
+    want = lambda df: sorted(rows(summary.value_counts_of(df, ["CHROM", "POS"])), key=str)
+    path = arrivals(records(spark, 0, 6).coalesce(1))
+    counted(spark, path, out, tmp_path, compact)
+    before = want(spark.read.parquet(path))
+    assert shown() == before
+
+    publish = live._publish
+
+    def stop(*_):
+        raise RuntimeError("stopped before the result is published")
+
+    for attempt in range(2):
+        if not attempt:
+            arrivals(records(spark, 5, 3).coalesce(1))
+        monkeypatch.setattr(live, "_publish", stop)
+        with pytest.raises(StreamingQueryException):
+            counted(spark, path, out, tmp_path, compact)
+        assert shown() == before
+    monkeypatch.setattr(live, "_publish", publish)
+    counted(spark, path, out, tmp_path, compact)
+    assert shown() == want(spark.read.parquet(path))
+    changed = spark.read.parquet(f"{out}/changes").where("batch = 1")
+    # three positions, two chromosomes and the total; the five positions before are not written again
+    assert changed.count() == 6
+
+    # published, but not known to be: the batch comes again and is left alone
+    arrivals(records(spark, 0, 2).coalesce(1))
+    monkeypatch.setattr(live, "_publish", lambda *a: (publish(*a), stop()))
+    with pytest.raises(StreamingQueryException):
+        counted(spark, path, out, tmp_path, compact)
+    after = want(spark.read.parquet(path))
+    assert shown() == after
+    monkeypatch.setattr(live, "_publish", publish)
+    counted(spark, path, out, tmp_path, compact)
+    assert shown() == after
+
+
+def test_totals_of_nothing(spark, tmp_path):
+    with pytest.raises(ValueError, match="nothing is published"):
+        live.read_totals(spark, str(tmp_path / "none"), KEYS)
