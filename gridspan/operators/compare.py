@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import text_of
 from ..functions.coords import assembly, naming_style, standard_name
+from ..plans.joins import small_side
 from ..plans.spread import spread
+from ..session import settle
 from .select import require
 
 
@@ -136,6 +138,90 @@ def fingerprint(df: DataFrame, columns: list[str] | None = None, position: Colum
     return sums.select("n_rows", F.sha2(whole, 256).alias("fingerprint"))
 
 
+# Rows of a block of positions, blocks under one node of the tree, and bits of a key's hash that name its block.
+DIGEST_ROWS, DIGEST_FAN_BITS, DIGEST_KEY_BITS = 1 << 16, 8, 16
+
+
+def _row_sums(df: DataFrame, names: list[str]) -> list[Column]:
+    """The digest of a row in pieces, whose sums are the digest of a set of rows."""
+    texts = [text_of(df, c) for c in names]
+    cells = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    digest = F.sha2(F.concat_ws("|", *cells), 256)
+    return [F.conv(F.substring(digest, 1 + i * _DIGITS, _DIGITS), 16, 10).cast("decimal(38,0)").alias(f"s{i}") for i in range(_PIECES)]
+
+
+def _block_of(df: DataFrame, keys: list[str], dense: bool) -> Column:
+    if dense:
+        return F.floor(F.col(f"`{keys[0]}`") / F.lit(DIGEST_ROWS)).cast("long")
+    return F.shiftrightunsigned(F.xxhash64(*[text_of(df, k) for k in keys]), 64 - DIGEST_KEY_BITS)
+
+
+def digest_tree(df: DataFrame, keys: list[str], columns: list[str] | None = None, dense: bool = False) -> DataFrame:
+    """(level, node, n_rows, s0 ..): digests of blocks of rows, and of blocks of blocks up to one root.
+
+    Level 0 are blocks of neighbouring positions if ``keys`` is a ``dense`` position, else of keys with equal
+    leading bits of their hash. A node's digest is the sum of its rows' digests, of keys and values as text, so
+    it does not depend on their order, and a table's tree can be kept to compare other versions with it.
+    Blocks are summed up before they are shuffled: one row per block and task.
+    """
+    names = columns or [c for c in df.columns if c not in keys]
+    require(df, *keys, *names)
+    sums = [f"s{i}" for i in range(_PIECES)]
+    rows = df.select(_block_of(df, keys, dense).alias("node"), *_row_sums(df, [*keys, *names]))
+    total = [F.sum(c).alias(c) for c in sums]
+    level = settle(rows.groupBy("node").agg(F.count("*").alias("n_rows"), *total))
+    last = level.agg(F.max("node")).first()[0] or 0
+    levels, i = [level.select(F.lit(0).alias("level"), "node", "n_rows", *sums)], 0
+    while last:
+        i, last = i + 1, last >> DIGEST_FAN_BITS
+        above = F.shiftright("node", DIGEST_FAN_BITS).alias("node")
+        level = level.select(above, "n_rows", *sums).groupBy("node").agg(F.sum("n_rows").alias("n_rows"), *total)
+        levels.append(level.select(F.lit(i).alias("level"), "node", "n_rows", *sums))
+    return reduce(DataFrame.unionByName, levels)
+
+
+def unlike_blocks(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The blocks (node) whose digests differ in two trees, from the roots down.
+
+    On each level only nodes below unlike ones are compared, so that trees of equal tables are told by their
+    roots alone. Blocks that only one tree has are unlike.
+    """
+    values = ["n_rows", *[f"s{i}" for i in range(_PIECES)]]
+    top = max(a.agg(F.max("level")).first()[0] or 0, b.agg(F.max("level")).first()[0] or 0)
+    unlike = None
+    for level in range(top, -1, -1):
+        sides = []
+        for tree in (a, b):
+            nodes = tree.where(F.col("level") == level).select("node", F.struct(*values).alias("v"))
+            if unlike is not None:
+                above = unlike.withColumnRenamed("node", "_up")
+                nodes = nodes.withColumn("_up", F.shiftright("node", DIGEST_FAN_BITS)).join(above, "_up", "left_semi").drop("_up")
+            sides.append(nodes)
+        joined = sides[0].withColumnRenamed("v", "x").join(sides[1].withColumnRenamed("v", "y"), "node", "full_outer")
+        unlike = small_side(joined.where(~F.col("x").eqNullSafe(F.col("y"))).select("node"))
+        if unlike.isEmpty():
+            break
+    return unlike
+
+
+def diff_cells_by_digest(
+    a: DataFrame, b: DataFrame, keys: list[str], columns: list[str] | None = None, dense: bool = False, trees: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
+    """What :func:`diff_cells` gives, with only rows of unlike blocks joined with each other.
+
+    Both tables are read once for their digests, of which a row per block is shuffled (or not even that, where
+    ``trees`` of both were kept), and once more for the rows of the blocks that differ. Keys must be unique.
+    """
+    shared = _compared(a, b, keys, columns)
+    left, right = trees or (digest_tree(a, keys, shared, dense), digest_tree(b, keys, shared, dense))
+    unlike = unlike_blocks(left, right).withColumnRenamed("node", "_block")
+    kept = [df.withColumn("_block", _block_of(df, keys, dense)).join(unlike, "_block", "left_semi").drop("_block") for df in (a, b)]
+    if not dense:
+        for df in kept:
+            _require_unique(df, keys)
+    return diff_cells(*kept, keys, shared, check_unique=False)
+
+
 def sequence_names(df: DataFrame, chrom: str, length: str | None = None) -> DataFrame:
     """The distinct sequences of a table: name and length (null when not known)."""
     size = F.max(F.col(f"`{length}`").cast("long")) if length else F.lit(None).cast("long")

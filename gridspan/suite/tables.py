@@ -811,6 +811,27 @@ def diff_by_position(spark, sf):
     return compare.diff_cells(a, b, ["_row"], check_unique=False)
 
 
+@query(
+    "R3_diff_by_digests_of_positions",
+    "SELECT r AS _row, 'l_quantity' AS \"column\", CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS a, CAST(CAST(l_quantity AS BIGINT) + 1 AS VARCHAR) AS b FROM "
+    "(SELECT l_quantity, l_orderkey, row_number() OVER () - 1 AS r FROM lineitem) t WHERE l_orderkey % 1000 = 3",
+)
+def diff_by_digests(spark, sf):
+    a = numbered_parquet(spark, f"{sf}/lineitem.parquet", ["l_orderkey", "l_quantity"])
+    b = a.withColumn("l_quantity", F.when(F.col("l_orderkey") % 1000 == 3, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    return compare.diff_cells_by_digest(a, b, ["_row"], dense=True)
+
+
+@query(
+    "R3_diff_by_digests_of_keys",
+    "SELECT o_orderkey, 'o_custkey' AS \"column\", CAST(o_custkey AS VARCHAR) AS a, CAST(NULL AS VARCHAR) AS b FROM orders WHERE o_orderkey % 101 = 0 "
+    "UNION ALL SELECT o_orderkey, 'o_orderstatus', o_orderstatus, 'X' FROM orders WHERE o_orderkey % 50 = 0",
+)
+def diff_by_key_digests(spark, sf):
+    a, b = _changed(spark, sf)
+    return compare.diff_cells_by_digest(a, b, ["o_orderkey"])
+
+
 @query("U3_schema_diff", "SELECT * FROM (VALUES ('c_acctbal', 'only in a'), ('extra', 'only in b'), ('c_nationkey', 'type int and bigint')) t(\"column\", note)")
 def schema_differences(spark, sf):
     a = table(spark, sf, "customer")

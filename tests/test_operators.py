@@ -533,3 +533,31 @@ def test_binned_signal_of_wide_intervals_against_brute_force(spark):
             else:
                 assert (r["mean"], r["coverage"]) == (None, 0)
     assert not got
+
+
+def test_diff_by_digests_reads_only_unlike_blocks(spark, monkeypatch):
+    monkeypatch.setattr(compare, "DIGEST_ROWS", 100)
+    monkeypatch.setattr(compare, "DIGEST_FAN_BITS", 2)
+    a = spark.range(5000).select(F.col("id").alias("_row"), (F.col("id") % 7).alias("x"), F.col("id").cast("string").alias("t")).repartition(4)
+    changed = F.when(F.col("_row") == 1234, None).otherwise(F.col("x"))
+    b = a.withColumn("x", changed).withColumn("t", F.when(F.col("_row") == 1299, "?").otherwise(F.col("t"))).repartition(3)
+    tree = compare.digest_tree(a, ["_row"], dense=True)
+    assert {r["level"]: r["count"] for r in tree.groupBy("level").count().collect()} == {0: 50, 1: 13, 2: 4, 3: 1}
+    assert compare.unlike_blocks(tree, compare.digest_tree(a.repartition(2), ["_row"], dense=True)).count() == 0
+    assert rows(compare.unlike_blocks(tree, compare.digest_tree(b, ["_row"], dense=True))) == [(12,)]
+    got = compare.diff_cells_by_digest(a, b, ["_row"], dense=True)
+    assert sorted(rows(got)) == sorted(rows(compare.diff_cells(a, b, ["_row"]))) == [(1234, "x", "2", None), (1299, "t", "1299", "?")]
+    # a table that goes on, and one without rows
+    more = a.unionByName(spark.range(5000, 30000).select(F.col("id").alias("_row"), F.lit(0).cast("long").alias("x"), F.lit("n").alias("t")))
+    longer = compare.digest_tree(more, ["_row"], dense=True)
+    assert sorted(r["node"] for r in compare.unlike_blocks(tree, longer).collect()) == list(range(50, 300))
+    assert compare.diff_cells_by_digest(a, more, ["_row"], dense=True, trees=(tree, longer)).count() == 0
+    assert compare.diff_cells_by_digest(a, a.limit(0), ["_row"], dense=True).count() == 0
+
+
+def test_diff_by_digests_of_keys(spark):
+    a = spark.range(3000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), (F.col("id") * 2).alias("v"))
+    b = a.withColumn("v", F.when(F.col("key") == "k77", F.lit(-1)).otherwise(F.col("v")))
+    unlike = compare.unlike_blocks(compare.digest_tree(a, ["key"]), compare.digest_tree(b, ["key"]))
+    assert unlike.count() == 1
+    assert rows(compare.diff_cells_by_digest(a, b, ["key"])) == [("k77", "v", "154", "-1")]
