@@ -609,3 +609,17 @@ def test_one_of_each_tells_rows_of_one_id_apart(spark):
     assert found[(4, prose(71, 50))] + found[(4, edited(prose(71, 50), [49]))] == 1
     assert found[(4, prose(72, 50))] == 1 and (5, prose(72, 50)) not in found
     assert max(found.values()) == 1
+
+
+def test_copies_from_many_tasks_are_put_together_first(spark, monkeypatch):
+    """One text in every partition: its copies do not fit a bucket together."""
+    merged = []
+    merge = exact_dedup._merged_copies
+    monkeypatch.setattr(exact_dedup, "_merged_copies", lambda parts, sizes, limit: merged.append(sizes.where(exact_dedup.F.col("n_bytes") * exact_dedup.F.col("tasks") > limit).count()) or merge(parts, sizes, limit))
+    rows = [(i, BASE if i % 3 else f"own text {i}") for i in range(90)] + [(5, BASE), (None, BASE), (None, "own text 0")]
+    df = spark.createDataFrame([(i, t, "r", 1, 2, "d", 3) for i, t in rows], SCHEMA).repartition(30)
+    got = exact_dedup.copy_groups(df, bucket_bytes=2000, table_bytes=500).collect()
+    assert merged == [1]
+    sizes = collections.Counter((r["keep_id"], r["group_size"]) for r in got if r["kept"])
+    assert sizes[(1, 62)] == 1 and sizes[(0, 2)] == 1 and len(sizes) == 31 and len(got) == 93
+    assert exact_dedup.drop_copies(df).count() == 31
