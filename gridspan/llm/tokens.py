@@ -17,7 +17,7 @@ from array import array
 import numpy as np
 
 # Of each of the two generations of a cache.
-CACHE_BYTES = 12 << 20
+CACHE_BYTES = 28 << 20
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ɏ]+\Z")
 # The file's own splitter, for words of the signs above.
