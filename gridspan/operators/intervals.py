@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cells import INTEGERS, column_type
@@ -52,12 +52,49 @@ def _examples(bad: DataFrame, text, position: str, n: int = 5) -> tuple[int, str
     return total, "; ".join(r["t"] for r in shown)
 
 
+def chromosome_blocks(df: DataFrame, position: str, columns: tuple[str, str, str] | None = None) -> DataFrame:
+    """(chrom, row_offset, n_rows): where the rows of each chromosome lie in a sorted table, a row per chromosome."""
+    chrom, _, _ = coordinate_columns(df, columns)
+    first, n = F.min(position).alias("row_offset"), F.count("*").alias("n_rows")
+    return df.groupBy(F.col(chrom).cast("string").alias("chrom")).agg(first, n)
+
+
+def _block_checks(df: DataFrame, position: str, chrom: str, blocks: DataFrame, report) -> None:
+    """Whether blocks written beside a table hold every row once, and each row has the chromosome of its block.
+
+    A chromosome has one block, so a row is right if it lies in the block of its own chromosome; no row is
+    compared with the blocks of others.
+    """
+    blocks = settle(blocks.select(F.col("chrom").cast("string").alias("chrom"), "row_offset", "n_rows"))
+    # a row per chromosome
+    before = F.lag(F.col("row_offset") + F.col("n_rows"), 1, 0).over(Window.orderBy("row_offset", "chrom"))
+    apart = blocks.withColumn("_before", before).where("row_offset <> _before OR n_rows < 0")
+    text = F.concat(F.coalesce("chrom", F.lit("null")), F.lit(" begins at row "), F.col("row_offset").cast("string"))
+    wrong, shown = _examples(apart, text, "row_offset")
+    total, held = df.count(), blocks.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+    if total != held:
+        wrong, shown = wrong + 1, "; ".join(filter(None, [shown, f"{held} rows in blocks, {total} in the table"]))
+    report("the blocks hold every row once", wrong, shown)
+
+    single = blocks.groupBy("chrom").agg(F.min("row_offset").alias("_first"), F.min(F.col("row_offset") + F.col("n_rows")).alias("_end"))
+    rows = df.withColumn("_chrom", F.col(chrom).cast("string"))
+    placed = lookup_join(rows, single.withColumnRenamed("chrom", "_chrom"), ["_chrom"])
+    inside = (F.col(position) >= F.col("_first")) & (F.col(position) < F.col("_end"))
+    text = F.concat(F.lit("row "), F.col(position).cast("string"), F.lit(": "), F.coalesce("_chrom", F.lit("null")))
+    report("every row has the chromosome of its block", *_examples(placed.where(~F.coalesce(inside, F.lit(False))), text, position))
+
+
 def validate_intervals(
-    df: DataFrame, position: str, columns: tuple[str, str, str] | None = None, reach: str = REACH
+    df: DataFrame,
+    position: str,
+    columns: tuple[str, str, str] | None = None,
+    reach: str = REACH,
+    blocks: DataFrame | None = None,
 ) -> DataFrame:
     """PASS / FAIL per invariant of a sorted-interval table: check, status, violations, examples.
 
-    ``position`` is the dense row position. Null coordinates are reported, not an error.
+    ``position`` is the dense row position. Null coordinates are reported, not an error. With ``blocks``, which
+    tell where each chromosome's rows lie (see :func:`chromosome_blocks`), two checks against them come last.
     """
     spark = df.sparkSession
     schema = "check string, status string, violations long, examples string"
@@ -105,6 +142,8 @@ def validate_intervals(
     wrong = scanned.where(~F.col(reach).eqNullSafe(F.col("_top")))
     text = F.concat(at, F.lit(": "), F.coalesce(F.col(reach).cast("string"), F.lit("null")), F.lit(" is not "), F.col("_top").cast("string"))
     report(f"{reach} is the running maximum of {end}", *_examples(wrong, text, position))
+    if blocks is not None:
+        _block_checks(df, position, chrom, blocks, report)
     return spark.createDataFrame(rows, schema)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.coords import assembly, cigar_span, standard_name, with_span
 from ..operators import compare, interval_layout, intervals, json_ops, labels, reads, region, reshape, sequences, signal, variants
 from ..plans.position import numbered_by
-from ..session import scratch_path
+from ..session import scratch_path, settle
 from . import base
 from .base import FORMAT_FIELDS, INTERVALS_SQL, WINDOWS_SQL, genotypes, genotypes_sql, query, shares, table, windows
 
@@ -312,6 +312,21 @@ def validated(spark, sf):
     return intervals.validate_intervals(df.withColumn("MaxEndSoFar", wrong), "_row").drop("examples")
 
 
+@query(
+    "R5_validate_blocks",
+    f"SELECT 'the blocks hold every row once' AS \"check\", 'PASS' AS status, 0 AS violations UNION ALL "
+    f"SELECT 'every row has the chromosome of its block', 'FAIL', count(CASE WHEN start % 333 = 0 AND chrom <> 'N' THEN 1 END) FROM {_IV}",
+)
+def validated_blocks(spark, sf):
+    """Labels against the blocks written beside the table; some rows carry another chromosome's name."""
+    df = intervals.running_max_end(base.intervals(spark, sf))
+    df = settle(numbered_by(df, ["chrom", "start", "end", "l_linenumber", "l_partkey", "l_suppkey"]))
+    blocks = intervals.chromosome_blocks(df, "_row")
+    named = df.withColumn("chrom", F.when(F.col("start") % 333 == 0, "N").otherwise(F.col("chrom")))
+    report = intervals.validate_intervals(named, "_row", blocks=blocks).drop("examples")
+    return report.where(F.col("check").like("%block%") & ~F.col("check").like("each%"))
+
+
 _BINNED = (
     f"WITH w AS (SELECT chrom, start AS ws, \"end\" AS we, window_id, least(6, \"end\" - start) AS n FROM ({WINDOWS_SQL}) v), "
     "s AS (SELECT chrom, ws, we, window_id, n, i AS bin, ws + (we - ws) * i // n AS bs, ws + (we - ws) * (i + 1) // n AS be FROM (SELECT *, unnest(range(n)) AS i FROM w) q) "

@@ -561,3 +561,19 @@ def test_diff_by_digests_of_keys(spark):
     unlike = compare.unlike_blocks(compare.digest_tree(a, ["key"]), compare.digest_tree(b, ["key"]))
     assert unlike.count() == 1
     assert rows(compare.diff_cells_by_digest(a, b, ["key"])) == [("k77", "v", "154", "-1")]
+
+
+def test_rows_are_checked_against_blocks(spark):
+    data = [("a", 1, 5, 5, 0), ("a", 2, 3, 5, 1), ("b", 1, 9, 9, 2), ("c", 4, 6, 6, 3)]
+    df = spark.createDataFrame(data, "chrom string, start long, end long, MaxEndSoFar long, _row long")
+    blocks = intervals.chromosome_blocks(df, "_row")
+    assert sorted(rows(blocks)) == [("a", 0, 2), ("b", 2, 1), ("c", 3, 1)]
+    status = lambda t, b: {r["check"]: (r["status"], r["violations"]) for r in intervals.validate_intervals(t, "_row", blocks=b).collect()}
+    whole, label = "the blocks hold every row once", "every row has the chromosome of its block"
+    assert [status(df, blocks)[c] for c in (whole, label)] == [("PASS", 0), ("PASS", 0)]
+    wrong = df.withColumn("chrom", F.when(F.col("_row") == 1, "b").when(F.col("_row") == 3, "z").otherwise(F.col("chrom")))
+    assert status(wrong, blocks)[label] == ("FAIL", 2)
+    gaps = spark.createDataFrame([("a", 0, 2), ("b", 3, 1), ("c", 3, 1)], "chrom string, row_offset long, n_rows long")
+    assert status(df, gaps)[whole] == ("FAIL", 2)
+    short = spark.createDataFrame([("a", 0, 2), ("b", 2, 1)], "chrom string, row_offset long, n_rows long")
+    assert status(df, short)[whole] == ("FAIL", 1) and status(df, short)[label] == ("FAIL", 1)
