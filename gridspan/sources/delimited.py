@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.joins import small_side
-from ..plans.position import text_lines
+from ..plans.position import ordered_lines, text_lines
+from ..session import settle
 from .lines import NULL_TOKENS, cell, quoted_fields, separator, typed, without_return
 
 TYPES = {"string": "string", "int": "long", "float": "double"}
@@ -25,32 +28,52 @@ class _Shape:
     has_header: bool
 
 
-def _first_lines(lines: DataFrame, sep: str, nulls: tuple[str, ...]) -> tuple[DataFrame, list[str | None]]:
-    """(file, _header, _names): number and cells of the first line that counts in each file, and the cells of the first file's."""
-    first = lines.groupBy("file").agg(F.min("line_no").alias("_header"), F.min_by("line", "line_no").alias("line"))
-    own = F.transform(quoted_fields(F.col("line"), sep), lambda x: cell(x, nulls)).alias("_names")
-    first = small_side(first.select("file", "_header", own))
-    head = first.orderBy("file").select("_names").first()
-    if head is None:
-        raise ValueError("the file has no lines")
-    return first, head["_names"]
+def _counted(lines: DataFrame, comment: str | None) -> DataFrame:
+    """The lines that count: neither blank nor a comment, without the carriage return of their ending."""
+    lines = lines.withColumn("line", without_return(F.col("line")))
+    if comment:
+        lines = lines.where(~F.col("line").startswith(comment))
+    return lines.where(F.trim("line") != "")
 
 
-def _facts(lines: DataFrame, first: DataFrame, head: list[str | None], sep: str, nulls: tuple[str, ...]) -> tuple[bool, list[int]]:
-    """Whether the lines below the first ones are mostly one field wider, and the columns that are all numbers there.
+def _widths(lines: DataFrame, sep: str) -> DataFrame:
+    """(file, split, fields, n, id): the lines of each number of fields in a split, and the least id among them.
 
-    One row of booleans and counts over every line.
+    One scan; all that is kept of it are numbers.
     """
-    width = len(head)
-    fields = quoted_fields(F.col("line"), sep)
-    wanted = F.array(*[F.lit(n).cast("string") for n in head])
-    alike = first.where(F.sort_array("_names") != F.sort_array(wanted)).isEmpty()
-    if alike and len(set(head)) == width and None not in head:
-        fields = _by_name(first, head, fields, width)
-    below = lines.join(first, "file").where(F.col("line_no") > F.col("_header")).select(fields.alias("_f"))
-    numbers = [F.bool_and(F.when(F.size("_f") == width, cell(F.get("_f", F.lit(i)), nulls).rlike(_NUMBER))) for i in range(width)]
-    same, wide, *numeric = below.agg(F.count_if(F.size("_f") == width), F.count_if(F.size("_f") == width + 1), *numbers).first()
-    return wide > same, [i for i, yes in enumerate(numeric) if yes]
+    sized = lines.select("file", "at.split", "at.id", F.size(quoted_fields(F.col("line"), sep)).alias("fields"))
+    return settle(sized.groupBy("file", "split", "fields").agg(F.count("*").alias("n"), F.min("id").alias("id")))
+
+
+def _first_lines(lines: DataFrame, widths: DataFrame, sep: str, nulls: tuple[str, ...]) -> tuple[DataFrame, Row]:
+    """(file, _at, line, _names): place, text and cells of the first line that counts in each file; and the first file's."""
+    places = widths.groupBy("file").agg(F.min(F.struct("split", "id")).alias("_at"), F.count("*").alias("_rows"))
+    alone = places.limit(2).collect()
+    if not alone:
+        raise ValueError("the file has no lines")
+    if len(alone) == 1:
+        # found where it stands, without a look at the rest of the file
+        place = alone[0]
+        here = (F.col("at.split") == place["_at"]["split"]) & (F.col("at.id") == place["_at"]["id"])
+        found = lines.where(here).limit(1).select("file", F.col("at").alias("_at"), "line")
+    else:
+        found = lines.withColumn("_at", F.col("at")).join(small_side(places.drop("_rows")), ["file", "_at"]).select("file", "_at", "line")
+    own = F.transform(quoted_fields(F.col("line"), sep), lambda x: cell(x, nulls)).alias("_names")
+    first = small_side(found.select("file", "_at", "line", own))
+    return first, first.orderBy("file").first()
+
+
+def _below(lines: DataFrame, first: DataFrame) -> DataFrame:
+    """The lines but the first ones, with the cells of those (``_names``)."""
+    return lines.join(first.select("file", "_at", "_names"), "file").where("at.split <> _at.split OR at.id <> _at.id").drop("_at")
+
+
+def _one_wider(widths: DataFrame, first: DataFrame, width: int) -> bool:
+    """Whether more lines below the first ones are one field wider than are as wide."""
+    lines = widths.groupBy("fields").agg(F.sum("n").alias("n")).where(F.col("fields").isin(width, width + 1))
+    n = {r["fields"]: r["n"] for r in lines.collect()}
+    own = {r["fields"]: r["n"] for r in first.groupBy(F.size("_names").alias("fields")).agg(F.count("*").alias("n")).where(F.col("fields").isin(width, width + 1)).collect()}
+    return n.get(width + 1, 0) - own.get(width + 1, 0) > n.get(width, 0) - own.get(width, 0)
 
 
 def _is_number(text: str | None) -> bool:
@@ -119,12 +142,16 @@ def _by_name(headers: DataFrame, head: list[str | None], fields: Column, width:
     return F.when(F.size(fields) == width, F.concat(F.slice(fields, 1, lead), placed)).otherwise(fields)
 
 
-@dataclass
 class Delimited:
-    """A separated table: ``table`` and ``bad_rows`` (file, line_no from 1, line)."""
+    """A separated table: ``table`` and ``bad_rows`` (file, line_no from 1, line), which are found when asked for."""
 
-    table: DataFrame
-    bad_rows: DataFrame
+    def __init__(self, table: DataFrame, bad: Callable[[], DataFrame]):
+        self.table = table
+        self._bad = bad
+
+    @cached_property
+    def bad_rows(self) -> DataFrame:
+        return self._bad()
 
 
 def read_delimited(
@@ -139,7 +166,8 @@ def read_delimited(
 ) -> Delimited:
     """Read a separated table with typed columns.
 
-    Types come from one aggregation over every row, so a late value widens its column (whole
+    Two scans come before the read: one counts fields and finds the first lines, one looks at all cells. Types
+    come from that aggregation over every row, so a late value widens its column (whole
     number, number, text) instead of failing; a column with leading zeros such as 007 stays
     text; ``types`` overrides by name or ``*``. Whether there is a header, and whether it is one field
     short, is decided on every row as well. A null token is null only where it is not quoted.
@@ -152,72 +180,89 @@ def read_delimited(
     if on_bad_row not in ("stop", "skip", "null") or header not in ("auto", "on", "off"):
         raise ValueError("on_bad_row is stop, skip or null; header is auto, on or off")
     sep = separator(sep)
-    lines = text_lines(spark, path).withColumn("line", without_return(F.col("line")))
-    if comment:
-        lines = lines.where(~F.col("line").startswith(comment))
-    lines = lines.where(F.trim("line") != "")
-    first, head = _first_lines(lines, sep, nulls)
-    short, numeric = (False, []) if header == "off" else _facts(lines, first, head, sep, nulls)
-    shape = _shape(head, short, numeric, header)
-    names, width = shape.names, len(shape.names)
-    fields = quoted_fields(F.col("line"), sep)
-    if shape.has_header:
-        fields = _by_name(first, head, fields, width)
-        lines = lines.join(first, "file").where(F.col("line_no") > F.col("_header")).drop("_header")
-    split = lines.withColumn("_f", fields)
+    lines = _counted(ordered_lines(spark, path), comment)
+    widths = _widths(lines, sep)
+    first, whole = _first_lines(lines, widths, sep, nulls)
+    head = whole["_names"]
+    short = header != "off" and _one_wider(widths, first, len(head))
+    width = len(head) + short
+    raw = quoted_fields(F.col("line"), sep)
+    last = F.element_at(raw, -1)
     # a quote that opens a cell and is not closed in its line: a line break inside a cell
-    last = F.element_at("_f", -1)
     torn = last.startswith('"') & ((F.length(last) - F.length(F.replace(last, F.lit('"'), F.lit("")))) % 2 == 1)
-    wrong = (F.size("_f") != width) | torn
-    bad = split.where(wrong).select("file", (F.col("line_no") + 1).alias("line_no"), "line")
-    if on_bad_row == "skip":
-        split = split.where(~wrong)
-    problem = F.lit(None)
-    if on_bad_row == "stop":
-        found = F.size("_f").alias("found")
-        problem = F.when(wrong, F.struct("file", (F.col("line_no") + 1).alias("line_no"), found, "line"))
-
-    values = split.select(
-        F.struct("file", "line_no").alias("_pos"),
-        problem.alias("_problem"),
-        *[cell(F.get("_f", F.lit(i)), nulls).alias(f"c{i}") for i in range(width)],
-    )
-    given = _given_types(types, names)
-    first = [F.min("_problem").alias("problem")] if on_bad_row == "stop" else []
-    kinds, facts = _inferred(values, [i for i, n in enumerate(names) if n not in given], first)
-    if first and facts["problem"] is not None:
-        p = facts["problem"]
+    wrong = (F.size(raw) != width) | torn
+    wanted = F.array(*[F.lit(n).cast("string") for n in head])
+    alike = header != "off" and first.where(F.sort_array("_names") != F.sort_array(wanted)).isEmpty()
+    by_name = header == "on" or (alike and len(set(head)) == len(head) and None not in head)
+
+    def cells(rows: DataFrame, fields: Column) -> DataFrame:
+        kept = rows.where(~wrong) if on_bad_row == "skip" else rows
+        split = kept.withColumn("_f", fields)
+        return split.select(wrong.alias("_wrong"), F.size("_f").alias("_size"), *[cell(F.get("_f", F.lit(i)), nulls).alias(f"c{i}") for i in range(width)])
+
+    def look(rows: DataFrame, fields: Column) -> Row:
+        """What the columns hold, and how many rows are wrong, in one pass."""
+        values = cells(rows, fields)
+        numbers = [F.bool_and(F.when(F.col("_size") == len(head), F.col(f"c{i}").rlike(_NUMBER))).alias(f"number{i}") for i in range(len(head))]
+        return values.agg(F.count_if("_wrong").alias("wrong"), *numbers, *_tests(range(width))).first()
+
+    aligned = _by_name(first, head, raw, width) if by_name else raw
+    data = lines if header == "off" else _below(lines, first)
+    facts = look(data, aligned)
+    shape = _shape(head, short, [i for i in range(len(head)) if facts[f"number{i}"]] if header != "off" else [], header)
+    names, seen = shape.names, [facts]
+    if shape.has_header and not by_name:
+        aligned = _by_name(first, head, raw, width)
+    if not shape.has_header and header != "off":
+        # the first lines are data; where files were put in order by them, that was no order
+        data, seen = lines, [facts, look(first, raw)] if not by_name else [look(lines, raw)]
+        aligned = raw
+    bad = lambda: _bad_rows(spark, path, comment, wrong, shape.has_header)
+    if on_bad_row == "stop" and any(row["wrong"] for row in seen):
+        p = bad().withColumn("found", F.size(raw)).orderBy("file", "line_no").first()
         raise ValueError(f"{p['file']}: line {p['line_no']}: expected {width} fields, got {p['found']}: {p['line']}")
-    out: list[Column] = []
-    for i, name in enumerate(names):
-        out.append(typed(F.col(f"c{i}"), given.get(name) or kinds[i]).alias(name))
-    return Delimited(values.select(*out), bad)
+    given = _given_types(types, names)
+    kinds = _kinds(seen, [i for i, n in enumerate(names) if n not in given])
+    out = [typed(F.col(f"c{i}"), given.get(name) or kinds[i]).alias(name) for i, name in enumerate(names)]
+    return Delimited(cells(data, aligned).select(*out), bad)
 
 
-def _inferred(values: DataFrame, places: list[int], more: list[Column] = ()) -> tuple[dict[int, str], Row | None]:
-    """long, double or string per column, from every value: one pass, one row of booleans.
+def _bad_rows(spark: SparkSession, path: str, comment: str | None, wrong: Column, has_header: bool) -> DataFrame:
+    lines = _counted(text_lines(spark, path), comment)
+    if has_header:
+        headers = small_side(lines.groupBy("file").agg(F.min("line_no").alias("_header")))
+        lines = lines.join(headers, "file").where(F.col("line_no") > F.col("_header"))
+    return lines.where(wrong).select("file", (F.col("line_no") + 1).alias("line_no"), "line")
 
-    ``more`` are further aggregates of the same pass, returned as the second result.
-    """
-    tests = list(more)
+
+def _tests(places) -> list[Column]:
+    """Booleans over the column ``c<i>`` of each place that decide its type."""
+    tests = []
     for i in places:
         c = F.col(f"c{i}")
-        zeros = c.rlike(r"^[+-]?0\d+$")
         tests += [
             F.bool_and(c.rlike(_INT) & c.try_cast("long").isNotNull()).alias(f"int{i}"),
             F.bool_and(c.rlike(_FLOAT)).alias(f"float{i}"),
-            F.bool_or(zeros).alias(f"zeros{i}"),
+            F.bool_or(c.rlike(r"^[+-]?0\d+$")).alias(f"zeros{i}"),
         ]
-    if not tests:
-        return {}, None
-    row = values.agg(*tests).first()
+    return tests
+
+
+def _kinds(rows: list[Row], places) -> dict[int, str]:
+    """long, double or string per column, from the booleans of parts of its values; null where a part has none."""
     kinds = {}
     for i in places:
-        if row[f"int{i}"] is None or row[f"zeros{i}"]:
+        whole, real = ([row[f"{test}{i}"] for row in rows if row[f"{test}{i}"] is not None] for test in ("int", "float"))
+        if not whole or any(row[f"zeros{i}"] for row in rows):
             kinds[i] = "string"
         else:
-            kinds[i] = "long" if row[f"int{i}"] else "double" if row[f"float{i}"] else "string"
-    return kinds, row
+            kinds[i] = "long" if all(whole) else "double" if all(real) else "string"
+    return kinds
+
+
+def _inferred(values: DataFrame, places: list[int]) -> dict[int, str]:
+    """The types of columns from every value: one pass, one row of booleans."""
+    return _kinds([values.agg(*_tests(places)).first()], places) if places else {}
 
 
 def write_bad_rows(bad: DataFrame, path: str) -> None:
@@ -305,5 +350,5 @@ def read_headed_layout(spark: SparkSession, path: str, layout: str) -> DataFrame
     values = fields.select(*[cell(F.get("_f", F.lit(i))).alias(f"c{i}") for i in range(len(names))])
     text = ("chrom", "chr1", "chr2", "chromosome", "readid", "name", "id")
     free = [i for i, n in enumerate(names) if n.lower() not in text]
-    kinds, _ = _inferred(values, free)
+    kinds = _inferred(values, free)
     return values.select(*[typed(F.col(f"c{i}"), kinds.get(i, "string")).alias(n) for i, n in enumerate(names)])
