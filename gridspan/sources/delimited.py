@@ -309,17 +309,29 @@ def read_named(spark: SparkSession, path: str, layout: str, on_bad_row: str = "s
         else:
             least = len(schema)
     wrong = F.size("_f") < least
-    if on_bad_row == "skip":
-        split = split.where(~wrong)
-    elif on_bad_row == "stop":
-        message = F.concat(F.lit(f"expected {least} fields, got "), F.size("_f").cast("string"), F.lit(": "), F.col("line"))
-        split = split.where(F.when(~wrong, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+    split = _kept_rows(split, wrong, on_bad_row, F.lit(str(least)))
     return split.select(*[typed(F.get("_f", F.lit(i)), f.dataType.simpleString()).alias(f.name) for i, f in enumerate(columns)])
 
 
-def read_headed_layout(spark: SparkSession, path: str, layout: str) -> DataFrame:
+def _kept_rows(split: DataFrame, wrong: Column, on_bad_row: str, wanted: Column | str) -> DataFrame:
+    """Rows (line, _f) under a policy: a wrong one is an error when it is read, left out, or taken as it is."""
+    if on_bad_row == "skip":
+        return split.where(~wrong)
+    if on_bad_row == "null":
+        return split
+    message = F.concat(F.lit("expected "), wanted, F.lit(" fields, got "), F.size("_f").cast("string"), F.lit(": "), F.col("line"))
+    return split.where(F.when(~wrong, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+
+
+def read_headed_layout(spark: SparkSession, path: str, layout: str, on_bad_row: str = "stop") -> DataFrame:
     """Layouts with their own header rule: pvar / psam (``#`` names after ``##`` lines), pairs
-    (``#columns:``), gct (two dimension lines before the names), maf (``#`` comments)."""
+    (``#columns:``), gct (two dimension lines before the names), maf (``#`` comments).
+
+    A line with another number of fields than the header stops the read, is skipped, or is padded with nulls and
+    cut (``on_bad_row`` = stop / skip / null).
+    """
+    if on_bad_row not in ("stop", "skip", "null"):
+        raise ValueError("on_bad_row is stop, skip or null")
     lines = text_lines(spark, path).withColumn("line", without_return(F.col("line")))
 
     def first(test: Column) -> str | None:
@@ -331,7 +343,7 @@ def read_headed_layout(spark: SparkSession, path: str, layout: str) -> DataFrame
     if layout in ("pvar", "psam"):
         head = first(comment & ~text.startswith("##"))
         if head is None:
-            return read_named(spark, path, "bim" if layout == "pvar" else "fam")
+            return read_named(spark, path, "bim" if layout == "pvar" else "fam", on_bad_row)
         names, body = head.lstrip("#").split("\t"), ~comment
     elif layout == "pairs":
         head = first(text.startswith("#columns:")) or "#columns: readID chr1 pos1 chr2 pos2 strand1 strand2"
@@ -347,6 +359,8 @@ def read_headed_layout(spark: SparkSession, path: str, layout: str) -> DataFrame
     if head is None:
         raise ValueError(f"no header line in a {layout} file")
     fields = lines.where(body & (F.col("line") != "")).withColumn("_f", F.split("line", r"\t"))
+    # of lines below the header only, wherever the filter is put
+    fields = _kept_rows(fields, body & (F.size("_f") != len(names)), on_bad_row, F.lit(str(len(names))))
     values = fields.select(*[cell(F.get("_f", F.lit(i))).alias(f"c{i}") for i in range(len(names))])
     text = ("chrom", "chr1", "chr2", "chromosome", "readid", "name", "id")
     free = [i for i, n in enumerate(names) if n.lower() not in text]

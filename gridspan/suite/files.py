@@ -633,6 +633,87 @@ def pairs(spark, sf):
     return delimited.read_headed_layout(spark, path, "pairs")
 
 
+def _headed(df, first, head: str, cells):
+    """Lines with a header before the first one."""
+    return df.select(F.when(first, F.concat(F.lit(head), cells)).otherwise(cells))
+
+
+@query(
+    "S23_gct",
+    "SELECT n_name AS \"Name\", 'region ' || n_regionkey AS \"Description\", n_nationkey * 1.5::DOUBLE AS \"S1\", CASE WHEN n_nationkey % 5 > 0 THEN n_regionkey::BIGINT END AS \"S2\" FROM nation",
+)
+def gct(spark, sf):
+    key = F.col("n_nationkey")
+    last = F.when(key % 5 > 0, F.col("n_regionkey").cast("string")).otherwise("NA")
+    cells = line(F.col("n_name"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")), key * 1.5, last)
+    path = written_text(_headed(table(spark, sf, "nation"), key == 0, "#1.2\n25\t2\nName\tDescription\tS1\tS2\n", cells), "gct")
+    return delimited.read_headed_layout(spark, path, "gct")
+
+
+@query(
+    "S23_mutation_maf",
+    "SELECT 'G' || o_custkey AS \"Hugo_Symbol\", o_orderstatus AS \"Chromosome\", o_orderkey AS \"Start_Position\", o_totalprice AS \"Score\" FROM orders WHERE o_orderkey % 11 <> 5",
+)
+def mutation_maf(spark, sf):
+    """Lines of another width than the header's are left out."""
+    key = F.col("o_orderkey")
+    cells = line(F.concat(F.lit("G"), F.col("o_custkey").cast("string")), F.col("o_orderstatus"), key, F.col("o_totalprice"))
+    cells = F.when(key % 11 == 5, F.concat(cells, F.lit("\textra"))).otherwise(cells)
+    path = written_text(_headed(table(spark, sf, "orders"), key == 0, "#version 2.4\nHugo_Symbol\tChromosome\tStart_Position\tScore\n", cells), "maf")
+    return delimited.read_headed_layout(spark, path, "maf", on_bad_row="skip")
+
+
+@query(
+    "S24_psam",
+    "SELECT c_nationkey::BIGINT AS \"FID\", 'I' || c_custkey AS \"IID\", c_custkey % 2 + 1 AS \"SEX\", CASE WHEN c_custkey % 3 > 0 THEN c_acctbal END AS \"PHENO1\" FROM customer",
+)
+def psam(spark, sf):
+    key = F.col("c_custkey")
+    last = F.when(key % 3 > 0, F.col("c_acctbal").cast("string")).otherwise("NA")
+    cells = line(F.col("c_nationkey"), F.concat(F.lit("I"), key.cast("string")), key % 2 + 1, last)
+    path = written_text(_headed(table(spark, sf, "customer"), key == 0, "##note\n#FID\tIID\tSEX\tPHENO1\n", cells), "psam")
+    return delimited.read_headed_layout(spark, path, "psam")
+
+
+_PEAK_SQL = (
+    "SELECT l_returnflag AS \"Chr\", l_orderkey AS \"[Beg\", l_orderkey + l_linenumber AS \"End)\", 'p' || l_partkey AS \"Name\", l_quantity AS \"Score\", '.' AS \"Str\", "
+)
+
+
+def _peak_cells():
+    return [F.col("l_returnflag"), F.col("l_orderkey"), F.col("l_orderkey") + F.col("l_linenumber"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.col("l_quantity"), F.lit(".")]
+
+
+@query("S15_narrow_peaks", _PEAK_SQL + "l_tax AS \"signalValue\", l_discount AS \"pValue\", CASE WHEN l_linenumber > 2 THEN l_extendedprice END AS \"qValue\", l_suppkey AS peak FROM lineitem")
+def narrow_peaks(spark, sf):
+    q = F.when(F.col("l_linenumber") > 2, F.col("l_extendedprice").cast("string")).otherwise(".")
+    cells = line(*_peak_cells(), F.col("l_tax"), F.col("l_discount"), q, F.col("l_suppkey"))
+    return genomic.read_bed(spark, written_text(table(spark, sf, "lineitem").select(cells), "narrowPeak"), "narrowPeak")
+
+
+@query("S15_broad_peaks", _PEAK_SQL + "l_tax AS \"signalValue\", l_discount AS \"pValue\", l_extendedprice AS \"qValue\" FROM lineitem")
+def broad_peaks(spark, sf):
+    cells = line(*_peak_cells(), F.col("l_tax"), F.col("l_discount"), F.col("l_extendedprice"))
+    return genomic.read_bed(spark, written_text(table(spark, sf, "lineitem").select(cells), "broadPeak"), "broadPeak")
+
+
+@query(
+    "S15_gapped_peaks",
+    _PEAK_SQL + "l_orderkey AS \"ThBeg\", l_orderkey + 1 AS \"ThEnd\", '0,0,0' AS \"RGB\", 2 AS \"NBlk\", '1,1' AS \"BlkSz\", '0,' || l_linenumber AS \"BlkSt\", "
+    "l_tax AS \"signalValue\", l_discount AS \"pValue\", l_extendedprice AS \"qValue\" FROM lineitem",
+)
+def gapped_peaks(spark, sf):
+    blocks = [F.col("l_orderkey"), F.col("l_orderkey") + 1, F.lit("0,0,0"), F.lit(2), F.lit("1,1"), F.concat(F.lit("0,"), F.col("l_linenumber").cast("string"))]
+    cells = line(*_peak_cells(), *blocks, F.col("l_tax"), F.col("l_discount"), F.col("l_extendedprice"))
+    return genomic.read_bed(spark, written_text(table(spark, sf, "lineitem").select(cells), "gappedPeak"), "gappedPeak")
+
+
+@query("S15_bed_graph", "SELECT l_returnflag AS \"Chr\", l_orderkey AS \"[Beg\", l_orderkey + l_linenumber AS \"End)\", l_discount AS value FROM lineitem")
+def bed_graph(spark, sf):
+    cells = line(F.col("l_returnflag"), F.col("l_orderkey"), F.col("l_orderkey") + F.col("l_linenumber"), F.col("l_discount"))
+    return genomic.read_bed(spark, written_text(table(spark, sf, "lineitem").select(cells), "bedGraph"), "bedGraph")
+
+
 @query(
     "S24_bim",
     "SELECT l_returnflag AS \"CHROM\", 'rs' || l_partkey AS \"ID\", l_discount AS \"CM\", l_orderkey AS \"POS\", l_linestatus AS \"ALT\", 'G' AS \"REF\" FROM lineitem",

@@ -160,6 +160,25 @@ def spans(spark, sf):
     return with_span(df, "vcf").select("o_orderkey", "_start", "_end")
 
 
+@query(
+    "R_8_spans_of_other_layouts",
+    "SELECT 'bed' AS layout, l_orderkey, l_linenumber, l_returnflag AS _chrom, l_orderkey AS _start, CASE WHEN l_linenumber = 1 THEN l_orderkey + 1 ELSE l_orderkey + l_linenumber - 1 END AS _end FROM lineitem "
+    "UNION ALL SELECT 'gff', l_orderkey, l_linenumber, l_returnflag, l_orderkey - 1, l_orderkey + l_linenumber - 1 FROM lineitem "
+    "UNION ALL SELECT 'paf', l_orderkey, l_linenumber, l_returnflag, l_orderkey, l_orderkey + l_linenumber - 1 FROM lineitem "
+    "UNION ALL SELECT 'mpileup', l_orderkey, l_linenumber, l_returnflag, l_orderkey - 1, l_orderkey FROM lineitem",
+)
+def other_spans(spark, sf):
+    names = {"bed": ("Chr", "[Beg", "End)"), "gff": ("seqname", "start", "end"), "paf": ("tname", "tstart", "tend"), "mpileup": ("chrom", "pos", "depth")}
+    at, stop = F.col("l_orderkey"), F.col("l_orderkey") + F.col("l_linenumber") - 1
+    found = None
+    for layout, columns in names.items():
+        cells = [c.alias(n) for c, n in zip((F.col("l_returnflag"), at, stop), columns)]
+        df = with_span(table(spark, sf, "lineitem").select(*cells, "l_orderkey", "l_linenumber"), layout)
+        df = df.select(F.lit(layout).alias("layout"), "l_orderkey", "l_linenumber", "_chrom", "_start", "_end")
+        found = df if found is None else found.unionByName(df)
+    return found
+
+
 _CIGAR_SQL = "(CAST(l_quantity AS BIGINT) || 'M' || l_linenumber || 'I2D5S')"
 
 

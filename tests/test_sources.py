@@ -370,3 +370,11 @@ def test_rows_that_move_between_passes_are_settled(spark, tmp_path, monkeypatch)
     files.write_one_json_array(spark.range(20), str(tmp_path / "moved"))
     assert calls == ["error", "overwrite"]
     assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "moved").glob("part-*")))) == [{"id": i} for i in range(20)]
+
+
+@pytest.mark.parametrize("policy,want", [("skip", [(1, "x")]), ("null", [(1, "x"), (2, None), (3, "y")])])
+def test_headed_layouts_follow_a_policy(spark, lines, policy, want):
+    path = lines("a.maf", "#v\nn\tName\n1\tx\n2\n3\ty\tz\n")
+    assert sorted(rows(delimited.read_headed_layout(spark, path, "maf", on_bad_row=policy)), key=str) == want
+    with pytest.raises(Exception, match="expected 2 fields, got"):
+        delimited.read_headed_layout(spark, path, "maf").collect()
