@@ -18,7 +18,7 @@ from decimal import Decimal
 from fractions import Fraction
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,19 +39,34 @@ class Keys:
 
     level: Callable[[int], Column]
     value: Callable[[list[int]], object]
+    made: dict[int, Column] = field(default_factory=dict, compare=False)
+
+    def column(self, i: int) -> Column:
+        """The i-th long, made once."""
+        if i not in self.made:
+            self.made[i] = self.level(i)
+        return self.made[i]
+
+
+def _long(x: int) -> str:
+    return f"bigint('{x}')"
 
 
 def _double_bits(x: Column) -> Column:
     """The IEEE bits of a double as a long that sorts like it, by exact arithmetic."""
     size = F.abs(x)
-    guess = F.floor(F.log2(size))
-    # the logarithm may miss by one beside a power of two
-    exponent = guess + F.when(size < F.pow(F.lit(2.0), guess), -1).when(size >= F.pow(F.lit(2.0), guess + 1), 1).otherwise(0)
-    power = F.greatest(exponent, F.lit(-1022)).cast("long")
-    fraction = size / F.pow(F.lit(2.0), power) * F.lit(2.0**52)
+    exponent = F.least(F.greatest(F.floor(F.log2(size)), F.lit(-1022)), F.lit(1023))
+    fraction = size / F.pow(F.lit(2.0), exponent)
     # normal numbers hold the leading one of their fraction, which adds 1 to the exponent's field
-    bits = (power + 1022) * F.lit(1 << 52) + fraction.cast("long")
-    bits = F.when(size == float("inf"), F.lit(2047 << 52)).when(size == 0, F.lit(0)).otherwise(bits)
+    joined = lambda up, scale: (exponent + (1022 + up)) * F.lit(1 << 52) + (fraction * F.lit(scale)).cast("long")
+    # the logarithm may miss by one beside a power of two
+    bits = (
+        F.when(size == float("inf"), F.lit(2047 << 52))
+        .when(size == 0, F.lit(0))
+        .when(fraction >= 2, joined(1, 2.0**51))
+        .when((fraction < 1) & (exponent > -1022), joined(-1, 2.0**53))
+        .otherwise(joined(0, 2.0**52))
+    )
     return F.when(x < 0, -bits).otherwise(bits)
 
 
@@ -120,44 +135,51 @@ class _Place:
         return ((self.low ^ self.high) & ((1 << 64) - 1)).bit_length()
 
 
+def _ends(df: DataFrame, keys: dict[str, Keys], places: list[_Place]) -> list[_Place]:
+    """The places in the brackets of their whole columns: one scan with plain aggregates."""
+    columns = list(dict.fromkeys(p.column for p in places))
+    parts = [f(keys[c].column(0)).alias(f"{name}{i}") for i, c in enumerate(columns) for name, f in (("n", F.count), ("low", F.min), ("high", F.max))]
+    row = df.agg(*parts).first()
+    at = {c: i for i, c in enumerate(columns)}
+    ends = {c: {"inside": row[f"n{i}"], "low": row[f"low{i}"], "high": row[f"high{i}"]} for c, i in at.items()}
+    return [replace(p, **ends[p.column]) for p in places if p.rank < ends[p.column]["inside"]]
+
+
 def _turn(df: DataFrame, keys: dict[str, Keys], places: list[_Place], small: int) -> list[_Place]:
-    """All places one step further: one scan for all columns and ranks."""
+    """All places one step further: one job for all columns and ranks, which reads each column once."""
     brackets = list(dict.fromkeys(p.bracket for p in places))
     number = {b: i for i, b in enumerate(brackets)}
     first = {p.bracket: p for p in reversed(places)}
-    depth: dict[str, int] = {}
-    for column, path, *_ in brackets:
-        depth[column] = max(depth.get(column, 0), len(path))
-    names = {(c, i): f"k{n}_{i}" for n, c in enumerate(depth) for i in range(depth[c] + 1)}
-    base = df.select(*[keys[c].level(i).alias(name) for (c, i), name in names.items()])
-
-    cells = []
-    for column in depth:
-        slot, bucket, value = F.lit(None).cast("int"), F.lit(None).cast("long"), F.lit(None).cast("long")
-        for b in (b for b in brackets if b[0] == column):
+    parts = []
+    for column in dict.fromkeys(b[0] for b in brackets):
+        # a column by itself: its branch of the job reads nothing else, and its code is short enough to be compiled
+        mine = [b for b in brackets if b[0] == column]
+        made = [keys[column].column(i).alias(f"k{i}") for i in range(max(len(b[1]) for b in mine) + 1)]
+        # a generator of one row: what is asked of a long below does not make it again
+        base = df.select(F.inline(F.array(F.struct(*made))))
+        cases = []
+        for b in mine:
             _, path, low, high, inside = b
-            key = F.col(names[(column, len(path))])
-            tests = [F.col(names[(column, i)]) == k for i, k in enumerate(path)]
-            tests.append(key.isNotNull() if inside < 0 else key.between(low, high))
-            here = reduce(lambda x, y: x & y, tests)
-            bits = first[b].bits()
+            key, bits = f"k{len(path)}", first[b].bits()
+            tests = [f"k{i} = {_long(k)}" for i, k in enumerate(path)]
+            tests.append(f"{key} IS NOT NULL" if inside < 0 else f"{key} BETWEEN {_long(low)} AND {_long(high)}")
             if inside < 0:
-                part = F.lit(0).cast("long")
+                bucket = "0L"
             elif inside <= small or bits <= _BITS:
-                part = key
+                bucket = key
             else:
-                part = F.shiftrightunsigned(key, bits - _BITS).bitwiseAND(F.lit((1 << _BITS) - 1))
+                bucket = f"shiftrightunsigned({key}, {bits - _BITS}) & {(1 << _BITS) - 1}L"
                 if bits == 64:
-                    part = part.bitwiseXOR(F.lit(1 << (_BITS - 1)))
-            slot, bucket, value = F.when(here, number[b]).otherwise(slot), F.when(here, part).otherwise(bucket), F.when(here, key).otherwise(value)
-        cells.append(F.struct(slot.alias("slot"), bucket.alias("bucket"), value.alias("value")))
-    counted = base.select(F.inline(F.array(*cells))).where("slot IS NOT NULL")
+                    bucket = f"({bucket}) ^ {1 << (_BITS - 1)}L"
+            cases.append((" AND ".join(tests), number[b], bucket, key))
+        pick = lambda i: "CASE " + " ".join(f"WHEN {c[0]} THEN {c[i]}" for c in cases) + " END"
+        parts.append(base.selectExpr(f"{pick(1)} AS slot", f"{pick(2)} AS bucket", f"{pick(3)} AS value").where("slot IS NOT NULL"))
+    counted = reduce(DataFrame.unionAll, parts)
     counted = counted.groupBy("slot", "bucket").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
     # at most 2**_BITS or ``small`` rows of a bracket
-    through = F.sum("n").over(Window.partitionBy("slot").orderBy("bucket"))
-    counted = counted.withColumn("through", through)
-    hits = [(F.col("slot") == number[p.bracket]) & (F.col("through") > p.rank) & (F.col("through") - F.col("n") <= p.rank) for p in places]
-    found = counted.where(reduce(lambda x, y: x | y, hits)).collect()
+    counted = counted.selectExpr("*", "sum(n) OVER (PARTITION BY slot ORDER BY bucket) AS through")
+    hits = sorted({f"(slot = {number[p.bracket]} AND through > {p.rank}L AND through - n <= {p.rank}L)" for p in places})
+    found = counted.where(" OR ".join(hits)).collect()
     out = []
     for p in places:
         for row in found:
@@ -169,11 +191,13 @@ def _turn(df: DataFrame, keys: dict[str, Keys], places: list[_Place], small: int
 
 def select_ranks(df: DataFrame, keys: dict[str, Keys], ranks: dict[str, list[int]], small: int = SMALL) -> dict:
     """``{(column, rank): (value, longs, values below)}``; ranks past a column's values are left out."""
-    places = [_Place(c, r, r) for c, asked in ranks.items() for r in sorted(set(asked))]
+    places = _ends(df, keys, [_Place(c, r, r) for c, asked in ranks.items() for r in sorted(set(asked))])
     found: dict = {}
+    first = True
     while places:
         going = []
-        for p in _turn(df, keys, places, small):
+        # a column of one value needs no turn
+        for p in places if first else _turn(df, keys, places, small):
             while p is not None and p.low == p.high:
                 path = (*p.path, p.low)
                 value = keys[p.column].value(list(path))
@@ -184,7 +208,7 @@ def select_ranks(df: DataFrame, keys: dict[str, Keys], ranks: dict[str, list[int
                     p = replace(p, path=path, low=_SIGN, high=-_SIGN - 1, inside=-1)
             if p is not None:
                 going.append(p)
-        places = going
+        places, first = going, False
     return found
 
 
