@@ -26,22 +26,30 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score at least the threshold, with all columns; null ids and repeated rows are scored like others.
+
+    A null or empty text, or one of blank lines, gets the share of good documents in the sample.
+    """
     return line_quality.keep_good(docs, line_quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text; null and empty texts are one. The longest original stays, then the smallest id, null last."""
     return exact_dedup.drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near-duplicates, the smallest id, null last; texts without words are classes alone."""
     return bag_minhash.one_of_each(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that a smaller id has; null texts stay null, and a null id is later than every other."""
     return substring_dedup.without_repeats(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences; a null or empty text is the end id alone, repeated rows are packed as often as they occur."""
     return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 

@@ -100,7 +100,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, cla
     ``padded_length`` is the capacity or the sequence's own length, a power of two.
 
     A null or empty text is the end id alone; a null id stays null; repeated rows are packed as often
-    as they occur; an empty table gives no rows; extra columns are not read.
+    as they occur; a very long text fills sequences alone; an empty table gives no rows; extra columns are not read.
     """
     path = path or default_path()
 

@@ -29,6 +29,9 @@ def write_flat(docs: DataFrame, out: str, order_out: str, path: str | None = Non
     the last, cut without regard to documents and without an index. ``order_out`` gets (file, doc_no,
     doc_id), so that what is counted can be told by document. A stream is one input split; nothing is
     shuffled. The separator is 0xFFFF, which the vocabulary doesn't reach.
+
+    A null or empty text is the separator alone; null ids and repeated rows are written like others; a very long
+    text is many blocks; an empty table makes streams without blocks; extra columns are not read.
     """
     path = path or default_path()
 

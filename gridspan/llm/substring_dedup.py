@@ -86,8 +86,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHU
     them; each span takes the white space after it along, and a text that loses nothing stays as it is.
 
     A null text counts as empty and stays null; a null id is later than every other; rows with one id
-    (repeated rows) do not remove each other's words; texts of under ``window`` words lose nothing; an
-    empty table gives no rows.
+    (repeated rows) do not remove each other's words; texts of under ``window`` words lose nothing; a very
+    long text is a chunk alone; an empty table gives no rows; extra columns travel in ``row``.
     """
     fields = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id")]
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]

@@ -623,3 +623,22 @@ def test_copies_from_many_tasks_are_put_together_first(spark, monkeypatch):
     sizes = collections.Counter((r["keep_id"], r["group_size"]) for r in got if r["kept"])
     assert sizes[(1, 62)] == 1 and sizes[(0, 2)] == 1 and len(sizes) == 31 and len(got) == 93
     assert exact_dedup.drop_copies(df).count() == 31
+
+
+# --- empty tables and clashing columns
+
+
+def test_empty_tables_give_no_rows(spark, none):
+    assert packing.pack(none).count() == 0
+    assert byte_bpe.encode(none).count() == 0
+    out, order = scratch_path(spark, "flat"), scratch_path(spark, "order")
+    separator_scan.write_flat(none, out, order)
+    assert separator_scan.count_tokens(separator_scan.flat_blocks(spark, out)).count() == 0
+    assert spark.read.parquet(order).count() == 0
+
+
+def test_neighbours_with_clashing_columns(spark):
+    rows = [(i, [float(i), 1.0, 0.5], "q", 7, 1, 0.5, 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id string, rank int, rep long, score double, curve int")
+    got = hilbert_search.search(df, df.where("vec_id = 3"), k=4)
+    assert [(r["rank"], r["vec_id"]) for r in got.orderBy("rank").collect()] == [(1, 29), (2, 28), (3, 27), (4, 26)]
