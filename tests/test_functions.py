@@ -1,4 +1,5 @@
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,3 +152,41 @@ def test_declared_fields():
 def test_variant_text(spark):
     df = spark.range(1).select(F.parse_json(F.lit('{"a":[1]}')).alias("v"))
     assert df.select(cell_text(F.col("v"), df.schema["v"].dataType)).first()[0] == '{"a":[1]}'
+
+
+def test_whole_numbers_overflow_without_an_exception(spark):
+    """Exact at the bounds of 64 bits, and rows far beyond are told before anything is thrown."""
+    low, high = -(1 << 63), (1 << 63) - 1
+    edge = [low, low + 1, -(1 << 32), -3, -1, 0, 1, 2, 3, 1 << 31, (1 << 32) + 1, 3037000499, 3037000500, high // 3, high - 1, high, None]
+    pairs = [(a, b) for a in edge for b in edge]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    out = compute(df, s=lambda n: n("a") + n("b"), d=lambda n: n("a") - n("b"), m=lambda n: n("a") * n("b"), g=lambda n: -n("a"))
+    fits = lambda x: x if x is not None and low <= x <= high else None
+    for r in out.collect():
+        a, b = r["a"], r["b"]
+        known = a is not None and b is not None
+        want = [fits(f(a, b)) if known else None for f in (int.__add__, int.__sub__, int.__mul__)]
+        assert [r["s"], r["d"], r["m"]] == want and r["g"] == (None if a is None else fits(-a))
+
+    many = spark.range(400_000).select((F.col("id") + 3).alias("a"))
+    timed = lambda frame: min(_seconds(lambda: frame.agg(F.count("x")).collect()) for _ in range(3))
+    plain = timed(many.select(F.try_multiply(F.col("a") % 2, F.lit(1 << 62)).alias("x")))
+    assert timed(compute(many, x=lambda n: n("a") * (1 << 62))) < 0.5 + 3 * plain
+
+
+def _seconds(work):
+    begun = time.monotonic()
+    work()
+    return time.monotonic() - begun
+
+
+def test_a_long_chain_of_whole_numbers_stays_small(spark):
+    def chain(n):
+        total = n("a")
+        for i in range(12):
+            total = total * 3 + n("a") - i
+        return total
+
+    df = spark.createDataFrame([(1,), (1 << 45,)], "a long")
+    want = chain(lambda _: 1)
+    assert [r["x"] for r in compute(df, x=chain).orderBy("a").collect()] == [want, None]
