@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.coords import coordinate_columns, spellings, standard_name
-from ..plans.joins import fits_broadcast, member_join, small_side
+from ..plans.joins import fits_broadcast, lookup_join, member_join, small_side
 from ..plans.scan import prefix_scan
 from ..session import settle
 
@@ -288,6 +288,56 @@ def overlap_join(
     return paired.where(first).select(*names)
 
 
+def overlap_counts(
+    df: DataFrame,
+    windows: DataFrame,
+    name: str = "n_rows",
+    columns: tuple[str, str, str] | None = None,
+    alias: bool = False,
+) -> DataFrame:
+    """Each window with the number of rows it lies over, 0 included; no pair of a row and a window is made.
+
+    That number is the rows that start before the window's end less those that end at its start or before it,
+    two running counts over the coordinates, so a window that is open or as wide as a chromosome costs what a
+    narrow one does. This holds where start <= end in the row and start < end in the window; pairs with others
+    are counted from :func:`overlap_join`.
+    """
+    chrom, start, end = (F.col(f"`{c}`") for c in coordinate_columns(df, columns))
+    rows = df.select(_chrom(chrom, alias).alias("chrom"), start.cast("long").alias("start"), end.cast("long").alias("end")).dropna()
+    wins = windows.withColumns({
+        "_c": _chrom(F.col("chrom"), alias),
+        "_s": F.coalesce(F.col("start").cast("long"), F.lit(OPEN_START)),
+        "_e": F.coalesce(F.col("end").cast("long"), F.lit(OPEN_END)),
+    })
+    point = lambda at, begun, done: F.struct(
+        at.alias("_p"), F.lit(begun).cast("long").alias("_begun"), F.lit(done).cast("long").alias("_done"), F.lit(begun + done == 0).alias("_asked")
+    )
+    ends = rows.where("start <= end").select(F.col("chrom").alias("_c"), F.inline(F.array(point(F.col("start"), 1, 0), point(F.col("end"), 0, 1))))
+    asked = wins.where("_c IS NOT NULL AND _s < _e").select("_c", F.inline(F.array(point(F.col("_s"), 0, 0), point(F.col("_e") - 1, 0, 0))))
+    points = ends.unionByName(asked).groupBy("_c", "_p").agg(
+        F.sum("_begun").alias("_begun"), F.sum("_done").alias("_done"), F.max("_asked").alias("_asked")
+    )
+    scanned = prefix_scan(points, ["_c"], "_p", {"_b": ("sum", F.col("_begun")), "_d": ("sum", F.col("_done"))})
+    # two rows a window at most; the size checks and both joins read it
+    scanned = settle(scanned.where("_asked").select("_c", "_p", "_b", "_d"))
+    found = lookup_join(wins, scanned.select("_c", F.col("_p").alias("_s"), "_d"), ["_c", "_s"])
+    found = lookup_join(found, scanned.select("_c", (F.col("_p") + 1).alias("_e"), "_b"), ["_c", "_e"])
+    usual = F.when(F.col("_s") < F.col("_e"), F.coalesce(F.col("_b") - F.col("_d"), F.lit(0))).otherwise(0)
+    found = found.withColumn(name, usual.cast("long"))
+
+    backward, flat = rows.where("start > end"), wins.where("_s >= _e")
+    for some, others in ((backward, wins.where("_s < _e")), (rows.where("start <= end"), flat)):
+        # two reversed intervals never overlap
+        if some.isEmpty() or others.isEmpty():
+            continue
+        over = others.select(F.col("_c").alias("chrom"), F.col("_s").alias("start"), F.col("_e").alias("end")).distinct()
+        met = overlap_join(some, over, columns=("chrom", "start", "end")).groupBy("window_chrom", "window_start", "window_end").agg(F.count("*").alias("_more"))
+        met = settle(met.select(F.col("window_chrom").alias("_c"), F.col("window_start").alias("_s"), F.col("window_end").alias("_e"), "_more"))
+        found = lookup_join(found, met, ["_c", "_s", "_e"])
+        found = found.withColumn(name, F.col(name) + F.coalesce("_more", F.lit(0))).drop("_more")
+    return found.select(*[F.col(f"`{c}`") for c in windows.columns], name)
+
+
 def submatrix(
     pixels: DataFrame,
     bins: DataFrame,

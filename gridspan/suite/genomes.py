@@ -123,8 +123,8 @@ def mixed_widths(spark, sf):
         F.when(key % 97 != 0, F.col("end") + key % 3 * 700).alias("end"),
         "window_id",
     )
-    met = region.overlap_join(base.intervals(spark, sf).select(*_COORDS), wide)
-    return met.groupBy("window_id").agg(F.count("*").alias("rows_over"))
+    met = region.overlap_counts(base.intervals(spark, sf).select(*_COORDS), wide, "rows_over")
+    return met.where("rows_over > 0").groupBy("window_id").agg(F.sum("rows_over").alias("rows_over"))
 
 
 _ALIAS_SQL = (

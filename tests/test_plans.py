@@ -14,6 +14,7 @@ from gridspan.plans import joins, quantiles
 from gridspan.plans.position import numbered_by, numbered_parquet, text_lines
 from gridspan.plans.scan import prefix_scan
 from tests.conftest import rows
+from tests.oracle import plan
 
 RELAXED = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -302,6 +303,29 @@ def test_open_windows(spark):
     assert region.overlap_join(df, wins, "any").count() == 100
 
 
+@RELAXED
+@given(a=spans, w=spans, seed=st.integers(0, 3))
+def test_overlap_counts_against_brute_force(spark, a, w, seed):
+    """Open windows at either side, and with some seeds reversed rows and windows."""
+    a = [(c, e, s) if seed & 1 and i % 5 == 0 else (c, s, e) for i, (c, s, e) in enumerate(a)]
+    w = [(c, e, s) if seed & 2 and j % 5 == 0 else (c, None if j % 7 == 1 else s, None if j % 4 == 3 else e) for j, (c, s, e) in enumerate(w)]
+    df = spark.createDataFrame(a, "chrom string, start long, end long")
+    wins = spark.createDataFrame([(*r, j) for j, r in enumerate(w)], region.WINDOW_SCHEMA)
+    far = 1 << 56
+    pairs = _pairs(a, [(c, -far if s is None else s, far if e is None else e) for c, s, e in w])
+    want = {j: sum(1 for _, k in pairs if k == j) for j in range(len(w))}
+    assert dict(rows(region.overlap_counts(df, wins).select("window_id", "n_rows"))) == want
+
+
+def test_overlap_counts_make_no_pairs(spark):
+    """3000 open windows over 3000 rows: what is grouped and joined is a few rows each, not their product."""
+    df = spark.range(3000).select(F.lit("c").alias("chrom"), F.col("id").alias("start"), (F.col("id") + 2).alias("end"))
+    wins = spark.range(3000).select(F.lit("c").alias("chrom"), F.col("id").alias("start"), F.lit(None).cast("long").alias("end"), F.col("id").alias("window_id"))
+    got = region.overlap_counts(df, wins)
+    assert dict(rows(got.select("window_id", "n_rows"))) == {i: min(3001 - i, 3000) for i in range(3000)}
+    assert "_cell" not in plan(got)
+
+
 def test_far_coordinates(spark):
     far = (1 << 50) + 5
     df = spark.createDataFrame([("c", far, far + 3), ("c", 0, far * 2), ("c", 4, 4)], "chrom string, start long, end long")
