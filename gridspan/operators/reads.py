@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.joins import lookup_join
+from ..plans.joins import lookup_join, member_join
 from ..plans.spread import spread
 from ..session import settle
 from .filter import SAM_FLAGS
@@ -95,6 +95,10 @@ def decode_pileup(df: DataFrame) -> DataFrame:
     return staged.select(*[F.col(f"`{c}`") for c in df.columns], *out)
 
 
+# Positions of a bin, as a power of two, and pieces of reads in one task.
+_BIN_BITS, _TASK_PIECES = 10, 250_000
+_ABLE = "_which IS NOT NULL AND _name IS NOT NULL"
+
 _UNUSABLE = SAM_FLAGS["UNMAP"] | SAM_FLAGS["SECONDARY"] | SAM_FLAGS["QCFAIL"] | SAM_FLAGS["DUP"]
 
 
@@ -122,6 +126,19 @@ def read_bases(
     aligned with the other's steps, so no position meets its reads for this. Mates are the two reads of a
     name on one chromosome that are flagged as a proper pair, each there once, with bases and scores.
     """
+    steps, paired_up = _read_steps(reads, min_mapq, exclude, require_flags, count_orphans, mates_once)
+    return _bases(steps, min_baseq, paired_up)
+
+
+def _read_steps(
+    reads: DataFrame,
+    min_mapq: int = 0,
+    exclude: int = _UNUSABLE,
+    require_flags: int = 0,
+    count_orphans: bool = False,
+    mates_once: bool = True,
+) -> tuple[DataFrame, bool]:
+    """One row per step of a read that has positions, with just its letters and scores; and whether any read has a mate."""
     require(reads, "QNAME", "FLAG", "RNAME", "POS", "MAPQ", "CIGAR", "SEQ", "QUAL")
     flag = F.col("FLAG").cast("long")
     kept = reads.where(
@@ -142,21 +159,28 @@ def read_bases(
         F.upper("SEQ").alias("_seq"),
         F.when(F.col("QUAL") != "*", F.col("QUAL")).alias("_qual"),
         F.col("MAPQ").cast("int").alias("mapq"),
-        (flag.bitwiseAND(F.lit(SAM_FLAGS["REVERSE"])) != 0).alias("reverse"),
-        F.struct(F.col("POS").cast("long").alias("start"), F.col("QNAME").alias("name"), flag.alias("flag")).alias("read"),
+        flag.alias("_flag"),
+        F.col("QNAME").alias("_name"),
+        F.col("CIGAR").alias("_cigar"),
         _which_mate(kept).alias("_which"),
-        F.regexp_extract_all("CIGAR", F.lit(op), F.lit(1)).cast("array<int>").alias("_n"),
-        F.regexp_extract_all("CIGAR", F.lit(op), F.lit(2)).alias("_k"),
     )
+    paired_up = mates_once and not narrow.where(_ABLE).isEmpty()
+    # reads are met by their mates before they are cut, so that they travel with no more than their lines hold
+    narrow = _with_mates(narrow) if paired_up else spread(narrow).withColumn("_mate", F.lit(None).cast("struct<at: long>"))
+    sizes = lambda text: F.regexp_extract_all(text, F.lit(op), F.lit(1)).cast("array<int>")
+    kinds = lambda text: F.regexp_extract_all(text, F.lit(op), F.lit(2))
+    span = lambda k, n: F.aggregate(_consumed(F.col(k), F.col(n), "MDN=X"), F.lit(0), lambda a, n: a + n)
+    narrow = narrow.withColumns({"_n": sizes("_cigar"), "_k": kinds("_cigar")})
+    if paired_up:
+        narrow = narrow.withColumns({"_mn": sizes("_mate.cigar"), "_mk": kinds("_mate.cigar")})
+        offsets = _offsets(F.col("_mk"), F.col("_mn"))
+        mate = F.struct("_mate.at", "_mate.seq", "_mate.qual", F.arrays_zip(F.col("_mk").alias("k"), F.col("_mn").alias("n"), *offsets).alias("steps"))
+        meet = F.greatest("_at", "_mate.at") < F.least(F.col("_at") + span("_k", "_n"), F.col("_mate.at") + span("_mk", "_mn"))
+        narrow = narrow.withColumn("_mate", F.when(meet, mate))
     arrays = F.arrays_zip("_k", "_n", *_offsets(F.col("_k"), F.col("_n")), *_following(F.col("_k"), F.col("_n")))
-    span = F.aggregate(_consumed(F.col("_k"), F.col("_n"), "MDN=X"), F.lit(0), lambda a, n: a + n)
-    walked = narrow.select("chrom", "_at", "_seq", "_qual", "mapq", "reverse", "read", "_which", span.alias("_span"), arrays.alias("_steps"))
-    walked = _with_mates(walked) if mates_once else walked.withColumn("_mate", F.lit(None).cast("struct<at: long>"))
-    paired_up = "seq" in walked.schema["_mate"].dataType.names
-    placed = spread(walked).select(
-        "chrom", "_at", "_seq", "_qual", "mapq", "reverse", "read", "_mate", "_which", "_span", F.inline("_steps")
+    placed = narrow.select(
+        "chrom", "_at", "_seq", "_qual", "mapq", "_flag", "_name", "_mate", "_which", span("_k", "_n").alias("_span"), F.inline(arrays)
     )
-    # one row per step of a read, with just its letters; then one row per position of the step
     base = F.col("_k").isin(*base_kinds)
     follows = F.col("q") + F.col("_n")
     piece = lambda c, start, n: F.substring(F.col(c), start + 1, n)
@@ -170,9 +194,9 @@ def read_bases(
     steps = placed.where(F.col("_k").isin("M", "D", "N", "=", "X") & (F.col("_n") > 0)).select(
         "chrom",
         (F.col("_at") + F.col("r")).alias("_first"),
-        "reverse",
+        (F.col("_flag").bitwiseAND(F.lit(SAM_FLAGS["REVERSE"])) != 0).alias("reverse"),
         "mapq",
-        "read",
+        F.struct(F.col("_at").alias("start"), F.col("_name").alias("name"), F.col("_flag").alias("flag")).alias("read"),
         (F.col("r") == 0).alias("_opens"),
         (F.col("r") + F.col("_n") == F.col("_span")).alias("_closes"),
         F.when(base, letters(F.col("q"), F.col("_n"))).otherwise(fill(mark, F.col("_n"))).cast("binary").alias("_s"),
@@ -190,6 +214,29 @@ def read_bases(
         ],
         (_leads() if paired_up else F.lit(False)).alias("_leads"),
     )
+    return steps, paired_up
+
+
+def _pieces(steps: DataFrame) -> DataFrame:
+    """Steps cut where a bin of positions ends, with the ``_bin`` of each piece.
+
+    Pieces that are dealt by chromosome and bin meet all others of their positions in one task, whatever the
+    order of the reads in the source.
+    """
+    width = 1 << _BIN_BITS
+    last = F.col("_first") + F.col("_last")
+    binned = steps.select("*", F.explode(F.sequence(F.shiftright("_first", _BIN_BITS), F.shiftright(last, _BIN_BITS))).alias("_bin"))
+    low = F.greatest(F.col("_bin") * width - F.col("_first"), F.lit(0)).cast("int")
+    n = F.least((F.col("_bin") + 1) * width - F.col("_first"), F.col("_last") + F.lit(1)).cast("int") - low
+    ends = low + n > F.col("_last")
+    cut = {c: F.substring(F.col(c), low + 1, n) for c in ("_s", "_c", "_ms", "_mc")}
+    cut |= {"_opens": F.col("_opens") & (low == 0), "_closes": F.col("_closes") & ends, "_ins": F.when(ends, F.col("_ins"))}
+    cut |= {"_del": F.when(ends, F.col("_del")).otherwise(0), "_first": F.col("_first") + low, "_last": n - 1}
+    return binned.select("_bin", *[cut[c].alias(c) if c in cut else F.col(c) for c in steps.columns])
+
+
+def _bases(steps: DataFrame, min_baseq: int, paired_up: bool, *keep: str) -> DataFrame:
+    """One row per position of each step."""
     each = steps.select("*", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("_i"))
     final = F.col("_i") == F.col("_last")
     at = lambda c: F.substring(F.col(c), F.col("_i") + 1, F.lit(1)).cast("string")
@@ -203,6 +250,7 @@ def read_bases(
         met = F.col("_ms").isNotNull() & (at("_ms") != " ")
         score = F.when(met, F.when(at("_ms") == at("_s"), equal).otherwise(unlike)).otherwise(score)
     return each.select(
+        *keep,
         "chrom",
         (F.col("_first") + F.col("_i")).alias("pos"),
         at("_s").alias("symbol"),
@@ -230,28 +278,35 @@ def _which_mate(reads: DataFrame) -> Column:
     return F.when(pair & known, F.when(which == bits("READ1"), 1).when(which == bits("READ2"), 2))
 
 
-def _with_mates(walked: DataFrame) -> DataFrame:
-    """Adds ``_mate``: the other read of a pair whose spans meet.
+def _with_mates(narrow: DataFrame) -> DataFrame:
+    """Adds ``_mate``: the other read of a pair, as its line has it.
 
-    A table with a row per such pair is counted first, with partial sums; only its reads are joined with each
-    other. Names that occur more than twice are in no pair, so a frequent name meets nothing.
+    The first and the second reads are joined by name, each read shuffled once. Names with several reads of a
+    side are in no pair; they are told before by counts of hashed names, those of unlucky hashes by name, so a
+    frequent name meets nothing.
     """
     key = ["chrom", "_name"]
-    named = walked.withColumn("_name", F.col("read.name"))
-    able = named.where("_which IS NOT NULL")
-    pairs = able.groupBy(*key).agg(
-        F.count(F.when(F.col("_which") == 1, 1)).alias("a"), F.count(F.when(F.col("_which") == 2, 1)).alias("b"),
-        F.max("_at").alias("late"), F.min(F.col("_at") + F.col("_span")).alias("stop"),
-    )
-    pairs = settle(pairs.where("a = 1 AND b = 1 AND late < stop").select(*key))
-    if pairs.isEmpty():
-        return walked.withColumn("_mate", F.lit(None).cast("struct<at: long>"))
-    steps = F.transform("_steps", lambda x: F.struct(x["_k"].alias("k"), x["_n"].alias("n"), x["r"].alias("r"), x["q"].alias("q")))
-    mate = F.struct(F.col("_at").alias("at"), F.col("_seq").alias("seq"), F.col("_qual").alias("qual"), steps.alias("steps"))
-    mates = lookup_join(able, pairs, key, "inner").select(*key, (F.lit(3) - F.col("_which")).alias("_which"), mate.alias("_mate"))
-    met = able.join(mates, [*key, "_which"], "left").select(*walked.columns, "_mate")
-    rest = named.where("_which IS NULL").select(*walked.columns, F.lit(None).cast(mates.schema["_mate"].dataType).alias("_mate"))
-    return met.unionByName(rest)
+    able = narrow.where(_ABLE)
+    hashed = able.select(*key, "_which", F.xxhash64(*key).alias("_hash"))
+    often = settle(hashed.groupBy("_hash", "_which").count().where("count > 1").select("_hash").distinct())
+    fields = [c for c in narrow.columns if c not in key]
+    once, pieces = able, [narrow.where(f"NOT ({_ABLE})")]
+    if not often.isEmpty():
+        named = member_join(hashed, often, ["_hash"], True).groupBy(*key, "_which").count()
+        often = settle(named.where("count > 1").select(*key).distinct())
+        once = member_join(able, often, key, False)
+        pieces.append(member_join(able, often, key, True).select(*narrow.columns))
+    side = lambda which, name: once.where(F.col("_which") == which).select(*key, F.struct(*fields).alias(name))
+    both = side(1, "_a").join(side(2, "_b"), key, "full_outer")
+    mate = lambda r: F.when(
+        F.col(r).isNotNull(), F.struct(F.col(f"{r}._at").alias("at"), F.col(f"{r}._seq").alias("seq"), F.col(f"{r}._qual").alias("qual"), F.col(f"{r}._cigar").alias("cigar"))
+    ).alias("_mate")
+    pair = F.array(F.struct(F.col("_a").alias("_r"), mate("_b")), F.struct(F.col("_b").alias("_r"), mate("_a")))
+    met = both.select(*key, F.inline(F.filter(pair, lambda x: x["_r"].isNotNull()))).select(*key, "_r.*", "_mate").select(*narrow.columns, "_mate")
+    kind = met.schema["_mate"].dataType
+    for piece in pieces:
+        met = met.unionByName(piece.withColumn("_mate", F.lit(None).cast(kind)))
+    return met
 
 
 def _leads() -> Column:
@@ -305,9 +360,13 @@ def pileup(reads: DataFrame, **filters) -> DataFrame:
 
     Counted in the map-side aggregation, so a deep position never collects its reads. Mates that overlap
     count once, unless ``mates_once`` is false. A position all of whose bases fall below the quality bound stays, with
-    depth 0. ``filters`` are those of :func:`read_bases`.
+    depth 0. Pieces of reads are dealt by their place before they become bases, so that the aggregation finds the bases
+    of a position together; a place with many is dealt out to several tasks. ``filters`` are those of :func:`read_bases`.
     """
-    cells = read_bases(reads, **filters)
+    min_baseq = filters.pop("min_baseq", 13)
+    steps, paired_up = _read_steps(reads, **filters)
+    near = _pieces(steps).hint("rebalance", F.col("chrom"), F.col("_bin"))
+    cells = _bases(near, min_baseq, paired_up)
     s, shown = F.col("symbol"), F.col("shown")
     base = s.rlike("^[A-Z=]$")
     count = lambda test: F.count(F.when(test & shown, 1))
@@ -331,7 +390,20 @@ def pileup_text(reads: DataFrame, share: int = 4000, **filters) -> DataFrame:
     several parts, so that no task has to hold all of its reads; parts are numbered from 0 and
     hold the reads whose names hash to them.
     """
-    cells = read_bases(reads, **filters).where("shown")
+    min_baseq = filters.pop("min_baseq", 13)
+    # who is whose mate does not matter to how many pieces a bin has
+    bins = _pieces(_read_steps(reads, **{**filters, "mates_once": False})[0]).groupBy("chrom", "_bin").count()
+    bins = settle(bins)
+    total = bins.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    steps, paired_up = _read_steps(reads, **filters)
+    pieces = _pieces(steps)
+    crowded = settle(bins.where(F.col("count") > share).select("chrom", "_bin"))
+    if crowded.isEmpty():
+        return _written(pieces, None, total, share, min_baseq, paired_up)
+    place = ["chrom", "_bin"]
+    calm = member_join(pieces, crowded, place, False)
+    dense = member_join(pieces, crowded, place, True)
+    cells = _bases(dense, min_baseq, paired_up, "_bin").where("shown")
     deep = (
         cells.groupBy("chrom", "pos")
         .count()
@@ -340,6 +412,20 @@ def pileup_text(reads: DataFrame, share: int = 4000, **filters) -> DataFrame:
     )
     # the size check and the join both read it
     deep = settle(deep)
+    return _written(calm, None, total, share, min_baseq, paired_up).unionByName(_written(dense, deep, total, share, min_baseq, paired_up))
+
+
+def _written(pieces: DataFrame, deep: DataFrame | None, total: int, share: int, min_baseq: int, paired_up: bool) -> DataFrame:
+    """The text of the positions of some pieces; none is deeper than ``share`` but those in ``deep``."""
+    if deep is None:
+        # whole bins go to a task, as many tasks as the pieces need; their positions are grouped where they are
+        pieces = pieces.repartition(max(-(-total // _TASK_PIECES), pieces.sparkSession.sparkContext.defaultParallelism), "chrom", "_bin")
+        # reads are put in order once a bin, which holds ``share`` pieces at most; their bases carry a number
+        order = Window.partitionBy("chrom", "_bin").orderBy("read.start", "read.name", "read.flag")
+        pieces, place = pieces.withColumn("_place", F.rank().over(order)), "_place"
+    else:
+        pieces, place = pieces.withColumn("_place", F.lit(0)), "read"
+    cells = _bases(pieces, min_baseq, paired_up, "_bin", "_place").where("shown")
     strand = lambda text: F.when(F.col("reverse"), F.lower(text)).otherwise(text)
     symbol = F.when((F.col("symbol") == ">") & F.col("reverse"), "<").otherwise(strand(F.col("symbol")))
     gap = F.call_function("repeat", F.lit("N"), F.col("deleted"))
@@ -354,10 +440,14 @@ def pileup_text(reads: DataFrame, share: int = 4000, **filters) -> DataFrame:
         .otherwise(""),
         F.when(F.col("tail"), "$").otherwise(""),
     )
-    entry = F.struct("read", text.alias("text"), F.char(F.least(F.coalesce("score", F.lit(0)), F.lit(93)) + 33).alias("qual"))
-    parts = lookup_join(cells.select("chrom", "pos", entry.alias("entry")), deep, ["chrom", "pos"])
-    part = F.pmod(F.xxhash64("entry.read"), F.coalesce("_parts", F.lit(1))).cast("int")
-    grouped = parts.groupBy("chrom", "pos", part.alias("part")).agg(F.array_sort(F.collect_list("entry")).alias("e"))
+    entry = F.struct(place, text.alias("text"), F.char(F.least(F.coalesce("score", F.lit(0)), F.lit(93)) + 33).alias("qual"))
+    parts = cells.select("chrom", "_bin", "pos", entry.alias("entry"))
+    if deep is None:
+        parts = parts.withColumn("part", F.lit(0))
+    else:
+        spread_out = F.pmod(F.xxhash64("entry.read"), F.coalesce("_parts", F.lit(1))).cast("int")
+        parts = lookup_join(parts, deep, ["chrom", "pos"]).withColumn("part", spread_out)
+    grouped = parts.groupBy("chrom", "_bin", "pos", "part").agg(F.array_sort(F.collect_list("entry")).alias("e"))
     return grouped.select(
         "chrom",
         "pos",

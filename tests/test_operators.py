@@ -9,6 +9,7 @@ from gridspan.operators import sequences, signal, summary, variants
 from gridspan.sinks import files as sinks
 from gridspan.sources import delimited
 from tests.conftest import rows
+from tests.oracle import plan
 
 
 @pytest.fixture(scope="module")
@@ -294,6 +295,25 @@ def test_overlapping_mates_count_once(spark):
     assert all(twice[p] >= n for p, n in want.items()) and sum(twice.values()) > sum(want.values())
 
 
+def test_pileup_deals_reads_by_place(spark, monkeypatch):
+    """Reads that lie scattered are brought together before they become bases; text needs no shuffle of bases at all."""
+    rng = random.Random(5)
+    sam = [(f"r{i}", 16 * (i % 2), "c", 1 + rng.randrange(60), 60, rng.choice(["9M", "3M2D4M2S", "2M30N7M", "4M2I3M"]), "*", "ACGTACGTA", "IIIII5555") for i in range(60)]
+    sam += [(f"m{i}", 3 | w, "c", 20 + i + w // 64, 60, "9M", "=", "ACGTACGTA", "IIIII5555") for i in range(20) for w in (64, 128)]
+    sam += [("often", 3 | w, "c", 12, 60, "9M", "=", "ACGTACGTA", "IIIII5555") for w in (64, 64, 128)]
+    df = spark.createDataFrame(sam, MATES).repartition(5)
+    counts, text = reads.pileup(df), reads.pileup_text(df)
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan(counts)
+    bases_dealt = [x for x in plan(text).splitlines() if "Exchange" in x and "pos" in x]
+    assert not bases_dealt
+    want, written = sorted(rows(counts)), sorted(rows(text))
+    monkeypatch.setattr(reads, "_BIN_BITS", 2)
+    assert sorted(rows(reads.pileup(df))) == want and sorted(rows(reads.pileup_text(df))) == written
+    # bins beyond the share, none of whose positions is
+    deepest = max(r[4] for r in written)
+    assert sorted(rows(reads.pileup_text(df, share=deepest))) == written
+
+
 def test_mates_show_one_base_with_both_scores(spark):
     sam = [("a", 99, "c", 10, 60, "3M", "=", "ACG", "II5"), ("a", 147, "c", 11, 60, "3M", "=", "CTT", "55I")]
     df = spark.createDataFrame(sam, MATES)
