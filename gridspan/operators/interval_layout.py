@@ -14,6 +14,8 @@ from .region import overlap_join
 CHROM, BIN = "LayoutChrom", "LayoutBin"
 # Bases of a coarse bin, as a power of two, and rows of a file.
 BITS, FILE_ROWS = 20, 2_000_000
+# Folders of a layout at most; each is a file at least, and listed whenever it is read.
+MAX_FOLDERS = 4096
 
 
 def write_layout(
@@ -23,9 +25,12 @@ def write_layout(
 
     A table beside the data holds a row per folder with its reach: the greatest end of its rows. A bin with
     many rows is several files, each sorted by start and end. Rows without coordinates are kept in a folder
-    of their own.
+    of their own. Bins have 2**bits bases, and are doubled as often as it takes to keep to ``MAX_FOLDERS``, or
+    until each chromosome is one bin either side of 0, so that folders do not become more with the table.
     """
     chrom, start, end = coordinate_columns(df, columns)
+    finest = F.when(F.col(chrom).isNotNull() & F.col(end).isNotNull(), F.shiftright(F.col(start).cast("long"), bits))
+    bits += _coarser(df.select(F.col(chrom).alias("c"), finest.alias("b")).where("c IS NOT NULL AND b IS NOT NULL"), bits)
     first = F.when(F.col(chrom).isNotNull() & F.col(end).isNotNull(), F.shiftright(F.col(start).cast("long"), bits))
     placed = df.withColumns({CHROM: F.when(first.isNotNull(), F.col(chrom).cast("string")), BIN: first})
     folders = placed.groupBy(CHROM, BIN).agg(F.max(F.col(end).cast("long")).alias("reach"), F.count("*").alias("rows"))
@@ -41,6 +46,13 @@ def write_layout(
     folders.select(CHROM, BIN, (F.col(BIN) * F.lit(1 << bits)).alias("start"), "reach", "rows").write.mode("overwrite").parquet(f"{path}/_reach")
 
 
+def _coarser(bins: DataFrame, bits: int) -> int:
+    """By how many bits bins (c, b) must be widened for ``MAX_FOLDERS``: one pass over the table, then counts of its bins."""
+    bins = settle(bins.distinct())
+    last = max(62 - bits, 0)
+    return next((n for n in range(last) if bins.select("c", F.shiftright("b", n)).distinct().count() <= MAX_FOLDERS), last)
+
+
 def read_layout(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a layout, with its two folder columns; chromosome names stay text whatever they look like."""
     data = spark.read.parquet(path).drop(CHROM, BIN).schema

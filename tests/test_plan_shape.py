@@ -144,3 +144,16 @@ def test_a_join_with_windows_prunes_folders_while_it_runs(spark, tmp_path):
     assert sorted(r["id"] for r in any_mode.collect()) == sorted(r["id"] for r in region.overlap_join(df, windows, "any").collect())
     assert interval_layout.read_layout(spark, path).count() == len(rows)
     assert dict(interval_layout.read_layout(spark, path).dtypes)["LayoutChrom"] == "string"
+
+
+def test_layout_keeps_to_a_number_of_folders(spark, sf, tmp_path, monkeypatch):
+    """Ten times the bins are no more folders, and the join gives the same rows."""
+    monkeypatch.setattr(interval_layout, "MAX_FOLDERS", 16)
+    df = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("chrom"), F.col("id").alias("start"), (F.col("id") + 7).alias("end"), "id")
+    wins = spark.range(50).select(F.lit("a").alias("chrom"), (F.col("id") * 300).alias("start"), (F.col("id") * 300 + 40).alias("end"), F.col("id").alias("window_id"))
+    path = str(tmp_path / "folders")
+    interval_layout.write_layout(df, path, bits=4)
+    assert 8 <= sum(1 for _ in (tmp_path / "folders").glob("LayoutChrom=*/LayoutBin=*")) <= 16
+    got, want = interval_layout.layout_overlap_join(spark, path, wins), region.overlap_join(df, wins)
+    pairs = lambda found: sorted((r["id"], r["window_id"]) for r in found.collect())
+    assert pairs(got) == pairs(want)
