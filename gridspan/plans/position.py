@@ -9,6 +9,8 @@ from ..session import settle
 from .joins import small_side
 
 POS = "_pos"
+# Bytes of text that a task takes after a shuffle.
+TASK_BYTES = 16 << 20
 _IN_PARTITION = (1 << 33) - 1
 
 
@@ -55,6 +57,27 @@ def text_lines(spark: SparkSession, path, line_sep: str | None = None) -> DataFr
     partition orders the lines of the split; a table with one row per split supplies the
     offset. No line passes through Python and no file needs to fit one task.
     """
+    lines, splits = _placed_lines(spark, path, line_sep)
+    return lines.join(splits, ["file", "_split"]).select("file", (F.col("_id") + F.col("_shift")).alias("line_no"), "line")
+
+
+def lines_by_file_number(spark: SparkSession, path, line_sep: str | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """The same lines as (file_no, line_no, line), the table (file_no, file), and how many tasks they need.
+
+    For lines that are shuffled: a path is often longer than a line, so they carry the number of their file, and
+    they are dealt to tasks that become more with the bytes of the files, so that no task grows with them.
+    """
+    lines, splits = _placed_lines(spark, path, line_sep)
+    numbers = Window.orderBy("file")
+    splits = small_side(splits.withColumn("file_no", F.dense_rank().over(numbers)))
+    total = spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(-(-total // TASK_BYTES), spark.sparkContext.defaultParallelism)
+    numbered = lines.join(splits, ["file", "_split"]).select("file_no", (F.col("_id") + F.col("_shift")).alias("line_no"), "line")
+    return numbered, splits.select("file_no", "file").distinct(), tasks
+
+
+def _placed_lines(spark: SparkSession, path, line_sep: str | None) -> tuple[DataFrame, DataFrame]:
+    """Lines with their split and running id, and the shift from that to the line number, a row per split."""
     _pin_splits(spark)
     reader = spark.read
     if line_sep is not None:
@@ -70,9 +93,7 @@ def text_lines(spark: SparkSession, path, line_sep: str | None = None) -> DataFr
     splits = splits.select(
         "file", "_split", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")
     )
-    return raw.join(small_side(splits), ["file", "_split"]).select(
-        "file", (F.col("_id") + F.col("_shift")).alias("line_no"), "line"
-    )
+    return raw, small_side(splits)
 
 
 def numbered_parquet(spark: SparkSession, path, columns: list[str] | None = None) -> DataFrame:

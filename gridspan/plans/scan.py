@@ -110,6 +110,7 @@ def prefix_scan(
     position: str,
     wanted: dict[str, tuple[str, Column | tuple[Column, Column]]],
     block: int = BLOCK,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Add one column per entry of ``wanted``, scanned in ``position`` order per group.
 
@@ -134,7 +135,8 @@ def prefix_scan(
             # a null is a value of the row before as well
             values[f"_v{i}"] = F.struct(value.alias("v")) if kind == "lag" else value
     cut = cut.withColumns(values)
-    local = _local(cut, key, position, kinds, [kind in _BEFORE for kind in kinds])
+    dealt = cut.repartition(tasks, *key) if tasks else cut
+    local = _local(dealt, key, position, kinds, [kind in _BEFORE for kind in kinds])
     # the order within a block matters to sections; its rows lie sorted there already
     blocks = _states(local if "since" in kinds else cut, key, position, kinds)
     whole = _joined(local, _carried(blocks, group, kinds, block, 1), key, kinds)

@@ -10,8 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.joins import small_side
-from ..plans.position import ordered_lines, text_lines
+from ..plans.joins import lookup_join, small_side
+from ..plans.position import lines_by_file_number, ordered_lines, text_lines
 from ..plans.scan import prefix_scan
 from .lines import fields_frame, plain_fields, without_return
 
@@ -254,18 +254,20 @@ def read_wiggle(spark: SparkSession, path: str) -> DataFrame:
     A declaration line applies to the lines after it: it is carried forward, and the lines since it are
     counted, by one blockwise scan over line numbers, so one large file is not one task.
     """
-    lines = text_lines(spark, path).withColumn("line", F.trim(without_return(F.col("line"))))
+    lines, _, tasks = lines_by_file_number(spark, path)
+    lines = lines.withColumn("line", F.trim(without_return(F.col("line"))))
     lines = lines.where((F.col("line") != "") & ~F.col("line").rlike(r"^(#|track(\s|$)|browser(\s|$))"))
     declared = F.col("line").rlike("^(fixedStep|variableStep)")
     data = ~declared
     scanned = prefix_scan(
         lines,
-        ["file"],
+        ["file_no"],
         "line_no",
         {
             "_decl": ("last", F.when(declared, F.col("line"))),
             "_nth": ("since", (declared, data.cast("long"))),
         },
+        tasks=tasks,
     ).where(data)
     decl = F.col("_decl")
     get = lambda name, default: F.coalesce(
@@ -291,22 +293,24 @@ def read_alignment_blocks(spark: SparkSession, path: str) -> DataFrame:
 
     The block number counts the ``a`` lines so far in the file.
     """
-    lines = text_lines(spark, path).withColumn("line", F.trim(without_return(F.col("line"))))
+    lines, files, tasks = lines_by_file_number(spark, path)
+    lines = lines.withColumn("line", F.trim(without_return(F.col("line"))))
     opens = F.col("line").rlike(r"^a(\s|$)")
     kept = lines.where(opens | F.col("line").rlike(r"^s\s"))
     score = F.regexp_extract("line", r"score=(\S+)", 1).try_cast("double")
     scanned = prefix_scan(
         kept,
-        ["file"],
+        ["file_no"],
         "line_no",
         {
             "block": ("sum", opens.cast("long")),
             "_a": ("last", F.when(opens, F.struct(score.alias("score")))),
         },
+        tasks=tasks,
     ).where(~opens)
     p = F.split("line", r"\s+")
     get = lambda i: F.get(p, F.lit(i))
-    return scanned.select(
+    return lookup_join(scanned, files, ["file_no"]).select(
         "file",
         "line_no",
         F.col("block"),
@@ -367,12 +371,14 @@ def read_fasta_blocks(spark: SparkSession, path: str, width: int = 1 << 16) -> D
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """name, comment, seq, qual of four-line records; unequal lengths are an error."""
-    lines = text_lines(spark, path).withColumn("line", without_return(F.col("line")))
+    lines, files, tasks = lines_by_file_number(spark, path)
+    lines = lines.withColumn("line", without_return(F.col("line")))
     slot = F.pmod("line_no", F.lit(4))
     part = lambda i: F.max(F.when(F.col("slot") == i, F.col("line")))
     records = (
-        lines.select("file", F.floor(F.col("line_no") / 4).alias("record"), slot.alias("slot"), "line")
-        .groupBy("file", "record")
+        lines.select("file_no", F.floor(F.col("line_no") / 4).alias("record"), slot.cast("byte").alias("slot"), "line")
+        .repartition(tasks, "file_no", "record")
+        .groupBy("file_no", "record")
         .agg(part(0).alias("head"), part(1).alias("seq"), part(2).alias("plus"), part(3).alias("qual"))
         .where("head <> ''")
     )
@@ -384,7 +390,8 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     )
     problem = F.raise_error(F.concat(F.lit("malformed record: "), F.col("head")))
     comment = F.regexp_extract("head", r"^\S*\s+(.*)$", 1)
-    return records.where(F.when(sound, F.lit(True)).otherwise(problem.cast("boolean"))).select(
+    checked = records.where(F.when(sound, F.lit(True)).otherwise(problem.cast("boolean")))
+    return lookup_join(checked, files, ["file_no"]).select(
         "file",
         "record",
         F.regexp_extract("head", r"^@(\S*)", 1).alias("name"),

@@ -1,5 +1,6 @@
 import gzip
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from gridspan.operators import compare, region, reshape, variants
 from gridspan.sinks import files
 from gridspan.sources import dataset, delimited, genomic
 from tests.conftest import rows
+from tests.oracle import plan
 
 
 def test_header_is_found(spark, lines):
@@ -378,3 +380,18 @@ def test_headed_layouts_follow_a_policy(spark, lines, policy, want):
     assert sorted(rows(delimited.read_headed_layout(spark, path, "maf", on_bad_row=policy)), key=str) == want
     with pytest.raises(Exception, match="expected 2 fields, got"):
         delimited.read_headed_layout(spark, path, "maf").collect()
+
+
+def test_tasks_grow_with_the_text(spark, lines, monkeypatch):
+    """Lines that are shuffled carry no path and go to as many tasks as their bytes need."""
+    from gridspan.plans import position
+
+    monkeypatch.setattr(position, "TASK_BYTES", 200)
+    fastq = "".join(f"@r{i} c\nACGT\n+\nIIII\n" for i in range(200))
+    wig = "".join(f"fixedStep chrom=c start={i * 9 + 1} step=2\n{i}\n{i + 1}\n" for i in range(200))
+    maf = "".join(f"a score={i}\ns hg {i} 1 + 9 A\n" for i in range(200))
+    for read, name, text, want in ((genomic.read_fastq, "a.fq", fastq, 200), (genomic.read_wiggle, "a.wig", wig, 400), (genomic.read_alignment_blocks, "a.maf", maf, 200)):
+        df = read(spark, lines(name, text))
+        tasks = [int(n) for n in re.findall(r"REPARTITION_BY_NUM", plan(df)) and re.findall(r"hashpartitioning\(file_no#\d+, \w+#\d+L?, (\d+)\)", plan(df))]
+        assert max(tasks) == -(-len(text) // 200)
+        assert df.count() == want
