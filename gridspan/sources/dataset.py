@@ -9,7 +9,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.position import text_lines
+from ..plans.joins import lookup_join
+from ..plans.position import lines_by_file_number
 from ..plans.scan import prefix_scan
 from ..session import scratch_path, settle
 
@@ -119,39 +120,41 @@ def element_texts(spark: SparkSession, path: str) -> DataFrame:
     An element that is no object is part of the text of the next one. A file that ends within an element or a
     string, or goes on behind its array, is an error. Files without elements give no rows.
     """
-    lines = text_lines(spark, path, "}")
+    lines, files, tasks = lines_by_file_number(spark, path, "}")
     # no state survives a cut but these two: a brace behind a backslash is what it escapes
     pieces = F.split(F.regexp_replace("line", r"(?s)\\.", ""), '"')
     even, odd = F.filter(pieces, lambda x, i: i % 2 == 0), F.filter(pieces, lambda x, i: i % 2 == 1)
     quotes = F.size(pieces) - 1
     array = F.when(F.col("line_no") == 0, F.ltrim(F.translate("line", "\ufeff\t\r\n", "    ")).startswith("["))
     cuts = lines.select(
-        "file", "line_no", (quotes % 2).cast("long").alias("turn"), array.alias("array"), F.col("line").rlike(r"^\s*$").alias("blank"),
+        "file_no", "line_no", (quotes % 2).cast("long").alias("turn"), array.alias("array"), F.col("line").rlike(r"^\s*$").alias("blank"),
         (_nesting(even) - (quotes % 2 == 0).cast("long")).alias("outside"), (_nesting(odd) - (quotes % 2 == 1).cast("long")).alias("inside"),
     )
-    cuts = prefix_scan(cuts, ["file"], "line_no", {"_turns": ("sum_before", F.col("turn")), "_array": ("last", F.col("array"))})
+    cuts = prefix_scan(cuts, ["file_no"], "line_no", {"_turns": ("sum_before", F.col("turn")), "_array": ("last", F.col("array"))}, tasks=tasks)
     free = (F.col("_turns") + F.col("turn")) % 2 == 0
     step = F.when(F.col("_turns") % 2 == 0, F.col("outside")).otherwise(F.col("inside"))
-    cuts = cuts.select("file", "line_no", "_array", "blank", free.alias("free"), step.alias("step"))
-    cuts = prefix_scan(cuts, ["file"], "line_no", {"_depth": ("sum", F.col("step"))})
+    cuts = cuts.select("file_no", "line_no", "_array", "blank", free.alias("free"), step.alias("step"))
+    cuts = prefix_scan(cuts, ["file_no"], "line_no", {"_depth": ("sum", F.col("step"))}, tasks=tasks)
     ends = F.col("free") & (F.col("_depth") == F.col("_array").cast("int"))
-    cuts = prefix_scan(cuts.withColumn("ends", ends), ["file"], "line_no", {"record": ("sum_before", F.col("ends").cast("long"))})
-    cuts = settle(cuts.select("file", "line_no", "_array", "blank", "free", "_depth", "ends", "record"))
+    cuts = prefix_scan(cuts.withColumn("ends", ends), ["file_no"], "line_no", {"record": ("sum_before", F.col("ends").cast("long"))}, tasks=tasks)
+    cuts = settle(cuts.select("file_no", "line_no", "_array", "blank", "free", "_depth", "ends", "record"))
 
-    last = cuts.groupBy("file").agg(F.max(F.struct("line_no", "free", "_depth", "_array", "blank")).alias("end"), F.min("_depth").alias("least"))
+    last = cuts.groupBy("file_no").agg(F.max(F.struct("line_no", "free", "_depth", "_array", "blank")).alias("end"), F.min("_depth").alias("least"))
     # behind an array, or blanks after an object, there is one brace more than in the file
     whole = F.col("end.free") & (F.col("end._depth") == -(F.col("end._array") | F.col("end.blank")).cast("int")) & (F.col("least") == F.col("end._depth"))
-    broken = last.where(~whole).orderBy("file").first()
+    broken = lookup_join(last.where(~whole), files, ["file_no"]).orderBy("file").first()
     if broken is not None:
         raise ValueError(f"the JSON array of {broken['file']} ends too early, or not at the end of the file")
-    parts = lines.join(cuts.select("file", "line_no", "record", "_array"), ["file", "line_no"])
+    place = ["file_no", "line_no"]
+    parts = lines.repartition(tasks, *place).join(cuts.select(*place, "record", "_array").repartition(tasks, *place), place)
     part = F.struct("line_no", F.concat("line", F.lit("}")).alias("text")).alias("part")
     # a group holds one element
-    joined = parts.select("file", "record", "_array", part).groupBy("file", "record", "_array").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    joined = parts.select("file_no", "record", "_array", part).repartition(tasks, "file_no", "record").groupBy("file_no", "record", "_array").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: p["text"]), "")
     rest = r"^[\s\x{feff}]*,?\s*(\[\s*)?\]\s*\}$"
-    found = joined.select("file", "record", F.when(F.col("_array"), F.regexp_replace(text, r"^[\s\x{feff}]*[\[,]", "")).otherwise(text).alias("text"), (F.col("_array") & text.rlike(rest)).alias("rest"))
-    return found.where(~F.col("rest") & ~F.col("text").rlike(r"^\s*\}$")).select("file", "record", "text")
+    found = joined.select("file_no", "record", F.when(F.col("_array"), F.regexp_replace(text, r"^[\s\x{feff}]*[\[,]", "")).otherwise(text).alias("text"), (F.col("_array") & text.rlike(rest)).alias("rest"))
+    kept = found.where(~F.col("rest") & ~F.col("text").rlike(r"^\s*\}$"))
+    return lookup_join(kept, files, ["file_no"]).select("file", "record", "text")
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:

@@ -395,3 +395,14 @@ def test_tasks_grow_with_the_text(spark, lines, monkeypatch):
         tasks = [int(n) for n in re.findall(r"REPARTITION_BY_NUM", plan(df)) and re.findall(r"hashpartitioning\(file_no#\d+, \w+#\d+L?, (\d+)\)", plan(df))]
         assert max(tasks) == -(-len(text) // 200)
         assert df.count() == want
+
+
+def test_elements_of_an_array_go_to_tasks_by_their_bytes(spark, lines, monkeypatch):
+    from gridspan.plans import position
+
+    monkeypatch.setattr(position, "TASK_BYTES", 100)
+    text = "[" + ", ".join(f'{{"a": {i}, "b": {{"c": "x }}"}}}}' for i in range(60)) + "]"
+    df = dataset.read_records(spark, lines("many.json", text), whole_files=True, schema="a int")
+    tasks = [int(n) for n in re.findall(r"hashpartitioning\(file_no#\d+, \w+#\d+L?, (\d+)\)", plan(df))]
+    assert max(tasks) == -(-len(text) // 100)
+    assert sorted(r["a"] for r in df.collect()) == list(range(60))
