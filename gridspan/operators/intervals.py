@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.cells import INTEGERS, column_type
 from ..functions.coords import coordinate_columns
 from ..plans.joins import lookup_join
-from ..plans.scan import prefix_scan
+from ..plans.scan import fullest_block, prefix_scan
 from ..session import settle
 
 REACH = "MaxEndSoFar"
+# Rows of one chromosome within a block of coordinates that one window may hold.
+CROWD = 1 << 20
 
 
 def running_max_end(
@@ -19,11 +21,23 @@ def running_max_end(
 ) -> DataFrame:
     """Add the largest End so far per chromosome in (Start, End) order.
 
-    Rows that share a start differ only in their own End, so the scan runs over one row per
-    distinct start, in blocks of coordinates, and each row takes the larger of its End and the
-    maximum before its start. No window holds a chromosome.
+    The scan runs over the rows themselves, in blocks of coordinates, where no block holds more than ``CROWD``
+    rows. Otherwise it runs over one row per distinct start, and each row takes the larger of its End and
+    the maximum before its start, as rows that share a start differ only in their own End. No window holds
+    a chromosome. A row without chromosome or start takes its End.
     """
     chrom, start, end = coordinate_columns(df, columns)
+    fullest, unplaced = fullest_block(df, [chrom], start)
+    if fullest <= CROWD:
+        placed = df.where(F.col(chrom).isNotNull() & F.col(start).isNotNull()) if unplaced else df
+        scanned = prefix_scan(placed, [chrom], start, {"_reach": ("max", F.col(end))}, then=[end])
+        # null while no row so far has an End
+        scanned = scanned.select(*df.columns, F.col("_reach").alias(name))
+        if not unplaced:
+            return scanned
+        rest = df.where(F.col(chrom).isNull() | F.col(start).isNull())
+        return scanned.unionByName(rest.select(*df.columns, F.col(end).alias(name)))
+
     starts = df.groupBy(F.col(chrom), F.col(start)).agg(F.max(end).alias("_top"))
     starts = starts.where(F.col(chrom).isNotNull() & F.col(start).isNotNull())
     scanned = prefix_scan(starts, [chrom], start, {"_reach": ("max_before", F.col("_top"))})
@@ -119,29 +133,32 @@ def validate_intervals(
 
     c, s, e = F.col(chrom), F.col(start), F.col(end)
     at = F.concat(F.lit("row "), F.col(position).cast("string"))
-    empty = df.where(c.isNull() | s.isNull() | e.isNull())
-    report("no null coordinates", *_examples(empty, at, position))
-    good = df.where(c.isNotNull() & s.isNotNull() & e.isNotNull())
+    whole = c.isNotNull() & s.isNotNull() & e.isNotNull()
+    at_whole = F.when(whole, F.col(position))
+    # a row per chromosome
+    extent = settle(df.groupBy(c.alias("chrom")).agg(
+        F.min(at_whole).alias("first"), F.max(at_whole).alias("last"), F.count(F.when(whole, 1)).alias("n"), F.count(F.when(~whole, 1)).alias("gaps")
+    ))
+    empty = extent.agg(F.coalesce(F.sum("gaps"), F.lit(0))).first()[0]
+    report("no null coordinates", *(_examples(df.where(~whole), at, position) if empty else (0, None)))
+    good = df.where(whole)
 
-    extent = good.groupBy(c.alias("chrom")).agg(
-        F.min(position).alias("first"), F.max(position).alias("last"), F.count("*").alias("n")
-    )
     # null rows inside a block are reported above and leave gaps here, so they count as its rows
-    nulls = empty.where(c.isNotNull()).groupBy(c.alias("chrom")).agg(F.count("*").alias("gaps"))
-    apart = extent.join(nulls, "chrom", "left").where(
-        F.col("last") - F.col("first") + 1 > F.col("n") + F.coalesce("gaps", F.lit(0))
-    )
+    apart = extent.where("chrom IS NOT NULL AND last - first + 1 > n + gaps")
     text = F.concat("chrom", F.lit(" rows "), F.col("first").cast("string"), F.lit("-"), F.col("last").cast("string"))
     report("each chromosome is one block", *_examples(apart, text, "first"))
 
-    here = F.concat(c, F.lit(":"), s.cast("string"), F.lit("-"), e.cast("string"))
-    unsorted = out_of_order(good, position, (chrom, start, end))
-    report(f"rows are sorted by ({start}, {end})", *_examples(unsorted, F.concat(at, F.lit(" "), here), position))
-
-    scanned = prefix_scan(good, [chrom], position, {"_top": ("max", e)})
-    wrong = scanned.where(~F.col(reach).eqNullSafe(F.col("_top")))
-    text = F.concat(at, F.lit(": "), F.coalesce(F.col(reach).cast("string"), F.lit("null")), F.lit(" is not "), F.col("_top").cast("string"))
-    report(f"{reach} is the running maximum of {end}", *_examples(wrong, text, position))
+    # one scan answers both; only bad rows are kept, to be counted and shown
+    here = F.struct(s.alias("s"), e.alias("e"))
+    scanned = prefix_scan(good, [chrom], position, {"_before": ("lag", here), "_top": ("max", e)})
+    below = F.coalesce(here < F.col("_before"), F.lit(False))
+    wrong = ~F.col(reach).eqNullSafe(F.col("_top"))
+    names = list(dict.fromkeys([chrom, start, end, reach, position]))
+    bad = settle(scanned.select(*names, "_top", below.alias("_below"), wrong.alias("_wrong")).where("_below OR _wrong"))
+    shown = F.concat(at, F.lit(" "), c, F.lit(":"), s.cast("string"), F.lit("-"), e.cast("string"))
+    report(f"rows are sorted by ({start}, {end})", *_examples(bad.where("_below"), shown, position))
+    shown = F.concat(at, F.lit(": "), F.coalesce(F.col(reach).cast("string"), F.lit("null")), F.lit(" is not "), F.col("_top").cast("string"))
+    report(f"{reach} is the running maximum of {end}", *_examples(bad.where("_wrong"), shown, position))
     if blocks is not None:
         _block_checks(df, position, chrom, blocks, report)
     return spark.createDataFrame(rows, schema)

@@ -123,6 +123,7 @@ def numbered_by(df: DataFrame, keys: list[Column | str], name: str = "_row") ->
     placed = placed.withColumn("_part", F.shiftright("_id", 33))
     parts = placed.groupBy("_part").count()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+    # settled, or every later pass would count all rows again
+    parts = settle(parts.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset")))
     rank = F.col("_offset") + F.col("_id").bitwiseAND(F.lit(_IN_PARTITION))
     return placed.join(F.broadcast(parts), "_part").select(*df.columns, rank.alias(name))

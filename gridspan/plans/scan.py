@@ -13,6 +13,8 @@ carried over blocks and carried over blocks of blocks is the same state.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +23,25 @@ _BEFORE = ("sum_before", "max_before", "lag")
 _KINDS = ("sum", "max", "last", "since", *_BEFORE)
 
 
-def _local(df: DataFrame, key: list[str], place: str, kinds: list[str], before: list[bool]) -> DataFrame:
+def _block_of(position: str, block: int) -> Column:
+    return F.floor(F.col(position) / F.lit(block)).cast("long")
+
+
+def fullest_block(df: DataFrame, group: list[str], position: str, block: int = BLOCK) -> tuple[int, int]:
+    """How many rows the largest window of a scan would hold, and how many rows have a null group or position."""
+    counts = df.groupBy(*group, _block_of(position, block).alias("_block")).count()
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*group, "_block"]])
+    found = counts.agg(F.max(F.when(known, F.col("count"))), F.sum(F.when(~known, F.col("count")))).first()
+    return found[0] or 0, found[1] or 0
+
+
+def _local(df: DataFrame, key: list[str], place: list[str], kinds: list[str], before: list[bool]) -> DataFrame:
     """Scan the states ``_v`` within each ``key`` in the order of ``place``, into ``_l``.
 
     A ``since`` has two more columns: ``_o`` is the running sum at a row that opens a section, and ``_m`` tells
     whether a section was opened within the key.
     """
-    inside = (Window.partitionBy(*key) if key else Window.partitionBy()).orderBy(place)
+    inside = (Window.partitionBy(*key) if key else Window.partitionBy()).orderBy(*place)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     sums = {f"_s{i}": F.sum(f"_v{i}").over(upto) for i, kind in enumerate(kinds) if kind == "since"}
@@ -92,13 +106,13 @@ def _carried(states: DataFrame, group: list[str], kinds: list[str], block: int,
     if levels:
         key = [*group, "_above"]
         cut = states.withColumn("_above", F.floor(F.col("_block") / F.lit(block)).cast("long"))
-        local = _local(cut, key, "_block", kinds, before)
+        local = _local(cut, key, ["_block"], kinds, before)
         source = local if "since" in kinds else cut
         above = _states(source, key, "_block", kinds).withColumnRenamed("_above", "_block")
         above = _carried(above, group, kinds, block, levels - 1).withColumnRenamed("_block", "_above")
         scanned = _joined(local, above, key, kinds)
     else:
-        scanned = _local(states, group, "_block", kinds, before)
+        scanned = _local(states, group, ["_block"], kinds, before)
     out = [F.col(f"_l{i}").alias(f"_c{i}") for i in range(len(kinds))]
     out += [F.col(f"_m{i}").alias(f"_d{i}") for i, kind in enumerate(kinds) if kind == "since"]
     return scanned.select(*group, "_block", *out)
@@ -111,6 +125,7 @@ def prefix_scan(
     wanted: dict[str, tuple[str, Column | tuple[Column, Column]]],
     block: int = BLOCK,
     tasks: int | None = None,
+    then: list[str] | None = None,
 ) -> DataFrame:
     """Add one column per entry of ``wanted``, scanned in ``position`` order per group.
 
@@ -118,14 +133,17 @@ def prefix_scan(
     ``max_before`` only the rows before it, ``lag`` the row before. ``last`` skips nulls. ``since`` takes
     (opens, weight): the sum of the weights after the last row that opens a section, this row included,
     and 0 at such a row; rows before the first section are counted from the start. Group columns must not
-    be null and ``position`` is a long, distinct within a group.
+    be null and ``position`` is a long, distinct within a group. It may repeat if ``then`` names the columns that
+    order the rows of one position, for sums and maxima; all of these rows are in one window (see :func:`fullest_block`).
     """
     kinds = [kind for kind, _ in wanted.values()]
     for kind in kinds:
         if kind not in _KINDS:
             raise ValueError(f"unknown scan kind {kind!r}")
+        if then and not kind.startswith(("sum", "max")):
+            raise ValueError(f"a scan of kind {kind!r} needs distinct positions")
     key = [*group, "_block"]
-    cut = df.withColumn("_block", F.floor(F.col(position) / F.lit(block)).cast("long"))
+    cut = df.withColumn("_block", _block_of(position, block))
     values = {}
     for i, (kind, value) in enumerate(wanted.values()):
         if kind == "since":
@@ -136,7 +154,7 @@ def prefix_scan(
             values[f"_v{i}"] = F.struct(value.alias("v")) if kind == "lag" else value
     cut = cut.withColumns(values)
     dealt = cut.repartition(tasks, *key) if tasks else cut
-    local = _local(dealt, key, position, kinds, [kind in _BEFORE for kind in kinds])
+    local = _local(dealt, key, [position, *(then or [])], kinds, [kind in _BEFORE for kind in kinds])
     # the order within a block matters to sections; its rows lie sorted there already
     blocks = _states(local if "since" in kinds else cut, key, position, kinds)
     whole = _joined(local, _carried(blocks, group, kinds, block, 1), key, kinds)

@@ -181,6 +181,24 @@ def test_validate(peaks):
     assert report["no null coordinates"] == "FAIL" and report["each chromosome is one block"] == "PASS"
 
 
+def test_validation_reads_the_table_three_times(spark):
+    """Once for the extents and twice for one scan, whatever is wrong; examples come from the bad rows."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(i):
+        read.add(1)
+        return ("c", 5 if i == 700 else i, i + 2, i + (3 if i % 100 == 0 else 2), i)
+
+    data = spark.sparkContext.parallelize(range(1000), 4).map(counted)
+    df = spark.createDataFrame(data, "chrom string, start long, end long, MaxEndSoFar long, _row long")
+    report = {r["check"]: (r["violations"], r["examples"]) for r in intervals.validate_intervals(df, "_row").collect()}
+    assert report["rows are sorted by (start, end)"] == (1, "row 700 c:5-702")
+    wrong = "; ".join(f"row {i}: {i + 3} is not {i + 2}" for i in range(0, 500, 100))
+    assert report["MaxEndSoFar is the running maximum of end"] == (10, wrong)
+    assert report["each chromosome is one block"] == report["no null coordinates"] == (0, None)
+    assert 0 < read.value <= 3000
+
+
 def test_bins(spark):
     sig = spark.createDataFrame([("c", 0, 5, 1.0), ("c", 7, 10, 3.0)], "chrom string, start long, end long, value double")
     wins = region.windows_frame(spark, [("c", 0, 10), ("c", 20, 22)])

@@ -269,6 +269,43 @@ def test_running_max_against_brute_force(spark, a):
         assert got[i] == max(z for d, x, z in a if d == c and (x, z) <= (s, e))
 
 
+@RELAXED
+@given(a=spans, crowd=st.sampled_from([0, 1 << 20]))
+def test_running_max_with_nulls(spark, monkeypatch, a, crowd):
+    """By rows, and by distinct starts where a block is crowded; a row without chromosome or start takes its end."""
+    a = [(None if i % 7 == 3 else c, None if i % 5 == 2 else s, None if i % 6 == 1 else e) for i, (c, s, e) in enumerate(a)]
+    monkeypatch.setattr(intervals, "CROWD", crowd)
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(a)], "chrom string, start long, end long, i int")
+    got = {r[3]: r[4] for r in rows(intervals.running_max_end(df))}
+    low = float("-inf")
+    for i, (c, s, e) in enumerate(a):
+        so_far = [z for d, x, z in a if None not in (c, s, d, x, z) and d == c and (x, z) <= (s, low if e is None else e)]
+        assert got[i] == max(so_far, default=None if c is not None and s is not None else e)
+    assert len(got) == len(a)
+
+
+def test_running_max_shuffles_rows_by_blocks_only(spark, monkeypatch):
+    """No join of the rows with a table of all starts."""
+    monkeypatch.setattr(joins, "fits_broadcast", lambda *a, **k: False)
+    df = spark.range(3000).select(F.lit("c").alias("chrom"), F.col("id").alias("start"), (F.col("id") + 2).alias("end"))
+    dealt = [line for line in plan(intervals.running_max_end(df)).splitlines() if "hashpartitioning" in line or "Join" in line]
+    assert any("_block#" in line for line in dealt) and not any("start#" in line for line in dealt)
+
+
+def test_a_scan_over_repeated_positions_is_for_sums_and_maxima(spark):
+    df = spark.range(4).select((F.col("id") % 2).alias("p"), "id")
+    with pytest.raises(ValueError, match="distinct positions"):
+        prefix_scan(df, [], "p", {"l": ("lag", F.col("id"))}, then=["id"])
+    got = prefix_scan(df, [], "p", {"s": ("sum", F.col("id")), "m": ("max", F.col("id"))}, block=1, then=["id"])
+    assert sorted(rows(got)) == [(0, 0, 0, 0), (0, 2, 2, 2), (1, 1, 3, 2), (1, 3, 6, 3)]
+
+
+def test_numbering_counts_its_rows_once(spark):
+    """The count of each part is settled, so later passes over the numbered rows do not count again."""
+    got = numbered_by(spark.range(100), ["id"])
+    assert "Aggregate" not in plan(got)
+
+
 def test_a_crowded_bin_is_spread(spark, monkeypatch):
     """A third of the rows in one bin end up in several tasks, and no pair is lost."""
     monkeypatch.setattr(region, "fits_broadcast", lambda *a, **k: False)
