@@ -73,11 +73,11 @@ def chromosome_blocks(df: DataFrame, position: str, columns: tuple[str, str, str
     return df.groupBy(F.col(chrom).cast("string").alias("chrom")).agg(first, n)
 
 
-def _block_checks(df: DataFrame, position: str, chrom: str, blocks: DataFrame, report) -> None:
+def _block_checks(df: DataFrame, total: int, position: str, chrom: str, blocks: DataFrame, report) -> None:
     """Whether blocks written beside a table hold every row once, and each row has the chromosome of its block.
 
     A chromosome has one block, so a row is right if it lies in the block of its own chromosome; no row is
-    compared with the blocks of others.
+    compared with the blocks of others. ``total`` is the number of rows.
     """
     blocks = settle(blocks.select(F.col("chrom").cast("string").alias("chrom"), "row_offset", "n_rows"))
     # a row per chromosome
@@ -85,17 +85,18 @@ def _block_checks(df: DataFrame, position: str, chrom: str, blocks: DataFrame, r
     apart = blocks.withColumn("_before", before).where("row_offset <> _before OR n_rows < 0")
     text = F.concat(F.coalesce("chrom", F.lit("null")), F.lit(" begins at row "), F.col("row_offset").cast("string"))
     wrong, shown = _examples(apart, text, "row_offset")
-    total, held = df.count(), blocks.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+    held = blocks.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
     if total != held:
         wrong, shown = wrong + 1, "; ".join(filter(None, [shown, f"{held} rows in blocks, {total} in the table"]))
     report("the blocks hold every row once", wrong, shown)
 
     single = blocks.groupBy("chrom").agg(F.min("row_offset").alias("_first"), F.min(F.col("row_offset") + F.col("n_rows")).alias("_end"))
-    rows = df.withColumn("_chrom", F.col(chrom).cast("string"))
+    rows = df.select(F.col(chrom).cast("string").alias("_chrom"), position)
     placed = lookup_join(rows, single.withColumnRenamed("chrom", "_chrom"), ["_chrom"])
     inside = (F.col(position) >= F.col("_first")) & (F.col(position) < F.col("_end"))
     text = F.concat(F.lit("row "), F.col(position).cast("string"), F.lit(": "), F.coalesce("_chrom", F.lit("null")))
-    report("every row has the chromosome of its block", *_examples(placed.where(~F.coalesce(inside, F.lit(False))), text, position))
+    outside = settle(placed.where(~F.coalesce(inside, F.lit(False))).select("_chrom", position))
+    report("every row has the chromosome of its block", *_examples(outside, text, position))
 
 
 def validate_intervals(
@@ -139,7 +140,7 @@ def validate_intervals(
     extent = settle(df.groupBy(c.alias("chrom")).agg(
         F.min(at_whole).alias("first"), F.max(at_whole).alias("last"), F.count(F.when(whole, 1)).alias("n"), F.count(F.when(~whole, 1)).alias("gaps")
     ))
-    empty = extent.agg(F.coalesce(F.sum("gaps"), F.lit(0))).first()[0]
+    empty, total = extent.agg(F.coalesce(F.sum("gaps"), F.lit(0)), F.coalesce(F.sum(F.col("n") + F.col("gaps")), F.lit(0))).first()
     report("no null coordinates", *(_examples(df.where(~whole), at, position) if empty else (0, None)))
     good = df.where(whole)
 
@@ -160,7 +161,7 @@ def validate_intervals(
     shown = F.concat(at, F.lit(": "), F.coalesce(F.col(reach).cast("string"), F.lit("null")), F.lit(" is not "), F.col("_top").cast("string"))
     report(f"{reach} is the running maximum of {end}", *_examples(bad.where("_wrong"), shown, position))
     if blocks is not None:
-        _block_checks(df, position, chrom, blocks, report)
+        _block_checks(df, total, position, chrom, blocks, report)
     return spark.createDataFrame(rows, schema)
 
 

@@ -199,6 +199,22 @@ def test_validation_reads_the_table_three_times(spark):
     assert 0 < read.value <= 3000
 
 
+def test_blocks_are_checked_in_one_more_reading(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(i):
+        read.add(1)
+        return ("b" if i % 100 == 0 else "a", i, i + 2, i + 2, i)
+
+    data = spark.sparkContext.parallelize(range(1000), 4).map(counted)
+    df = spark.createDataFrame(data, "chrom string, start long, end long, MaxEndSoFar long, _row long")
+    blocks = spark.createDataFrame([("a", 0, 1000)], "chrom string, row_offset long, n_rows long")
+    report = {r["check"]: (r["violations"], r["examples"]) for r in intervals.validate_intervals(df, "_row", blocks=blocks).collect()}
+    assert report["the blocks hold every row once"] == (0, None)
+    assert report["every row has the chromosome of its block"] == (10, "; ".join(f"row {i}: b" for i in range(0, 500, 100)))
+    assert 0 < read.value <= 4000
+
+
 def test_bins(spark):
     sig = spark.createDataFrame([("c", 0, 5, 1.0), ("c", 7, 10, 3.0)], "chrom string, start long, end long, value double")
     wins = region.windows_frame(spark, [("c", 0, 10), ("c", 20, 22)])
